@@ -1,3 +1,3 @@
-from oracles import description, preparation
+from oracles import description, evaluation, preparation, text
 
-ORACLES = {**preparation.ORACLES, **description.ORACLES}
+ORACLES = {**preparation.ORACLES, **description.ORACLES, **evaluation.ORACLES, **text.ORACLES}

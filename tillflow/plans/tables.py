@@ -58,6 +58,14 @@ def frequency_vector():
     return F.array(*[(count_code(F.col("codes"), k) + 1) / (x + N_CLASSES) for k in range(N_CLASSES)])
 
 
+def noisy_vector():
+    """Hashed numbers with a bonus for the true class, normalised: many distinct probabilities."""
+    u = [hash_uniform(f"{DEFAULTS.seed}:noisy{k}", F.col("length"), F.col("customer_id"))
+         + F.when(F.col("target") == k, 0.3).otherwise(0.0) for k in range(N_CLASSES)]
+    total = u[0] + u[1] + u[2] + u[3]
+    return F.array(*[x / total for x in u])
+
+
 def answered(windows: DataFrame, models: dict) -> DataFrame:
     """Prediction rows; `models`: name -> code expression or (code, p)."""
     none, items = F.lit(None).cast("array<double>"), []
@@ -73,10 +81,10 @@ def seeded(base: str, seed: int) -> str:
 
 
 def length_predictions(spark, d, bank: str, lengths=DEFAULTS.lengths) -> DataFrame:
-    """averaging, last-category, markov1, freq, and three seeds of coin."""
+    """averaging, last-category, markov1, freq, noisy, and three seeds of coin."""
     w = windows_at(transactions(spark, d, bank), lengths)
-    freq = frequency_vector()
-    more = answered(w, {"freq": (argmax_code(freq), freq), **{seeded("coin", s): coin_code(s, "coin", 0.4) for s in COIN_SEEDS}})
+    freq, noisy = frequency_vector(), noisy_vector()
+    more = answered(w, {"freq": (argmax_code(freq), freq), "noisy": (argmax_code(noisy), noisy), **{seeded("coin", s): coin_code(s, "coin", 0.4) for s in COIN_SEEDS}})
     return B.score_baselines(w, fitted_transitions(spark, d)).unionByName(more)
 
 
