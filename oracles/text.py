@@ -68,5 +68,5 @@ ORACLES = {
     "sample_length_guard": t(f"SELECT count(*) AS samples, max(len(string_split(instruction || ' ' || input || ' ' || response, ' ')))::BIGINT AS longest FROM ({sample('who || money || chr(32) || cats || dates || amounts', where=ONE)})"),
     "run_names": """SELECT lower(o_orderstatus) || '-full' || CASE o_orderkey % 3 WHEN 0 THEN '-minus-income-group' WHEN 1 THEN '-minus-age' ELSE '' END || CASE o_orderkey % 2 WHEN 0 THEN '' ELSE '-seed2' END AS name, count(*) AS n FROM orders GROUP BY ALL""",
     "trace_numbers": t(traced("customer_id", "cats || amounts", f"(SELECT * FROM ptext WHERE {ONE})", rounded("SELECT o_totalprice AS x FROM orders WHERE o_orderkey % 2 = 0"))),
-    "trace_metric_numbers": t(traced("doc_id", "text", "documents", rounded("SELECT unnest([length, n, " + ", ".join(ALL) + f"]) AS x FROM ({metrics('SELECT * FROM lpred WHERE bank = ' + chr(39) + 'bank_a' + chr(39), 'model, length')})"))),
+    "trace_metric_numbers": t(traced("customer_id", "cats || amounts", "(SELECT * FROM ptext WHERE bank = 'bank_b')", rounded("SELECT unnest([length, n, " + ", ".join(ALL) + f"]) AS x FROM ({metrics('SELECT * FROM lpred WHERE bank = ' + chr(39) + 'bank_a' + chr(39), 'model, length')})"))),
 }

@@ -25,10 +25,15 @@ def proportional_code(shares: Column, seed, key: Column) -> Column:
 
 def most_frequent_code(codes: Column, ties: str = "recency") -> Column:
     """Modal class. Ties go to the class seen last, or with ties="lowest" to the lowest code."""
+    return argmax_code(_class_keys(codes, ties))
+
+
+def _class_keys(codes: Column, ties: str) -> Column:
+    """Per class a number that is largest for the modal class: its count, then (recency) the place it was last seen."""
     if ties == "lowest":
-        return argmax_code(F.array(*[count_code(codes, k) for k in range(N_CLASSES)]))
+        return F.array(*[count_code(codes, k) for k in range(N_CLASSES)])
     width = F.size(codes) + 1
-    return argmax_code(F.array(*[count_code(codes, k) * width + last_seen(codes, k) for k in range(N_CLASSES)]))
+    return F.array(*[count_code(codes, k) * width + last_seen(codes, k) for k in range(N_CLASSES)])
 
 
 def last_code(codes: Column) -> Column:
@@ -37,9 +42,8 @@ def last_code(codes: Column) -> Column:
 
 def markov_fit(windows: DataFrame) -> DataFrame:
     """(prev, next, n, p): transitions between neighbours, inputs and target, add-one smoothed, complete 4 x 4 grid."""
-    codes = F.transform("steps", lambda s: s["code"])
-    n = F.size("steps")
-    pair = F.zip_with(F.slice(codes, F.lit(1), n - 1), F.slice(codes, F.lit(2), n - 1), lambda a, b: a * N_CLASSES + b)
+    before, after = "slice(steps, 1, size(steps) - 1)", "slice(steps, 2, size(steps) - 1)"
+    pair = F.expr(f"zip_with({before}, {after}, (a, b) -> a.code * {N_CLASSES} + b.code)")
     seen = windows.select(F.explode(pair).alias("cell")).groupBy("cell").agg(F.count("*").alias("seen"))
     grid = windows.sparkSession.range(N_CLASSES * N_CLASSES).select(F.col("id").cast("int").alias("cell"))
     full = grid.join(F.broadcast(seen), "cell", "left").select(        # 16 cells
@@ -61,28 +65,38 @@ def share_vector(shares: DataFrame) -> DataFrame:
         F.transform("s", lambda x: x["share"]).alias("s"))
 
 
-def score_baselines(windows: DataFrame, transitions: DataFrame, ties: str = "recency") -> DataFrame:
-    """averaging, last-category and markov1 of every window, in one pass: (customer_id, length, model, ...)."""
-    w = windows.withColumn("_m", transition_matrix(transitions).scalar())
-    proba = F.get("_m", last_code(F.col("codes")))
-    none = F.lit(None).cast("array<double>")
-    answers = F.array(
-        F.struct(F.lit("averaging").alias("model"), most_frequent_code(F.col("codes"), ties).alias("code"), none.alias("p")),
-        F.struct(F.lit("last-category").alias("model"), last_code(F.col("codes")).alias("code"), none.alias("p")),
-        F.struct(F.lit("markov1").alias("model"), argmax_code(proba).alias("code"), proba.alias("p")))
-    return _rows(w.select("customer_id", "length", "ground_truth", F.inline(answers)))
-
+def name_of(base: str, seed: int) -> str:
+    return base if seed == DEFAULTS.seed else f"{base}-seed{seed}"
 
-def score_draws(final_purchases: DataFrame, shares: DataFrame, seeds=(DEFAULTS.seed,)) -> DataFrame:
-    """random and proportional for the final purchase of every customer, one name per seed. No length."""
-    w = final_purchases.withColumn("_s", share_vector(shares).scalar())
-    name = lambda base, s: base if s == DEFAULTS.seed else f"{base}-seed{s}"
-    none = F.lit(None).cast("array<double>")
-    answers = F.array(*[F.struct(F.lit(name(m, s)).alias("model"), c.alias("code"), none.alias("p")) for s in seeds
-                        for m, c in (("random", random_code(s, F.col("customer_id"))),
-                                     ("proportional", proportional_code(F.col("_s"), s, F.col("customer_id"))))])
-    return _rows(w.select("customer_id", F.lit(None).cast("int").alias("length"), "ground_truth", F.inline(answers)))
 
+def score_baselines(windows: DataFrame, transitions: DataFrame | None, shares: DataFrame | None = None, ties: str = "recency",
+                    seeds=(DEFAULTS.seed,), more: dict | None = None, keys=("customer_id",)) -> DataFrame:
+    """Every heuristic answer of every window in one pass: (keys, length, ground_truth, model, prediction, p).
 
-def _rows(df: DataFrame) -> DataFrame:
-    return df.select("model", "length", "customer_id", "ground_truth", class_name(F.col("code")).alias("prediction"), "p")
+    averaging, last-category and, with `transitions`, markov1 answer each window. With `shares` the windows of length 1
+    (the final purchase of every customer) are answered by random and proportional only, without a length. `more` adds
+    predictors that read windows: name -> (code expression, probability expression or None).
+    """
+    none = F.lit(None).cast("array<double>")
+    w, extra = windows.withColumn("_keys", _class_keys(F.col("codes"), ties)), more or {}
+    columns = {"_averaging": argmax_code(F.col("_keys")), "_last": last_code(F.col("codes"))}
+    if transitions is not None:
+        w = w.withColumn("_m", transition_matrix(transitions).scalar())
+        columns["_p"] = F.get("_m", last_code(F.col("codes")))
+    columns |= {f"_x{i}": p for i, (_, p) in enumerate(extra.values()) if p is not None}
+    w = w.withColumns(columns)
+    answer = lambda model, code, p=none: F.struct(F.lit(model).alias("model"), code.alias("code"), p.alias("p"))
+    rules = [answer("averaging", F.col("_averaging")), answer("last-category", F.col("_last"))]
+    if transitions is not None:
+        rules.append(answer("markov1", argmax_code(F.col("_p")), F.col("_p")))
+    for i, (name, (code, p)) in enumerate(extra.items()):
+        rules.append(answer(name, argmax_code(F.col(f"_x{i}")) if code is None else code, none if p is None else F.col(f"_x{i}")))
+    listed, length = F.array(*rules), F.col("length")
+    if shares is not None:
+        w = w.withColumn("_s", share_vector(shares).scalar())
+        draws = [answer(name_of(m, s), c) for s in seeds for m, c in (
+            ("random", random_code(s, F.col("customer_id"))), ("proportional", proportional_code(F.col("_s"), s, F.col("customer_id"))))]
+        listed = F.when(length == 1, F.array(*draws)).otherwise(listed)
+        length = F.when(length != 1, length)
+    rows = w.select(*keys, length.alias("length"), "ground_truth", F.inline(listed))
+    return rows.select("model", "length", *keys, "ground_truth", class_name(F.col("code")).alias("prediction"), "p")

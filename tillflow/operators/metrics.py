@@ -15,17 +15,14 @@ CLASS_F1 = [f"f1_{s}" for s in SHORT_NAMES]
 ALL_METRICS = OVERALL + [f"{m}_{s}" for s in SHORT_NAMES for m in ("p", "r", "f1")]
 
 
-def _where(column: str, key: str):
-    """Null-safe equality on group keys is not needed: a null length forms its own group in groupBy."""
-    return F.col(column) == F.lit(key)
-
-
 def confusion_cells(coded: DataFrame, by=("model", "length"), weight: str | None = None) -> DataFrame:
-    """One row per group, the 20 cells of truth x answer as columns c<truth><answer> (answer 4 = not a class)."""
+    """One row per group, the 20 cells of truth x answer as columns c<truth><answer> (answer 4 = not a class).
+
+    Pairs are counted map-side first; the second step only spreads at most 20 counts per group over columns.
+    """
     n = F.count("*") if weight is None else F.sum(weight)
-    counted = coded.groupBy(*by, "y", "yhat").agg(n.alias("_n"))
-    at = lambda t, p: F.coalesce(F.sum(F.when((F.col("y") == t) & (F.col("yhat") == p), F.col("_n"))), F.lit(0))
-    return counted.groupBy(*by).agg(*[at(t, p).alias(f"c{t}{p}") for t in range(N_CLASSES) for p in range(N_CLASSES + 1)])
+    counted = coded.groupBy(*by, (F.col("y") * (N_CLASSES + 1) + F.col("yhat")).alias("_cell")).agg(n.alias("_n"))
+    return counted.groupBy(*by).agg(*[F.expr(f"coalesce(sum(_n) FILTER (WHERE _cell = {i}), 0)").alias(c) for i, c in enumerate(CELLS)])
 
 
 def confusion_matrix(predictions: DataFrame, by=("model", "length")) -> DataFrame:
@@ -39,25 +36,19 @@ def confusion_matrix(predictions: DataFrame, by=("model", "length")) -> DataFram
 
 def add_metrics(cells: DataFrame) -> DataFrame:
     """Add n and every metric to rows that carry the 20 cells. Undefined ratios are 0."""
-    c = lambda t, p: F.col(f"c{t}{p}").cast("double")
-    total = lambda xs: sum(xs[1:], xs[0])
-    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    tp = [c(k, k) for k in range(N_CLASSES)]
-    base = {f"_s{k}": total([c(k, p) for p in range(N_CLASSES + 1)]) for k in range(N_CLASSES)}
-    base |= {f"_q{k}": total([c(t, k) for t in range(N_CLASSES)]) for k in range(N_CLASSES)}
-    df = cells.withColumns(base)
-    support, answered = [F.col(f"_s{k}") for k in range(N_CLASSES)], [F.col(f"_q{k}") for k in range(N_CLASSES)]
-    per = {"n": total(support)}
+    ks = range(N_CLASSES)
+    sums = [f"CAST({' + '.join(f'c{k}{p}' for p in range(N_CLASSES + 1))} AS DOUBLE) AS _s{k}" for k in ks]
+    sums += [f"CAST({' + '.join(f'c{t}{k}' for t in ks)} AS DOUBLE) AS _q{k}" for k in ks]
+    ratio = lambda a, b: f"coalesce(try_divide({a}, {b}), 0D)"
+    per = ["_s0 + _s1 + _s2 + _s3 AS n"]
     for k, s in enumerate(SHORT_NAMES):
-        per |= {f"p_{s}": ratio(tp[k], answered[k]), f"r_{s}": ratio(tp[k], support[k]),
-                f"f1_{s}": ratio(2 * tp[k], support[k] + answered[k])}
-    df = df.withColumns(per)
-    n = F.col("n")
-    weighted = lambda m: total([F.try_divide(support[k], n) * F.col(f"{m}_{s}") for k, s in enumerate(SHORT_NAMES)])
-    plain = lambda m: total([F.col(f"{m}_{s}") for s in SHORT_NAMES]) / N_CLASSES
-    df = df.withColumns({"acc": F.try_divide(total(tp), n), "prec_w": weighted("p"), "rec_w": weighted("r"),
-                         "f1_w": weighted("f1"), "macro_f1": plain("f1"), "bal_acc": plain("r")})
-    return df.drop(*base)
+        per += [f"{ratio(f'c{k}{k}', f'_q{k}')} AS p_{s}", f"{ratio(f'c{k}{k}', f'_s{k}')} AS r_{s}", f"{ratio(f'2 * c{k}{k}', f'_s{k} + _q{k}')} AS f1_{s}"]
+    weighted = lambda m: " + ".join(f"try_divide(_s{k}, n) * {m}_{s}" for k, s in enumerate(SHORT_NAMES))
+    plain = lambda m: "(" + " + ".join(f"{m}_{s}" for s in SHORT_NAMES) + f") / {N_CLASSES}"
+    overall = [f"try_divide({' + '.join(f'c{k}{k}' for k in ks)}, n) AS acc", f"{weighted('p')} AS prec_w", f"{weighted('r')} AS rec_w",
+               f"{weighted('f1')} AS f1_w", f"{plain('f1')} AS macro_f1", f"{plain('r')} AS bal_acc"]
+    return (cells.selectExpr("*", *sums).selectExpr("*", *per).selectExpr("*", *overall)
+            .drop(*[f"_s{k}" for k in ks], *[f"_q{k}" for k in ks]))
 
 
 def classification_metrics(predictions: DataFrame, by=("model", "length")) -> DataFrame:
@@ -143,15 +134,15 @@ def shift_table(predictions: DataFrame, in_bank: str, cross_bank: str, length: i
     return both.withColumns({f"{m}_drop": F.col(f"{m}_in_bank") - F.col(f"{m}_cross_bank") for m in metrics})
 
 
-def group_metrics(predictions: DataFrame, attributes: DataFrame, by=("model",)) -> DataFrame:
-    """Metrics per level of customer attributes. `attributes`: customer_id and one text column per variable."""
-    variables = [c for c in attributes.columns if c != "customer_id"]
-    joined = with_codes(predictions).join(attributes, "customer_id")
+def group_metrics(predictions: DataFrame, attributes: DataFrame, by=("model",), keys=("customer_id",)) -> DataFrame:
+    """Metrics per level of customer attributes. `attributes`: the customer `keys` and one text column per variable."""
+    variables = [c for c in attributes.columns if c not in keys]
+    joined = with_codes(predictions).join(attributes, list(keys))
     cells = joined.groupBy(*by, "y", "yhat", *variables).agg(F.count("*").alias("w"))     # merge before unpivoting
     rows = cells.select(*by, "y", "yhat", "w", F.inline(F.array(*[
         F.struct(F.lit(v).alias("variable"), F.col(v).alias("level")) for v in variables])))
-    keys = (*by, "variable", "level")
-    return add_metrics(confusion_cells(rows, keys, "w")).select(*keys, F.col("n").cast("long").alias("n"), *ALL_METRICS)
+    groups = (*by, "variable", "level")
+    return add_metrics(confusion_cells(rows, groups, "w")).select(*groups, F.col("n").cast("long").alias("n"), *ALL_METRICS)
 
 
 def level_shares(attributes: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillflow.functions.expressions import N_CLASSES, hash_uniform
-from tillflow.functions.literals import literal_rows
 from tillflow.operators.metrics import ALL_METRICS, CELLS, add_metrics, confusion_cells
 from tillflow.settings import DEFAULTS
 from tillflow.sources.predictions import base_model
@@ -27,18 +26,30 @@ def at_every_length(predictions: DataFrame) -> DataFrame:
     return predictions.where(F.col("length").isNotNull()).unionByName(free)
 
 
-def answers(rows: DataFrame, models, by=("length",)) -> DataFrame:
+def answers(rows: DataFrame, models, by=("length",), expected: Column | int | None = None) -> DataFrame:
     """One row per customer of a population: y and `codes`, the answers in the order of `models`.
 
-    Customers missing in one of the models that the population has are left out.
+    Customers missing in one of the population's models are left out. `expected` is the number of models a population
+    has, a number or an expression of the population keys (default: all of `models`).
     """
-    by = list(by)
-    rows = rows.where(F.col("model").isin(*models))
+    by, rows = list(by), rows.where(F.col("model").isin(*models))
     code = lambda m: F.coalesce(F.max(F.when(F.col("model") == m, F.col("yhat"))), F.lit(ABSENT)).cast("int")
     wide = rows.groupBy(*by, "customer_id").agg(F.max("y").alias("y"), F.array(*map(code, models)).alias("codes"))
-    present = rows.groupBy(*by, "model").agg(F.lit(1).alias("one")).groupBy(*by).agg(F.count("*").alias("_models"))
-    return (wide.join(present, by).where(F.size(F.filter("codes", lambda c: c != ABSENT)) == F.col("_models"))
-            .drop("_models"))
+    needed = expected if isinstance(expected, Column) else F.lit(len(models) if expected is None else expected)
+    return wide.where(F.size(F.filter("codes", lambda c: c != ABSENT)) == needed)
+
+
+def models_at(predictions: DataFrame, models) -> tuple[list, Column]:
+    """The listed models that occur, and per length how many of them do (an inventory: names, not rows)."""
+    found = predictions.where(F.col("model").isin(*models)).select("model", "length").distinct().collect()
+    per: dict = {}
+    for row in found:
+        per[row["length"]] = per.get(row["length"], 0) + 1
+    everywhere, count = per.pop(None, 0), F.lit(0)          # length-free models take part at every length
+    for length, n in per.items():
+        count = F.when(F.col("length") == length, F.lit(n + everywhere)).otherwise(count)
+    present = {row["model"] for row in found}
+    return [m for m in models if m in present], count
 
 
 def joint_cells(aligned: DataFrame, by=("length",)) -> DataFrame:
@@ -159,15 +170,18 @@ def compare(points: DataFrame, draws: DataFrame, pairs, by=("length",), metrics=
     `pairs` is a short list of (a, b) model names. p is the share of draws at least as far from the estimate
     as the estimate is from zero, never below one draw; mde is the smallest difference the comparison could detect.
     """
-    by, wanted = list(by), F.broadcast(literal_rows(points.sparkSession, pairs, ("a", "b")))
+    by = list(by)
 
-    def joined(scores, keys):
-        side = lambda name: scores.select(*keys, F.col("model").alias(name), F.struct(*metrics).alias(f"_{name}"))
-        return side("a").join(wanted, "a").join(side("b"), [*keys, "b"])
+    def differences(scores, keys, prefix):
+        """a - b of every listed pair. A group holds one row per model, so all pairs come from one grouping."""
+        fields = ", ".join(metrics)
+        at = scores.groupBy(*keys).agg(F.expr(f"map_from_entries(collect_list(struct(model, struct({fields}))))").alias("_m"))
+        listed = ", ".join(f"struct('{a}' AS a, '{b}' AS b, _m['{a}'] AS x, _m['{b}'] AS y)" for a, b in pairs)
+        each = at.selectExpr(*keys, f"inline(filter(array({listed}), e -> e.x IS NOT NULL AND e.y IS NOT NULL))")
+        return each.selectExpr(*keys, "a", "b", *[f"x.{m} - y.{m} AS {prefix}_{m}" for m in metrics])
 
-    est = joined(points, by).select(*by, "a", "b", *[(F.col(f"_a.{m}") - F.col(f"_b.{m}")).alias(f"e_{m}") for m in metrics])
-    diff = joined(draws, [*by, "draw"]).select(*by, "a", "b", *[(F.col(f"_a.{m}") - F.col(f"_b.{m}")).alias(f"d_{m}") for m in metrics])
-    both = diff.join(est, [*by, "a", "b"])
+    est = differences(points, by, "e")
+    both = differences(draws, [*by, "draw"], "d").join(est, [*by, "a", "b"])
     far = lambda m: (F.abs(F.col(f"d_{m}") - F.col(f"e_{m}")) >= F.abs(F.col(f"e_{m}")) - TOLERANCE).cast("double")
     agg = both.groupBy(*by, "a", "b").agg(F.count("*").alias("_draws"), *[x for m in metrics for x in (
         F.max(f"e_{m}").alias(f"e_{m}"), F.percentile(f"d_{m}", F.array(F.lit(0.025), F.lit(0.975))).alias(f"q_{m}"),

@@ -13,6 +13,7 @@ from tillflow.operators import resampling as R
 from tillflow.operators.metrics import CLASS_F1, classification_metrics, select_best
 from tillflow.settings import COMPARATORS, DEFAULTS
 from tillflow.sources.predictions import SEED_NAME, base_model, with_codes
+from tillflow.sources.session import durable
 
 TESTED = ("f1_w", "macro_f1", "bal_acc", *CLASS_F1)
 PAIR_METRICS = ("acc", "f1_w", "macro_f1", *CLASS_F1)
@@ -90,10 +91,10 @@ def significance_table(predictions: DataFrame, llms, baselines, resampler: Resam
 
     Long form: one row per metric; the McNemar columns repeat.
     """
-    models = [*llms, *baselines]
+    models, expected = R.models_at(predictions, [*llms, *baselines])
     rows = with_codes(R.at_every_length(predictions.where(F.col("model").isin(*models))))
-    aligned = R.answers(rows, models)
-    pairs = list(itertools.product(llms, baselines))
+    aligned = durable(R.answers(rows, models, expected=expected))
+    pairs = [(a, b) for a, b in itertools.product(llms, baselines) if a in models and b in models]
     res = R.compare(R.point_scores(aligned, models), resampler.scores(aligned, models, ("length",)), pairs, metrics=metrics)
     mc = holm(mcnemar(R.joint_cells(aligned), models, pairs), "mcnemar_p", ("length", "a"), "mcnemar_p_holm")
     return holm(res, "p", ("length", "a", "metric")).join(mc, ["length", "a", "b"])
@@ -103,8 +104,9 @@ def families(predictions: DataFrame, llms, comparators, resampler: Resampler, me
     """Seed means of every learned model against seed means of every comparator, Holm inside (model, length, metric)."""
     named = predictions.where(F.col("length").isNotNull()).withColumn("base", base_model(F.col("model")))
     named = named.where(F.col("base").isin(*llms, *comparators))
-    models = sorted(r["model"] for r in named.select("model").distinct().collect())       # model names only
-    aligned = R.answers(with_codes(named), models)
+    seeds = [m for m in _names(named) if re.sub(SEED_NAME, r"\1", m) in (*llms, *comparators)]
+    models, expected = R.models_at(named, seeds)
+    aligned = durable(R.answers(with_codes(named), models, expected=expected))
     points = R.seed_means(R.point_scores(aligned, models), metrics=metrics)
     draws = R.seed_means(resampler.scores(aligned, models, ("length",)), ("length", "draw"), metrics)
     res = holm(R.compare(points, draws, list(itertools.product(llms, comparators)), metrics=metrics),
@@ -119,6 +121,11 @@ def families(predictions: DataFrame, llms, comparators, resampler: Resampler, me
             .withColumn("family", label).drop("_k", "_names"))
 
 
+def _names(predictions: DataFrame) -> list[str]:
+    """Model names of a prediction table (a partition column of the stored tables)."""
+    return sorted(r["model"] for r in predictions.select("model").distinct().collect())
+
+
 def choose_comparator(validation: DataFrame, comparators=COMPARATORS, length: int = DEFAULTS.train_length) -> DataFrame:
     """The comparator with the best seed-mean macro-F1 on validation predictions; the first listed wins ties."""
     at = validation.where(F.col("length") == length).withColumn("base", base_model(F.col("model")))
@@ -139,11 +146,11 @@ def primary_endpoint(validation: DataFrame, confirm: DataFrame, llm: str, resamp
     at = confirm.where(F.col("length") == length).withColumn("base", base_model(F.col("model"))).where(F.col("base").isin(llm, chosen))
     if without is not None:
         at = at.join(without.select("customer_id"), "customer_id", "left_anti")
-    models = sorted(r["model"] for r in at.select("model").distinct().collect())
+    models = _names(at)
     if not {re.sub(SEED_NAME, r"\1", m) for m in models} >= {llm, chosen}:
         raise ValueError(f"missing predictions of {llm} or {chosen}")
-    aligned = R.answers(with_codes(at), models)
-    points = R.seed_means(R.point_scores(aligned, models), metrics=("macro_f1",))
+    aligned = durable(R.answers(with_codes(at), models))
+    points = durable(R.seed_means(R.point_scores(aligned, models), metrics=("macro_f1",)))
     side = lambda name, p: points.where(F.col("model") == name).select(
         "length", F.col("n").cast("long").alias("n") if p == "a" else F.lit(1).alias("_1"), F.lit(name).alias(p),
         F.col("seeds").alias(f"{p}_seeds"), F.col("macro_f1").alias(f"{p}_macro_f1"))
@@ -196,11 +203,14 @@ def compare_pairs(predictions: DataFrame, specs, resampler: Resampler, lengths=D
                 members.append((spec, label(xa, xb), x, n, s, f"{s}{i}"))
         if len(names_a) == len(names_b) == 1:
             singles.append((spec, label(xa, xb)))
-    table = literal_rows(spark, members, ("pair", "at", "length", "source", "side", "slot"))
+    size = {}
+    for m in members:
+        size[m[:2]] = size.get(m[:2], 0) + 1
+    table = literal_rows(spark, [(*m, size[m[:2]]) for m in members], ("pair", "at", "length", "source", "side", "slot", "members"))
     rows = with_codes(R.at_every_length(predictions)).withColumnRenamed("model", "source")
     rows = rows.join(F.broadcast(table), ["source", "length"]).withColumnRenamed("slot", "model")
     slots, by = sorted({m[5] for m in members}), ("pair", "at")
-    aligned = R.answers(rows, slots, by)
+    aligned = durable(R.answers(rows, slots, (*by, "members"), F.col("members")).drop("members"))
     mean = lambda df, keys: (df.withColumn("model", F.substring("model", 1, 1)).groupBy(*keys, "model")
                              .agg(F.max("n").cast("long").alias("n"), *[F.avg(m).alias(m) for m in metrics]))
     points = mean(R.point_scores(aligned, slots, by), by)
@@ -233,7 +243,7 @@ def factorial_effects(predictions: DataFrame, cells: dict, resampler: Resampler,
     """Main effects and interactions of the 2 x 2 x 2 conditions: signed sums over four, intervals from the draws."""
     spark, models, by = predictions.sparkSession, list(cells.values()), ("length",)
     rows = with_codes(predictions.where((F.col("length") == length) & F.col("model").isin(*models)))
-    aligned = R.answers(rows, models, by)
+    aligned = durable(R.answers(rows, models, by))
     signs = F.broadcast(literal_rows(spark, sign_rows(cells), ("model", "effect", "sign")))
 
     def effects(scores, keys):

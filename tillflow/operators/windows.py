@@ -12,37 +12,45 @@ from tillflow.settings import DEFAULTS
 from tillflow.sources.tables import rank_in_customer
 
 
-def recent_steps(tx: DataFrame, keep: int) -> DataFrame:
-    """The last `keep` purchases of every customer as one array, or all of them where there are fewer."""
-    rows = rank_in_customer(tx, keep)
-    step = F.struct((-F.col("rn")).alias("o"), "code", "date", "amount")
-    return (rows.groupBy("customer_id").agg(F.array_sort(F.collect_list(step)).alias("s"))
-            .select("customer_id", F.transform("s", lambda x: F.struct(x["code"], x["date"], x["amount"])).alias("steps")))
+FIELDS = ("code", "date", "amount")
 
 
-def with_window_columns(df: DataFrame) -> DataFrame:
+def recent_steps(tx: DataFrame, keep: int, fields=FIELDS) -> DataFrame:
+    """The last `keep` purchases of every customer as one array, or all of them where there are fewer.
+
+    `fields` limits what a step carries: models that read classes only need not shuffle dates and amounts.
+    """
+    names = ", ".join(fields)
+    back = ", ".join(f"'{f}', x.{f}" for f in fields)
+    return (rank_in_customer(tx, keep).groupBy("customer_id")
+            .agg(F.expr(f"array_sort(collect_list(struct(-rn AS o, {names})))").alias("s"))
+            .selectExpr("customer_id", f"transform(s, x -> named_struct({back})) AS steps"))
+
+
+def with_window_columns(df: DataFrame, fields=FIELDS) -> DataFrame:
     """Split `steps` into the inputs and the target."""
-    n = F.size("steps")
-    inputs = F.slice("steps", F.lit(1), n - 1)
-    target = F.element_at("steps", -1)
-    return df.withColumns({
-        "codes": F.transform(inputs, lambda s: s["code"]), "dates": F.transform(inputs, lambda s: s["date"]),
-        "amounts": F.transform(inputs, lambda s: s["amount"]), "target": target["code"], "target_date": target["date"],
-        "ground_truth": class_name(target["code"])})
+    inputs, target = "slice(steps, 1, size(steps) - 1)", "element_at(steps, -1)"
+    parts = {"codes": f"transform({inputs}, s -> s.code)", "target": f"{target}.code"}
+    if "date" in fields:
+        parts |= {"dates": f"transform({inputs}, s -> s.date)", "target_date": f"{target}.date"}
+    if "amount" in fields:
+        parts["amounts"] = f"transform({inputs}, s -> s.amount)"
+    df = df.selectExpr("*", *[f"{e} AS {n}" for n, e in parts.items()])
+    return df.withColumn("ground_truth", class_name(F.col("target")))
 
 
-def last_windows(tx: DataFrame, length: int) -> DataFrame:
+def last_windows(tx: DataFrame, length: int, fields=FIELDS) -> DataFrame:
     """customer_id, length, steps and their parts, for customers with at least length + 1 purchases. No padding."""
-    full = recent_steps(tx, length + 1).where(F.size("steps") == length + 1)
-    return with_window_columns(full.withColumn("length", F.lit(length)))
+    full = recent_steps(tx, length + 1, fields).where(F.size("steps") == length + 1)
+    return with_window_columns(full.withColumn("length", F.lit(length)), fields)
 
 
-def windows_at(tx: DataFrame, lengths=DEFAULTS.lengths) -> DataFrame:
+def windows_at(tx: DataFrame, lengths=DEFAULTS.lengths, fields=FIELDS) -> DataFrame:
     """Windows of several lengths from one ranking: the longest window is cut, the history is not ranked again."""
-    longest = recent_steps(tx, max(lengths) + 1)
-    fits = F.filter(F.array(*map(F.lit, lengths)), lambda x: x < F.size("steps"))
-    each = longest.withColumn("length", F.explode(fits))
-    return with_window_columns(each.withColumn("steps", last_steps(F.col("steps"), F.col("length") + 1)))
+    longest = recent_steps(tx, max(lengths) + 1, fields)
+    listed = ", ".join(map(str, lengths))
+    each = longest.selectExpr("*", f"explode(filter(array({listed}), x -> x < size(steps))) AS length")
+    return with_window_columns(each.withColumn("steps", last_steps(F.col("steps"), F.col("length") + 1)), fields)
 
 
 def last_steps(steps: Column, keep: Column) -> Column:

@@ -19,6 +19,7 @@ from tillflow.plans.registry import joined, printed, query
 from tillflow.settings import DEFAULTS
 from tillflow.sources import predictions as IO
 from tillflow.sources import testdata as T
+from tillflow.sources.session import durable
 
 COMPARED = ("averaging", "last-category", "markov1")
 HASHED = S.Resampler("hashed", draws=20)
@@ -29,10 +30,6 @@ def _windows(spark, d, bank, length=NINE):
     return W.last_windows(P.transactions(spark, d, bank), length)
 
 
-def _two_banks(spark, d, lengths=DEFAULTS.lengths):
-    return P.predictions_of(spark, d, "bank_a", lengths).unionByName(P.predictions_of(spark, d, "bank_b", lengths))
-
-
 def flagship(spark, d):
     """Three simple predictors of bank A's cohort at length 9, scored."""
     tx = T.bank_a(spark, d)
@@ -55,10 +52,8 @@ def _coded(rows):
 @query
 def score_baselines(spark, d):
     """averaging, last-category and markov1 of both banks at every length; transitions come from bank A."""
-    transitions = P.fitted_transitions(spark, d)
-    w = P.both_banks(spark, d, W.windows_at)
-    rows = B.score_baselines(w.withColumn("customer_id", F.struct("bank", "customer_id")), transitions)
-    return _coded(rows.withColumn("split", F.col("customer_id.bank")).withColumn("customer_id", F.col("customer_id.customer_id")))
+    w = P.both_banks(spark, d, lambda tx: W.windows_at(tx, fields=P.CODES_ONLY)).withColumnRenamed("bank", "split")
+    return _coded(B.score_baselines(w, P.fitted_transitions(spark, d), keys=("split", "customer_id")))
 
 
 @query
@@ -210,7 +205,7 @@ def scorer_agreement(spark, d):
 
 @query
 def align_models(spark, d):
-    rows = P.length_predictions(spark, d, "bank_a", (NINE,)).unionByName(P.free_predictions(spark, d, "bank_a"))
+    rows = P.predictions_of(spark, d, "bank_a", (NINE,))
     return printed(M.align_models(rows, ["averaging", "markov1", "random"]))
 
 
@@ -228,7 +223,7 @@ def population_check(spark, d):
 
 @query
 def confusion_matrix(spark, d):
-    rows = _two_banks(spark, d)
+    rows = P.both_predictions(spark, d)
     gen = G.clean_answers(P.generated_answers(spark, d, "bank_a")).select("split", "model", "length", "customer_id", "ground_truth", "prediction", F.lit(None).cast("array<double>").alias("p"))
     cells = M.confusion_matrix(rows.unionByName(gen), ("split", "model", "length"))
     return printed(cells.withColumn("length", F.coalesce("length", F.lit(0))))
@@ -236,7 +231,7 @@ def confusion_matrix(spark, d):
 
 @query
 def classification_metrics(spark, d):
-    rows = M.classification_metrics(_two_banks(spark, d), ("split", "model", "length"))
+    rows = M.classification_metrics(P.both_predictions(spark, d), ("split", "model", "length"))
     return printed(rows.withColumn("length", F.coalesce("length", F.lit(0))))
 
 
@@ -256,7 +251,9 @@ def select_best(spark, d):
 
 @query
 def probability_metrics(spark, d):
-    return printed(M.probability_metrics(P.length_predictions(spark, d, "bank_a").unionByName(P.length_predictions(spark, d, "bank_b").withColumn("model", F.concat("model", F.lit("-b"))))))
+    rows = P.both_predictions(spark, d, free=False)
+    name = F.when(F.col("split") == "bank_a", F.col("model")).otherwise(F.concat("model", F.lit("-b")))
+    return printed(M.probability_metrics(rows.withColumn("model", name)))
 
 
 @query
@@ -273,7 +270,7 @@ def seed_summary(spark, d):
 
 @query
 def shift_table(spark, d):
-    return printed(M.shift_table(_two_banks(spark, d, (NINE,)), "bank_a", "bank_b"))
+    return printed(M.shift_table(P.both_predictions(spark, d, (NINE,), free=False), "bank_a", "bank_b"))
 
 
 @query
@@ -285,20 +282,20 @@ def subgroup_metrics(spark, d):
 
 
 def _slices(spark, d, bank):
-    w = W.window_shape(_windows(spark, d, bank))
-    return w.select("customer_id", span_band(F.col("span_days")).alias("span"), F.col("distinct_inputs").cast("string").alias("distinct"))
+    return _slices_of(_windows(spark, d, bank))
+
+
+def _slices_of(windows):
+    return W.window_shape(windows).select("customer_id", span_band(F.col("span_days")).alias("span"), F.col("distinct_inputs").cast("string").alias("distinct"))
 
 
 @query
 def slice_metrics(spark, d):
     """Seed means by span slice and by number of distinct input classes, on both banks."""
-    out = None
-    for bank in ("bank_a", "bank_b"):
-        rows = P.length_predictions(spark, d, bank, (NINE,)).where(F.col("model").isin("averaging") | F.col("model").startswith("coin"))
-        part = M.group_metrics(rows, _slices(spark, d, bank)).withColumn("split", F.lit(bank))
-        out = part if out is None else out.unionByName(part)
-    return printed(M.seed_summary(out, ("acc", "f1_w", "macro_f1", "f1_clothing"), ("split", "variable", "level"))
-                   .drop("acc_sd", "f1_w_sd", "macro_f1_sd", "f1_clothing_sd"))
+    rows = P.both_predictions(spark, d, (NINE,), free=False).where(F.col("model").isin("averaging") | F.col("model").startswith("coin"))
+    slices = P.both_banks(spark, d, lambda tx: _slices_of(W.last_windows(tx, NINE))).withColumnRenamed("bank", "split")
+    means = M.seed_summary(M.group_metrics(rows, slices, ("split", "model"), ("split", "customer_id")), ("acc", "f1_w", "macro_f1", "f1_clothing"), ("split", "variable", "level"))
+    return printed(means.drop("acc_sd", "f1_w_sd", "macro_f1_sd", "f1_clothing_sd"))
 
 
 @query
@@ -340,7 +337,7 @@ SCORED = ["averaging", "last-category", "markov1", "coin", "coin-seed2", "coin-s
 
 def _aligned(spark, d, bank, models, lengths=DEFAULTS.lengths):
     rows = P.length_predictions(spark, d, bank, lengths).where(F.col("model").isin(*models))
-    return R.answers(IO.with_codes(rows), models)
+    return durable(R.answers(IO.with_codes(rows), models))
 
 
 @query
@@ -382,12 +379,10 @@ def paired_comparison(spark, d):
 
 @query
 def mcnemar_exact(spark, d):
-    out = None
-    for bank in ("bank_a", "bank_b"):
-        cells = R.joint_cells(_aligned(spark, d, bank, SCORED))
-        part = S.mcnemar(cells, SCORED, [("coin", m) for m in COMPARED] + [("coin", "coin")]).withColumn("split", F.lit(bank))
-        out = part if out is None else out.unionByName(part)
-    return printed(out)
+    rows = P.both_predictions(spark, d, free=False).where(F.col("model").isin(*SCORED))
+    by = ("split", "length")
+    cells = R.joint_cells(R.answers(IO.with_codes(rows), SCORED, by), by)
+    return printed(S.mcnemar(cells, SCORED, [("coin", m) for m in COMPARED] + [("coin", "coin")], by))
 
 
 @query

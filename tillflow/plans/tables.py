@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillflow.functions.expressions import N_CLASSES, argmax_code, class_name, count_code, hash_uniform
+from tillflow.functions.expressions import N_CLASSES
 from tillflow.operators import baselines as B
 from tillflow.operators.cohort import class_shares, cohort_customers
 from tillflow.operators.windows import last_windows, windows_at
@@ -37,69 +37,69 @@ def season_cohort(spark, d) -> DataFrame:
     return cohort_customers(between_dates(T.bank_b(spark, d), *SEASON_B), T.profiles(spark, d))
 
 
+CODES_ONLY = ("code",)
+
+
 def fitted_transitions(spark, d) -> DataFrame:
-    return B.markov_fit(last_windows(T.bank_a(spark, d), DEFAULTS.train_length))
+    return B.markov_fit(last_windows(T.bank_a(spark, d), DEFAULTS.train_length, CODES_ONLY))
 
 
-def hashed_code(seed, windows_seed: str):
-    """A class hashed from name, seed, length and customer."""
-    return F.floor(hash_uniform(f"{seed}:{windows_seed}", F.col("length"), F.col("customer_id")) * N_CLASSES).cast("int")
+def _hash(text: str) -> str:
+    """Uniform number hashed from a text, the length and the customer (as in functions.expressions.hash_uniform)."""
+    return f"(CAST(conv(substring(md5(concat_ws(':', '{text}', length, customer_id)), 1, 8), 16, 10) AS DOUBLE) / 4294967296D)"
 
 
 def coin_code(seed, name: str, right: float):
     """The true class with probability `right`, else a hashed class: a stand-in for a learned model."""
-    u = hash_uniform(f"{seed}:{name}-right", F.col("length"), F.col("customer_id"))
-    return F.when(u < right, F.col("target")).otherwise(hashed_code(seed, name))
+    hashed = _hash(f"{seed}:{name}")
+    return F.expr(f"CASE WHEN {_hash(f'{seed}:{name}-right')} < {right!r}D THEN target ELSE CAST(floor({hashed} * {N_CLASSES}) AS INT) END")
 
 
 def frequency_vector():
     """p_k = (count_k + 1) / (X + 4)."""
-    x = F.size("codes")
-    return F.array(*[(count_code(F.col("codes"), k) + 1) / (x + N_CLASSES) for k in range(N_CLASSES)])
+    terms = [f"(size(filter(codes, c -> c = {k})) + 1) / (size(codes) + {N_CLASSES})" for k in range(N_CLASSES)]
+    return F.expr(f"array({', '.join(terms)})")
 
 
 def noisy_vector():
     """Hashed numbers with a bonus for the true class, normalised: many distinct probabilities."""
-    u = [hash_uniform(f"{DEFAULTS.seed}:noisy{k}", F.col("length"), F.col("customer_id"))
-         + F.when(F.col("target") == k, 0.3).otherwise(0.0) for k in range(N_CLASSES)]
-    total = u[0] + u[1] + u[2] + u[3]
-    return F.array(*[x / total for x in u])
-
+    u = [f"{_hash(f'{DEFAULTS.seed}:noisy{k}')} + IF(target = {k}, 0.3D, 0D)" for k in range(N_CLASSES)]
+    return F.expr(f"transform(array({', '.join(u)}), (x, i) -> x / ({' + '.join(u)}))")
 
-def answered(windows: DataFrame, models: dict) -> DataFrame:
-    """Prediction rows; `models`: name -> code expression or (code, p)."""
-    none, items = F.lit(None).cast("array<double>"), []
-    for name, spec in models.items():
-        code, p = spec if isinstance(spec, tuple) else (spec, none)
-        items.append(F.struct(F.lit(name).alias("model"), class_name(code).alias("prediction"), p.alias("p")))
-    rows = windows.select("customer_id", "length", "ground_truth", F.inline(F.array(*items)))
-    return rows.select("model", "length", "customer_id", "ground_truth", "prediction", "p")
 
-
-def seeded(base: str, seed: int) -> str:
-    return base if seed == DEFAULTS.seed else f"{base}-seed{seed}"
+def length_models() -> dict:
+    """Test-only predictors: freq and noisy give probabilities, coin has three seeds."""
+    return {"freq": (None, frequency_vector()), "noisy": (None, noisy_vector()),
+            **{B.name_of("coin", s): (coin_code(s, "coin", 0.4), None) for s in COIN_SEEDS}}
 
 
 def length_predictions(spark, d, bank: str, lengths=DEFAULTS.lengths) -> DataFrame:
     """averaging, last-category, markov1, freq, noisy, and three seeds of coin."""
-    w = windows_at(transactions(spark, d, bank), lengths)
-    freq, noisy = frequency_vector(), noisy_vector()
-    more = answered(w, {"freq": (argmax_code(freq), freq), "noisy": (argmax_code(noisy), noisy), **{seeded("coin", s): coin_code(s, "coin", 0.4) for s in COIN_SEEDS}})
-    return B.score_baselines(w, fitted_transitions(spark, d)).unionByName(more)
+    w = windows_at(transactions(spark, d, bank), lengths, CODES_ONLY)
+    return B.score_baselines(w, fitted_transitions(spark, d), more=length_models())
 
 
 def free_predictions(spark, d, bank: str) -> DataFrame:
     """random and proportional, three seeds each; shares come from bank A."""
-    final = last_windows(transactions(spark, d, bank), 1)
-    return B.score_draws(final, class_shares(T.bank_a(spark, d)), DRAW_SEEDS)
+    final = last_windows(transactions(spark, d, bank), 1, CODES_ONLY)
+    return B.score_baselines(final, None, class_shares(T.bank_a(spark, d)), seeds=DRAW_SEEDS)
 
 
 def predictions_of(spark, d, bank: str, lengths=DEFAULTS.lengths) -> DataFrame:
-    """Everything of one bank, with `split` = the bank."""
-    rows = length_predictions(spark, d, bank, lengths).unionByName(free_predictions(spark, d, bank))
+    """Everything of one bank from one ranking, with `split` = the bank."""
+    w = windows_at(transactions(spark, d, bank), (1, *lengths), CODES_ONLY)
+    rows = B.score_baselines(w, fitted_transitions(spark, d), class_shares(T.bank_a(spark, d)), seeds=DRAW_SEEDS, more=length_models())
     return rows.withColumn("split", F.lit(bank))
 
 
+def both_predictions(spark, d, lengths=DEFAULTS.lengths, free: bool = True) -> DataFrame:
+    """Predictions of both banks; the banks are one table of windows, so one pass answers both."""
+    wanted = (1, *lengths) if free else lengths
+    w = both_banks(spark, d, lambda tx: windows_at(tx, wanted, CODES_ONLY)).withColumnRenamed("bank", "split")
+    return B.score_baselines(w, fitted_transitions(spark, d), class_shares(T.bank_a(spark, d)) if free else None,
+                             seeds=DRAW_SEEDS, more=length_models(), keys=("split", "customer_id"))
+
+
 def generated_answers(spark, d, bank: str) -> DataFrame:
     """Free text of the random model: a trailing period, outer space, and 'n/a' for every fiftieth customer."""
     rows = free_predictions(spark, d, bank).where(F.col("model") == "random")
@@ -108,5 +108,6 @@ def generated_answers(spark, d, bank: str) -> DataFrame:
 
 
 def factorial_predictions(spark, d, bank: str, length: int = DEFAULTS.train_length) -> DataFrame:
-    w = last_windows(transactions(spark, d, bank), length)
-    return answered(w, {name: coin_code(DEFAULTS.seed, name, 0.25 + 0.05 * sum(level)) for level, name in FACTORIAL_CELLS.items()})
+    w = last_windows(transactions(spark, d, bank), length, CODES_ONLY)
+    cells = {name: (coin_code(DEFAULTS.seed, name, 0.25 + 0.05 * sum(level)), None) for level, name in FACTORIAL_CELLS.items()}
+    return B.score_baselines(w, None, more=cells)

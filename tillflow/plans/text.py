@@ -89,6 +89,7 @@ def trace_numbers(spark, d):
 
 @query
 def trace_metric_numbers(spark, d):
-    """Decimals of all documents that a metric table does not hold."""
+    """Decimals of bank B's instruction texts that a metric table does not hold."""
+    texts = _samples(spark, d, "seq+amounts", bank="bank_b").select("customer_id", "input")
     results = classification_metrics(P.length_predictions(spark, d, "bank_a"))
-    return printed(audit.trace_numbers(T.table(spark, d, "documents"), "text", ("doc_id",), results))
+    return printed(audit.trace_numbers(texts, "input", ("customer_id",), results))

@@ -10,6 +10,7 @@ def local_session(cpus: int | str = 8, name: str = "tillflow") -> SparkSession:
     """A session for tests and the local benchmark; on a cluster the caller brings its own."""
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName(name)
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")      # no call-site capture per expression
              .config("spark.driver.memory", "12g")
              .config("spark.sql.shuffle.partitions", "8")
              .config("spark.sql.adaptive.enabled", "true")

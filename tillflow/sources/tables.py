@@ -50,7 +50,7 @@ def code_table(spark: SparkSession, classes: dict) -> DataFrame:
 def map_categories(df: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     """Add `category` (class name) and `code` (0..3) from the merchant code; unlisted codes are the last class."""
     if codes is None:
-        out = df.withColumn("category", category_of(F.col("mcc")))
+        out = df.withColumn("category", category_of("mcc"))
     else:
         out = (df.join(codes.withColumnRenamed("mapped", "category"), "mcc", "left")
                .fillna(CLASSES[-1], ["category"]))

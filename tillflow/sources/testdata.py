@@ -7,44 +7,45 @@ from pyspark.sql import functions as F
 from tillflow.sources.tables import load_demographics, load_transactions
 
 
+# schemas as the files hold them, so that reading them starts no inference job
+SCHEMAS = {
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _switch(column: str, cases: dict, default):
-    out = F.lit(default)
-    for value, result in cases.items():
-        out = F.when(F.col(column) == value, F.lit(result)).otherwise(out)
-    return out
+ORDER_CODE = ("CASE o_orderpriority WHEN '1-URGENT' THEN 5411 WHEN '2-HIGH' THEN 5651 WHEN '3-MEDIUM' THEN 5541 "
+              "WHEN '4-NOT SPECIFIED' THEN 4812 ELSE 5812 END")
 
 
 def raw_bank_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mcc = _switch("o_orderpriority", {"1-URGENT": 5411, "2-HIGH": 5651, "3-MEDIUM": 5541, "4-NOT SPECIFIED": 4812}, 5812)
-    return table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").cast("date").alias("date"),
-        F.col("o_totalprice").alias("amount"), mcc.alias("mcc"), F.col("o_orderkey").alias("seq"))
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_custkey AS customer_id", "CAST(o_orderdate AS DATE) AS date", "o_totalprice AS amount", f"{ORDER_CODE} AS mcc", "o_orderkey AS seq")
 
 
 def raw_bank_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mcc = _switch("event_type", {"purchase": 5411, "click": 5651, "signup": 5541, "view": 4812}, 5812)
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("customer_id"), F.col("ts").cast("date").alias("date"),
-        F.date_format("ts", "HH:mm:ss").alias("time"), F.col("value").alias("amount"), mcc.alias("mcc"),
-        F.col("event_id").alias("seq"))
+    return table(spark, sf_dir, "events").selectExpr(
+        "user_id AS customer_id", "CAST(ts AS DATE) AS date", "date_format(ts, 'HH:mm:ss') AS time", "value AS amount",
+        "CASE event_type WHEN 'purchase' THEN 5411 WHEN 'click' THEN 5651 WHEN 'signup' THEN 5541 WHEN 'view' THEN 4812 ELSE 5812 END AS mcc",
+        "event_id AS seq")
 
 
 def raw_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("c_custkey")
-    third, fifth = key % 3, F.col("c_nationkey") % 5
-    return table(spark, sf_dir, "customer").select(
-        key.alias("customer_id"), (F.lit(18) + key % 60).cast("int").alias("age"),
-        F.when(key % 2 == 0, "male").otherwise("female").alias("gender"),
-        F.when(third == 0, "married").when(third == 1, "single").otherwise("divorced or widowed").alias("marital_status"),
-        F.when(fifth == 0, "primary school").when(fifth == 1, "middle school").when(fifth == 2, "high school")
-        .when(fifth == 3, "university").otherwise("graduate school").alias("education"),
-        _switch("c_mktsegment", {"MACHINERY": "private sector employee", "BUILDING": "public sector employee",
-                                 "AUTOMOBILE": "self-employed", "HOUSEHOLD": "not employed"}, "retired").alias("occupation"),
-        F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("income"))
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS customer_id", "CAST(18 + c_custkey % 60 AS INT) AS age", "IF(c_custkey % 2 = 0, 'male', 'female') AS gender",
+        "CASE c_custkey % 3 WHEN 0 THEN 'married' WHEN 1 THEN 'single' ELSE 'divorced or widowed' END AS marital_status",
+        "CASE c_nationkey % 5 WHEN 0 THEN 'primary school' WHEN 1 THEN 'middle school' WHEN 2 THEN 'high school' "
+        "WHEN 3 THEN 'university' ELSE 'graduate school' END AS education",
+        "CASE c_mktsegment WHEN 'MACHINERY' THEN 'private sector employee' WHEN 'BUILDING' THEN 'public sector employee' "
+        "WHEN 'AUTOMOBILE' THEN 'self-employed' WHEN 'HOUSEHOLD' THEN 'not employed' ELSE 'retired' END AS occupation",
+        "CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS income")
 
 
 def bank_a(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,33 +62,23 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bank A printed as a raw all-text file with the usual faults: broken lines, blank texts, untimed rows."""
-    key = F.col("o_orderkey")
-    second = key % 86400
-    two = lambda c: F.lpad(c.cast("long").cast("string"), 2, "0")
-    mcc = _switch("o_orderpriority", {"1-URGENT": "5411", "2-HIGH": "5651", "3-MEDIUM": "5541", "4-NOT SPECIFIED": "4812"}, "5812")
-    return table(spark, sf_dir, "orders").select(
-        F.when(key % 97 == 0, "continuation").otherwise(F.col("o_custkey").cast("string")).alias("CUST"),
-        F.date_format(F.col("o_orderdate"), "M/d/yyyy").alias("RDAY"),
-        F.when(key % 5 == 0, " ").otherwise(F.concat_ws(".", two(F.floor(second / 3600)), two(F.floor(second / 60) % 60),
-                                                        two(second % 60))).alias("CLOCK"),
-        F.replace(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(",")).alias("AMT"),
-        mcc.alias("CODE"), F.when(key % 31 == 0, "").otherwise(F.col("o_orderpriority")).alias("RTEXT"),
-        key.alias("seq"))
+    two = lambda e: f"lpad(CAST({e} AS STRING), 2, '0')"
+    clock = f"concat_ws('.', {two('(o_orderkey % 86400) div 3600')}, {two('(o_orderkey % 86400) div 60 % 60')}, {two('o_orderkey % 86400 % 60')})"
+    return table(spark, sf_dir, "orders").selectExpr(
+        "IF(o_orderkey % 97 = 0, 'continuation', CAST(o_custkey AS STRING)) AS CUST", "date_format(o_orderdate, 'M/d/yyyy') AS RDAY",
+        f"IF(o_orderkey % 5 = 0, ' ', {clock}) AS CLOCK", "replace(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING), '.', ',') AS AMT",
+        f"CAST({ORDER_CODE} AS STRING) AS CODE", "IF(o_orderkey % 31 = 0, '', o_orderpriority) AS RTEXT", "o_orderkey AS seq")
 
 
 def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer rows printed as raw text, to be read back with an export spec."""
-    key = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(
-        F.when(key % 89 == 0, "continuation").otherwise(key.cast("string")).alias("CUST"),
-        F.when(key % 41 == 0, "unknown").otherwise((F.lit(18) + key % 60).cast("string")).alias("AGE"),
-        F.when(key % 37 == 0, " ").when(key % 2 == 0, "M").otherwise("F").alias("SEX"),
-        F.when(key % 3 == 0, "Married").when(key % 3 == 1, " Single").otherwise("Divorced").alias("MARITAL"),
-        F.when(F.col("c_nationkey") % 2 == 0, "College").otherwise("High School").alias("SCHOOL"),
-        F.col("c_mktsegment").alias("JOB"),
-        F.when(F.col("c_acctbal") >= 0, F.replace(F.col("c_acctbal").cast("decimal(18,2)").cast("string"), F.lit("."),
-                                                  F.lit(","))).alias("INCOME"),
-        key.alias("seq"))
+    return table(spark, sf_dir, "customer").selectExpr(
+        "IF(c_custkey % 89 = 0, 'continuation', CAST(c_custkey AS STRING)) AS CUST",
+        "IF(c_custkey % 41 = 0, 'unknown', CAST(18 + c_custkey % 60 AS STRING)) AS AGE",
+        "CASE WHEN c_custkey % 37 = 0 THEN ' ' WHEN c_custkey % 2 = 0 THEN 'M' ELSE 'F' END AS SEX",
+        "CASE c_custkey % 3 WHEN 0 THEN 'Married' WHEN 1 THEN ' Single' ELSE 'Divorced' END AS MARITAL",
+        "IF(c_nationkey % 2 = 0, 'College', 'High School') AS SCHOOL", "c_mktsegment AS JOB",
+        "CASE WHEN c_acctbal >= 0 THEN replace(CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS STRING), '.', ',') END AS INCOME", "c_custkey AS seq")
 
 
 def price_index(spark: SparkSession, sf_dir: str) -> DataFrame:
