@@ -281,9 +281,9 @@ ORACLES = {
     "metric_intervals": q(f"SELECT length::BIGINT AS length, model, metric, {r('quantile_cont(value, 0.025)')} AS low, {r('quantile_cont(value, 0.975)')} AS high FROM (SELECT length, model, {unpivot(ALL)} FROM ({drawn(SIX, 'length, model')})) GROUP BY length, model, metric"),
     "seed_mean": q(f"SELECT length::BIGINT AS length, base AS model, seeds, {r('n')} AS n, {cols(ALL)} FROM ({SEED_POINTS(metrics(SIX, 'length, model'), 'length')})"),
     "paired_comparison": q(f"SELECT length::BIGINT AS length, a, b, {CMP} FROM ({compared(metrics(SIX, 'length, model'), drawn(SIX, 'length, model'), 'length', pairs(('coin', 'averaging'), ('coin', 'markov1'), ('averaging', 'averaging')), ALL)})"),
-    "mcnemar_exact": q(f"SELECT bank AS split, length::BIGINT AS length, a, b, only_a, only_b, {r('mcnemar_p')} AS mcnemar_p FROM ({mcnemar('SELECT * FROM lpred', 'bank, length', pairs(('coin', 'averaging'), ('coin', 'last-category'), ('coin', 'markov1'), ('coin', 'coin')))})"),
-    "holm": q(f"SELECT length::BIGINT AS length, a, b, {r('mcnemar_p')} AS mcnemar_p, {r('p_holm')} AS p_holm FROM ({holm(mcnemar(SIX, 'length', pairs(*[(a, b) for a in ('coin', 'coin-seed2') for b in ('averaging', 'last-category', 'markov1')])), 'mcnemar_p', 'length, a')})"),
-    "significance_table": q(f"SELECT c.length::BIGINT AS length, c.a, c.b, {CMP}, {r('p_holm')} AS p_holm, only_a, only_b, {r('mcnemar_p')} AS mcnemar_p, {r('mcnemar_p_holm')} AS mcnemar_p_holm FROM ({holm(compared(metrics(SIG_ROWS, 'length, model'), drawn(SIG_ROWS, 'length, model'), 'length', SIG_PAIRS, TESTED), 'p', 'length, a, metric')}) c "
+    "mcnemar_exact": q(f"SELECT bank AS split, length::BIGINT AS length, a, b, only_a, only_b, {r('mcnemar_p + 1e-9')} AS mcnemar_p FROM ({mcnemar('SELECT * FROM lpred', 'bank, length', pairs(('coin', 'averaging'), ('coin', 'last-category'), ('coin', 'markov1'), ('coin', 'coin')))})"),
+    "holm": q(f"SELECT length::BIGINT AS length, a, b, {r('mcnemar_p + 1e-9')} AS mcnemar_p, {r('p_holm + 1e-9')} AS p_holm FROM ({holm(mcnemar(SIX, 'length', pairs(*[(a, b) for a in ('coin', 'coin-seed2') for b in ('averaging', 'last-category', 'markov1')])), 'mcnemar_p', 'length, a')})"),
+    "significance_table": q(f"SELECT c.length::BIGINT AS length, c.a, c.b, {CMP}, {r('p_holm')} AS p_holm, only_a, only_b, {r('mcnemar_p + 1e-9')} AS mcnemar_p, {r('mcnemar_p_holm + 1e-9')} AS mcnemar_p_holm FROM ({holm(compared(metrics(SIG_ROWS, 'length, model'), drawn(SIG_ROWS, 'length, model'), 'length', SIG_PAIRS, TESTED), 'p', 'length, a, metric')}) c "
         f"JOIN ({holm(mcnemar(SIG_ROWS, 'length', SIG_PAIRS), 'mcnemar_p', 'length, a', 'mcnemar_p_holm')}) m ON c.length = m.length AND c.a = m.a AND c.b = m.b"),
     "families": q(f"SELECT c.length::BIGINT AS length, c.a, c.b, {CMP}, {r('p_holm')} AS p_holm, {r('s.n')} AS n, s.seeds AS b_seeds, 3::BIGINT AS a_seeds, 'coin against 3 comparators (averaging, last-category, markov1) at length ' || c.length || ', one family per metric' AS family FROM ("
         + holm(compared(as_model(SEED_POINTS(metrics(SIX, 'length, model'), 'length')), as_model(SEED_POINTS(drawn(SIX, 'length, model'), 'length, draw')), 'length', pairs(('coin', 'averaging'), ('coin', 'last-category'), ('coin', 'markov1')), FAM), 'p', 'length, a, metric')
@@ -291,7 +291,7 @@ ORACLES = {
     "choose_comparator": q(f"SELECT model, {r('macro_f1')} AS score FROM ({metrics(A + ' AND length = 9', 'model')}) WHERE model IN ('averaging', 'last-category', 'markov1') ORDER BY macro_f1 DESC LIMIT 1"),
     "primary_endpoint": primary("TRUE", True),
     "primary_endpoint_without_ties": primary("customer_id NOT IN (SELECT customer_id FROM lastday l WHERE l.bank = 'bank_b' AND on_last >= 2)", False),
-    "pair_table": q(f"SELECT c.pair, c.at_ AS length, {CMP}, s.n::BIGINT AS n, only_a, only_b, {r('mcnemar_p')} AS mcnemar_p FROM ({compared(PPOINTS, PDRAWS, 'pair, at_', pairs(('a', 'b')), PM)}) c JOIN ({PPOINTS}) s ON s.pair = c.pair AND s.at_ = c.at_ AND s.model = 'a' "
+    "pair_table": q(f"SELECT c.pair, c.at_ AS length, {CMP}, s.n::BIGINT AS n, only_a, only_b, {r('mcnemar_p + 1e-9')} AS mcnemar_p FROM ({compared(PPOINTS, PDRAWS, 'pair, at_', pairs(('a', 'b')), PM)}) c JOIN ({PPOINTS}) s ON s.pair = c.pair AND s.at_ = c.at_ AND s.model = 'a' "
         f"LEFT JOIN (SELECT * FROM ({mcnemar('SELECT * FROM prow', 'pair, at_', pairs(('a0', 'b0')))}) WHERE pair NOT LIKE '%,%') m ON m.pair = c.pair AND m.at_ = c.at_", **PAIR),
     "factorial_effects": q(f"SELECT e.metric, e.effect, {r('max(e.v)')} AS estimate, {r('quantile_cont(d.v, 0.025)')} AS low, {r('quantile_cont(d.v, 0.975)')} AS high FROM ({effects(metrics('SELECT * FROM fact', 'length, model'), '')}) e JOIN ({effects(drawn('SELECT * FROM fact', 'length, model'), 'draw, ')}) d ON d.effect = e.effect AND d.metric = e.metric GROUP BY e.metric, e.effect", fact=FACT),
 }

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillflow.functions.joins import join_groups
+
 STEPS_PER_OCTAVE = 4096
 
 
@@ -40,7 +42,7 @@ def exact_quantiles(df: DataFrame, value: str, probs, by=(), weight: str | None
                                                & (r < F.col("_before") + F.col("_m"))))
             .where(F.size("_ranks") > 0).select(*by, "_key", "_before", "_n", "_ranks"))
     inside = Window.partitionBy(*by, "_key").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    hits = (merged.join(keys, [*by, "_key"])
+    hits = (join_groups(merged, keys, [*by, "_key"])
             .withColumn("_start", F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
             .withColumn("_rank", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_start"))
                                                     & (r < F.col("_start") + F.col("_c")))))
@@ -71,6 +73,6 @@ def running_totals(df: DataFrame, order: str, sums, by=(), descending: bool = Fa
                                       for s in sums]))
     inside = (Window.partitionBy(*by, "_key").orderBy(direction(order))
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (keyed.join(offsets, [*by, "_key"])
+    return (join_groups(keyed, offsets, [*by, "_key"])
             .withColumns({f"cum_{s}": F.col(f"_o_{s}") + F.sum(s).over(inside) for s in sums})
             .drop("_key", *[f"_o_{s}" for s in sums]))

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillflow.functions.expressions import N_CLASSES, argmax_code, probability_bin
-from tillflow.operators.metrics import _join_groups
+from tillflow.functions.joins import join_groups
 from tillflow.settings import CLASSES, DEFAULTS, SHORT_NAMES
 from tillflow.sources.predictions import base_model, with_codes
 
@@ -42,7 +42,7 @@ def class_calibration(predictions: DataFrame, by=("model", "length"), bins: int
     cells = class_bins(predictions, by, bins)
     keys = [*by, "class_code"]
     base = cells.groupBy(*keys).agg(F.sum("n").alias("all"), F.sum("so").alias("positives"))
-    cells = _join_groups(cells, base, keys)
+    cells = join_groups(cells, base, keys)
     share, observed, mean = F.col("n") / F.col("all"), F.col("so") / F.col("n"), F.col("sq") / F.col("n")
     prior = F.col("positives") / F.col("all")
     per = cells.groupBy(*keys).agg(
@@ -105,7 +105,7 @@ def operating_point(validation: DataFrame, test: DataFrame, cls: str, by=("model
     """The threshold chosen on validation applied to test predictions, next to the most probable class."""
     chosen = cost_threshold(validation, cls, by, cost_miss, cost_false_alarm).select(*by, "threshold")     # a row per model
     k = CLASSES.index(cls)
-    coded = _join_groups(with_codes(test.where(F.col("p").isNotNull())), chosen, by)
+    coded = join_groups(with_codes(test.where(F.col("p").isNotNull())), chosen, by)
     flag, top, pos = F.get("p", F.lit(k)) >= F.col("threshold"), F.col("yhat") == k, F.col("y") == k
     share = lambda hit, of: F.try_divide(F.count_if(hit).cast("double"), F.count_if(of))
     return coded.groupBy(*by, "threshold").agg(

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillflow.functions.expressions import N_CLASSES, argmax_code, in_top2, probability_bin
+from tillflow.functions.joins import join_groups
 from tillflow.functions.quantiles import running_totals
 from tillflow.settings import CLASSES, DEFAULTS, SHORT_NAMES
 from tillflow.sources.predictions import base_model, with_codes
@@ -98,19 +99,12 @@ def probability_metrics(predictions: DataFrame, by=("model", "length"), bins: in
     rest = per_bin.groupBy(*by).agg((F.sum("top2") / F.sum("m")).alias("top2_acc"),
                                     (F.sum(F.abs(F.col("right") - F.col("conf"))) / F.sum("m")).alias("ece"),
                                     (F.sum("brier") / F.sum("m")).alias("brier"))
-    return _join_groups(ap, rest, by)
-
-
-def _join_groups(a: DataFrame, b: DataFrame, by, how: str = "inner") -> DataFrame:
-    """Join on group keys where a null key (length-free models) equals a null key."""
-    b = b.withColumnsRenamed({c: f"_r_{c}" for c in by})
-    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in by]
-    return a.join(b, same, how).drop(*[f"_r_{c}" for c in by])
+    return join_groups(ap, rest, by)
 
 
 def model_summary(predictions: DataFrame, by=("model", "length")) -> DataFrame:
     """Label metrics of every model, probability metrics where it gives probabilities."""
-    return _join_groups(classification_metrics(predictions, by), probability_metrics(predictions, by), by, "left")
+    return join_groups(classification_metrics(predictions, by), probability_metrics(predictions, by), by, "left")
 
 
 def seed_summary(summary: DataFrame, metrics, by=("length",)) -> DataFrame:

@@ -24,6 +24,7 @@ from tillflow.sources.session import durable
 COMPARED = ("averaging", "last-category", "markov1")
 HASHED = S.Resampler("hashed", draws=20)
 NINE = DEFAULTS.train_length
+EXACT = ("mcnemar_p", "mcnemar_p_holm", "p_holm")           # exact binomial p values
 
 
 def _windows(spark, d, bank, length=NINE):
@@ -382,19 +383,19 @@ def mcnemar_exact(spark, d):
     rows = P.both_predictions(spark, d, free=False).where(F.col("model").isin(*SCORED))
     by = ("split", "length")
     cells = R.joint_cells(R.answers(IO.with_codes(rows), SCORED, by), by)
-    return printed(S.mcnemar(cells, SCORED, [("coin", m) for m in COMPARED] + [("coin", "coin")], by))
+    return printed(S.mcnemar(cells, SCORED, [("coin", m) for m in COMPARED] + [("coin", "coin")], by), dyadic=EXACT)
 
 
 @query
 def holm(spark, d):
     cells = R.joint_cells(_aligned(spark, d, "bank_a", SCORED))
     tests = S.mcnemar(cells, SCORED, [(a, m) for a in ("coin", "coin-seed2") for m in COMPARED])
-    return printed(S.holm(tests, "mcnemar_p", ("length", "a")).select("length", "a", "b", "mcnemar_p", "p_holm"))
+    return printed(S.holm(tests, "mcnemar_p", ("length", "a")).select("length", "a", "b", "mcnemar_p", "p_holm"), dyadic=EXACT)
 
 
 @query
 def significance_table(spark, d):
-    return printed(S.significance_table(P.predictions_of(spark, d, "bank_a"), ["coin", "noisy"], [*COMPARED, "random", "proportional"], HASHED))
+    return printed(S.significance_table(P.predictions_of(spark, d, "bank_a"), ["coin", "noisy"], [*COMPARED, "random", "proportional"], HASHED), dyadic=EXACT[:2])
 
 
 @query
@@ -433,7 +434,7 @@ PAIR_SPECS = ("coin:averaging", "coin,coin-seed2,coin-seed3:markov1", "coin@4:co
 
 @query
 def pair_table(spark, d):
-    return printed(S.compare_pairs(P.predictions_of(spark, d, "bank_a"), PAIR_SPECS, HASHED))
+    return printed(S.compare_pairs(P.predictions_of(spark, d, "bank_a"), PAIR_SPECS, HASHED), dyadic=EXACT[:2])
 
 
 @query
