@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillflow.settings import DEFAULTS
+from tillflow.sources.session import durable
 
 # ---- fixed value: a decimal that is not part of a word or of a longer number (sign and minus sign U+2212 allowed) ----
 NUMBER = "(?<![\\w.])([-+−]?\\d*\\.\\d+)(?![\\w.])"
@@ -33,9 +34,11 @@ def numbers_in(texts: DataFrame, text: str, keys, ignore=DEFAULTS.trace_ignore)
 def trace_numbers(texts: DataFrame, text: str, keys, results: DataFrame, ignore=DEFAULTS.trace_ignore) -> DataFrame:
     """Occurrences of numbers that the result table does not hold.
 
-    A number may repeat in very many texts, so occurrences are salted and the short list of known values is repeated
-    per salt; no task gets all occurrences of one number.
+    The texts are searched once. Distinct numbers meet the known values first; only those that match are then repeated
+    per salt to take their occurrences out, so no task gets all occurrences of one number.
     """
-    found = numbers_in(texts, text, keys, ignore).withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)))
-    known = known_values(results).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return found.join(known, ["_salt", "decimals", "value"], "left_anti").select(*keys, "number", "decimals")
+    found = durable(numbers_in(texts, text, keys, ignore))
+    matched = found.select("decimals", "value").distinct().join(known_values(results), ["decimals", "value"], "left_semi")
+    salt = F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")
+    salted = matched.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return (found.withColumn("_salt", salt).join(salted, ["_salt", "decimals", "value"], "left_anti").select(*keys, "number", "decimals"))

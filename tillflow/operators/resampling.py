@@ -33,8 +33,8 @@ def answers(rows: DataFrame, models, by=("length",), expected: Column | int | No
     has, a number or an expression of the population keys (default: all of `models`).
     """
     by, rows = list(by), rows.where(F.col("model").isin(*models))
-    code = lambda m: F.coalesce(F.max(F.when(F.col("model") == m, F.col("yhat"))), F.lit(ABSENT)).cast("int")
-    wide = rows.groupBy(*by, "customer_id").agg(F.max("y").alias("y"), F.array(*map(code, models)).alias("codes"))
+    listed = ", ".join(f"CAST(coalesce(max(yhat) FILTER (WHERE model = '{m}'), {ABSENT}) AS INT)" for m in models)
+    wide = rows.groupBy(*by, "customer_id").agg(F.max("y").alias("y"), F.expr(f"array({listed})").alias("codes"))
     needed = expected if isinstance(expected, Column) else F.lit(len(models) if expected is None else expected)
     return wide.where(F.size(F.filter("codes", lambda c: c != ABSENT)) == needed)
 
@@ -115,11 +115,6 @@ POISSON_CDF = (0.367879441171442, 0.735758882342885, 0.919698602928606, 0.981011
                0.999999989952234, 0.999999999168389)
 
 
-def poisson_weight(seed, draw: Column, key: Column) -> Column:
-    u = hash_uniform(seed, draw, key)
-    return sum((F.when(u >= c, 1).otherwise(0) for c in POISSON_CDF), F.lit(0))
-
-
 def poisson_draws(aligned: DataFrame, models, by=("length",), draws: int = 20, seed: int = DEFAULTS.seed) -> DataFrame:
     """The same from per-customer Poisson(1) weights hashed from seed, draw and customer.
 
@@ -127,8 +122,12 @@ def poisson_draws(aligned: DataFrame, models, by=("length",), draws: int = 20, s
     before the models are unfolded.
     """
     by = list(by)
-    weighted = (aligned.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-                .withColumn("w", poisson_weight(seed, F.col("draw"), F.col("customer_id"))).where(F.col("w") > 0))
+    passed = " + ".join(f"IF(u >= {c!r}D, 1, 0)" for c in POISSON_CDF)           # inverse distribution function
+    # every row becomes `draws` rows: spread them first (a stated number is not coalesced at run time)
+    tasks = int(aligned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    weighted = (aligned.repartition(tasks, "customer_id").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+                .withColumn("u", hash_uniform(seed, F.col("draw"), F.col("customer_id")))
+                .withColumn("w", F.expr(passed)).where(F.col("w") > 0))
     cells = weighted.groupBy(*by, "draw", "y", "codes").agg(F.sum("w").alias("w"))
     rows = cells.select(*by, "draw", "y", "w", F.inline(F.arrays_zip(
         F.array(*map(F.lit, models)).alias("model"), F.col("codes").alias("yhat")))).where(F.col("yhat") != ABSENT)

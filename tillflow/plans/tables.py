@@ -61,10 +61,16 @@ def frequency_vector():
     return F.expr(f"array({', '.join(terms)})")
 
 
-def noisy_vector():
-    """Hashed numbers with a bonus for the true class, normalised: many distinct probabilities."""
+def with_noise(windows: DataFrame) -> DataFrame:
+    """Add `noise`: a hashed number per class, with a bonus for the true class."""
     u = [f"{_hash(f'{DEFAULTS.seed}:noisy{k}')} + IF(target = {k}, 0.3D, 0D)" for k in range(N_CLASSES)]
-    return F.expr(f"transform(array({', '.join(u)}), (x, i) -> x / ({' + '.join(u)}))")
+    return windows.withColumn("noise", F.expr(f"array({', '.join(u)})"))
+
+
+def noisy_vector():
+    """The noise, normalised: many distinct probabilities."""
+    total = " + ".join(f"noise[{k}]" for k in range(N_CLASSES))
+    return F.expr(f"transform(noise, x -> x / ({total}))")
 
 
 def length_models() -> dict:
@@ -76,7 +82,7 @@ def length_models() -> dict:
 def length_predictions(spark, d, bank: str, lengths=DEFAULTS.lengths) -> DataFrame:
     """averaging, last-category, markov1, freq, noisy, and three seeds of coin."""
     w = windows_at(transactions(spark, d, bank), lengths, CODES_ONLY)
-    return B.score_baselines(w, fitted_transitions(spark, d), more=length_models())
+    return B.score_baselines(with_noise(w), fitted_transitions(spark, d), more=length_models())
 
 
 def free_predictions(spark, d, bank: str) -> DataFrame:
@@ -88,7 +94,7 @@ def free_predictions(spark, d, bank: str) -> DataFrame:
 def predictions_of(spark, d, bank: str, lengths=DEFAULTS.lengths) -> DataFrame:
     """Everything of one bank from one ranking, with `split` = the bank."""
     w = windows_at(transactions(spark, d, bank), (1, *lengths), CODES_ONLY)
-    rows = B.score_baselines(w, fitted_transitions(spark, d), class_shares(T.bank_a(spark, d)), seeds=DRAW_SEEDS, more=length_models())
+    rows = B.score_baselines(with_noise(w), fitted_transitions(spark, d), class_shares(T.bank_a(spark, d)), seeds=DRAW_SEEDS, more=length_models())
     return rows.withColumn("split", F.lit(bank))
 
 
@@ -96,7 +102,7 @@ def both_predictions(spark, d, lengths=DEFAULTS.lengths, free: bool = True) -> D
     """Predictions of both banks; the banks are one table of windows, so one pass answers both."""
     wanted = (1, *lengths) if free else lengths
     w = both_banks(spark, d, lambda tx: windows_at(tx, wanted, CODES_ONLY)).withColumnRenamed("bank", "split")
-    return B.score_baselines(w, fitted_transitions(spark, d), class_shares(T.bank_a(spark, d)) if free else None,
+    return B.score_baselines(with_noise(w), fitted_transitions(spark, d), class_shares(T.bank_a(spark, d)) if free else None,
                              seeds=DRAW_SEEDS, more=length_models(), keys=("split", "customer_id"))
 
 

@@ -14,6 +14,7 @@ def local_session(cpus: int | str = 8, name: str = "tillflow") -> SparkSession:
              .config("spark.driver.memory", "12g")
              .config("spark.sql.shuffle.partitions", "8")
              .config("spark.sql.adaptive.enabled", "true")
+             .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")      # small local data, all cores
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
              .getOrCreate())

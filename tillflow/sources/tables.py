@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillflow.functions.expressions import category_of, class_code, normal_text
+from tillflow.functions.expressions import category_of, class_code, code_of, complete, normal_text
 from tillflow.functions.quantiles import exact_quantiles
 from tillflow.settings import (CLASSES, DEMOGRAPHIC_COLUMNS, DEMOGRAPHIC_TEXT, TIE_BREAKERS, TRANSACTION_COLUMNS)
 
@@ -50,10 +50,9 @@ def code_table(spark: SparkSession, classes: dict) -> DataFrame:
 def map_categories(df: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     """Add `category` (class name) and `code` (0..3) from the merchant code; unlisted codes are the last class."""
     if codes is None:
-        out = df.withColumn("category", category_of("mcc"))
-    else:
-        out = (df.join(codes.withColumnRenamed("mapped", "category"), "mcc", "left")
-               .fillna(CLASSES[-1], ["category"]))
+        return df.withColumns({"category": category_of("mcc"), "code": code_of("mcc")})
+    out = (df.join(codes.withColumnRenamed("mapped", "category"), "mcc", "left")
+            .fillna(CLASSES[-1], ["category"]))
     return out.withColumn("code", class_code(F.col("category")))
 
 
@@ -61,7 +60,7 @@ def load_transactions(raw: DataFrame, codes: DataFrame | None = None, source="tr
     """Complete purchases with their class. `seq` and `time` order the purchases of one day (see `recency_order`)."""
     require_columns(raw, TRANSACTION_COLUMNS, source)
     tie = next((c for c in TIE_BREAKERS if c in raw.columns), None)
-    df = raw.dropna(subset=list(TRANSACTION_COLUMNS)).select(
+    df = raw.where(complete(raw, TRANSACTION_COLUMNS)).select(
         F.col("customer_id").cast("long"), F.col("date").cast("date"),
         (F.col(tie) if tie else F.lit(None).cast("string")).alias("time"),
         F.col("amount").cast("double"), F.col("mcc").cast("int"), F.col("seq"))
@@ -75,7 +74,7 @@ def recency_order() -> list:
 
 def complete_profiles(raw: DataFrame, key: str = "customer_id") -> DataFrame:
     """The first complete record of every customer, text fields trimmed and in lower case."""
-    df = raw.dropna(subset=list(DEMOGRAPHIC_COLUMNS))
+    df = raw.where(complete(raw, DEMOGRAPHIC_COLUMNS))
     order = F.col("seq") if "seq" in df.columns else F.struct(*[F.col(c) for c in DEMOGRAPHIC_COLUMNS])
     rest = [c for c in DEMOGRAPHIC_COLUMNS if c != key]
     first = df.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("r")).select(key, "r.*")
