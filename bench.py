@@ -1,6 +1,6 @@
 """Time the headline queries and print one JSON line.
 
-Each query runs once to warm up and then BENCH_RUNS times (two by default); the median counts. A run builds the plan, executes it and reads
+Each query runs once to warm up and then BENCH_RUNS times (once by default); the median counts. A run builds the plan, executes it and reads
 every column of every result row.
 """
 import json
@@ -23,7 +23,7 @@ def main():
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "tillflow-bench")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     seconds = {}
     for name in HEADLINE:
         times = []

@@ -201,3 +201,17 @@ def test_filter_counts_and_overlap(spark, ladder):
     assert got["y"]["single_at_9_pct"] is None
     row = S.overlap_of(spark.range(10).withColumnRenamed("id", "customer_id"), spark.range(5, 20).withColumnRenamed("id", "customer_id"), 100).collect()[0]
     assert (row["list_a"], row["list_b"], row["in_both"], row["expected"]) == (10, 15, 5, 1.5)
+
+
+def test_cluster_must_name_its_checkpoint_folder():
+    from types import SimpleNamespace as N
+
+    from tillflow.sources.session import durable
+
+    asked = []
+    context = lambda folder: N(getCheckpointDir=lambda: None, master="spark://head:7077", setCheckpointDir=asked.append,
+                               getConf=lambda: N(get=lambda key: folder))
+    frame = lambda folder: N(sparkSession=N(sparkContext=context(folder)), checkpoint=lambda: "written")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        durable(frame(None))
+    assert durable(frame("hdfs://shared")) == "written" and asked == ["hdfs://shared"]

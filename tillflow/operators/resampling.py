@@ -71,19 +71,20 @@ def multinomial_draws(cells: DataFrame, models, by=("length",), draws: int = DEF
                .agg(F.array_sort(F.collect_list(F.struct("_part", "_w"))).alias("_all"))
                .select(*by, F.transform("_all", lambda x: x["_part"]).alias("_ids"),
                        F.transform("_all", lambda x: x["_w"]).alias("_weights")))
-    blocks = -(-draws // DRAWS_PER_BLOCK)
-    work = (parted.join(weights, by).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-            .select(*by, "_part", "_block", "_ids", "_weights", "y", "codes", "n"))
+    blocks = F.sequence(F.lit(0), F.lit(-(-draws // DRAWS_PER_BLOCK) - 1))
+    work = parted.withColumn("_block", F.explode(blocks)).select(*by, "_part", "_block", "y", "codes", "n")
+    # one row per part and block with the weights of all parts, so that cells do not carry them
+    totals = weights.withColumn("_part", F.explode("_ids")).withColumn("_block", F.explode(blocks))
     n_by, n_cells, k, per_block, absent = len(by), len(CELLS), N_CLASSES, DRAWS_PER_BLOCK, ABSENT
     columns, names = [*by, "draw", "model", *CELLS], list(CELLS)
 
-    def resample(key, part):
+    def resample(key, part, whole):
         import numpy as np
         import pandas as pd
 
         keys, this, block = key[:n_by], int(key[n_by]), int(key[n_by + 1])
         size = min(per_block, draws - block * per_block)
-        ids, w = np.asarray(part["_ids"].iloc[0]), np.asarray(part["_weights"].iloc[0], dtype=np.int64)
+        ids, w = np.asarray(whole["_ids"].iloc[0]), np.asarray(whole["_weights"].iloc[0], dtype=np.int64)
         codes, y = np.stack(part["codes"].to_numpy()), part["y"].to_numpy()
         order = np.lexsort(np.column_stack([codes, y]).T)
         codes, y, n = codes[order], y[order], part["n"].to_numpy(dtype=np.int64)[order]
@@ -105,7 +106,9 @@ def multinomial_draws(cells: DataFrame, models, by=("length",), draws: int = DEF
 
     types = dict(cells.dtypes)
     schema = ", ".join([f"{c} {types[c]}" for c in by] + ["draw int", "model string"] + [f"{c} long" for c in CELLS])
-    shares = work.groupBy(*by, "_part", "_block").applyInPandas(resample, schema)
+    keys = [*by, "_part", "_block"]
+    whole = totals.select(*[F.col(c).alias(f"_of{c}") for c in keys], "_ids", "_weights")      # own names: both sides share a source
+    shares = work.groupBy(*keys).cogroup(whole.groupBy(*[f"_of{c}" for c in keys])).applyInPandas(resample, schema)
     return shares.groupBy(*by, "draw", "model").agg(*[F.sum(c).alias(c) for c in CELLS])
 
 

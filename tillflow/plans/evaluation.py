@@ -34,7 +34,7 @@ def _windows(spark, d, bank, length=NINE):
 def flagship(spark, d):
     """Three simple predictors of bank A's cohort at length 9, scored."""
     tx = T.bank_a(spark, d)
-    cohort = C.cohort_customers(tx, T.profiles(spark, d))
+    cohort = durable(C.cohort_customers(tx, T.profiles(spark, d)))         # read twice: to fit and to score
     rows = B.score_baselines(cohort, B.markov_fit(cohort))
     return printed(M.classification_metrics(rows, ("model",)).select("model", "n", "acc", "macro_f1", *M.CLASS_F1))
 
