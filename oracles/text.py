@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from oracles.common import r, sql
+from oracles.common import sql
 from oracles.evaluation import TABLES as PRED, metrics, ALL
 
 INSTRUCTION = "Based on the information about me below, predict the category of my next purchase. Answer with one of: "

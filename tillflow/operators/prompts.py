@@ -6,7 +6,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillflow.functions.expressions import array_sum, draw_hash, money
+from tillflow.functions.expressions import draw_hash, money
 from tillflow.operators.features import join_profiles
 from tillflow.settings import CLASSES, DEFAULTS, DEMOGRAPHIC_FIELDS
 

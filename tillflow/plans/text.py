@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillflow.operators import audit, prompts as Q
-from tillflow.operators import cohort as C
 from tillflow.operators import windows as W
 from tillflow.operators.metrics import classification_metrics
 from tillflow.plans import tables as P
