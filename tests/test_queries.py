@@ -5,6 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracles import compare, connect
+from oracles import catalog as sql_catalog
+from tillflow.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 SOME = ("load_transactions load_demographics complete_profiles export_transactions export_report demographics_report eligible_customers "
@@ -12,7 +14,7 @@ SOME = ("load_transactions load_demographics complete_profiles export_transactio
         "psi_numeric ecdf_points mcc_top score_baselines markov_fit sequence_features full_features classification_metrics probability_metrics "
         "class_calibration operating_point subgroup_metrics poisson_bootstrap significance_table pair_table build_samples_full few_shot_examples "
         "chat_messages trace_numbers manifest_diff").split()
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = dict(catalog.QUERIES), dict(sql_catalog.ORACLES)
 ROWS_ONLY = {"logistic_model", "gbdt_model", "grid_select", "bootstrap_intervals", "primary_endpoint_exact"}
 
 
