@@ -1,8 +1,11 @@
 """The registered queries of this package and the SQL of those that SQL can express."""
-from tillflow.llm import mixing, sharding
+from tillflow.llm import mixing, ngram_join, sharding
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op4_shards": sharding.op4_shards,
     "op8_mixture": mixing.op8_mixture,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_ngram_join": ngram_join.ORACLE,
+}
