@@ -19,7 +19,7 @@ from tillflow.llm.common import WORD, documents, written
 
 WEIGHTS = (5, 2, 1)                # by source in code point order, repeating
 MOST = 3                           # copies of a document, times a source's size
-LEAF = 20_000                      # documents rounded in one group
+LEAF = 4_000                       # documents rounded in one group
 FAN = 1_000                        # leftovers rounded in one group
 
 
