@@ -1,11 +1,12 @@
 """The registered queries of this package and the SQL of those that SQL can express."""
-from tillflow.llm import fingerprints, language, mixing, ngram_join, sharding
+from tillflow.llm import decontamination, fingerprints, language, mixing, ngram_join, sharding
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_shards": sharding.op4_shards,
     "op5_language": language.op5_language,
+    "op7_decontamination": decontamination.op7_decontamination,
     "op8_mixture": mixing.op8_mixture,
 }
 ORACLES: dict[str, str] = {
