@@ -1,5 +1,5 @@
 """The registered queries of this package and the SQL of those that SQL can express."""
-from tillflow.llm import decontamination, fingerprints, language, mixing, ngram_join, sharding
+from tillflow.llm import decontamination, fingerprints, language, mixing, ngram_join, personal_data, sharding
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -8,6 +8,7 @@ QUERIES = {
     "op5_language": language.op5_language,
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_mixture": mixing.op8_mixture,
+    "op9_personal_data": personal_data.op9_personal_data,
 }
 ORACLES: dict[str, str] = {
     "op1_ngram_join": ngram_join.ORACLE,
