@@ -1,8 +1,9 @@
 """The registered queries of this package and the SQL of those that SQL can express."""
-from tillflow.llm import decontamination, fingerprints, language, mixing, ngram_join, personal_data, sharding
+from tillflow.llm import decontamination, fingerprints, language, lm_scoring, mixing, ngram_join, personal_data, sharding
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
+    "op2_lm_scoring": lm_scoring.op2_lm_scoring,
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_shards": sharding.op4_shards,
     "op5_language": language.op5_language,
