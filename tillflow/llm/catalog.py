@@ -1,5 +1,5 @@
 """The registered queries of this package and the SQL of those that SQL can express."""
-from tillflow.llm import decontamination, fingerprints, language, lm_scoring, mixing, ngram_join, personal_data, sharding
+from tillflow.llm import chat, decontamination, fingerprints, language, lm_scoring, mixing, ngram_join, personal_data, sharding, token_counts
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -8,8 +8,10 @@ QUERIES = {
     "op4_shards": sharding.op4_shards,
     "op5_language": language.op5_language,
     "op7_decontamination": decontamination.op7_decontamination,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op8_mixture": mixing.op8_mixture,
     "op9_personal_data": personal_data.op9_personal_data,
+    "op10_chat": chat.op10_chat,
 }
 ORACLES: dict[str, str] = {
     "op1_ngram_join": ngram_join.ORACLE,

@@ -96,8 +96,8 @@ def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         first = end
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a chunk, A-Z lower-cased: (64-bit hash, row in the chunk, first byte, end byte), in text order."""
+def words(data: np.ndarray, offs: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a chunk, A-Z lower-cased if `fold`: (64-bit hash, row in the chunk, first byte, end byte), in text order."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
@@ -109,7 +109,7 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     ends = np.flatnonzero(~space & (np.concatenate((space[1:], [True])) | edge[1:])) + 1
     power, inverse = _powers(n)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
+    np.cumsum(((_LOWER[data] if fold else data).astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
     h = mix((total[ends] - total[starts]) * inverse[starts])
     return h, np.searchsorted(offs, starts, side="right") - 1, starts, ends
 
