@@ -1,13 +1,14 @@
 """N-gram Jaccard join: documents whose sets of word shingles are alike, as components of the link graph.
 
 1. Each document becomes a set of hashed shingles. Documents with equal sets are one class, so copies cost one row.
-2. Tiles. Two linked sets differ in at most D shingles, where D follows from their size band and the threshold. Cut by hash into
-   D + 1 parts, they must agree in one part whole (an empty part counts). A tile is (size band, part, digest of the part): a class
-   goes to the tiles of its own band, and to those of the band below if a set of that band can be large enough to link with it.
-   Sets that only share a passage agree in no part, so tiles hold near copies, and no link is lost.
+2. Tiles. Linked sets have at least the threshold's share of the larger one in common, so under any common order of the shingles their
+   prefixes (the first n - ceil(t n) + 1 shingles) meet. A tile is (size band, prefix shingle): a class goes to the tiles of its own
+   band, and to those of the band below if a set of that band can be large enough to link with it. No link is lost. The order puts
+   frequent shingles last, so that a passage that many documents share makes no tile unless it is nearly all of a document; how
+   frequent a shingle is, is estimated, and bears on the work only, not on the result.
 3. In each tile the hub (smallest class) is compared with the members: bitmaps of hashed shingles first, whose bits set on one
    side only bound the overlap from above, then exact intersection of the sorted arrays.
-4. Links are contracted to components. Tiles that still hold several components get further hubs, twice as many each round, and
+4. Links are contracted to components. Tiles that still hold several components get further hubs, GROWTH times as many each round, and
    compare only across components, until every pair of a tile is compared or connected. No pairs of a group are listed for their
    own sake: copies in thousands cost one comparison each.
 """
@@ -22,7 +23,10 @@ from tillflow.llm.common import documents, forget, mix, row_spans, text_chunks,
 from tillflow.llm.components import components
 
 BITS = 2048                        # of a signature
-WIDE = 1.4                         # largest by smallest size of a band
+WIDE = 1.5                         # largest by smallest size of a band
+GROWTH = 64                        # of the number of hubs from round to round
+ORDER_SHARE = 16                   # one text in so many tells which shingles are frequent
+FREQUENT = 1 << 20                 # shingles whose frequency the order knows, at most
 
 _ODD = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
@@ -46,7 +50,7 @@ def shingle_sets(texts: pa.Array, k: int):
 
 
 class Bands:
-    """Size bands, and how many shingles linked sets of a band can differ in. Links: percent of the union >= the threshold."""
+    """Size bands; links need `percent` of the union in common."""
 
     def __init__(self, percent: int, wide: float = WIDE):
         self.percent, self.wide, self.low = percent, max(wide, 100 / percent), [1]
@@ -65,39 +69,34 @@ class Bands:
             self.low.append(int(self.low[-1] * self.wide) + 1)
         return self.low[band + 1] - 1
 
-    def parts(self, band: int) -> int:
-        """One more than the largest symmetric difference of linked sets whose smaller one lies in the band."""
-        a = self.largest(band)
-        return (a + self.top(a)) * (100 - self.percent) // (100 + self.percent) + 1
-
     def schemes(self, n: int) -> list[int]:
         """The bands in whose tiles a set of n shingles can meet partners other than itself."""
         own = self.of(n)
         below = [own - 1] if own and self.top(self.largest(own - 1)) >= n else []
-        return [b for b in [own, *below] if self.parts(b) > 1]
-
+        return [own, *below]
 
-def _digest(h: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
-    """Order-free 64-bit digest of each part of a set (sums of 32-bit halves are exact in doubles)."""
-    x = mix(h ^ np.uint64(0x5851F42D4C957F2D))
-    low = np.bincount(part, (x & np.uint64(0xFFFFFFFF)).astype(float), parts).astype(np.uint64)
-    high = np.bincount(part, (x >> np.uint64(32)).astype(float), parts).astype(np.uint64)
-    return mix(low + (high << np.uint64(32)) + np.bincount(part, minlength=parts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    def prefix(self, n: int) -> int:
+        """How many shingles of a set of n must be looked at: linked sets meet in them."""
+        return n + self.percent * n // -100 + 1
 
 
 def _node(h: np.ndarray) -> int:
     """The class of a set: a 64-bit digest of size and shingles."""
-    return int(_digest(h, np.zeros(len(h), np.int64), 1).astype(np.int64)[0])
+    x = mix(h ^ np.uint64(0x5851F42D4C957F2D))
+    return int(mix(x.sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h)) * np.uint64(3)).astype(np.int64)[0])
 
 
-def _tiles(h: np.ndarray, bands: Bands) -> np.ndarray:
-    keys = []
-    for band in bands.schemes(len(h)):
-        parts = bands.parts(band)
-        part = ((h >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
-        name = np.uint64((band + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) + np.arange(parts, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        keys.append(mix(_digest(h, part, parts) ^ mix(name)))
-    return np.concatenate(keys).astype(np.int64) if keys else np.zeros(0, np.int64)
+def _tiles(h: np.ndarray, bands: Bands, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Tiles of a set; frequent: sorted shingles and their counts."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    shingle, count = frequent
+    first = h
+    if len(shingle):
+        at = np.minimum(np.searchsorted(shingle, h), len(shingle) - 1)
+        first = h[np.argsort(np.where(shingle[at] == h, count[at], 0), kind="stable")]       # ties by hash, as h is sorted
+    first = first[:bands.prefix(len(h))]
+    return np.concatenate([mix(first ^ np.uint64((b + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for b in bands.schemes(len(h))]).view(np.int64)
 
 
 def _bitmap(h: np.ndarray) -> np.ndarray:
@@ -106,7 +105,27 @@ def _bitmap(h: np.ndarray) -> np.ndarray:
     return np.packbits(bits)
 
 
-def _sketches(k: int, percent: int):
+def _some_shingles(k: int):
+    def run(batches):
+        for b in batches:
+            sets = [h for h in shingle_sets(b.column("text"), k)]
+            if sets:
+                each, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
+    return run
+
+
+def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The FREQUENT most frequent shingles of a part of the texts, sorted, with counts. They only shape the order of the prefixes."""
+    some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(ORDER_SHARE)) == 0)
+    top = (some.mapInArrow(_some_shingles(k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1")
+           .orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow())
+    shingle = np.asarray(top.column("shingle"), np.int64).view(np.uint64)
+    order = np.argsort(shingle)
+    return shingle[order], np.asarray(top.column("n"), np.int64)[order]
+
+
+def _sketches(k: int, percent: int, frequent):
     def run(batches):
         bands = Bands(percent)
         for b in batches:
@@ -114,7 +133,7 @@ def _sketches(k: int, percent: int):
             for h in shingle_sets(b.column("text"), k):
                 n.append(len(h))
                 node.append(_node(h) if len(h) else None)
-                keys.append(_tiles(h, bands))
+                keys.append(_tiles(h, bands, frequent.value))
             offs = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
             tiles = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), tiles],
@@ -175,7 +194,8 @@ def similarity_components(docs: DataFrame, k: int = 3, percent: int = 90) -> Dat
     class_id: 64-bit digest of the set. Columns named bits, tile or node in `docs` do not matter.
     """
     docs = docs.select("doc_id", "text")
-    sketches = written(docs.mapInArrow(_sketches(k, percent), "doc_id long, n_shingles long, node long, tiles array<long>"), "sketches")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
+    sketches = written(docs.mapInArrow(_sketches(k, percent, frequent), "doc_id long, n_shingles long, node long, tiles array<long>"), "sketches")
     classes = sketches.filter("size(tiles) > 0").groupBy("node").agg(F.min_by("tiles", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("tiles"))
     members = written(tile_members(classes), "tiles")
     wanted = members.select("node").distinct()
@@ -205,11 +225,12 @@ def similarity_components(docs: DataFrame, k: int = 3, percent: int = 90) -> Dat
         across = open_.join(chosen, "tile").filter("root <> hub_root")
         pairs = across.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
         more = written(verified_links(pairs, profiles, percent), "links")
-        links = links.unionByName(more)
-        joined = written(components(links), "components")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            joined = written(components(links), "components")
         following = written(open_.join(chosen, (open_["tile"] == chosen["tile"]) & (open_["node"] == chosen["hub"]), "left_anti").select("tile", "node"), "open")
         forget(open_)
-        open_, hubs = following, hubs * 2
+        open_, hubs = following, hubs * GROWTH
 
     roots = sketches.select("doc_id", "n_shingles", "node").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = roots.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
