@@ -139,9 +139,9 @@ def mixed_documents(docs: DataFrame, seed: int = 20) -> DataFrame:
     """The documents of the mix, each as often as it was drawn, with the columns they came with."""
     sized = docs.withColumn("_size", word_count())
     plan = mix_sources(sized.select("doc_id", "source", F.col("_size").alias("size")), seed).filter("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), "copies")
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), F.col("copies").alias("_copies"))
     same = sized["doc_id"].eqNullSafe(plan["_id"]) & sized["source"].eqNullSafe(plan["_source"]) & (sized["_size"] == plan["_words"])
-    out = sized.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    out = sized.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return out.select(*docs.columns)
 
 
