@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from tillflow.llm.common import documents, forget, mix, row_spans, text_chunks, words, written
 from tillflow.llm.components import components
 
-BITS = 2048                        # of a signature
+BITS = 1024                        # of a signature
+BROADCAST_ROWS = 1_000_000         # hashes sent to all executors at most; more are joined by shuffle
 WIDE = 1.5                         # largest by smallest size of a band
 GROWTH = 64                        # of the number of hubs from round to round
 ORDER_SHARE = 16                   # one text in so many tells which shingles are frequent
@@ -129,53 +130,87 @@ def _sketches(k: int, percent: int, frequent):
     def run(batches):
         bands = Bands(percent)
         for b in batches:
-            node, n, keys = [], [], []
+            node, n, keys, bits = [], [], [], []
             for h in shingle_sets(b.column("text"), k):
                 n.append(len(h))
                 node.append(_node(h) if len(h) else None)
+                bits.append(_bitmap(h).tobytes())
                 keys.append(_tiles(h, bands, frequent.value))
             offs = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
             tiles = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), tiles],
-                                             ["doc_id", "n_shingles", "node", "tiles"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), tiles],
+                                             ["doc_id", "text_hash", "n_shingles", "node", "bits", "tiles"])
     return run
 
 
-def _profiles(k: int):
+def _shingles(k: int):
     def run(batches):
         for b in batches:
-            rows = [(_node(h), _bitmap(h).tobytes(), h.tobytes()) for h in shingle_sets(b.column("text"), k) if len(h)]
+            rows = [(_node(h), h.tobytes()) for h in shingle_sets(b.column("text"), k) if len(h)]
             for i in range(0, len(rows), 500):
                 part = list(zip(*rows[i:i + 500]))
-                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.binary()), pa.array(part[2], pa.binary())],
-                                                 ["node", "bits", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.binary())], ["node", "shingles"])
+    return run
+
+
+def _bounded(percent: int):
+    """Pairs whose bitmaps leave room for a link: bits set on one side only stand for shingles that the other side lacks."""
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = [batch.column(f"n_{x}").to_numpy() for x in "ab"]
+            bits = [np.frombuffer(b"".join(batch.column(f"bits_{x}").to_pylist()), np.uint64).reshape(-1, BITS // 64) for x in "ab"]
+            bound = np.minimum(n[0] - np.bitwise_count(bits[0] & ~bits[1]).sum(1, dtype=np.int64), n[1] - np.bitwise_count(bits[1] & ~bits[0]).sum(1, dtype=np.int64))
+            room = pa.array((100 + percent) * bound >= percent * (n[0] + n[1]))
+            yield pa.RecordBatch.from_arrays([batch.column(x).filter(room) for x in "ab"], ["a", "b"])
     return run
 
 
 def _linked(percent: int):
-    """Pairs that link: bitmap bound, then exact intersection."""
+    """Pairs that link, by exact intersection of their sorted shingles."""
     def run(batches):
         for batch in batches:
             keep = []
-            cols = [batch.column(c) for c in ("bits_a", "shingles_a", "bits_b", "shingles_b")]
+            a, b = batch.column("shingles_a"), batch.column("shingles_b")
             for i in range(batch.num_rows):
-                bits_a, sh_a, bits_b, sh_b = (np.frombuffer(c[i].as_buffer(), np.uint8) for c in cols)
-                na, nb = len(sh_a) // 8, len(sh_b) // 8
-                need = -(-percent * (na + nb) // (100 + percent))                     # of common shingles
-                bound = min(na - int(np.bitwise_count(bits_a & ~bits_b).sum()), nb - int(np.bitwise_count(bits_b & ~bits_a).sum()))
-                if bound < need:
-                    continue
-                common = len(np.intersect1d(sh_a.view(np.uint64), sh_b.view(np.uint64), assume_unique=True))
-                if 100 * common >= percent * (na + nb - common):
+                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (a, b))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * common >= percent * (len(x) + len(y) - common):
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep, pa.int64())), batch.column("b").take(pa.array(keep, pa.int64()))], ["a", "b"])
+            keep = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(x).take(keep) for x in "ab"], ["a", "b"])
     return run
 
 
-def verified_links(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
-    pa_, pb = (profiles.select(F.col("node").alias(x), F.col("bits").alias(f"bits_{x}"), F.col("shingles").alias(f"shingles_{x}")) for x in "ab")
-    return pairs.join(pa_, "a").join(pb, "b").select("a", "b", "bits_a", "shingles_a", "bits_b", "shingles_b").mapInArrow(_linked(percent), "a long, b long")
+def _beside(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b) with the columns of both classes."""
+    of = lambda x: table.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", *[f"{c}_{x}" for x in "ab" for c in columns])
+
+
+class Verifier:
+    """Finds which pairs of classes link. Sorted shingles are made from the texts for those classes only that come past the bitmaps."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, k: int, percent: int):
+        self.docs, self.classes, self.k, self.percent, self.made = docs, classes, k, percent, None
+
+    def _need(self, nodes: DataFrame) -> None:
+        wanted = self.classes.join(nodes if self.made is None else nodes.join(self.made, "node", "left_anti"), "node", "left_semi").select("text_hash")
+        wanted = written(wanted.distinct(), "wanted")
+        n = wanted.count()
+        if n:
+            few = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted
+            new = written(self.docs.join(few, "text_hash", "left_semi").select("text").mapInArrow(_shingles(self.k), "node long, shingles binary")
+                          .groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+            self.made = new if self.made is None else self.made.unionByName(new)
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        near = written(_beside(pairs, self.classes, ["n", "bits"]).mapInArrow(_bounded(self.percent), "a long, b long"), "near")
+        self._need(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        if self.made is None:
+            return near
+        return written(_beside(near, self.made, ["shingles"]).mapInArrow(_linked(self.percent), "a long, b long"), "links")
 
 
 def tile_members(classes: DataFrame) -> DataFrame:
@@ -193,22 +228,18 @@ def similarity_components(docs: DataFrame, k: int = 3, percent: int = 90) -> Dat
     into one component. A null doc_id counts as larger than all others and gets the smallest doc_id of its component, null if alone.
     class_id: 64-bit digest of the set. Columns named bits, tile or node in `docs` do not matter.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
-    sketches = written(docs.mapInArrow(_sketches(k, percent, frequent), "doc_id long, n_shingles long, node long, tiles array<long>"), "sketches")
-    classes = sketches.filter("size(tiles) > 0").groupBy("node").agg(F.min_by("tiles", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("tiles"))
+    sketches = written(docs.mapInArrow(_sketches(k, percent, frequent), "doc_id long, text_hash long, n_shingles long, node long, bits binary, tiles array<long>"), "sketches")
+    classes = written(sketches.filter("node is not null").groupBy("node").agg(
+        F.first("text_hash").alias("text_hash"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("tiles").alias("tiles")), "classes")
     members = written(tile_members(classes), "tiles")
-    wanted = members.select("node").distinct()
-    # one text per class that shares a tile, named by its smallest doc_id
-    ids = sketches.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    profiles = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_profiles(k), "node long, bits binary, shingles binary")
-                       .join(wanted, "node", "left_semi").dropDuplicates(["node"]), "profiles")
-
+    verifier = Verifier(docs, classes.drop("tiles"), k, percent)
     pairs = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(verified_links(pairs, profiles, percent), "links")
+    links = verifier.links(pairs)
     joined = written(components(links), "components")
     open_ = members.select("tile", "node", "hub").filter("node <> hub").drop("hub")
-    open_, hubs = written(open_, "open"), 1
+    open_, hubs = written(open_, "open"), GROWTH
     while True:
         # what is left of each tile, hubs so far taken out; only tiles with several components matter
         now = (open_.join(joined, "node", "left").select("tile", "node", F.coalesce("root", "node").alias("root")))
@@ -224,7 +255,7 @@ def similarity_components(docs: DataFrame, k: int = 3, percent: int = 90) -> Dat
         chosen = chosen.select("tile", F.col("h.node").alias("hub"), F.col("h.root").alias("hub_root"))
         across = open_.join(chosen, "tile").filter("root <> hub_root")
         pairs = across.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-        more = written(verified_links(pairs, profiles, percent), "links")
+        more = verifier.links(pairs)
         if not more.isEmpty():
             links = links.unionByName(more)
             joined = written(components(links), "components")
