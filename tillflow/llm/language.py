@@ -158,7 +158,7 @@ def _predict(net: ByteNetwork | None, columns: list[str]):
             for first, end, data, offs in text_chunks(b.column("text")) if net is not None else ():
                 x, row, held = windows(data, offs)
                 p = net.probabilities(x) * held[:, None]
-                mean = np.stack([np.bincount(row, p[:, k], end - first) for k in range(p.shape[1])], 1)
+                mean = np.stack([np.bincount(row, p[:, k], end - first) for k in range(p.shape[1])], 1).astype(float)
                 mean /= np.maximum(mean.sum(1, keepdims=True), 1e-30)
                 best[first:end], score[first:end] = mean.argmax(1), mean.max(1)
             known = letters & (best >= 0)
