@@ -61,10 +61,11 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """(text_key, item_id, similarity, first_word, n_words): the best window of each text for each item it contains.
 
     text_key is md5 of the text (null: of the empty text), so equal texts are found together. Items of fewer than SHINGLE words hold
-    no shingle and match nothing; null items likewise; repeated item rows count once; an empty table on either side gives no rows.
+    no shingle and match nothing; null texts likewise; an item without an id matches like others; repeated item rows count once; an empty table on either side gives no rows.
     """
     items = items.select("item_id", word_hashes(F.col("text")).alias("w")).select("item_id", F.size("w").alias("n_words"), shingles_of(F.col("w")).alias("shingles"))
-    items = written(items.filter(F.size("shingles") > 0).withColumn("fingerprint", simhash("shingles")).dropDuplicates(["item_id", "shingles"]), "items")
+    items = written(items.filter(F.size("shingles") > 0).withColumn("fingerprint", simhash("shingles"))
+                    .withColumn("item_key", F.xxhash64("item_id", "shingles")).dropDuplicates(["item_key"]), "items")
     places = written(items.select("n_words", F.posexplode("shingles").alias("offset", "shingle")).distinct(), "places")
     n_places = places.count()
 
@@ -83,15 +84,15 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     windows = written(windows, "fingerprints")
 
     left = blocks(windows.select("text_key", "first_word", "n_words", "fingerprint"))
-    right = blocks(items.select("item_id", "n_words", F.col("fingerprint").alias("item_print"), F.col("fingerprint")))
+    right = blocks(items.select("item_key", "n_words", F.col("fingerprint").alias("item_print"), F.col("fingerprint")))
     near = (left.withColumnRenamed("fingerprint", "own_print")
-            .join(right.select("item_id", "n_words", "item_print", "block", "bits"), ["n_words", "block", "bits"])
+            .join(right.select("item_key", "n_words", "item_print", "block", "bits"), ["n_words", "block", "bits"])
             .withColumn("apart", F.expr("own_print ^ item_print"))
             .filter(f"bit_count(apart) <= {RADIUS}")
             .filter(f"block = 0 or forall(sequence(0, block - 1), j -> (shiftright(apart, j * {BLOCK_BITS}) & {(1 << BLOCK_BITS) - 1}L) <> 0)"))
-    both = (near.select("text_key", "first_word", "n_words", "item_id", "item_print")
+    both = (near.select("text_key", "first_word", "n_words", "item_key")
             .join(windows.select("text_key", "first_word", "n_words", F.col("shingles").alias("sa")), ["text_key", "first_word", "n_words"])
-            .join(items.select("item_id", "n_words", F.col("fingerprint").alias("item_print"), F.col("shingles").alias("sb")), ["item_id", "n_words", "item_print"])
+            .join(items.select("item_key", "item_id", F.col("shingles").alias("sb")), "item_key")
             .withColumn("common", similarity("sa", "sb"))
             .withColumn("similarity", F.col("common") / (F.size("sa") + F.size("sb") - F.col("common"))).filter(F.col("similarity") >= least))
     best = F.max(F.struct("similarity", (-F.col("first_word")).alias("place"), "n_words")).alias("b")
