@@ -33,6 +33,8 @@ def canonical(value) -> str:
 def violations(value, schema: dict, at: str = "$") -> list[str]:
     """What in a value breaks a schema: type, enum, minimum, maximum, minLength, maxLength, items, properties, required, additionalProperties."""
     kind = schema.get("type")
+    if kind == "integer" and isinstance(value, float) and value.is_integer():
+        value = int(value)
     if kind and (not isinstance(value, TYPES[kind]) or (isinstance(value, bool) and kind in ("integer", "number"))):
         return [f"{at}: not {kind}"]
     out = []
