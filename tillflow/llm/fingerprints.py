@@ -129,10 +129,10 @@ def _compare(k: int):
                 at = [i for i in range(len(ids) - 1) if not tails[i]]
                 if not at:
                     continue
-                sig = signatures(pa.array(texts, pa.large_string()), k)
                 new = [edited(texts[i], texts[i + 1]) for i in at]
-                other = signatures(pa.array(new, pa.large_string()), k)
-                own = sig[at]
+                both = [x for i, t in enumerate(texts) for x in (t, edited(t, texts[i + 1]) if i + 1 < len(texts) else "")]
+                both = signatures(pa.array(both, pa.large_string()), k)                       # side by side: shared words are valued once
+                sig, own, other = both[::2], both[::2][at], both[1::2][at]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([ids[i] for i in at], pa.int64()), pa.array([len(texts[i]) for i in at], pa.int64()),
                     pa.array([hashlib.sha256(x.encode()).hexdigest() for x in new], pa.string()), pa.array(hexed(own), pa.string()),
