@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tillflow.llm.common import _LOWER, documents, text_chunks
+from tillflow.llm.common import _LOWER, documents, text_chunks, written
 
 LENGTH = 128                       # bytes of a window
 WIDTHS = (2, 3, 4)
@@ -136,9 +136,12 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> ByteNetwork
 
     The driver gets per_language x WINDOWS windows of LENGTH bytes per language at most.
     """
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = (labelled.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
-              .withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= per_language).select("lang", "text"))
+    docs = labelled.filter("lang is not null and text is not null").select("text", "lang", F.xxhash64("doc_id", "text").alias("_hash"))
+    # the cut of each language from its hashes alone: every task keeps per_language of them before the shuffle
+    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy("_hash"))
+    cuts = written(docs.select("lang", "_hash", rank.alias("_rank")).filter(F.col("_rank") <= per_language).groupBy("lang").agg(F.max("_hash").alias("_cut")), "cuts")
+    few = F.broadcast(cuts) if cuts.count() <= 100_000 else cuts                           # a row per language
+    sample = docs.join(few, "lang").filter("_hash <= _cut").dropDuplicates(["lang", "_hash"]).select("lang", "text")
     rows = sample.mapInArrow(_sample_windows, "lang string, bytes binary").toArrow()
     order = sorted(zip(rows.column("lang").to_pylist(), rows.column("bytes").to_pylist()))    # not the order of arrival
     if not order:
