@@ -283,7 +283,7 @@ ORACLES = {
     "paired_comparison": q(f"SELECT length::BIGINT AS length, a, b, {CMP} FROM ({compared(metrics(SIX, 'length, model'), drawn(SIX, 'length, model'), 'length', pairs(('coin', 'averaging'), ('coin', 'markov1'), ('averaging', 'averaging')), ALL)})"),
     "mcnemar_exact": q(f"SELECT bank AS split, length::BIGINT AS length, a, b, only_a, only_b, {r('mcnemar_p + 1e-9')} AS mcnemar_p FROM ({mcnemar('SELECT * FROM lpred', 'bank, length', pairs(('coin', 'averaging'), ('coin', 'last-category'), ('coin', 'markov1'), ('coin', 'coin')))})"),
     "holm": q(f"SELECT length::BIGINT AS length, a, b, {r('mcnemar_p + 1e-9')} AS mcnemar_p, {r('p_holm + 1e-9')} AS p_holm FROM ({holm(mcnemar(SIX, 'length', pairs(*[(a, b) for a in ('coin', 'coin-seed2') for b in ('averaging', 'last-category', 'markov1')])), 'mcnemar_p', 'length, a')})"),
-    "significance_table": q(f"SELECT c.length::BIGINT AS length, c.a, c.b, {CMP}, {r('p_holm')} AS p_holm, only_a, only_b, {r('mcnemar_p + 1e-9')} AS mcnemar_p, {r('mcnemar_p_holm + 1e-9')} AS mcnemar_p_holm FROM ({holm(compared(metrics(SIG_ROWS, 'length, model'), drawn(SIG_ROWS, 'length, model'), 'length', SIG_PAIRS, TESTED), 'p', 'length, a, metric')}) c "
+    "significance_table": q(f"SELECT c.length::BIGINT AS length, c.a, c.b, {CMP}, {r('p_holm')} AS p_holm, only_a, only_b, {r('mcnemar_p + 1e-9')} AS mcnemar_p, {r('mcnemar_p_holm + 1e-9')} AS mcnemar_p_holm, (SELECT count(DISTINCT s.customer_id) FROM ({SIG_ROWS}) s WHERE s.length = c.length) AS N, c.a || ' against 5 baselines (averaging, last-category, markov1, proportional, random) at length ' || c.length || ', one family per metric' AS family FROM ({holm(compared(metrics(SIG_ROWS, 'length, model'), drawn(SIG_ROWS, 'length, model'), 'length', SIG_PAIRS, TESTED), 'p', 'length, a, metric')}) c "
         f"JOIN ({holm(mcnemar(SIG_ROWS, 'length', SIG_PAIRS), 'mcnemar_p', 'length, a', 'mcnemar_p_holm')}) m ON c.length = m.length AND c.a = m.a AND c.b = m.b"),
     "families": q(f"SELECT c.length::BIGINT AS length, c.a, c.b, {CMP}, {r('p_holm')} AS p_holm, {r('s.n')} AS n, s.seeds AS b_seeds, 3::BIGINT AS a_seeds, 'coin against 3 comparators (averaging, last-category, markov1) at length ' || c.length || ', one family per metric' AS family FROM ("
         + holm(compared(as_model(SEED_POINTS(metrics(SIX, 'length, model'), 'length')), as_model(SEED_POINTS(drawn(SIX, 'length, model'), 'length, draw')), 'length', pairs(('coin', 'averaging'), ('coin', 'last-category'), ('coin', 'markov1')), FAM), 'p', 'length, a, metric')

@@ -31,14 +31,14 @@ RAW = {"raw_text": RAW_TEXT, "typed": TYPED, "raw_customers": RAW_CUSTOMERS, "ex
 
 ORACLES = {
     "load_transactions": sql(f"SELECT bank, customer_id, dt::VARCHAR AS date, tm AS time, {r('amount')} AS amount, mcc::BIGINT AS mcc, seq, {class_name('code')} AS category, code::BIGINT AS code FROM tx"),
-    "canonical_order": sql("SELECT bank, customer_id, seq, rn FROM rk WHERE rn <= 5"),
+    "canonical_order": sql("SELECT bank, customer_id, seq, rn FROM rk"),
     "load_demographics": sql(f"SELECT customer_id, age::BIGINT AS age, gender, marital_status, education, occupation, {r('income')} AS income, income_group FROM demo"),
     "complete_profiles": sql(f"""SELECT customer_id, age::BIGINT AS age, gender, marital_status, education, occupation, {r('income')} AS income FROM (
         SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY part) AS k FROM (
           SELECT *, 1 AS part FROM raw_demo WHERE income IS NOT NULL
           UNION ALL SELECT customer_id, age + 1, gender, marital_status, education, occupation, coalesce(income, 1), 2 FROM raw_demo)) WHERE k = 1"""),
     "deflate": sql(f"""SELECT customer_id, seq, {r('amount * ((100 + 15)::DOUBLE / (100 + (year(dt) - 1995) * 12 + month(dt) - 1)::DOUBLE)')} AS amount FROM tx_a"""),
-    "read_ids": sql("SELECT customer_id FROM tx_a WHERE customer_id % 5 = 0 UNION SELECT customer_id FROM tx_b"),
+    "read_ids": sql("SELECT customer_id FROM tx_a UNION SELECT customer_id FROM tx_b"),
     "row_fingerprints": "SELECT o_orderkey, sha256(concat_ws('|', o_custkey, o_orderstatus, o_orderpriority)) AS sha256 FROM orders",
     "manifest_diff": """WITH old AS (SELECT o_orderkey, sha256(concat_ws('|', o_custkey, o_orderstatus, o_orderpriority)) AS h FROM orders WHERE o_orderkey % 91 <> 0),
         cur AS (SELECT o_orderkey, sha256(concat_ws('|', o_custkey, CASE WHEN o_orderkey % 50 = 0 THEN 'X' ELSE o_orderstatus END, o_orderpriority)) AS h FROM orders WHERE o_orderkey % 77 <> 0)

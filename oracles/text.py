@@ -11,7 +11,7 @@ listed = lambda e: f"string_agg({e}, ', ' ORDER BY pos) FILTER (rn > 1)"
 PARTS = {
     "ptx": f"SELECT bank, customer_id, max(code) FILTER (rn = 1) AS truth, 'I made 9 purchases. Their categories, oldest first: ' || {listed(WORD)} || '.' AS cats, "
            f"'I made 9 purchases. Their categories, oldest first: ' || {listed(LETTER)} || '.' AS letters, ' Their dates, oldest first: ' || {listed('dt::VARCHAR')} || '.' AS dates, "
-           f"' Their amounts, oldest first: ' || {listed(chr(39) + 'TL ' + chr(39) + ' || amount::DECIMAL(18,2)::VARCHAR')} || '. In total I spent TL ' || (sum(amount::DECIMAL(18,2)) FILTER (rn > 1))::DECIMAL(28,2)::VARCHAR || '.' AS amounts "
+           f"' Their amounts, oldest first: ' || {listed(chr(39) + 'TL ' + chr(39) + ' || amount::DECIMAL(18,2)::VARCHAR')} || '. In total I spent TL ' || (sum(amount::DECIMAL(24,6)) FILTER (rn > 1))::DECIMAL(28,2)::VARCHAR || '.' AS amounts "
            "FROM win WHERE length = 9 GROUP BY bank, customer_id",
     "ptext": "SELECT p.*, d.* EXCLUDE (customer_id), 'I am ' || age || ' years old, ' || marital_status || ' ' || gender || ', ' || education || ' graduate, and ' || occupation || '.' AS who, "
              "' In terms of my income, I belong to the ' || income_group || ' income group.' AS money FROM ptx p JOIN demo d USING (customer_id)",

@@ -198,3 +198,22 @@ def test_shift_and_seed_summary(spark):
     assert len(s) == 1 and s[0]["base"] == "m" and s[0]["seeds_in_bank"] == 2 and math.isclose(s[0]["acc_drop"], 0.875 - 0.25)
     one = M.seed_summary(M.classification_metrics(rows.where("split = 'out'")), ("acc",)).where("base = 'other'").collect()[0]
     assert one["seeds"] == 1 and one["acc_sd"] is None
+
+
+def test_holm_leaves_null_out(spark):
+    df = spark.createDataFrame([("f", 0, None), ("f", 1, 0.01), ("f", 2, 0.03), ("f", 3, 0.04)], "f string, i int, p double")
+    got = [r["p_holm"] for r in S.holm(df, "p", ("f",)).orderBy("i").collect()]
+    assert got[0] is None and np.allclose(got[1:], [0.03, 0.06, 0.06])
+
+
+def test_models_must_cover_the_same_customers(spark):
+    y = [0, 1, 2, 3, 0, 1]
+    both = table(spark, y, {"a": y, "b": [0, 1, 2, 3, 1, 1]})
+    part = both.where("model = 'a' OR customer_id <> 2")
+    draws = S.Resampler("exact", draws=20)
+    assert S.significance_table(both, ["a"], ["b"], draws).select("N", "family").distinct().collect() == [
+        (6, "a against 1 baselines (b) at length 9, one family per metric")]
+    for call in (lambda: S.significance_table(part, ["a"], ["b"], draws), lambda: S.compare_pairs(part, ["a:b"], draws, lengths=(9,)),
+                 lambda: S.factorial_effects(part, {(0, 0, 0): "a", (0, 0, 1): "b"}, draws)):
+        with pytest.raises(ValueError, match="different customers at length 9"):
+            call()

@@ -8,7 +8,7 @@ from tillflow.settings import DEFAULTS
 from tillflow.sources.session import durable
 
 # ---- fixed value: a decimal that is not part of a word or of a longer number (sign and minus sign U+2212 allowed) ----
-NUMBER = "(?<![\\w.])([-+−]?\\d*\\.\\d+)(?![\\w.])"
+NUMBER = "(?U)(?<![\\w.])([-+−]?\\d*\\.\\d+)(?![\\w.])"
 DECIMALS = (1, 2, 3, 4)
 SALTS = 32
 

@@ -83,9 +83,11 @@ def unlisted_labels(raw: DataFrame, section: ExportSection) -> DataFrame:
 
 
 def require_listed_labels(raw: DataFrame, section: ExportSection) -> None:
-    bad = unlisted_labels(raw, section).limit(5).collect()
+    """Stops if a label has no word in the spec; the message names every such label."""
+    named = F.concat("field", F.lit(" '"), "label", F.lit("'"))
+    bad = unlisted_labels(raw, section).agg(F.array_join(F.array_sort(F.collect_set(named)), ", ")).first()[0]
     if bad:
-        raise ValueError("the spec lists no word for: " + ", ".join(f"{r.field} {r.label!r}" for r in bad))
+        raise ValueError(f"the spec lists no word for: {bad}")
 
 
 def export_demographics(raw: DataFrame, section: ExportSection, check: bool = True) -> DataFrame:

@@ -247,6 +247,6 @@ def count_check(cohort: DataFrame, recorded: DataFrame, bank: str) -> DataFrame:
 
 
 def require_counts(check: DataFrame) -> None:
-    bad = [r["bank"] for r in check.where(~F.col("same")).limit(10).collect()]
+    bad = check.where(~F.col("same")).agg(F.array_join(F.array_sort(F.collect_set("bank")), ", ")).first()[0]
     if bad:
         raise ValueError(f"cohort differs from the recorded split summary: {bad}")

@@ -82,8 +82,9 @@ def task_input(ctx: PromptContext) -> Column:
                                   listed(F.transform("dates", lambda d: F.date_format(d, "yyyy-MM-dd"))), F.lit(".")))
     if ctx.amounts:
         cur = DEFAULTS.currency
-        total = F.aggregate(F.transform("amounts", lambda a: a.cast("decimal(18,2)")), F.lit(0).cast("decimal(28,2)"),
-                            lambda acc, x: (acc + x).cast("decimal(28,2)"))
+        # the sum is rounded, not its parts; six places keep the sum exact and equal in every engine
+        total = F.aggregate(F.transform("amounts", lambda a: a.cast("decimal(24,6)")), F.lit(0).cast("decimal(28,6)"),
+                            lambda acc, x: (acc + x).cast("decimal(28,6)")).cast("decimal(28,2)")
         sentences.append(F.concat(F.lit("Their amounts, oldest first: "), listed(F.transform("amounts", lambda a: money(a, cur))),
                                   F.lit(f". In total I spent {cur} "), total.cast("string"), F.lit(".")))
     return F.concat_ws(" ", *sentences)

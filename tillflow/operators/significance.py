@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tillflow.functions.literals import literal_rows
 from tillflow.operators import resampling as R
-from tillflow.operators.metrics import CLASS_F1, classification_metrics, select_best
+from tillflow.operators.metrics import CLASS_F1, classification_metrics, require_same_population, select_best
 from tillflow.settings import COMPARATORS, DEFAULTS
 from tillflow.sources.predictions import SEED_NAME, base_model, with_codes
 from tillflow.sources.session import durable
@@ -21,12 +21,15 @@ FAMILY_METRICS = ("acc", "f1_w", "macro_f1", "bal_acc", *CLASS_F1)
 
 
 def holm(df: DataFrame, p: str, family, out: str = "p_holm") -> DataFrame:
-    """Step-down adjusted p values inside each family (a family is a handful of comparisons)."""
+    """Step-down adjusted p values inside each family (a family is a handful of comparisons).
+
+    A null p takes no rank, does not count in its family and stays null.
+    """
     w = Window.partitionBy(*family)
-    ranked = df.withColumn("_rank", F.row_number().over(w.orderBy(p))).withColumn("_m", F.count(p).over(w))
-    step = F.least(F.lit(1.0), F.col(p) * (F.col("_m") - F.col("_rank") + 1))
+    ranked = df.withColumn("_rank", F.row_number().over(w.orderBy(F.col(p).asc_nulls_last()))).withColumn("_m", F.count(p).over(w))
+    step = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * (F.col("_m") - F.col("_rank") + 1)))
     running = F.max(step).over(w.orderBy("_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return ranked.withColumn(out, running).drop("_rank", "_m")
+    return ranked.withColumn(out, F.when(F.col(p).isNotNull(), running)).drop("_rank", "_m")
 
 
 def _ln_factorial(m: Column) -> Column:
@@ -89,15 +92,22 @@ class Resampler:
 def significance_table(predictions: DataFrame, llms, baselines, resampler: Resampler, metrics=TESTED) -> DataFrame:
     """Every learned model against every baseline per length: differences, exact McNemar p, Holm over the baselines.
 
-    Long form: one row per metric; the McNemar columns repeat.
+    Long form: one row per metric; the McNemar columns repeat. `N`: customers of the length; `family`: what Holm's steps run over.
+    Models of one length that cover different customers stop the job.
     """
+    require_same_population(predictions.where(F.col("length").isNotNull()))
     models, expected = R.models_at(predictions, [*llms, *baselines])
     rows = with_codes(R.at_every_length(predictions.where(F.col("model").isin(*models))))
     aligned = durable(R.answers(rows, models, expected=expected))
     pairs = [(a, b) for a, b in itertools.product(llms, baselines) if a in models and b in models]
     res = R.compare(R.point_scores(aligned, models), resampler.scores(aligned, models, ("length",)), pairs, metrics=metrics)
     mc = holm(mcnemar(R.joint_cells(aligned), models, pairs), "mcnemar_p", ("length", "a"), "mcnemar_p_holm")
-    return holm(res, "p", ("length", "a", "metric")).join(mc, ["length", "a", "b"])
+    out = holm(res, "p", ("length", "a", "metric")).join(mc, ["length", "a", "b"])
+    size = aligned.groupBy("length").agg(F.count("*").alias("N"))
+    held = out.groupBy("length", "a").agg(F.array_sort(F.collect_set("b")).alias("_b"))          # a handful of names
+    text = F.concat("a", F.lit(" against "), F.size("_b").cast("string"), F.lit(" baselines ("), F.array_join("_b", ", "),
+                    F.lit(") at length "), F.col("length").cast("string"), F.lit(", one family per metric"))
+    return out.join(size, "length").join(held.select("length", "a", text.alias("family")), ["length", "a"])
 
 
 def families(predictions: DataFrame, llms, comparators, resampler: Resampler, metrics=FAMILY_METRICS) -> DataFrame:
@@ -191,7 +201,8 @@ def pair_runs(specs, lengths, available) -> list[tuple]:
 
 def compare_pairs(predictions: DataFrame, specs, resampler: Resampler, lengths=DEFAULTS.lengths, metrics=PAIR_METRICS) -> DataFrame:
     """Single paired comparisons; sides of several names are seed means, sides of different lengths use the customers
-    present at both. McNemar columns are null where a side is a mean."""
+    present at both. McNemar columns are null where a side is a mean. Models of one length that cover different customers stop the job."""
+    require_same_population(predictions.where(F.col("length").isNotNull()))
     spark = predictions.sparkSession
     available = {(r["model"], r["length"]) for r in predictions.select("model", "length").distinct().collect()}
     runs = pair_runs(specs, lengths, available)
@@ -242,6 +253,7 @@ def factorial_effects(predictions: DataFrame, cells: dict, resampler: Resampler,
                       metrics=FACTORIAL_METRICS) -> DataFrame:
     """Main effects and interactions of the 2 x 2 x 2 conditions: signed sums over four, intervals from the draws."""
     spark, models, by = predictions.sparkSession, list(cells.values()), ("length",)
+    require_same_population(predictions.where((F.col("length") == length) & F.col("model").isin(*models)))
     rows = with_codes(predictions.where((F.col("length") == length) & F.col("model").isin(*models)))
     aligned = durable(R.answers(rows, models, by))
     signs = F.broadcast(literal_rows(spark, sign_rows(cells), ("model", "effect", "sign")))

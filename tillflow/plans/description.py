@@ -7,7 +7,6 @@ from tillflow.operators import description as D
 from tillflow.operators.cohort import recent_diversity
 from tillflow.plans.registry import printed, query
 from tillflow.plans.tables import cohort_of, season_cohort
-from tillflow.settings import CLASSES
 from tillflow.sources import testdata as T
 from tillflow.sources.session import durable
 
@@ -106,4 +105,4 @@ def class_totals(spark, d):
     per = tx.groupBy("customer_id", "category").agg(F.count("*").alias("n"), F.max("date").alias("last"))
     total = tx.groupBy("category").agg(F.count("*").alias("class_total"))
     mine = tx.groupBy("customer_id").agg(F.count("*").alias("customer_total"))
-    return printed(per.join(F.broadcast(total.limit(len(CLASSES))), "category").join(mine, "customer_id"))
+    return printed(per.join(total, "category").join(mine, "customer_id"))

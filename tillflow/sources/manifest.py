@@ -4,11 +4,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BLOCK = 1 << 20
+
 
 def file_digests(spark: SparkSession, *folders: str) -> DataFrame:
-    """(path, sha256) of every file below the folders. Files are hashed where they are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(folders))
-    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.sha2("content", 256).alias("sha256"))
+    """(path, sha256) of every file below the folders.
+
+    Only the listing goes through a DataFrame; each file is read in blocks of BLOCK bytes by the task that hashes it, so its size does
+    not matter.
+    """
+    names = []
+    for folder in folders:                                                       # the listing; Spark's readers make the same one
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True)
+        while found.hasNext():
+            names.append((found.next().getPath().toString(),))
+    files = spark.createDataFrame(names, "path string").repartition("path")
+
+    def hashed(batches):
+        import hashlib
+
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for path in batch["path"]:
+                digest = hashlib.sha256()
+                with opened(path) as stream:
+                    while block := stream.read(BLOCK):
+                        digest.update(block)
+                out.append(digest.hexdigest())
+            yield pd.DataFrame({"path": batch["path"], "sha256": out})
+
+    return files.mapInPandas(hashed, "path string, sha256 string").withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+
+
+def opened(path: str):
+    """A stream of bytes from a path as Spark and Hadoop write it (file:/x, hdfs://host/x, s3a://bucket/x)."""
+    from pyarrow import fs
+
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem().open_input_stream("/" + path.removeprefix("file:").lstrip("/"))
+    store, inside = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    return store.open_input_stream(inside)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -39,6 +77,8 @@ def manifest_diff(recorded: DataFrame, now: DataFrame, key: str = "path") -> Dat
 
 
 def require_same(recorded: DataFrame, now: DataFrame, key: str = "path") -> None:
-    bad = manifest_diff(recorded, now, key).where(F.col("status") != "new").limit(5).collect()
+    """Stops if a recorded key is missing or changed; the message names every one."""
+    bad = manifest_diff(recorded, now, key).where(F.col("status") != "new").agg(
+        F.array_join(F.array_sort(F.collect_set(F.col(key).cast("string"))), ", ")).first()[0]
     if bad:
-        raise ValueError(f"recorded but not found or changed: {[r[key] for r in bad]}")
+        raise ValueError(f"recorded but not found or changed: {bad}")

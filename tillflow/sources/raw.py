@@ -1,12 +1,16 @@
 """Raw institution files, every column text, and the export spec that describes them."""
 from __future__ import annotations
 
+import codecs
+import csv
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillflow.sources.manifest import opened
+
 # ---- fixed values: texts a raw file uses for "no value" ----
 MISSING_TEXTS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
                  "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -40,33 +44,65 @@ def missing_to_null(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(~F.col(f"`{c}`").isin(*MISSING_TEXTS), F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
+# ---- fixed values: Java's names of encodings that Python writes in another way ----
+JAVA_NAMES = {"iso8859-1": "iso-8859-1", "ascii": "us-ascii", "utf-16-be": "utf-16be", "utf-16-le": "utf-16le"}
+OPTIONS = {"sep", "encoding", "on_bad_lines", "quotechar", "escapechar", "comment", "multi_line"}
+
+
+def _first_lines(files: DataFrame, encoding: str, comment: str | None) -> DataFrame:
+    """(path, header): the first line of every file that is not a comment, read where the task runs."""
+    def run(batches):
+        import io
+
+        import pandas as pd
+        for batch in batches:
+            heads = []
+            for path in batch["path"]:
+                with opened(path) as stream, io.TextIOWrapper(stream, encoding=encoding, newline=None) as text:
+                    line = text.readline()
+                    while comment and line.startswith(comment):
+                        line = text.readline()
+                heads.append(line.rstrip("\r\n").removeprefix("\ufeff"))
+            yield pd.DataFrame({"path": batch["path"], "header": heads})
+
+    return files.mapInPandas(run, "path string, header string")
+
+
 def read_raw(spark: SparkSession, section: ExportSection) -> DataFrame:
     """All files of a section as text, only the needed columns, with `seq` (position of the file, then of the row).
 
-    A line with too few fields keeps its fields; with `on_bad_lines: skip` a line with too many is left out.
+    Files are grouped by their header and read by name, so files of one pattern may have their columns in different places. A line
+    with too few fields keeps its fields, one with too many loses the surplus, whatever `on_bad_lines` says and whichever columns
+    are read. Quoted separators are understood; quoted line breaks need `multi_line: true`, which reads a file in one task. An
+    option that is not listed in OPTIONS is refused.
     """
-    sep, encoding = section.read_csv.get("sep", ","), section.read_csv.get("encoding", "utf-8")
+    unknown = sorted(set(section.read_csv) - OPTIONS)
+    if unknown:
+        raise ValueError(f"csv options {unknown} are not supported; known: {sorted(OPTIONS)}")
+    given = section.read_csv
+    sep, encoding, quote = given.get("sep", ","), given.get("encoding", "utf-8"), given.get("quotechar", '"')
+    reader = (spark.read.option("sep", sep).option("encoding", JAVA_NAMES.get(codecs.lookup(encoding).name, encoding)).option("quote", quote).option("escape", given.get("escapechar", quote))
+              .option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("multiLine", bool(given.get("multi_line", False))))
+    if given.get("comment"):
+        reader = reader.option("comment", given["comment"])
     out = None
     for position, pattern in enumerate(section.files):
-        reader = spark.read.option("sep", sep).option("encoding", encoding)
-        header = reader.option("header", True).csv(pattern).columns        # the header line only, no inference
-        missing = [c for c in section.needed if c not in header]
-        if missing:
-            raise ValueError(f"raw columns {missing} not found in {pattern}")
-        bad = "_bad_line"
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in header] + [T.StructField(bad, T.StringType())])
-        rows = (reader.option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE")
-                .option("columnNameOfCorruptRecord", bad).schema(schema).csv(pattern))
-        too_long = F.col(bad).isNotNull() & (F.size(F.split(F.col(bad), f"\\Q{sep}\\E")) > len(header))
-        if section.read_csv.get("on_bad_lines") == "skip":
-            rows = rows.where(F.coalesce(~too_long, F.lit(True)))
-        else:
-            rows = rows.where(F.when(too_long, F.raise_error(F.lit("line with too many fields")).cast("boolean"))
-                              .otherwise(F.lit(True)))
-        seq = F.struct(F.lit(position).alias("list"), F.col("_metadata.file_path").alias("file"),
-                       F.col("_metadata.file_block_start").alias("start"),
-                       F.monotonically_increasing_id().alias("row")).alias("seq")
-        part = rows.select(*[F.when(~F.col(f"`{c}`").isin(*MISSING_TEXTS), F.col(f"`{c}`")).alias(c)
-                             for c in section.needed], seq)
-        out = part if out is None else out.unionByName(part)
+        listed = spark.read.format("binaryFile").load(pattern).select("path")               # names only; files without a byte have no rows
+        groups: dict = {}
+        for row in _first_lines(listed, encoding, given.get("comment")).collect():           # a name and a header per file
+            groups.setdefault(row["header"], []).append(row["path"])
+        for header, paths in sorted(groups.items()):
+            names = next(csv.reader([header], delimiter=sep, quotechar=quote))
+            missing = [c for c in section.needed if c not in names]
+            if missing:
+                raise ValueError(f"raw columns {missing} not found in {sorted(paths)[0]}")
+            # a doubled name keeps its first column; the others get names of their own
+            schema = T.StructType([T.StructField(c if c not in names[:i] else f"{c}.{i}", T.StringType()) for i, c in enumerate(names)])
+            rows = reader.schema(schema).csv(sorted(paths))
+            seq = F.struct(F.lit(position).alias("list"), F.col("_metadata.file_path").alias("file"),
+                           F.col("_metadata.file_block_start").alias("start"),
+                           F.monotonically_increasing_id().alias("row")).alias("seq")
+            part = rows.select(*[F.when(~F.col(f"`{c}`").isin(*MISSING_TEXTS), F.col(f"`{c}`")).alias(c)
+                                 for c in section.needed], seq)
+            out = part if out is None else out.unionByName(part)
     return out

@@ -19,32 +19,47 @@ def require_columns(df: DataFrame, columns, source="table") -> DataFrame:
     return df
 
 
+# types of the columns that CSV tables are known to have; other columns are read as text
+KNOWN_TYPES = {"customer_id": "bigint", "amount": "double", "mcc": "int", "age": "int", "income": "double", "index": "double"}
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """One CSV file, a folder of CSV files, or Parquet. Rows get `seq`, the order in which the files hold them."""
+    """One CSV file, a folder of CSV files, or Parquet. Rows get `seq`, the order in which the files hold them.
+
+    A CSV table is read once: its schema comes from the header and, for the kind of its dates, from the first line. Rows that lack a
+    customer are left for the loaders to drop.
+    """
     if path.rstrip("/").endswith(".parquet"):
         df = spark.read.parquet(path)
-        return df if "seq" in df.columns else _file_order(df)
+        return df if "seq" in df.columns else df.withColumn(
+            "seq", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    if not _exists(spark, path):
+        raise FileNotFoundError(f"no CSV files in {path}")
     reader = spark.read.option("header", True).option("pathGlobFilter", "*.csv")
-    try:
-        df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
-    except Exception as err:
-        raise FileNotFoundError(f"no CSV files in {path}") from err
+    if schema is None:
+        lines = spark.read.option("pathGlobFilter", "*.csv").text(path)
+        if not lines.inputFiles():
+            raise FileNotFoundError(f"no CSV files in {path}")
+        first = reader.csv(path)                                             # the header only
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in first.columns])
+        row = reader.schema(schema).csv(path).first() if "date" in first.columns else None
+        timed = row is not None and len((row["date"] or "").strip()) > 10
+        kinds = {**KNOWN_TYPES, "date": "timestamp_ntz" if timed else "date"}
+        schema = ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in first.columns)
+    df = reader.schema(schema).csv(path)
     if not df.inputFiles():
         raise FileNotFoundError(f"no CSV files in {path}")
-    return _file_order(df)
-
-
-def _file_order(df: DataFrame) -> DataFrame:
-    """File name, then offset of the split, then row inside the split: an orderable struct."""
-    return df.withColumn("seq", F.struct(F.col("_metadata.file_path").alias("file"),
-                                         F.col("_metadata.file_block_start").alias("start"),
+    return df.withColumn("seq", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
                                          F.monotonically_increasing_id().alias("row")))
 
 
 def code_table(spark: SparkSession, classes: dict) -> DataFrame:
-    """(mcc, mapped) rows of a label map that replaces the default one; `classes` maps a class to its codes."""
-    rows = [(int(code), name) for name, codes in classes.items() for code in codes]
-    return spark.createDataFrame(rows, "mcc int, mapped string")
+    """(mcc, mapped) rows of a label map that replaces the default one; `classes` maps a class to its codes.
+
+    A code listed under several classes belongs to the last of them.
+    """
+    of = {int(code): name for name, codes in classes.items() for code in codes}
+    return spark.createDataFrame(list(of.items()), "mcc int, mapped string")
 
 
 def map_categories(df: DataFrame, codes: DataFrame | None = None) -> DataFrame:
@@ -57,11 +72,14 @@ def map_categories(df: DataFrame, codes: DataFrame | None = None) -> DataFrame:
 
 
 def load_transactions(raw: DataFrame, codes: DataFrame | None = None, source="transactions") -> DataFrame:
-    """Complete purchases with their class. `seq` and `time` order the purchases of one day (see `recency_order`)."""
+    """Complete purchases with their class. `seq` and `time` order the purchases of one day (see `recency_order`).
+
+    Dates that come as timestamps keep their time of day, which then decides order and ties; other dates become days.
+    """
     require_columns(raw, TRANSACTION_COLUMNS, source)
     tie = next((c for c in TIE_BREAKERS if c in raw.columns), None)
     df = raw.where(complete(raw, TRANSACTION_COLUMNS)).select(
-        F.col("customer_id").cast("long"), F.col("date").cast("date"),
+        F.col("customer_id").cast("long"), F.col("date").cast("timestamp_ntz" if dict(raw.dtypes)["date"].startswith("timestamp") else "date"),
         (F.col(tie) if tie else F.lit(None).cast("string")).alias("time"),
         F.col("amount").cast("double"), F.col("mcc").cast("int"), F.col("seq"))
     return map_categories(df, codes)
@@ -135,24 +153,26 @@ def save_splits(tx: DataFrame, profiles: DataFrame | None, assignment: DataFrame
          .write.mode("overwrite").partitionBy("split").parquet(f"{folder}/customers"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def load_split(spark: SparkSession, folder: str, split: str) -> tuple[DataFrame, DataFrame | None]:
     """(transactions, profiles or None) of one split; other splits are never read."""
     tx = spark.read.parquet(f"{folder}/transactions").where(F.col("split") == split).drop("split")
-    try:
-        profiles = spark.read.parquet(f"{folder}/customers").where(F.col("split") == split).drop("split")
-    except Exception:
-        profiles = None
+    profiles = spark.read.parquet(f"{folder}/customers").where(F.col("split") == split).drop("split") if _exists(spark, f"{folder}/customers") else None
     return tx, profiles
 
 
 def write_json(rows: DataFrame, folder: str) -> None:
     """A small summary table as one JSON-lines file."""
-    rows.coalesce(1).write.mode("overwrite").json(folder)
+    rows.repartition(1).write.mode("overwrite").json(folder)
 
 
 def write_csv(rows: DataFrame, folder: str) -> None:
     """A small result table as one CSV file."""
-    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(folder)
+    rows.repartition(1).write.mode("overwrite").option("header", True).csv(folder)
 
 
 def read_json_settings(spark: SparkSession, path: str) -> dict:
@@ -161,10 +181,11 @@ def read_json_settings(spark: SparkSession, path: str) -> dict:
     return json.loads(text["value"])
 
 
-def rank_in_customer(tx: DataFrame, keep: int) -> DataFrame:
-    """The last `keep` purchases of every customer with `rn` (1 = most recent).
+def rank_in_customer(tx: DataFrame, keep: int | None = None) -> DataFrame:
+    """The last `keep` purchases (default: all) of every customer with `rn` (1 = most recent).
 
     The filter on the rank lets Spark cut each map task to `keep` rows per customer before the shuffle.
     """
     w = Window.partitionBy("customer_id").orderBy(*recency_order())
-    return tx.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= keep)
+    ranked = tx.withColumn("rn", F.row_number().over(w))
+    return ranked if keep is None else ranked.where(F.col("rn") <= keep)
