@@ -15,4 +15,5 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_ngram_join": ngram_join.ORACLE,
+    "op7_decontamination": decontamination.ORACLE,
 }

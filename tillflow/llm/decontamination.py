@@ -122,3 +122,20 @@ def benchmark(spark, sf_dir: str) -> DataFrame:
 
 def op7_decontamination(spark, sf_dir):
     return contaminated(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+# Every window that shares a shingle with an item at its place, compared exactly; no fingerprints.
+ORACLE = r"""
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+ds AS (SELECT doc_id, len(w) AS n, unnest(list_transform(range(1, len(w) - 3), lambda i: {'at': i - 1, 'g': array_to_string(w[i:i + 4], ' ')})) AS x FROM dw),
+iz AS (SELECT item_id, len(w) AS n, unnest(list_transform(range(1, len(w) - 3), lambda i: {'at': i - 1, 'g': array_to_string(w[i:i + 4], ' ')})) AS x FROM iw),
+d AS (SELECT doc_id, n, x.at AS at, x.g AS g FROM ds), i AS (SELECT item_id, n, x.at AS at, x.g AS g FROM iz),
+win AS (SELECT DISTINCT d.doc_id, i.item_id, d.at - i.at AS s, i.n FROM d JOIN i ON d.g = i.g WHERE d.at >= i.at AND d.at - i.at + i.n <= d.n),
+a AS (SELECT win.doc_id, item_id, s, win.n, g, count(*) AS c FROM win JOIN d ON d.doc_id = win.doc_id AND d.at BETWEEN s AND s + win.n - 5 GROUP BY ALL),
+b AS (SELECT item_id, g, count(*) AS c FROM i GROUP BY ALL),
+j AS (SELECT a.doc_id, a.item_id, a.s, a.n, sum(least(a.c, b.c))::BIGINT AS common FROM a JOIN b ON a.item_id = b.item_id AND a.g = b.g GROUP BY ALL),
+k AS (SELECT *, common / (2 * (n - 4) - common)::DOUBLE AS similarity FROM j)
+SELECT doc_id, item_id, similarity, s AS first_word, n::INTEGER AS n_words
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) AS r FROM k WHERE similarity >= 0.8) WHERE r = 1
+"""
