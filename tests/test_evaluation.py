@@ -217,3 +217,18 @@ def test_models_must_cover_the_same_customers(spark):
                  lambda: S.factorial_effects(part, {(0, 0, 0): "a", (0, 0, 1): "b"}, draws)):
         with pytest.raises(ValueError, match="different customers at length 9"):
             call()
+
+
+def test_a_tree_of_parts_keeps_the_law(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 4, 600)
+    aligned = R.answers(with_codes(table(spark, y, {m: np.where(rng.random(600) < 0.6, y, rng.integers(0, 5, 600)) for m in "ab"})), ["a", "b"])
+    cells, spread = R.joint_cells(aligned), {}
+    for parts, fan in ((4096, 256), (2, 2)):
+        monkeypatch.setattr(R, "CELLS_PER_TASK", parts)
+        monkeypatch.setattr(R, "FAN", fan)
+        draws = R.multinomial_draws(cells, ["a", "b"], draws=600).toPandas()
+        assert len(draws) == 1200 and (draws[list(R.CELLS)].sum(axis=1) == 600).all()
+        spread[parts] = R.draw_scores(spark.createDataFrame(draws)).toPandas().groupby("model")["acc"].agg(["mean", "std"])
+    a, b = spread[4096], spread[2]
+    assert (a["mean"] - b["mean"]).abs().max() < 0.005 and ((a["std"] / b["std"]) - 1).abs().max() < 0.15

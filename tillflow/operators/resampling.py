@@ -17,6 +17,7 @@ from tillflow.sources.predictions import base_model
 ABSENT = -1                    # code of a model that has no answers in a population
 CELLS_PER_TASK = 4096
 DRAWS_PER_BLOCK = 250
+FAN = 256                      # children of a node of the tree of parts
 
 
 def at_every_length(predictions: DataFrame) -> DataFrame:
@@ -56,27 +57,61 @@ def joint_cells(aligned: DataFrame, by=("length",)) -> DataFrame:
     return aligned.groupBy(*by, "y", "codes").agg(F.count("*").alias("n"))
 
 
+def _part_totals(parted: DataFrame, by: list, blocks: Column, draws: int, seed: int) -> DataFrame:
+    """(by, _part, _block, _total): how many of each resample's customers fall into each part, an array over the draws of the block."""
+    types, n_by, per_block = dict(parted.dtypes), len(by), DRAWS_PER_BLOCK
+    weights = parted.groupBy(*by, "_part").agg(F.sum("n").alias("_w"))
+    most, depth = weights.agg(F.max("_part")).first()[0], 1
+    while most is not None and most + 1 > FAN ** depth:
+        depth += 1
+    size = F.least(F.lit(per_block), F.lit(draws) - F.col("_block") * per_block)
+    above = (weights.groupBy(*by).agg(F.sum("_w").alias("_w")).withColumn("_block", F.explode(blocks))
+             .select(*by, F.lit(0).cast("long").alias("_node"), "_block", F.array_repeat("_w", size.cast("int")).alias("_total")))
+    schema = ", ".join([f"{c} {types[c]}" for c in by] + ["_node long", "_block int", "_total array<long>"])
+
+    def sharer(level):
+        def share(key, rows, parent):
+            import numpy as np
+            import pandas as pd
+
+            rows = rows.sort_values("_child")
+            w, node, block = rows["_w"].to_numpy(dtype=np.int64), int(key[n_by]), int(key[n_by + 1])
+            total = np.asarray(parent["_total"].iloc[0], dtype=np.int64)
+            drawn = np.random.default_rng([seed, block, node, level + 1]).multinomial(total, np.tile(w / w.sum(), (len(total), 1)))
+            out = pd.DataFrame({"_node": rows["_child"].to_numpy(), "_block": block, "_total": list(drawn.T)})
+            for i, value in enumerate(key[:n_by]):
+                out.insert(i, by[i], value)
+            return out
+
+        return share
+
+    for level in reversed(range(depth)):
+        children = (weights.groupBy(*by, F.expr(f"_part div {FAN ** level}").alias("_child")).agg(F.sum("_w").alias("_w"))
+                    .withColumn("_parent", F.expr(f"_child div {FAN}")).withColumn("_block", F.explode(blocks)))
+        keys = [*by, "_parent", "_block"]
+        up = above.select(*[F.col(c).alias(f"_of{c}") for c in by], F.col("_node").alias("_of_parent"), F.col("_block").alias("_of_block"), "_total")
+        above = children.select(*keys, "_child", "_w").groupBy(*keys).cogroup(
+            up.groupBy(*[f"_of{c}" for c in by], "_of_parent", "_of_block")).applyInPandas(sharer(level), schema)
+    return above.withColumnRenamed("_node", "_part").withColumn("_part", F.col("_part").cast("int"))
+
+
 def multinomial_draws(cells: DataFrame, models, by=("length",), draws: int = DEFAULTS.bootstrap_draws,
                       seed: int = DEFAULTS.seed) -> DataFrame:
     """Resampled confusion cells: (by, draw, model, c00 .. c34).
 
-    Cells are cut into parts of about CELLS_PER_TASK and draws into blocks; a part first takes its share of the
-    resample by a multinomial over the parts (same stream in every part), then splits it over its cells. The streams
-    hang on seed, block and part only, so the result does not depend on the cluster.
+    Cells are cut into parts of about CELLS_PER_TASK and draws into blocks. A tree hands a resample's size down to the parts, FAN
+    children at a time, once per block; then each part splits its share over its cells. Every step reads and writes rows in proportion
+    to cells or parts. The streams hang on seed, level, block and node only, so the result does not depend on the cluster; a population
+    cut into another number of parts draws other numbers by the same law.
     """
     by, models = list(by), list(models)
     sizes = cells.groupBy(*by).agg(F.ceil(F.count("*") / CELLS_PER_TASK).alias("_parts"))
     parted = cells.join(sizes, by).withColumn("_part", F.pmod(F.xxhash64("y", "codes"), F.col("_parts")).cast("int"))
-    weights = (parted.groupBy(*by, "_part").agg(F.sum("n").alias("_w")).groupBy(*by)
-               .agg(F.array_sort(F.collect_list(F.struct("_part", "_w"))).alias("_all"))
-               .select(*by, F.transform("_all", lambda x: x["_part"]).alias("_ids"),
-                       F.transform("_all", lambda x: x["_w"]).alias("_weights")))
     blocks = F.sequence(F.lit(0), F.lit(-(-draws // DRAWS_PER_BLOCK) - 1))
     work = parted.withColumn("_block", F.explode(blocks)).select(*by, "_part", "_block", "y", "codes", "n")
-    # one row per part and block with the weights of all parts, so that cells do not carry them
-    totals = weights.withColumn("_part", F.explode("_ids")).withColumn("_block", F.explode(blocks))
     n_by, n_cells, k, per_block, absent = len(by), len(CELLS), N_CLASSES, DRAWS_PER_BLOCK, ABSENT
     columns, names = [*by, "draw", "model", *CELLS], list(CELLS)
+    totals = _part_totals(parted, by, blocks, draws, seed)
 
     def resample(key, part, whole):
         import numpy as np
@@ -84,11 +119,10 @@ def multinomial_draws(cells: DataFrame, models, by=("length",), draws: int = DEF
 
         keys, this, block = key[:n_by], int(key[n_by]), int(key[n_by + 1])
         size = min(per_block, draws - block * per_block)
-        ids, w = np.asarray(whole["_ids"].iloc[0]), np.asarray(whole["_weights"].iloc[0], dtype=np.int64)
         codes, y = np.stack(part["codes"].to_numpy()), part["y"].to_numpy()
         order = np.lexsort(np.column_stack([codes, y]).T)
         codes, y, n = codes[order], y[order], part["n"].to_numpy(dtype=np.int64)[order]
-        total = np.random.default_rng([seed, block]).multinomial(w.sum(), w / w.sum(), size=size)[:, ids.tolist().index(this)]
+        total = np.asarray(whole["_total"].iloc[0], dtype=np.int64)
         drawn = np.random.default_rng([seed, block, this + 1]).multinomial(total, np.tile(n / n.sum(), (size, 1)))
         out = []
         for j, model in enumerate(models):
@@ -107,7 +141,7 @@ def multinomial_draws(cells: DataFrame, models, by=("length",), draws: int = DEF
     types = dict(cells.dtypes)
     schema = ", ".join([f"{c} {types[c]}" for c in by] + ["draw int", "model string"] + [f"{c} long" for c in CELLS])
     keys = [*by, "_part", "_block"]
-    whole = totals.select(*[F.col(c).alias(f"_of{c}") for c in keys], "_ids", "_weights")      # own names: both sides share a source
+    whole = totals.select(*[F.col(c).alias(f"_of{c}") for c in keys], "_total")                # own names: both sides share a source
     shares = work.groupBy(*keys).cogroup(whole.groupBy(*[f"_of{c}" for c in keys])).applyInPandas(resample, schema)
     return shares.groupBy(*by, "draw", "model").agg(*[F.sum(c).alias(c) for c in CELLS])
 
