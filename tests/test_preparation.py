@@ -252,15 +252,14 @@ def test_filter_counts_and_overlap(spark, ladder):
     assert (row["list_a"], row["list_b"], row["in_both"], row["expected"]) == (10, 15, 5, 1.5)
 
 
-def test_cluster_must_name_its_checkpoint_folder():
+def test_cluster_must_name_its_checkpoint_folder(spark):
     from types import SimpleNamespace as N
 
-    from tillflow.sources.session import durable
+    from tillflow.sources.session import durable, scratch_folder
 
-    asked = []
-    context = lambda folder: N(getCheckpointDir=lambda: None, master="spark://head:7077", setCheckpointDir=asked.append,
-                               getConf=lambda: N(get=lambda key: folder))
-    frame = lambda folder: N(sparkSession=N(sparkContext=context(folder)), checkpoint=lambda: "written")
+    session = lambda folder: N(sparkContext=N(master="spark://head:7077", getConf=lambda: N(get=lambda key: folder)))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        durable(frame(None))
-    assert durable(frame("hdfs://shared")) == "written" and asked == ["hdfs://shared"]
+        scratch_folder(session(None))
+    assert scratch_folder(session("hdfs://shared")) == "hdfs://shared"
+    kept = durable(spark.range(5).withColumn("x", F.array("id")))
+    assert sorted(r["x"][0] for r in kept.collect()) == [0, 1, 2, 3, 4] and kept.inputFiles()

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,17 +23,25 @@ def local_session(cpus: int | str = 8, name: str = "tillflow") -> SparkSession:
     return spark
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`, which all executors share. Only a local session that names none (tests, the local
+    benchmark) gets a temporary folder of its own."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        global _LOCAL
+        _LOCAL = _LOCAL or tempfile.mkdtemp(prefix="tillflow-scratch-")
+        folder = _LOCAL
+    return folder
+
+
+_LOCAL = ""
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """`df` written to the session's checkpoint folder and read back, so lost executors do not recompute it.
-
-    The folder is the one the session names; a local session without one gets a temporary folder.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="tillflow-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    """`df` written as Parquet below the scratch folder and read back, so lost executors do not recompute it and readers prune columns."""
+    path = f"{scratch_folder(df.sparkSession).rstrip('/')}/tillflow-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
