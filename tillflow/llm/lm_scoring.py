@@ -302,8 +302,8 @@ def _score(shared):
         base_log = np.log10((v.n + EXTRA) / v.base_norm) if len(v.n) else np.zeros(1)
         rest_log = np.log10((v.n + EXTRA) / v.rest) if len(v.n) else np.zeros(1)
         for b in batches:
-            for s in range(0, b.num_rows, 2000):
-                part = b.slice(s, min(2000, b.num_rows - s))
+            for s in range(0, b.num_rows, 5000):
+                part = b.slice(s, min(5000, b.num_rows - s))
                 texts, scalars, tails = [], [], []
                 for first, end, t, begin in token_table(part.column("text")):
                     at = v.look_up(t)
