@@ -289,7 +289,9 @@ def train(docs: DataFrame, counts: DataFrame, texts: int = TRAIN_DOCS, tokens: i
     top = counts.orderBy(F.desc("n"), "word").limit(DICTIONARY).toArrow()
     v = Vocabulary(np.asarray(top.column("word"), np.int64), np.asarray(top.column("n"), np.int64), total, distinct)
     shared = docs.sparkSession.sparkContext.broadcast(v)
-    sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(texts)
+    hashed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_hash"))
+    cut = hashed.select("_hash").orderBy("_hash").limit(texts).agg(F.max("_hash")).first()[0]          # hashes only, no texts
+    sample = hashed.filter(F.col("_hash") <= F.lit(cut).cast("long")).dropDuplicates(["_hash"]).select("doc_id", "text")
     rows = sample.mapInArrow(_sample(shared, tokens), "doc_id long, numbers binary").toArrow()
     got = sorted(zip((-1 if i is None else i for i in rows.column("doc_id").to_pylist()), rows.column("numbers").to_pylist()))
     model = GatedModel(v.counts, v.rest).fit([np.frombuffer(r[1], np.int32) for r in got])
