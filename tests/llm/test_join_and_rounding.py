@@ -83,10 +83,9 @@ def test_join_of_odd_rows(odd, nothing):
 def test_bitmap_bound_is_an_upper_bound():
     rng = np.random.default_rng(1)
     for _ in range(50):
-        a, b = (np.unique(rng.integers(0, 3000, rng.integers(1, 900)).astype(np.uint64)) for _ in "ab")
-        x, y = ngram_join._bitmap(a), ngram_join._bitmap(b)
-        bound = min(len(a) - int(np.bitwise_count(x & ~y).sum()), len(b) - int(np.bitwise_count(y & ~x).sum()))
-        assert bound >= len(np.intersect1d(a, b))
+        a, b = (np.unique(rng.integers(0, 3000, rng.integers(1, 2600)).astype(np.uint64)) for _ in "ab")
+        bound = ngram_join.overlap_bound(len(a), ngram_join._bitmap(a), len(b), ngram_join._bitmap(b))
+        assert len(np.intersect1d(a, b)) <= bound <= min(len(a), len(b))
 
 
 def test_components_of_a_long_chain_and_a_star(spark):

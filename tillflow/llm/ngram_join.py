@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from tillflow.llm.common import documents, forget, mix, row_spans, text_chunks, words, written
 from tillflow.llm.components import components
 
-BITS = 1024                        # of a signature
+BITS = 1024                        # of a signature at least; larger sets have about a bit for each shingle
 BROADCAST_ROWS = 1_000_000         # hashes sent to all executors at most; more are joined by shuffle
 WIDE = 1.5                         # largest by smallest size of a band
-GROWTH = 64                        # of the number of hubs from round to round
+GROWTH = 8                         # of the number of hubs from round to round
 ORDER_SHARE = 16                   # one text in so many tells which shingles are frequent
 FREQUENT = 1 << 20                 # shingles whose frequency the order knows, at most
 
@@ -101,11 +101,18 @@ def _tiles(h: np.ndarray, bands: Bands, frequent: tuple[np.ndarray, np.ndarray])
 
 
 def _bitmap(h: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, bool)
-    bits[(h & np.uint64(BITS - 1)).astype(np.int64)] = True
+    """Bit h mod width for each shingle; the width is a power of two, the first one not below the size of the set."""
+    width = max(BITS, 1 << max(len(h) - 1, 0).bit_length())
+    bits = np.zeros(width, bool)
+    bits[(h & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits)
 
 
+def _fold(bits: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap that a narrower signature of `size` bytes would have had."""
+    return np.bitwise_or.reduce(bits.reshape(-1, size), axis=0) if len(bits) > size else bits
+
+
 def _some_shingles(k: int):
     def run(batches):
         for b in batches:
@@ -153,17 +160,24 @@ def _shingles(k: int):
     return run
 
 
+def overlap_bound(n_a: int, bits_a: np.ndarray, n_b: int, bits_b: np.ndarray) -> int:
+    """No more shingles than this are common: each bit set on one side only stands for a shingle that the other side lacks."""
+    size = min(len(bits_a), len(bits_b))
+    a, b = _fold(bits_a, size), _fold(bits_b, size)
+    return min(n_a - int(np.bitwise_count(a & ~b).sum()), n_b - int(np.bitwise_count(b & ~a).sum()))
+
+
 def _bounded(percent: int):
-    """Pairs whose bitmaps leave room for a link: bits set on one side only stand for shingles that the other side lacks."""
+    """Pairs whose bitmaps leave room for a link."""
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            n = [batch.column(f"n_{x}").to_numpy() for x in "ab"]
-            bits = [np.frombuffer(b"".join(batch.column(f"bits_{x}").to_pylist()), np.uint64).reshape(-1, BITS // 64) for x in "ab"]
-            bound = np.minimum(n[0] - np.bitwise_count(bits[0] & ~bits[1]).sum(1, dtype=np.int64), n[1] - np.bitwise_count(bits[1] & ~bits[0]).sum(1, dtype=np.int64))
-            room = pa.array((100 + percent) * bound >= percent * (n[0] + n[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(x).filter(room) for x in "ab"], ["a", "b"])
+            n_a, n_b = (batch.column(f"n_{x}").to_pylist() for x in "ab")
+            bits_a, bits_b = (batch.column(f"bits_{x}") for x in "ab")
+            view = lambda column, i: np.frombuffer(column[i].as_buffer(), np.uint8)
+            keep = [i for i in range(batch.num_rows)
+                    if (100 + percent) * overlap_bound(n_a[i], view(bits_a, i), n_b[i], view(bits_b, i)) >= percent * (n_a[i] + n_b[i])]
+            keep = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(x).take(keep) for x in "ab"], ["a", "b"])
     return run
 
 
@@ -214,11 +228,16 @@ class Verifier:
 
 
 def tile_members(classes: DataFrame) -> DataFrame:
-    """(node, tiles) -> (tile, node, hub) of tiles with several classes; of tiles with the same members, one stays."""
-    flat = classes.select("node", F.explode("tiles").alias("tile"))
-    shared = (flat.groupBy("tile").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("node").alias("who"), F.min("node").alias("hub")).filter("n > 1")
-              .groupBy("n", "who", "hub").agg(F.min("tile").alias("tile")))
-    return flat.join(shared.select("tile", "hub"), "tile")
+    """(node, n, tiles) -> (tile, node, n, degree) of tiles with several classes; of tiles with the same members, one stays.
+
+    degree: in how many of these tiles a class is. The text that others were made from shares more of its tiles than they do.
+    """
+    flat = classes.select("node", "n", F.explode("tiles").alias("tile"))
+    shared = (flat.groupBy("tile").agg(F.count(F.lit(1)).alias("k"), F.bit_xor("node").alias("who"), F.min("node").alias("low")).filter("k > 1")
+              .groupBy("k", "who", "low").agg(F.min("tile").alias("tile")))
+    members = written(flat.join(shared.select("tile"), "tile"), "members")
+    degree = members.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    return written(members.join(degree, "node"), "tiles")
 
 
 def similarity_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -233,35 +252,32 @@ def similarity_components(docs: DataFrame, k: int = 3, percent: int = 90) -> Dat
     sketches = written(docs.mapInArrow(_sketches(k, percent, frequent), "doc_id long, text_hash long, n_shingles long, node long, bits binary, tiles array<long>"), "sketches")
     classes = written(sketches.filter("node is not null").groupBy("node").agg(
         F.first("text_hash").alias("text_hash"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("tiles").alias("tiles")), "classes")
-    members = written(tile_members(classes), "tiles")
+    members = tile_members(classes)
     verifier = Verifier(docs, classes.drop("tiles"), k, percent)
-    pairs = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = verifier.links(pairs)
-    joined = written(components(links), "components")
-    open_ = members.select("tile", "node", "hub").filter("node <> hub").drop("hub")
-    open_, hubs = written(open_, "open"), GROWTH
+    links = joined = None
+    open_, hubs = members, 1
     while True:
-        # what is left of each tile, hubs so far taken out; only tiles with several components matter
-        now = (open_.join(joined, "node", "left").select("tile", "node", F.coalesce("root", "node").alias("root")))
-        mixed = now.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("tile")
-        now = written(now.join(mixed, "tile"), "open")
-        forget(open_)
-        open_ = now
-        if open_.isEmpty():
+        # the hubs of this round: of each slot of a tile the class with the largest degree; they meet the members of other components
+        placed = open_.withColumn("root", F.col("node")) if joined is None else open_.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = placed.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("tile")
+        now = written(placed.join(mixed, "tile"), "open")
+        if now.isEmpty():
             break
-        # hubs of this round: the first by a hash that changes each round, a bounded number per tile, kept in an ordered aggregate
-        rank = F.struct(F.xxhash64(F.lit(hubs), "node").alias("r"), F.col("node"), F.col("root"))
-        chosen = open_.select("tile", rank.alias("h")).groupBy("tile", F.pmod(F.xxhash64("h.node"), F.lit(hubs)).alias("slot")).agg(F.min("h").alias("h"))
-        chosen = chosen.select("tile", F.col("h.node").alias("hub"), F.col("h.root").alias("hub_root"))
-        across = open_.join(chosen, "tile").filter("root <> hub_root")
-        pairs = across.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-        more = verifier.links(pairs)
-        if not more.isEmpty():
-            links = links.unionByName(more)
+        slot = F.pmod(F.xxhash64("node"), F.lit(hubs))
+        chosen = now.groupBy("tile", slot.alias("slot")).agg(F.max(F.struct("degree", "node", "n", "root")).alias("h")).select(
+            "tile", F.col("h.node").alias("hub"), F.col("h.root").alias("hub_root"), F.col("h.n").alias("hub_n"))
+        across = now.join(chosen, "tile").filter((F.col("root") != F.col("hub_root")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
+        more = verifier.links(across.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
+        if links is None or not more.isEmpty():
+            links = more if links is None else links.unionByName(more)
             joined = written(components(links), "components")
-        following = written(open_.join(chosen, (open_["tile"] == chosen["tile"]) & (open_["node"] == chosen["hub"]), "left_anti").select("tile", "node"), "open")
-        forget(open_)
+        # every pair of a hub in its tile is settled now: it leaves the tile
+        spent = chosen.select("tile", F.col("hub").alias("node"))
+        following = written(now.drop("root").join(spent, ["tile", "node"], "left_anti"), "open")
+        forget(now)
         open_, hubs = following, hubs * GROWTH
+    if joined is None:
+        joined = components(docs.sparkSession.createDataFrame([], "a long, b long"))
 
     roots = sketches.select("doc_id", "n_shingles", "node").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = roots.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
