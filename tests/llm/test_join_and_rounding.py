@@ -65,7 +65,7 @@ def test_join_equals_all_pairs(spark, k, percent):
 def test_order_of_prefixes_bears_on_work_only(spark, monkeypatch):
     rows = near_copies()
     monkeypatch.setattr(ngram_join, "ORDER_SHARE", 1)
-    monkeypatch.setattr(ngram_join, "GROWTH", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
     got = ngram_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(plain_components(rows, 3, 90))
 

@@ -6,14 +6,16 @@
    band, and to those of the band below if a set of that band can be large enough to link with it. No link is lost. The order puts
    frequent shingles last, so that a passage that many documents share makes no tile unless it is nearly all of a document; how
    frequent a shingle is, is estimated, and bears on the work only, not on the result.
-3. In each tile the hub (smallest class) is compared with the members: bitmaps of hashed shingles first, whose bits set on one
-   side only bound the overlap from above, then exact intersection of the sorted arrays.
-4. Links are contracted to components. Tiles that still hold several components get further hubs, GROWTH times as many each round, and
-   compare only across components, until every pair of a tile is compared or connected. No pairs of a group are listed for their
-   own sake: copies in thousands cost one comparison each.
+3. In each tile the hub (the class that shares most tiles) is compared with the members: bitmaps of hashed shingles first, whose bits
+   set on one side only bound the overlap from above, then exact intersection of the sorted arrays. Links are contracted to components.
+4. Tiles that still hold several components are cut into blocks of BLOCK classes; every pair of blocks is one small task that runs over
+   the bitmaps and lets through only pairs of different components that could link. These are verified exactly and contracted again.
+   No pairs of a group are listed for their own sake: copies in thousands cost one comparison each.
 """
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +27,7 @@ from tillflow.llm.components import components
 BITS = 1024                        # of a signature at least; larger sets have about a bit for each shingle
 BROADCAST_ROWS = 1_000_000         # hashes sent to all executors at most; more are joined by shuffle
 WIDE = 1.5                         # largest by smallest size of a band
-GROWTH = 8                         # of the number of hubs from round to round
+BLOCK = 512                        # classes of a tile that meet in one comparison of blocks
 ORDER_SHARE = 16                   # one text in so many tells which shingles are frequent
 FREQUENT = 1 << 20                 # shingles whose frequency the order knows, at most
 
@@ -181,6 +183,44 @@ def _bounded(percent: int):
     return run
 
 
+def _blocks(percent: int):
+    """Pairs of different components in two blocks of a tile that the bitmaps let through. Rows come sorted by tile and blocks."""
+    def rows(batches):
+        for b in batches:
+            yield from zip(*[b.column(c).to_pylist() for c in ("tile", "i", "j", "block", "node", "n", "root", "bits")])
+
+    def run(batches):
+        for (_, i, j), group in itertools.groupby(rows(batches), key=lambda r: r[:3]):
+            group = list(group)
+            size = min(len(r[7]) for r in group)
+            bits = np.stack([_fold(np.frombuffer(r[7], np.uint8), size) for r in group]).view(np.uint64)
+            block, node, n, root = (np.array([r[c] for r in group], np.int64) for c in (3, 4, 5, 6))
+            place = np.arange(len(group))
+            a, b = [], []
+            for x in np.flatnonzero(block == i):
+                other = (root != root[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])) & ((place > x) if i == j else (block == j))
+                y = np.flatnonzero(other)
+                if len(y):
+                    bound = np.minimum(n[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(1, dtype=np.int64), n[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(1, dtype=np.int64))
+                    y = y[(100 + percent) * bound >= percent * (n[x] + n[y])]
+                    a.append(np.full(len(y), node[x]))
+                    b.append(node[y])
+            if a:
+                a, b = np.concatenate(a), np.concatenate(b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    return run
+
+
+def block_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(tile, node, root) -> distinct (a, b) that could link across components, from comparisons of blocks."""
+    sizes = members.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    cut = members.join(sizes, "tile").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cut = cut.select("tile", "node", "root", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    full = cut.join(classes.select("node", "n", "bits"), "node").select("tile", "i", "j", "block", "node", "n", "root", "bits")
+    return full.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j").mapInArrow(_blocks(percent), "a long, b long").distinct()
+
+
 def _linked(percent: int):
     """Pairs that link, by exact intersection of their sorted shingles."""
     def run(batches):
@@ -220,7 +260,10 @@ class Verifier:
             self.made = new if self.made is None else self.made.unionByName(new)
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        near = written(_beside(pairs, self.classes, ["n", "bits"]).mapInArrow(_bounded(self.percent), "a long, b long"), "near")
+        return self.exact(_beside(pairs, self.classes, ["n", "bits"]).mapInArrow(_bounded(self.percent), "a long, b long"))
+
+    def exact(self, near: DataFrame) -> DataFrame:
+        near = written(near, "near")
         self._need(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         if self.made is None:
             return near
@@ -254,30 +297,16 @@ def similarity_components(docs: DataFrame, k: int = 3, percent: int = 90) -> Dat
         F.first("text_hash").alias("text_hash"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("tiles").alias("tiles")), "classes")
     members = tile_members(classes)
     verifier = Verifier(docs, classes.drop("tiles"), k, percent)
-    links = joined = None
-    open_, hubs = members, 1
-    while True:
-        # the hubs of this round: of each slot of a tile the class with the largest degree; they meet the members of other components
-        placed = open_.withColumn("root", F.col("node")) if joined is None else open_.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = placed.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("tile")
-        now = written(placed.join(mixed, "tile"), "open")
-        if now.isEmpty():
-            break
-        slot = F.pmod(F.xxhash64("node"), F.lit(hubs))
-        chosen = now.groupBy("tile", slot.alias("slot")).agg(F.max(F.struct("degree", "node", "n", "root")).alias("h")).select(
-            "tile", F.col("h.node").alias("hub"), F.col("h.root").alias("hub_root"), F.col("h.n").alias("hub_n"))
-        across = now.join(chosen, "tile").filter((F.col("root") != F.col("hub_root")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
-        more = verifier.links(across.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
-        if links is None or not more.isEmpty():
-            links = more if links is None else links.unionByName(more)
-            joined = written(components(links), "components")
-        # every pair of a hub in its tile is settled now: it leaves the tile
-        spent = chosen.select("tile", F.col("hub").alias("node"))
-        following = written(now.drop("root").join(spent, ["tile", "node"], "left_anti"), "open")
-        forget(now)
-        open_, hubs = following, hubs * GROWTH
-    if joined is None:
-        joined = components(docs.sparkSession.createDataFrame([], "a long, b long"))
+    hubs = members.groupBy("tile").agg(F.max(F.struct("degree", "node")).alias("h")).select("tile", F.col("h.node").alias("hub"))
+    star = members.join(hubs, "tile").filter("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    links = verifier.links(star)
+    joined = written(components(links), "components")
+    placed = (members.join(hubs, "tile").filter("node <> hub").join(joined, "node", "left")                # the hubs' pairs are settled
+              .select("tile", "node", F.coalesce("root", "node").alias("root")))
+    mixed = placed.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("tile")
+    more = verifier.exact(block_pairs(written(placed.join(mixed, "tile"), "open"), classes, percent))
+    if not more.isEmpty():
+        joined = written(components(links.unionByName(more)), "components")
 
     roots = sketches.select("doc_id", "n_shingles", "node").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = roots.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
