@@ -261,6 +261,27 @@ def test_leaks_equal_plain_windows(spark):
     assert sorted(r["doc_id"] for r in decontamination.clean(df, bench).collect()) == sorted({d for d, _ in docs} - {d for d, _ in want})
 
 
+def test_passages_cut_at_a_texts_edge_are_found(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    item, more = [word() for _ in range(60)], [word() for _ in range(40)]
+    docs = [("last at end", more + item[:-1]), ("last at start", item[:-1] + more), ("first at end", more + item[1:]), ("first at start", item[1:] + more),
+            ("short by one", item[:-1]), ("short by two", item[1:-1]), ("whole", more + item), ("turned", more + item[30:] + item[:30] + more[:9]),
+            ("half", more + item[:30]), ("short half", item[:30]), ("other", more)]
+    df = spark.createDataFrame([(d, " ".join(ws)) for d, ws in docs], "doc_id string, text string")
+    got = {r["doc_id"]: r for r in decontamination.contaminated(df, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    grams = lambda ws: {tuple(ws[i:i + 5]) for i in range(len(ws) - 4)}
+    want = {}
+    for d, ws in docs:
+        for s in range(max(len(ws) - 60, 0) + 1):
+            a, b = grams(ws[s:s + 60]), grams(item)
+            if len(a & b) / len(a | b) >= 0.8:
+                want[d] = max(want.get(d, 0), len(a & b) / len(a | b))
+    assert set(want) == {d for d, _ in docs[:8]}
+    assert got.keys() == want.keys() and all(got[d]["similarity"] == pytest.approx(want[d]) for d in want)
+    assert all(got[d]["first_word"] + got[d]["n_words"] <= len(ws) for d, ws in docs if d in got)
+
+
 def test_blocks_find_every_pair_within_the_radius(spark):
     rnd = random.Random(6)
     rows = [(i, p - (1 << 64) if p >= 1 << 63 else p) for i in range(60) for p in [rnd.getrandbits(64)]]

@@ -1,9 +1,9 @@
 """Benchmark decontamination, in DataFrame functions only.
 
 Texts and benchmark items become words (lower case, letters and digits) and hashed shingles of five words. Every item has its own
-length in words; the windows looked at in a document have the lengths of items. A window can only be like an item if they share a
-shingle, so windows are laid where a document's shingle occurs in some item, at the place that the shingle has there; all other
-windows have similarity 0. Each window gets a 64-bit SimHash of its shingles. Fingerprints are cut into RADIUS + 1 blocks: two that
+length in words; the windows looked at in a document have the lengths of items, at every place inside the text; a text shorter than
+an item is one window as a whole. A window can only reach the similarity asked for if enough of its shingles occur in items of its
+length, so windows with fewer are left out; no other window is. Each window gets a 64-bit SimHash of its shingles. Fingerprints are cut into RADIUS + 1 blocks: two that
 differ in RADIUS bits at most agree in one block whole, so an equality join on (window length, block, bits of the block) finds every
 such pair; each pair is kept at its first equal block only. Candidates are verified by the exact weighted similarity of their
 shingles: sum of the smaller by sum of the larger counts.
@@ -51,6 +51,20 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def starts(least: float) -> Column:
+    """First words of the windows with enough shingles, from p (sorted places of the shingles that occur in items of n_words words) and n.
+
+    With `need` shingles of the window among p, the window whose first such shingle is p[i] starts after p[i - 1], not after p[i], and
+    not before p[i + need - 1] would fall out of it.
+    """
+    own = f"(least(n, n_words) - {SHINGLE - 1})"
+    need = f"greatest(1, int(ceil({least} * ({own} + n_words - {SHINGLE - 1}) / (1 + {least}) - 1e-9)))"
+    low = f"greatest(0, if(i = 0, 0, p[i - 1] + 1), p[i + {need} - 1] - {own} + 1)"
+    high = "least(p[i], greatest(n - n_words, 0))"
+    return F.expr(f"""flatten(transform(if(size(p) < {need}, array(), sequence(0, size(p) - {need})),
+        i -> if({low} <= {high}, sequence({low}, {high}), array())))""")
+
+
 def blocks(df: DataFrame) -> DataFrame:
     """A row per block of the fingerprint."""
     return df.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).withColumn(
@@ -60,22 +74,22 @@ def blocks(df: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """(text_key, item_id, similarity, first_word, n_words): the best window of each text for each item it contains.
 
+    Of equally similar windows those with a shingle at its place in the item come first, then the earliest. n_words is the window's.
     text_key is md5 of the text (null: of the empty text), so equal texts are found together. Items of fewer than SHINGLE words hold
     no shingle and match nothing; null texts likewise; an item without an id matches like others; repeated item rows count once; an empty table on either side gives no rows.
     """
     items = items.select("item_id", word_hashes(F.col("text")).alias("w")).select("item_id", F.size("w").alias("n_words"), shingles_of(F.col("w")).alias("shingles"))
     items = written(items.filter(F.size("shingles") > 0).withColumn("fingerprint", simhash("shingles"))
                     .withColumn("item_key", F.xxhash64("item_id", "shingles")).dropDuplicates(["item_key"]), "items")
-    places = written(items.select("n_words", F.posexplode("shingles").alias("offset", "shingle")).distinct(), "places")
-    n_places = places.count()
+    known = written(items.select("n_words", F.explode("shingles").alias("shingle")).distinct(), "known")
+    n_known = known.count()
 
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(F.md5(text.cast("binary")).alias("text_key"), word_hashes(F.col("text")).alias("w"))
     found = (texts.select("text_key", F.size("w").alias("n"), F.posexplode(shingles_of(F.col("w"))).alias("at", "shingle"))
-             .join(_sized(places, n_places), "shingle")
-             .withColumn("first_word", F.col("at") - F.col("offset"))
-             .filter("first_word >= 0 and first_word + n_words <= n"))
-    laid = written(found.groupBy("text_key", "first_word", "n_words").agg(F.count(F.lit(1)).alias("hits")).select("text_key", "first_word", "n_words"), "windows")
+             .join(_sized(known, n_known), "shingle")
+             .groupBy("text_key", "n", "n_words").agg(F.sort_array(F.collect_set("at")).alias("p")))
+    laid = written(found.select("text_key", "n_words", F.explode(starts(least)).alias("first_word")), "windows")
     per_text = laid.groupBy("text_key").agg(F.collect_list(F.struct("first_word", "n_words")).alias("laid"))
     windows = (texts.join(_sized(per_text, laid.count()), "text_key").dropDuplicates(["text_key"])
                .select("text_key", shingles_of(F.col("w")).alias("all"), F.explode("laid").alias("x"))
@@ -95,7 +109,8 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
             .join(items.select("item_key", "item_id", F.col("shingles").alias("sb")), "item_key")
             .withColumn("common", similarity("sa", "sb"))
             .withColumn("similarity", F.col("common") / (F.size("sa") + F.size("sb") - F.col("common"))).filter(F.col("similarity") >= least))
-    best = F.max(F.struct("similarity", (-F.col("first_word")).alias("place"), "n_words")).alias("b")
+    best = F.max(F.struct("similarity", F.expr("exists(zip_with(sa, sb, (x, y) -> x = y), same -> same)").alias("placed"),
+                          (-F.col("first_word")).alias("place"), (F.size("sa") + F.lit(SHINGLE - 1)).alias("n_words"))).alias("b")
     return both.groupBy("text_key", "item_id").agg(best).select(
         "text_key", "item_id", "b.similarity", (-F.col("b.place")).alias("first_word"), "b.n_words")
 
