@@ -188,6 +188,20 @@ def test_scores_of_odd_rows(spark, odd, nothing, monkeypatch):
     assert all(r["base_score"] == pytest.approx(0.0, abs=1e-9) for r in unlearned)
 
 
+def test_the_network_learns_from_whole_texts_of_all_parts(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PART_TOKENS", 20_000)             # several parts
+    rnd = random.Random(5)
+    order = lambda n: " ".join("abcdefgh"[(s + j) % 8] for s in [rnd.randrange(8)] for j in range(n))
+    learn = [(i, order(700) + " z" * 500, False) for i in range(100)]    # order stands before the last 400 words only
+    docs = spark.createDataFrame(learn + [(100 + i, order(40), True) for i in range(40)], "doc_id long, text string, held_out boolean")
+    train = docs.filter("not held_out")
+    counts = lm_scoring.corpus_counts(train).cache()
+    v, m = lm_scoring.train(train, counts)
+    got = lm_scoring.score_documents(docs, v, m, counts).filter("held_out").toPandas()
+    assert got["score"].sum() > 0.6 * got["base_score"].sum()
+    assert lm_scoring.learned_round(train.repartition(20), v, m, m.pack(m.fresh_sums()))[0] == v.total == 100 * 1201
+
+
 def test_the_network_beats_word_frequencies_where_there_is_order(spark):
     rnd = random.Random(3)
     rows = [(i, " ".join("abcdefgh"[(s + j) % 8] for j in range(40))) for i in range(400) for s in [rnd.randrange(8)]]

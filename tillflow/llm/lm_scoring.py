@@ -5,22 +5,26 @@ text are the network's own; they are dealt by rank into CLASSES, and the rest, a
 the corpus counts decide: (c + 0.1) by their sum, with 0.1 for a word never seen. So
     P(word | state) = P(class | state) * P(word | class, state)   or   P(rest | state) * P(word | rest).
 The network (one GRU layer) is trained in numpy by truncated backpropagation: streams of documents run in windows, the state goes on
-from window to window and is reset at a document's start. It learns from a bounded sample (TRAIN_DOCS documents with the smallest
-hash, TRAIN_TOKENS tokens of each), starting from the log counts of the whole corpus. Scoring reads whole texts in the same way,
-many documents side by side, the state carried across windows, so a text's score does not depend on window borders.
+from window to window and is reset at a document's start. It learns from every token of every training document, starting from the
+log counts of the whole corpus: in each of ROUNDS rounds every part of the table goes through its whole texts once, from the weights
+that all share, and a tree averages what the parts come to, weighted by their tokens; the driver sees one set of weights a round.
+Parts are those that the table is read in, so the last digits of scores hang on how its files are cut. Scoring reads whole texts in
+the same way, many documents side by side, the state carried across windows, so a text's score does not depend on window borders.
 
 Counts of the DICTIONARY most frequent words go to the executors (a fixed bound); the other words of a text are looked up by a join.
 """
 from __future__ import annotations
 
+import copy
 import heapq
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillflow.llm.common import documents, row_spans, text_chunks, words, written
+from tillflow.llm.common import documents, forget, row_spans, text_chunks, words, written
 from tillflow.llm.language import held_out
 
 END = np.uint64(0x5EED0F7E870FE4D5)     # the hash that stands for the end of a text
@@ -30,7 +34,10 @@ DICTIONARY = 1 << 20
 HIDDEN = 24
 WINDOW = 64                             # tokens of a window
 STREAMS = 256                           # documents side by side
-TRAIN_DOCS, TRAIN_TOKENS = 1500, 400
+ROUNDS = 2                              # times that every training token is learned from
+PART_TOKENS = 1 << 18                   # tokens of a part at least, where the table has so many
+TAKEN = 1 << 21                         # tokens dealt to streams at a time
+FAN_IN = 8                              # sets of weights averaged by one task
 EXTRA = 0.1                             # added to each count
 
 
@@ -201,9 +208,26 @@ class GatedModel:
         grads |= {"recur": recur, "inputs": (ids[at], np.add.reduceat(dx.reshape(-1, 3 * d)[order], at))}
         return -logs.sum(), grads, last
 
-    def fit(self, texts: list[np.ndarray], epochs: int = 2, rows: int = 32, rate: float = 0.08) -> GatedModel:
-        """texts: word numbers with the end. Adagrad on the mean loss per token."""
-        sums = {k: np.full_like(getattr(self, k), 1e-4) for k in self.NAMES}
+    def fresh_sums(self) -> dict:
+        return {k: np.full_like(getattr(self, k), 1e-4) for k in self.NAMES}
+
+    def pack(self, sums: dict) -> np.ndarray:
+        """Weights and Adagrad's sums in one row of numbers."""
+        return np.concatenate([x.ravel() for k in self.NAMES for x in (getattr(self, k), sums[k])]).astype(np.float32)
+
+    def unpack(self, state: np.ndarray) -> dict:
+        """Takes the weights of `pack` and returns the sums."""
+        sums, at = {}, 0
+        for k in self.NAMES:
+            shape, n = getattr(self, k).shape, getattr(self, k).size
+            setattr(self, k, state[at:at + n].reshape(shape).astype(np.float32))
+            sums[k] = state[at + n:at + 2 * n].reshape(shape).astype(np.float32)
+            at += 2 * n
+        return sums
+
+    def fit(self, texts: list[np.ndarray], epochs: int = 2, rows: int = 32, rate: float = 0.08, sums: dict | None = None) -> GatedModel:
+        """texts: word numbers with the end. Adagrad on the mean loss per token; `sums` are carried on where given."""
+        sums = self.fresh_sums() if sums is None else sums
 
         def move(name, where, g):
             s, p = sums[name], getattr(self, name)
@@ -269,32 +293,68 @@ def score_texts(model: GatedModel, texts: list[np.ndarray], streams: int = STREA
     return out / np.log(10)
 
 
-def _sample(vocabulary, tokens: int):
+def _learn(shared):
+    """One row per part that has texts: its number, its tokens, and the weights and sums that it comes to."""
     def run(batches):
-        v = vocabulary.value
+        v, model, state = shared.value
+        model = copy.copy(model)
+        sums, texts, held, total = model.unpack(state), [], 0, 0
+
+        def take():
+            model.fit(texts, epochs=1, rows=min(max(held >> 14, 32), STREAMS), sums=sums)
+
         for b in batches:
-            ids = b.column("doc_id").to_pylist()
-            for first, end, t, begin in token_table(b.column("text")):
+            for _, _, t, begin in token_table(b.column("text")):
                 at = v.look_up(t)
                 y = np.where(at >= 0, v.number[np.maximum(at, 0)] if len(v.number) else -1, -1)
                 y = np.where(y < 0, v.size, y).astype(np.int32)
-                rows = [y[s:e][-tokens:].tobytes() for s, e in zip(begin[:-1], begin[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first:end], pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "numbers"])
+                texts += [y[s:e] for s, e in zip(begin[:-1], begin[1:])]
+                held, total = held + len(y), total + len(y)
+                if held >= TAKEN:
+                    take()
+                    texts, held = [], 0
+        if texts:
+            take()
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total], pa.int64()),
+                                              pa.array([model.pack(sums).tobytes()], pa.binary())], ["part", "tokens", "state"])
     return run
 
 
-def train(docs: DataFrame, counts: DataFrame, texts: int = TRAIN_DOCS, tokens: int = TRAIN_TOKENS) -> tuple[Vocabulary, GatedModel]:
-    """docs: training documents (doc_id, text); counts: their corpus counts. The driver gets DICTIONARY counts and texts x tokens numbers at most."""
+def _average(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("part")
+    tokens, total = rows.column("tokens").to_pylist(), 0.0
+    for n, state in zip(tokens, rows.column("state")):
+        total = total + n * np.frombuffer(state.as_py(), np.float32).astype(np.float64)
+    mean = (total / sum(tokens)).astype(np.float32)
+    return pa.table({"part": pa.array([rows.column("part")[0].as_py() // FAN_IN], pa.int64()), "tokens": pa.array([sum(tokens)], pa.int64()),
+                     "state": pa.array([mean.tobytes()], pa.binary())})
+
+
+def learned_round(docs: DataFrame, vocabulary: Vocabulary, model: GatedModel, state: np.ndarray) -> tuple[int, np.ndarray]:
+    """Tokens learned from, and the state (see GatedModel.pack) after one pass over `docs` (text) from `state`."""
+    shared, kinds = docs.sparkSession.sparkContext.broadcast((vocabulary, model, state)), "part long, tokens long, state binary"
+    level = written(docs.select("text").mapInArrow(_learn(shared), kinds), "weights")
+    parts = level.agg(F.max("part")).first()[0]
+    while parts:                                                       # numbers of parts are divided by FAN_IN until only 0 is left
+        above = written(level.groupBy(F.expr(f"part div {FAN_IN}").alias("to")).applyInArrow(_average, kinds), "weights")
+        forget(level)
+        level, parts = above, parts // FAN_IN
+    tokens, packed = level.select("tokens", "state").first()
+    forget(level)
+    return tokens, np.frombuffer(bytes(packed), np.float32)
+
+
+def train(docs: DataFrame, counts: DataFrame) -> tuple[Vocabulary, GatedModel]:
+    """docs: training documents (text); counts: their corpus counts. The driver gets DICTIONARY counts and one set of weights a round."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.orderBy(F.desc("n"), "word").limit(DICTIONARY).toArrow()
     v = Vocabulary(np.asarray(top.column("word"), np.int64), np.asarray(top.column("n"), np.int64), total, distinct)
-    shared = docs.sparkSession.sparkContext.broadcast(v)
-    hashed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_hash"))
-    cut = hashed.select("_hash").orderBy("_hash").limit(texts).agg(F.max("_hash")).first()[0]          # hashes only, no texts
-    sample = hashed.filter(F.col("_hash") <= F.lit(cut).cast("long")).dropDuplicates(["_hash"]).select("doc_id", "text")
-    rows = sample.mapInArrow(_sample(shared, tokens), "doc_id long, numbers binary").toArrow()
-    got = sorted(zip((-1 if i is None else i for i in rows.column("doc_id").to_pylist()), rows.column("numbers").to_pylist()))
-    model = GatedModel(v.counts, v.rest).fit([np.frombuffer(r[1], np.int32) for r in got])
+    model = GatedModel(v.counts, v.rest)
+    state = model.pack(model.fresh_sums())
+    for _ in range(ROUNDS if total else 0):
+        _, state = learned_round(docs.coalesce(max(1, int(total) // PART_TOKENS)), v, model, state)
+    model.unpack(state)
     return v, model
 
 
