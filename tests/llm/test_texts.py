@@ -333,6 +333,18 @@ def test_personal_data_equals_plain_expressions(spark):
         assert set(mine) - {f"{k}:{a}:{b}" for k, a, b in spans} == ({"email:6:21"} if r["doc_id"] == 9 else set())     # "mail:" leads to it
 
 
+def test_added_values_of_many_hops(spark):
+    """Each context holds the values that the one before leads to, and new ones; the last new one has neither a digit nor an @."""
+    sizes, made = [106, 45, 19, 8, 3, 1], iter(range(1000))
+    hops = [[f"u{next(made)}@{'example.com' if h == 0 else 'localhost'}" for _ in range(n)] for h, n in enumerate(sizes)]
+    hops[-1] = ["jane(at)example.com"]
+    texts = [(f"{cue}: {v}", v) for cue, a, b in zip(("alpha", "beta", "gamma", "delta", "mail"), hops, hops[1:]) for v in a + b]
+    texts += [("x " * 3000 + "(" * 20000 + " [at] " + "y" * 20000 + "(AT)z", None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in personal_data.personal_data(df).collect()}
+    assert got == {i: f"email:{t.index(v)}:{len(t)}" if v else "" for i, (t, v) in enumerate(texts)}
+
+
 def test_personal_data_of_odd_rows(odd, nothing):
     got = personal_data.personal_data(odd).collect()
     assert len(got) == len(ROWS) and all(r["spans"] == "" and r["base_sha256"] == digest([]) for r in got)

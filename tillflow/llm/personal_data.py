@@ -4,9 +4,11 @@ Base spans (e-mail, IP, card, phone) come from fixed expressions. They are the s
 lexical patterns, such as "two words before" or "one word before and one after". Patterns and values (the identifiers' texts) form a
 bipartite graph. Each round scores a pattern for a kind by the share of its distinct values that are known to be of that kind, accepts
 patterns with enough known values and a high share, and accepts values of the right shape whose accepted patterns leave little doubt;
-these count as known in the next round. Every mention of an accepted value in an accepted pattern, outside the base spans, is added.
+these count as known in the next round. Rounds go on until nothing is added; the
+last one scores the patterns by all known values. Every mention of an accepted value in an accepted pattern, outside the base spans,
+is added.
 
-Texts are handled once per distinct text (md5), and only those with a digit or an @ at all.
+Texts are handled once per distinct text (md5), and only those with a digit, an @, (at) or [at] at all.
 """
 from __future__ import annotations
 
@@ -26,8 +28,8 @@ FORMS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    # tokens that could be identifiers: with a digit or an @, and groups of digits that follow
-    "token": r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+(?:\x20[(]?[0-9][0-9().-]*+)*+",
+    # tokens that could be identifiers: with a digit, an @, (at) or [at], and groups of digits that follow
+    "token": r"(?<![^\x20\x09-\x0D])(?:(?!\([aA][tT]\)|\[[aA][tT]\])[^\x20\x09-\x0D0-9@])*+(?:[0-9@]|\([aA][tT]\)|\[[aA][tT]\])[^\x20\x09-\x0D]*+(?:\x20[(]?[0-9][0-9().-]*+)*+",
 }
 # What an added value of a kind must look like.
 SHAPES = {
@@ -36,8 +38,8 @@ SHAPES = {
     "card": r"^[0-9]([\x20./_-]?[0-9]){11,18}$",
     "phone": r"^[+(]*[0-9]([\x20()./_-]*[0-9]){6,14}$",
 }
+LIKELY = r"[0-9@]|\([aA][tT]\)|\[[aA][tT]\]"    # what a text with any mention holds
 CONTEXT = 64                       # characters looked at on either side of a mention for its neighbouring words
-ROUNDS = 3
 SUPPORT = 3                        # distinct known values that a pattern needs
 PURE = 0.6                         # share of a pattern's distinct values known to be of the kind
 SURE = 0.7                         # of an added value: 1 - product of (1 - share) over its accepted patterns
@@ -61,7 +63,7 @@ def _matches(kind: str) -> Column:
 
 def mentions(texts: DataFrame) -> DataFrame:
     """(key, text) with distinct keys -> (key, kind, start, end, value, left, right), code points, end exclusive; base kinds checked."""
-    likely = texts.filter(F.col("text").rlike("[0-9@]"))
+    likely = texts.filter(F.col("text").rlike(LIKELY))
     for kind, form in FORMS.items():
         likely = likely.withColumn(f"m_{kind}", F.regexp_extract_all("text", F.lit(form), F.lit(0))).withColumn(
             f"g_{kind}", F.when(F.size(f"m_{kind}") > 0, F.split("text", form, -1)).otherwise(F.array().cast("array<string>")))
@@ -116,8 +118,10 @@ def bootstrap(found: DataFrame) -> DataFrame:
     graph = written(graph.join(totals, "pattern"), "graph")
     known = written(base.select("value", "kind").distinct(), "known")
     shaped = reduce(lambda a, b: a | b, [(F.col("kind") == k) & F.col("value").rlike(s) for k, s in SHAPES.items()])
-    accepted = None
-    for _ in range(ROUNDS):
+    accepted, grown = None, True
+    while grown:                                         # known values only grow, up to the values there are
+        if accepted is not None:
+            forget(accepted)
         scored = (graph.join(known, "value").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("hits"), F.max("total").alias("total"))
                   .withColumn("share", F.col("hits") / F.col("total")).filter((F.col("hits") >= SUPPORT) & (F.col("share") >= PURE)))
         accepted = written(scored.select("pattern", "kind", "share"), "patterns")
@@ -128,8 +132,6 @@ def bootstrap(found: DataFrame) -> DataFrame:
         grown = following.count() > known.count()
         forget(known)
         known = following
-        if not grown:
-            break
     hits = placed.filter("kind = 'token'").drop("kind").join(accepted, "pattern").join(known, ["value", "kind"])
     one = hits.groupBy("key", "start", "end").agg(F.max(F.struct("share", "kind")).alias("b"))
     return one.select("key", "b.kind", "start", "end")
@@ -147,7 +149,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     A null text counts as empty and has no spans; repeated rows are kept; other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.md5(F.col("text").cast("binary")))
-    some = docs.filter(F.col("text").rlike("[0-9@]")).select("key", "text").dropDuplicates(["key"])
+    some = docs.filter(F.col("text").rlike(LIKELY)).select("key", "text").dropDuplicates(["key"])
     found = written(mentions(some), "mentions")
     added = bootstrap(found)
     place = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
