@@ -96,13 +96,16 @@ def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         first = end
 
 
-def words(data: np.ndarray, offs: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a chunk, A-Z lower-cased if `fold`: (64-bit hash, row in the chunk, first byte, end byte), in text order."""
+def words(data: np.ndarray, offs: np.ndarray, fold: bool = True, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a chunk, A-Z lower-cased if `fold`: (64-bit hash, row in the chunk, first byte, end byte), in text order.
+
+    gap: for each byte value whether it stands between words.
+    """
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z.astype(np.uint64), z, z, z
-    space = _SPACE[data]
+    space = gap[data]
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     starts = np.flatnonzero(~space & (np.concatenate(([True], space[:-1])) | edge[:-1]))
