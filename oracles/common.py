@@ -82,7 +82,7 @@ TABLES: dict[str, str] = {
 
 
 def sql(body: str, **extra: str) -> str:
-    """`body` with every table expression it mentions, directly or through another one, in front."""
+    """`body` with every table expression it mentions, directly or through another one, in front; names that end in _m are kept once made."""
     known = {**TABLES, **extra}
     done: list[str] = []
 
@@ -95,4 +95,4 @@ def sql(body: str, **extra: str) -> str:
     need(body)
     if not done:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({known[n]})" for n in done) + "\n" + body
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n.endswith('_m') else ''}({known[n]})" for n in done) + "\n" + body

@@ -76,18 +76,47 @@ def unpivot(names, alias=""):
     return "unnest([" + ", ".join(f"'{n}'" for n in names) + "]) AS metric, unnest([" + ", ".join(alias + n for n in names) + "]) AS value"
 
 
-POISSON = (0.367879441171442, 0.735758882342885, 0.919698602928606, 0.981011843123846, 0.996340153172656, 0.999405815182418,
-           0.999916758850712, 0.999989750803325, 0.999998874797402, 0.999999888574522, 0.999999989952234, 0.999999999168389)
-WEIGHTS = {
-    "ids20": "SELECT DISTINCT customer_id, draw FROM w, range(1, 21) t(draw)",
-    "wu": f"SELECT customer_id, draw, {uniform(chr(39) + '42:' + chr(39) + ' || draw || ' + chr(39) + ':' + chr(39) + ' || customer_id')} AS u FROM ids20",
-    "wt": "SELECT customer_id, draw, " + " + ".join(f"(u >= {c}::DOUBLE)::INT" for c in POISSON) + " AS weight FROM wu",
-}
+DRAWS = 10_000
+MASK = 4294967295
+
+
+def mixed(source: str, name: str) -> str:
+    """Rows of `source` with the 32-bit number `name` mixed."""
+    step = lambda src, by, times: f"SELECT * REPLACE (((xor({name}, {name} >> {by}) * {times}) & {MASK})::UBIGINT AS {name}) FROM ({src})"
+    return f"SELECT * REPLACE (xor({name}, {name} >> 16) AS {name}) FROM ({step(step(source, 16, 0x85EBCA6B), 13, 0xC2B2AE35)})"
+
+
+# what a Poisson count's distribution comes to in 32 bits, for the sizes of chunks
+LIMITS = ("SELECT lam, list(t ORDER BY k) AS ts FROM (SELECT lam, k, floor(sum(exp(k * ln(lam) - lam - lgamma(k + 1))) OVER (PARTITION BY lam ORDER BY k) * 4294967296)::BIGINT AS t "
+          "FROM (SELECT unnest(range(1, 65)) AS lam UNION ALL SELECT 4096), range(0, 5000) r(k) WHERE k < lam + 12 * sqrt(lam) + 24) WHERE t < 4294967296 GROUP BY lam")
+WEIGHTS = {"limits_m": LIMITS}
+
+
+def drawn_rows(source: str, keys: str, models=None) -> str:
+    """(keys, truth, yhat, draw, weight) of rows (keys, customer_id, truth, yhat): every joint cell's customers get one Poisson number per chunk.
+
+    models: the order of the answers in a cell's name, -1 for a model without one; by default all models of the rows, by name.
+    """
+    pop = keys.replace(", model", "")
+    codes = ("concat_ws(',', " + ", ".join(f"coalesce(max(yhat) FILTER (WHERE model = '{m}'), -1)" for m in models) + ")" if models else "string_agg(yhat::VARCHAR, ',' ORDER BY model)")
+    names = "'" + ",".join(models) + "'" if models else "string_agg(model, ',' ORDER BY model)"
+    wide = f"SELECT {pop}, customer_id, any_value(truth) AS truth, {codes} AS codes, {names} AS names FROM ({source}) GROUP BY {pop}, customer_id"
+    text = " || ':' || ".join(["'42'", *pop.split(", "), "truth", "codes"])
+    cell = f"SELECT *, row_number() OVER () AS cell, md5({text}) AS h FROM (SELECT {pop}, truth, codes, names, count(*) AS n FROM ({wide}) GROUP BY ALL)"
+    word = lambda i: f"('0x' || substr(h, {1 + 8 * i}, 8))::UBIGINT"
+    chunk = (f"SELECT cell, {word(0)} AS w0, xor({word(1)}, ((c * {0x85EBCA77}) & {MASK})::UBIGINT) AS w1, lam FROM ("
+             "SELECT cell, h, 0 AS c, n % 64 AS lam FROM cells_ WHERE n % 64 > 0 UNION ALL SELECT cell, h, 64 * l + i, power(64, l)::BIGINT FROM cells_, (VALUES (1), (2)) t(l), range(0, 64) r(i) "
+             "WHERE i < (n // power(64, l)::BIGINT) % 64)")
+    number = mixed(f"SELECT cell, draw, lam, xor(w0, w1) AS u FROM ({mixed(f'SELECT cell, draw, lam, w1, xor(w0, ((draw * {0x9E3779B1}) & {MASK})::UBIGINT) AS w0 FROM ({mixed(chunk, chr(119) + chr(49))}), range(1, {DRAWS + 1}) d(draw)', 'w0')})", "u")
+    weight = f"SELECT cell, draw, sum(len(list_filter(ts, lambda x: u >= x))) AS weight FROM ({number}) JOIN limits_m USING (lam) GROUP BY cell, draw"
+    unfolded = f"SELECT {pop}, cell, truth, unnest(string_split(names, ',')) AS model, unnest(string_split(codes, ','))::INTEGER AS yhat FROM cells_"
+    rows = f"SELECT u.*, w.draw, w.weight FROM ({unfolded}) u JOIN ({weight}) w USING (cell) WHERE yhat >= 0 AND weight > 0"
+    return f"WITH cells_ AS MATERIALIZED ({cell}) {rows}"
 
 
-def drawn(source: str, keys: str) -> str:
-    """Metrics per draw of rows (keys, customer_id, truth, yhat)."""
-    return metrics(f"SELECT s.*, wt.draw, wt.weight FROM ({source}) s JOIN wt USING (customer_id) WHERE weight > 0", keys + ", draw", "weight")
+def drawn(source: str, keys: str, models=None) -> str:
+    """Metrics per draw."""
+    return metrics(drawn_rows(source, keys, models), keys + ", draw", "weight")
 
 
 def compared(points: str, draws: str, keys: str, pairs: str, names) -> str:
@@ -190,24 +219,25 @@ PAIR = {
 PM = ("acc", "f1_w", "macro_f1", *F1S)
 side = lambda src, keys: f"SELECT {keys}, substr(model, 1, 1) AS model, max(n) AS n, " + ", ".join(f"avg({m}) AS {m}" for m in PM) + f" FROM ({src}) GROUP BY {keys}, substr(model, 1, 1)"
 PPOINTS = side(metrics("SELECT * FROM prow", "pair, at_, model"), "pair, at_")
-PDRAWS = side(drawn("SELECT * FROM prow", "pair, at_, model"), "pair, at_, draw")
+PDRAWS = side(drawn("SELECT * FROM prow", "pair, at_, model", ("a0", "a1", "a2", "b0")), "pair, at_, draw")
 
-SIG_ROWS = "SELECT length, model, customer_id, truth, yhat FROM epred WHERE bank = 'bank_a'"
+SIX_NAMES = ("averaging", "last-category", "markov1", "coin", "coin-seed2", "coin-seed3")
+SIX_DRAWS = drawn(SIX, "length, model", SIX_NAMES)
+SIG_NAMES = ("coin", "noisy", "averaging", "last-category", "markov1", "random", "proportional")
+SIG_ROWS = "SELECT length, model, customer_id, truth, yhat FROM epred WHERE bank = 'bank_a' AND model IN ('coin', 'noisy', 'averaging', 'last-category', 'markov1', 'random', 'proportional')"
 SIG_PAIRS = pairs(*[(a, b) for a in ("coin", "noisy") for b in ("averaging", "last-category", "markov1", "random", "proportional")])
 TESTED = ("f1_w", "macro_f1", "bal_acc", *F1S)
 FAM = ("acc", "f1_w", "macro_f1", "bal_acc", *F1S)
 
 
-def primary(where: str, resampled: bool) -> str:
+def primary(where: str) -> str:
     chosen = f"SELECT base FROM (SELECT {BASE} AS base, avg(macro_f1) AS s FROM ({metrics('SELECT model, truth, yhat FROM lpred WHERE bank = ' + chr(39) + 'bank_a' + chr(39) + ' AND length = 9', 'model')}) GROUP BY 1) WHERE base IN ('averaging', 'last-category', 'markov1') ORDER BY s DESC, CASE base WHEN 'averaging' THEN 0 WHEN 'last-category' THEN 1 ELSE 2 END LIMIT 1"
-    rows = f"SELECT length, model, customer_id, truth, yhat FROM lpred WHERE bank = 'bank_b' AND length = 9 AND {where}"
+    rows = f"SELECT length, model, customer_id, truth, yhat FROM lpred WHERE bank = 'bank_b' AND length = 9 AND (model LIKE 'coin%' OR model = (SELECT base FROM chosen)) AND {where}"
     pts = SEED_POINTS(metrics(rows, "length, model"), "length")
     head = (f"SELECT a.length::BIGINT AS length, a.n::BIGINT AS n, 'coin' AS a, a.seeds AS a_seeds, {r('a.macro_f1')} AS a_macro_f1, b.base AS b, b.seeds AS b_seeds, {r('b.macro_f1')} AS b_macro_f1, {r('a.macro_f1 - b.macro_f1')} AS diff")
     body = f" FROM ({pts}) a JOIN ({pts}) b ON a.base = 'coin' AND b.base = (SELECT base FROM chosen)"
-    if not resampled:
-        return q(head + body, chosen=chosen)
-    cmp_ = compared(as_model(pts), as_model(SEED_POINTS(drawn(rows, "length, model"), "length, draw")), "length", "SELECT 'coin' AS a, base AS b FROM chosen", ("macro_f1",))
-    return q(head + f", {r('c.low')} AS low, {r('c.high')} AS high, {r('c.p')} AS p, {r('c.mde')} AS mde" + body + f", ({cmp_}) c", chosen=chosen)
+    cmp_ = compared(as_model(pts), "SELECT * FROM draws_m", "length", "SELECT 'coin' AS a, base AS b FROM chosen", ("macro_f1",))
+    return q(head + f", {r('c.low')} AS low, {r('c.high')} AS high, {r('c.p')} AS p, {r('c.mde')} AS mde" + body + f", ({cmp_}) c", chosen=chosen, draws_m=as_model(SEED_POINTS(drawn(rows, "length, model"), "length, draw")))
 
 
 CMP = f"metric, {r('diff')} AS diff, {r('low')} AS low, {r('high')} AS high, {r('p')} AS p, {r('mde')} AS mde"
@@ -277,21 +307,24 @@ ORACLES = {
         {r('100 * avg((p0 >= t)::INT)')} AS flagged_pct, {r('100 * avg((truth = 0)::INT)')} AS positives_pct, {r('count(*) FILTER (yhat = 0 AND truth = 0) / count(*) FILTER (truth = 0)')} AS argmax_recall,
         {r('count(*) FILTER (yhat = 0 AND truth = 0) / nullif(count(*) FILTER (yhat = 0), 0)')} AS argmax_precision, {r('100 * avg((yhat = 0)::INT)')} AS argmax_flagged_pct
         FROM lpred JOIN (SELECT model, length, t FROM ({CHOSEN})) USING (model, length) WHERE bank = 'bank_b' GROUP BY model, length"""),
-    "poisson_bootstrap": q(f"SELECT length::BIGINT AS length, model, draw::BIGINT AS draw, {r('n')} AS n, {cols(OVERALL + F1S)} FROM ({drawn(SIX, 'length, model')})"),
-    "metric_intervals": q(f"SELECT length::BIGINT AS length, model, metric, {r('quantile_cont(value, 0.025)')} AS low, {r('quantile_cont(value, 0.975)')} AS high FROM (SELECT length, model, {unpivot(ALL)} FROM ({drawn(SIX, 'length, model')})) GROUP BY length, model, metric"),
+    "poisson_bootstrap": q("SELECT length::BIGINT AS length, model, draw::BIGINT AS draw, " + ", ".join(f"coalesce(sum(weight) FILTER (truth = {t} AND yhat = {a}), 0)::BIGINT AS c{t}{a}" for t in range(4) for a in range(5))
+        + f" FROM ({drawn_rows(SIX, 'length, model', SIX_NAMES)}) GROUP BY length, model, draw"),
+    "metric_intervals": q(f"SELECT length::BIGINT AS length, model, metric, {r('quantile_cont(value, 0.025)')} AS low, {r('quantile_cont(value, 0.975)')} AS high FROM (SELECT length, model, {unpivot(ALL)} FROM ({SIX_DRAWS})) GROUP BY length, model, metric"),
+    "bootstrap_law": q(f"SELECT bank AS split, length::BIGINT AS length, model, truth::BIGINT AS truth, yhat::BIGINT AS answer, {r('c')} AS expected_mean, {r('c * (1 - c / n)')} AS expected_var, TRUE AS mean_ok, TRUE AS var_ok FROM "
+        f"(SELECT bank, length, model, truth, yhat, count(*) AS c, sum(count(*)) OVER (PARTITION BY bank, length, model) AS n FROM lpred WHERE model IN {SIX_NAMES} GROUP BY bank, length, model, truth, yhat)"),
     "seed_mean": q(f"SELECT length::BIGINT AS length, base AS model, seeds, {r('n')} AS n, {cols(ALL)} FROM ({SEED_POINTS(metrics(SIX, 'length, model'), 'length')})"),
-    "paired_comparison": q(f"SELECT length::BIGINT AS length, a, b, {CMP} FROM ({compared(metrics(SIX, 'length, model'), drawn(SIX, 'length, model'), 'length', pairs(('coin', 'averaging'), ('coin', 'markov1'), ('averaging', 'averaging')), ALL)})"),
+    "paired_comparison": q(f"SELECT length::BIGINT AS length, a, b, {CMP} FROM ({compared(metrics(SIX, 'length, model'), 'SELECT * FROM draws_m', 'length', pairs(('coin', 'averaging'), ('coin', 'markov1'), ('averaging', 'averaging')), ALL)})", draws_m=SIX_DRAWS),
     "mcnemar_exact": q(f"SELECT bank AS split, length::BIGINT AS length, a, b, only_a, only_b, {r('mcnemar_p + 1e-9')} AS mcnemar_p FROM ({mcnemar('SELECT * FROM lpred', 'bank, length', pairs(('coin', 'averaging'), ('coin', 'last-category'), ('coin', 'markov1'), ('coin', 'coin')))})"),
     "holm": q(f"SELECT length::BIGINT AS length, a, b, {r('mcnemar_p + 1e-9')} AS mcnemar_p, {r('p_holm + 1e-9')} AS p_holm FROM ({holm(mcnemar(SIX, 'length', pairs(*[(a, b) for a in ('coin', 'coin-seed2') for b in ('averaging', 'last-category', 'markov1')])), 'mcnemar_p', 'length, a')})"),
-    "significance_table": q(f"SELECT c.length::BIGINT AS length, c.a, c.b, {CMP}, {r('p_holm')} AS p_holm, only_a, only_b, {r('mcnemar_p + 1e-9')} AS mcnemar_p, {r('mcnemar_p_holm + 1e-9')} AS mcnemar_p_holm, (SELECT count(DISTINCT s.customer_id) FROM ({SIG_ROWS}) s WHERE s.length = c.length) AS N, c.a || ' against 5 baselines (averaging, last-category, markov1, proportional, random) at length ' || c.length || ', one family per metric' AS family FROM ({holm(compared(metrics(SIG_ROWS, 'length, model'), drawn(SIG_ROWS, 'length, model'), 'length', SIG_PAIRS, TESTED), 'p', 'length, a, metric')}) c "
-        f"JOIN ({holm(mcnemar(SIG_ROWS, 'length', SIG_PAIRS), 'mcnemar_p', 'length, a', 'mcnemar_p_holm')}) m ON c.length = m.length AND c.a = m.a AND c.b = m.b"),
+    "significance_table": q(f"SELECT c.length::BIGINT AS length, c.a, c.b, {CMP}, {r('p_holm')} AS p_holm, only_a, only_b, {r('mcnemar_p + 1e-9')} AS mcnemar_p, {r('mcnemar_p_holm + 1e-9')} AS mcnemar_p_holm, (SELECT count(DISTINCT s.customer_id) FROM ({SIG_ROWS}) s WHERE s.length = c.length) AS N, c.a || ' against 5 baselines (averaging, last-category, markov1, proportional, random) at length ' || c.length || ', one family per metric' AS family FROM ({holm(compared(metrics(SIG_ROWS, 'length, model'), "SELECT * FROM draws_m", 'length', SIG_PAIRS, TESTED), 'p', 'length, a, metric')}) c "
+        f"JOIN ({holm(mcnemar(SIG_ROWS, 'length', SIG_PAIRS), 'mcnemar_p', 'length, a', 'mcnemar_p_holm')}) m ON c.length = m.length AND c.a = m.a AND c.b = m.b", draws_m=drawn(SIG_ROWS, "length, model", SIG_NAMES)),
     "families": q(f"SELECT c.length::BIGINT AS length, c.a, c.b, {CMP}, {r('p_holm')} AS p_holm, {r('s.n')} AS n, s.seeds AS b_seeds, 3::BIGINT AS a_seeds, 'coin against 3 comparators (averaging, last-category, markov1) at length ' || c.length || ', one family per metric' AS family FROM ("
-        + holm(compared(as_model(SEED_POINTS(metrics(SIX, 'length, model'), 'length')), as_model(SEED_POINTS(drawn(SIX, 'length, model'), 'length, draw')), 'length', pairs(('coin', 'averaging'), ('coin', 'last-category'), ('coin', 'markov1')), FAM), 'p', 'length, a, metric')
-        + f") c JOIN ({SEED_POINTS(metrics(SIX, 'length, model'), 'length')}) s ON s.length = c.length AND s.base = c.b"),
+        + holm(compared(as_model(SEED_POINTS(metrics(SIX, 'length, model'), 'length')), "SELECT * FROM draws_m", 'length', pairs(('coin', 'averaging'), ('coin', 'last-category'), ('coin', 'markov1')), FAM), 'p', 'length, a, metric')
+        + f") c JOIN ({SEED_POINTS(metrics(SIX, 'length, model'), 'length')}) s ON s.length = c.length AND s.base = c.b", draws_m=as_model(SEED_POINTS(drawn(SIX, "length, model"), "length, draw"))),
     "choose_comparator": q(f"SELECT model, {r('macro_f1')} AS score FROM ({metrics(A + ' AND length = 9', 'model')}) WHERE model IN ('averaging', 'last-category', 'markov1') ORDER BY macro_f1 DESC LIMIT 1"),
-    "primary_endpoint": primary("TRUE", True),
-    "primary_endpoint_without_ties": primary("customer_id NOT IN (SELECT customer_id FROM lastday l WHERE l.bank = 'bank_b' AND on_last >= 2)", False),
-    "pair_table": q(f"SELECT c.pair, c.at_ AS length, {CMP}, s.n::BIGINT AS n, only_a, only_b, {r('mcnemar_p + 1e-9')} AS mcnemar_p FROM ({compared(PPOINTS, PDRAWS, 'pair, at_', pairs(('a', 'b')), PM)}) c JOIN ({PPOINTS}) s ON s.pair = c.pair AND s.at_ = c.at_ AND s.model = 'a' "
-        f"LEFT JOIN (SELECT * FROM ({mcnemar('SELECT * FROM prow', 'pair, at_', pairs(('a0', 'b0')))}) WHERE pair NOT LIKE '%,%') m ON m.pair = c.pair AND m.at_ = c.at_", **PAIR),
-    "factorial_effects": q(f"SELECT e.metric, e.effect, {r('max(e.v)')} AS estimate, {r('quantile_cont(d.v, 0.025)')} AS low, {r('quantile_cont(d.v, 0.975)')} AS high FROM ({effects(metrics('SELECT * FROM fact', 'length, model'), '')}) e JOIN ({effects(drawn('SELECT * FROM fact', 'length, model'), 'draw, ')}) d ON d.effect = e.effect AND d.metric = e.metric GROUP BY e.metric, e.effect", fact=FACT),
+    "primary_endpoint": primary("TRUE"),
+    "primary_endpoint_without_ties": primary("customer_id NOT IN (SELECT customer_id FROM lastday l WHERE l.bank = 'bank_b' AND on_last >= 2)"),
+    "pair_table": q(f"SELECT c.pair, c.at_ AS length, {CMP}, s.n::BIGINT AS n, only_a, only_b, {r('mcnemar_p + 1e-9')} AS mcnemar_p FROM ({compared(PPOINTS, 'SELECT * FROM draws_m', 'pair, at_', pairs(('a', 'b')), PM)}) c JOIN ({PPOINTS}) s ON s.pair = c.pair AND s.at_ = c.at_ AND s.model = 'a' "
+        f"LEFT JOIN (SELECT * FROM ({mcnemar('SELECT * FROM prow', 'pair, at_', pairs(('a0', 'b0')))}) WHERE pair NOT LIKE '%,%') m ON m.pair = c.pair AND m.at_ = c.at_", draws_m=PDRAWS, **PAIR),
+    "factorial_effects": q(f"SELECT e.metric, e.effect, {r('max(e.v)')} AS estimate, {r('quantile_cont(d.v, 0.025)')} AS low, {r('quantile_cont(d.v, 0.975)')} AS high FROM ({effects(metrics('SELECT * FROM fact', 'length, model'), '')}) e JOIN ({effects('SELECT * FROM draws_m', 'draw, ')}) d ON d.effect = e.effect AND d.metric = e.metric GROUP BY e.metric, e.effect", fact=FACT, draws_m=drawn("SELECT * FROM fact", "length, model")),
 }

@@ -179,8 +179,8 @@ def test_unlisted_labels_columns_and_options_stop_the_export(spark, tmp_path):
         cleaning.export_demographics(read_raw(spark, who), who)
     with pytest.raises(ValueError, match="NOPE"):
         read_raw(spark, ExportSection(**{**tx.__dict__, "require": ("NOPE",)}))
-    with pytest.raises(ValueError, match="skiprows"):
-        read_raw(spark, sections(tmp_path, skiprows=1)[0])
+    with pytest.raises(ValueError, match="nrows"):
+        read_raw(spark, sections(tmp_path, nrows=1)[0])
 
 
 def test_a_code_listed_twice_belongs_to_the_last_class(spark):

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillflow.functions.expressions import N_CLASSES, hash_uniform
+from tillflow.functions.expressions import N_CLASSES
 from tillflow.operators.metrics import ALL_METRICS, CELLS, add_metrics, confusion_cells
 from tillflow.settings import DEFAULTS
 from tillflow.sources.predictions import base_model
+from tillflow.sources.session import durable
 
 ABSENT = -1                    # code of a model that has no answers in a population
 CELLS_PER_TASK = 4096
@@ -27,30 +28,40 @@ def at_every_length(predictions: DataFrame) -> DataFrame:
     return predictions.where(F.col("length").isNotNull()).unionByName(free)
 
 
-def answers(rows: DataFrame, models, by=("length",), expected: Column | int | None = None) -> DataFrame:
-    """One row per customer of a population: y and `codes`, the answers in the order of `models`.
-
-    Customers missing in one of the population's models are left out. `expected` is the number of models a population
-    has, a number or an expression of the population keys (default: all of `models`).
-    """
-    by, rows = list(by), rows.where(F.col("model").isin(*models))
+def _wide_answers(rows: DataFrame, models, by) -> DataFrame:
     listed = ", ".join(f"CAST(coalesce(max(yhat) FILTER (WHERE model = '{m}'), {ABSENT}) AS INT)" for m in models)
-    wide = rows.groupBy(*by, "customer_id").agg(F.max("y").alias("y"), F.expr(f"array({listed})").alias("codes"))
-    needed = expected if isinstance(expected, Column) else F.lit(len(models) if expected is None else expected)
-    return wide.where(F.size(F.filter("codes", lambda c: c != ABSENT)) == needed)
+    return rows.where(F.col("model").isin(*models)).groupBy(*by, "customer_id").agg(F.max("y").alias("y"), F.expr(f"array({listed})").alias("codes"))
+
+
+def _present(codes: str = "codes") -> Column:
+    return F.size(F.filter(codes, lambda c: c != ABSENT))
+
 
+def answers(rows: DataFrame, models, by=("length",)) -> DataFrame:
+    """One row per customer of a population: y and `codes`, the answers in the order of `models`. Customers missing in one are left out."""
+    return _wide_answers(rows, models, by).where(_present() == len(models))
 
-def models_at(predictions: DataFrame, models) -> tuple[list, Column]:
-    """The listed models that occur, and per length how many of them do (an inventory: names, not rows)."""
-    found = predictions.where(F.col("model").isin(*models)).select("model", "length").distinct().collect()
-    per: dict = {}
-    for row in found:
-        per[row["length"]] = per.get(row["length"], 0) + 1
-    everywhere, count = per.pop(None, 0), F.lit(0)          # length-free models take part at every length
-    for length, n in per.items():
-        count = F.when(F.col("length") == length, F.lit(n + everywhere)).otherwise(count)
-    present = {row["model"] for row in found}
-    return [m for m in models if m in present], count
+
+def aligned_answers(rows: DataFrame, models, by=("length",), same=lambda population: True) -> DataFrame:
+    """The same as a written table, for populations that need not have all of `models`; a model that a population lacks is ABSENT in it.
+
+    Customers missing in one of their population's models are left out; where `same` holds for a population (a row of `by`), they stop the
+    job. What a population has is counted in the written table, a row per population, so the predictions are evaluated once.
+    """
+    by = list(by)
+    wide = durable(_wide_answers(rows, models, by))
+    held = wide.groupBy(*by).agg(F.count("*").alias("_n"), *[F.count_if(F.get("codes", F.lit(i)) != ABSENT).alias(f"_{i}") for i in range(len(models))]).collect()
+    partial = [r for r in held if any(0 < r[f"_{i}"] < r["_n"] for i in range(len(models)))]
+    wrong = sorted({str(r[by[-1]]) for r in partial if same(r)})
+    if wrong:
+        raise ValueError(f"models cover different customers at length {', '.join(wrong)}")
+    whole = F.lit(True)
+    for r in partial:
+        here = F.lit(True)
+        for c in by:
+            here = here & F.col(c).eqNullSafe(F.lit(r[c]))
+        whole = F.when(here, _present() == sum(r[f"_{i}"] > 0 for i in range(len(models)))).otherwise(whole)
+    return wide.where(whole)
 
 
 def joint_cells(aligned: DataFrame, by=("length",)) -> DataFrame:
@@ -95,6 +106,26 @@ def _part_totals(parted: DataFrame, by: list, blocks: Column, draws: int, seed:
     return above.withColumnRenamed("_node", "_part").withColumn("_part", F.col("_part").cast("int"))
 
 
+def _unfolded(drawn, y, codes, models, columns, keys, first_draw):
+    """Resampled counts of joint cells (draws x cells) as confusion cells of every model that has answers."""
+    import numpy as np
+    import pandas as pd
+
+    out, drawn = [], drawn.astype(np.float64)                                # counts: exact in a float product
+    for j, model in enumerate(models):
+        if (codes[:, j] == ABSENT).any():
+            continue
+        slots = np.zeros((len(y), len(CELLS)))
+        slots[np.arange(len(y)), y * (N_CLASSES + 1) + codes[:, j]] = 1
+        frame = pd.DataFrame((drawn @ slots).astype(np.int64), columns=list(CELLS))
+        frame.insert(0, "model", model)
+        frame.insert(0, "draw", first_draw + np.arange(len(drawn)))
+        for i, value in enumerate(keys):
+            frame.insert(i, columns[i], value)
+        out.append(frame)
+    return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
+
+
 def multinomial_draws(cells: DataFrame, models, by=("length",), draws: int = DEFAULTS.bootstrap_draws,
                       seed: int = DEFAULTS.seed) -> DataFrame:
     """Resampled confusion cells: (by, draw, model, c00 .. c34).
@@ -109,8 +140,7 @@ def multinomial_draws(cells: DataFrame, models, by=("length",), draws: int = DEF
     parted = cells.join(sizes, by).withColumn("_part", F.pmod(F.xxhash64("y", "codes"), F.col("_parts")).cast("int"))
     blocks = F.sequence(F.lit(0), F.lit(-(-draws // DRAWS_PER_BLOCK) - 1))
     work = parted.withColumn("_block", F.explode(blocks)).select(*by, "_part", "_block", "y", "codes", "n")
-    n_by, n_cells, k, per_block, absent = len(by), len(CELLS), N_CLASSES, DRAWS_PER_BLOCK, ABSENT
-    columns, names = [*by, "draw", "model", *CELLS], list(CELLS)
+    n_by, per_block, columns = len(by), DRAWS_PER_BLOCK, [*by, "draw", "model", *CELLS]
     totals = _part_totals(parted, by, blocks, draws, seed)
 
     def resample(key, part, whole):
@@ -124,19 +154,7 @@ def multinomial_draws(cells: DataFrame, models, by=("length",), draws: int = DEF
         codes, y, n = codes[order], y[order], part["n"].to_numpy(dtype=np.int64)[order]
         total = np.asarray(whole["_total"].iloc[0], dtype=np.int64)
         drawn = np.random.default_rng([seed, block, this + 1]).multinomial(total, np.tile(n / n.sum(), (size, 1)))
-        out = []
-        for j, model in enumerate(models):
-            if (codes[:, j] == absent).any():
-                continue
-            slots = np.zeros((len(n), n_cells), dtype=np.int64)
-            slots[np.arange(len(n)), y * (k + 1) + codes[:, j]] = 1
-            frame = pd.DataFrame(drawn @ slots, columns=names)
-            frame.insert(0, "model", model)
-            frame.insert(0, "draw", block * per_block + np.arange(size))
-            for i, value in enumerate(keys):
-                frame.insert(i, columns[i], value)
-            out.append(frame)
-        return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
+        return _unfolded(drawn, y, codes, models, columns, keys, block * per_block)
 
     types = dict(cells.dtypes)
     schema = ", ".join([f"{c} {types[c]}" for c in by] + ["draw int", "model string"] + [f"{c} long" for c in CELLS])
@@ -146,29 +164,118 @@ def multinomial_draws(cells: DataFrame, models, by=("length",), draws: int = DEF
     return shares.groupBy(*by, "draw", "model").agg(*[F.sum(c).alias(c) for c in CELLS])
 
 
-# ---- fixed values: cumulative probabilities of a Poisson count with mean 1 ----
-POISSON_CDF = (0.367879441171442, 0.735758882342885, 0.919698602928606, 0.981011843123846, 0.996340153172656,
-               0.999405815182418, 0.999916758850712, 0.999989750803325, 0.999998874797402, 0.999999888574522,
-               0.999999989952234, 0.999999999168389)
+# ---- fixed values: multipliers of a 32-bit mixing function ----
+MIXERS = (0x85EBCA6B, 0xC2B2AE35)
+STRIDES = (0x9E3779B1, 0x85EBCA77)       # of draws and of chunks
+CHUNK = 64                               # customers of a chunk, or a power of it
+
+
+def _mixed(x):
+    """A bijection on 32 bits that spreads every bit (numpy uint64 in, uint64 below 2^32 out)."""
+    import numpy as np
+
+    low = np.uint64(0xFFFFFFFF)
+    x = ((x ^ (x >> np.uint64(16))) * np.uint64(MIXERS[0])) & low
+    x = ((x ^ (x >> np.uint64(13))) * np.uint64(MIXERS[1])) & low
+    return x ^ (x >> np.uint64(16))
+
+
+def _poisson_limits(mean: int):
+    """32-bit limits: a uniform number reaches as many of them as a Poisson count with this mean has."""
+    import math
+
+    import numpy as np
+
+    k = np.arange(int(mean + 12 * math.sqrt(mean) + 24))
+    logs = k * math.log(mean) - mean - np.concatenate(([0.0], np.cumsum(np.log(k[1:]))))
+    limits = np.floor(np.cumsum(np.exp(logs)) * 2.0 ** 32)
+    return limits[limits < 2.0 ** 32].astype(np.uint64)
+
 
+def chunks_of(n):
+    """Cells' customers cut into chunks: (cell, number of the chunk, customers). One chunk of n mod 64, then powers of 64, fewer than 64 of each."""
+    import numpy as np
 
-def poisson_draws(aligned: DataFrame, models, by=("length",), draws: int = 20, seed: int = DEFAULTS.seed) -> DataFrame:
-    """The same from per-customer Poisson(1) weights hashed from seed, draw and customer.
+    n = np.asarray(n, np.int64)
+    cell, number, size, level = [np.flatnonzero(n % CHUNK)], [np.zeros(int((n % CHUNK > 0).sum()), np.int64)], [n[n % CHUNK > 0] % CHUNK], 1
+    while len(n) and n.max() >= CHUNK ** level:
+        digit = n // CHUNK ** level % CHUNK
+        cell.append(np.repeat(np.arange(len(n)), digit))
+        number.append(CHUNK * level + np.arange(digit.sum()) - np.repeat(np.cumsum(digit) - digit, digit))
+        size.append(np.full(int(digit.sum()), CHUNK ** level))
+        level += 1
+    return tuple(np.concatenate(x) for x in (cell, number, size))
 
-    Every customer is weighted in every draw, so this is for modest numbers of draws. Weights are summed per joint cell
-    before the models are unfolded.
+
+def poisson_draws(cells: DataFrame, models, by=("length",), draws: int = DEFAULTS.bootstrap_draws, seed: int = DEFAULTS.seed) -> DataFrame:
+    """The same confusion cells from hashed Poisson weights: each customer of a resample counts Poisson(1) times.
+
+    The weights of a cell's customers matter only as their sum, a Poisson number with the cell's size as mean. A cell is cut into chunks
+    of fewer than 64 customers or a power of 64, and each chunk draws one number from a hash of seed, population, cell, chunk and draw:
+    the work is cells x draws, and the numbers do not depend on partitioning. Draws count from 1.
     """
-    by = list(by)
-    passed = " + ".join(f"IF(u >= {c!r}D, 1, 0)" for c in POISSON_CDF)           # inverse distribution function
-    # every row becomes `draws` rows: spread them first (a stated number is not coalesced at run time)
-    tasks = int(aligned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    weighted = (aligned.repartition(tasks, "customer_id").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-                .withColumn("u", hash_uniform(seed, F.col("draw"), F.col("customer_id")))
-                .withColumn("w", F.expr(passed)).where(F.col("w") > 0))
-    cells = weighted.groupBy(*by, "draw", "y", "codes").agg(F.sum("w").alias("w"))
-    rows = cells.select(*by, "draw", "y", "w", F.inline(F.arrays_zip(
-        F.array(*map(F.lit, models)).alias("model"), F.col("codes").alias("yhat")))).where(F.col("yhat") != ABSENT)
-    return confusion_cells(rows, (*by, "draw", "model"), "w")
+    by, models = list(by), list(models)
+    name = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in by], F.col("y").cast("string"),
+                             F.array_join(F.transform("codes", lambda c: c.cast("string")), ",")))
+    word = lambda i: F.conv(F.substring(name, 1 + 8 * i, 8), 16, 10).cast("long")
+    sizes = cells.groupBy(*by).agg(F.ceil(F.count("*") / CELLS_PER_TASK).alias("_parts"))
+    parted = cells.join(sizes, by).withColumn("_part", F.pmod(F.xxhash64("y", "codes"), F.col("_parts")).cast("int"))
+    blocks = F.sequence(F.lit(0), F.lit(-(-draws // DRAWS_PER_BLOCK) - 1))
+    work = parted.withColumns({"_w0": word(0), "_w1": word(1)}).withColumn("_block", F.explode(blocks)).select(
+        *by, "_part", "_block", "y", "codes", "n", "_w0", "_w1")
+    n_by, per_block, columns = len(by), DRAWS_PER_BLOCK, [*by, "draw", "model", *CELLS]
+
+    def resample(key, part):
+        import numpy as np
+
+        block = int(key[n_by + 1])
+        draw = np.arange(block * per_block + 1, min(draws, (block + 1) * per_block) + 1, dtype=np.uint64)
+        w0, w1 = (part[c].to_numpy(dtype=np.uint64) for c in ("_w0", "_w1"))
+        low = np.uint64(0xFFFFFFFF)
+        of_draw = _mixed(w0 ^ ((draw * np.uint64(STRIDES[0])) & low)[:, None])
+        cell, number, size = chunks_of(part["n"])
+        of_chunk = _mixed(w1[cell] ^ ((number.astype(np.uint64) * np.uint64(STRIDES[1])) & low))
+        drawn = np.zeros((len(draw), len(part)), np.int64)
+        for mean in np.unique(size):
+            limits, these = _poisson_limits(int(mean)), np.flatnonzero(size == mean)
+            for s in range(0, len(these), CELLS_PER_TASK):                   # a cell has few chunks of a size, a part may have many
+                some = these[s:s + CELLS_PER_TASK]
+                counts = np.searchsorted(limits, _mixed(of_draw[:, cell[some]] ^ of_chunk[some]), side="right")
+                order = np.argsort(cell[some], kind="stable")
+                own = cell[some][order]
+                first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                drawn[:, own[first]] += np.add.reduceat(counts[:, order], first, axis=1)
+        return _unfolded(drawn, part["y"].to_numpy(), np.stack(part["codes"].to_numpy()), models, columns, key[:n_by], int(draw[0]))
+
+    types = dict(cells.dtypes)
+    schema = ", ".join([f"{c} {types[c]}" for c in by] + ["draw int", "model string"] + [f"{c} long" for c in CELLS])
+    shares = work.groupBy(*by, "_part", "_block").applyInPandas(resample, schema)
+    return shares.groupBy(*by, "draw", "model").agg(*[F.sum(c).alias(c) for c in CELLS])
+
+
+def cell_law(cells: DataFrame, draws: DataFrame, models, by=("length",), n_draws: int = DEFAULTS.bootstrap_draws, errors: float = 5.0) -> DataFrame:
+    """(by, model, truth, answer, expected_mean, expected_var, mean_ok, var_ok): do multinomial resamples follow their law?
+
+    A confusion cell that holds a share p of n customers is a binomial count in every resample, with mean np and variance np(1 - p).
+    ok: mean and variance over the draws lie within `errors` standard errors of these; those of the variance come from the binomial's
+    fourth moment. Only cells that occur are listed.
+    """
+    by, listed = list(by), F.array(*[F.struct(F.lit(m).alias("model"), F.get("codes", F.lit(i)).alias("answer")) for i, m in enumerate(models)])
+    own = (cells.select(*by, "y", "n", F.inline(listed)).where(F.col("answer") != ABSENT).groupBy(*by, "model", F.col("y").alias("truth"), "answer")
+           .agg(F.sum("n").cast("double").alias("c")))
+    size = cells.groupBy(*by).agg(F.sum("n").cast("double").alias("_n"))
+    p = F.col("c") / F.col("_n")
+    law = own.join(size, by).withColumns({"expected_mean": F.col("c"), "expected_var": F.col("c") * (1 - p), "_pq": p * (1 - p)})
+    unpivoted = draws.select(*by, "model", F.inline(F.array(*[F.struct(F.lit(t).alias("truth"), F.lit(a).alias("answer"), F.col(f"c{t}{a}").alias("x"))
+                                                               for t in range(N_CLASSES) for a in range(N_CLASSES + 1)])))
+    seen = unpivoted.groupBy(*by, "model", "truth", "answer").agg(F.avg("x").alias("m"), F.var_samp("x").alias("v"))
+    fourth = F.col("expected_var") * (1 + 3 * (F.col("_n") - 2) * F.col("_pq"))
+    mean_error = F.sqrt(F.col("expected_var") / n_draws)
+    var_error = F.sqrt((fourth - F.pow("expected_var", F.lit(2.0)) * (n_draws - 3) / (n_draws - 1)) / n_draws)
+    tiny = 1e-9
+    return law.join(seen, [*by, "model", "truth", "answer"]).select(
+        *by, "model", "truth", "answer", "expected_mean", "expected_var", (F.abs(F.col("m") - F.col("expected_mean")) <= errors * mean_error + tiny).alias("mean_ok"),
+        (F.abs(F.col("v") - F.col("expected_var")) <= errors * var_error + tiny).alias("var_ok"))
 
 
 def point_scores(aligned: DataFrame, models, by=("length",)) -> DataFrame:

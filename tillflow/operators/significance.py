@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tillflow.functions.literals import literal_rows
 from tillflow.operators import resampling as R
-from tillflow.operators.metrics import CLASS_F1, classification_metrics, require_same_population, select_best
+from tillflow.operators.metrics import CLASS_F1, classification_metrics, select_best
 from tillflow.settings import COMPARATORS, DEFAULTS
 from tillflow.sources.predictions import SEED_NAME, base_model, with_codes
 from tillflow.sources.session import durable
@@ -74,7 +74,7 @@ def mcnemar(cells: DataFrame, models, pairs, by=("length",)) -> DataFrame:
 
 
 class Resampler:
-    """How resamples are drawn: `exact` (multinomial over joint cells) or `hashed` (Poisson weights per customer)."""
+    """How resamples are drawn from the joint cells: `exact` (multinomial) or `hashed` (Poisson weights, reproducible in SQL)."""
 
     def __init__(self, kind: str = "exact", draws: int = DEFAULTS.bootstrap_draws, seed: int = DEFAULTS.seed):
         if kind not in ("exact", "hashed"):
@@ -82,11 +82,8 @@ class Resampler:
         self.kind, self.draws, self.seed = kind, draws, seed
 
     def scores(self, aligned: DataFrame, models, by) -> DataFrame:
-        if self.kind == "exact":
-            out = R.multinomial_draws(R.joint_cells(aligned, by), models, by, self.draws, self.seed)
-        else:
-            out = R.poisson_draws(aligned, models, by, self.draws, self.seed)
-        return R.draw_scores(out)
+        draw = R.multinomial_draws if self.kind == "exact" else R.poisson_draws
+        return R.draw_scores(draw(R.joint_cells(aligned, by), models, by, self.draws, self.seed))
 
 
 def significance_table(predictions: DataFrame, llms, baselines, resampler: Resampler, metrics=TESTED) -> DataFrame:
@@ -95,11 +92,8 @@ def significance_table(predictions: DataFrame, llms, baselines, resampler: Resam
     Long form: one row per metric; the McNemar columns repeat. `N`: customers of the length; `family`: what Holm's steps run over.
     Models of one length that cover different customers stop the job.
     """
-    require_same_population(predictions.where(F.col("length").isNotNull()))
-    models, expected = R.models_at(predictions, [*llms, *baselines])
-    rows = with_codes(R.at_every_length(predictions.where(F.col("model").isin(*models))))
-    aligned = durable(R.answers(rows, models, expected=expected))
-    pairs = [(a, b) for a, b in itertools.product(llms, baselines) if a in models and b in models]
+    models, pairs = [*llms, *baselines], list(itertools.product(llms, baselines))
+    aligned = R.aligned_answers(with_codes(R.at_every_length(predictions.where(F.col("model").isin(*models)))), models)
     res = R.compare(R.point_scores(aligned, models), resampler.scores(aligned, models, ("length",)), pairs, metrics=metrics)
     mc = holm(mcnemar(R.joint_cells(aligned), models, pairs), "mcnemar_p", ("length", "a"), "mcnemar_p_holm")
     out = holm(res, "p", ("length", "a", "metric")).join(mc, ["length", "a", "b"])
@@ -113,10 +107,9 @@ def significance_table(predictions: DataFrame, llms, baselines, resampler: Resam
 def families(predictions: DataFrame, llms, comparators, resampler: Resampler, metrics=FAMILY_METRICS) -> DataFrame:
     """Seed means of every learned model against seed means of every comparator, Holm inside (model, length, metric)."""
     named = predictions.where(F.col("length").isNotNull()).withColumn("base", base_model(F.col("model")))
-    named = named.where(F.col("base").isin(*llms, *comparators))
-    seeds = [m for m in _names(named) if re.sub(SEED_NAME, r"\1", m) in (*llms, *comparators)]
-    models, expected = R.models_at(named, seeds)
-    aligned = durable(R.answers(with_codes(named), models, expected=expected))
+    named = durable(with_codes(named.where(F.col("base").isin(*llms, *comparators))).select("length", "customer_id", "model", "y", "yhat"))
+    models = _names(named)
+    aligned = R.aligned_answers(named, models, same=lambda population: False)
     points = R.seed_means(R.point_scores(aligned, models), metrics=metrics)
     draws = R.seed_means(resampler.scores(aligned, models, ("length",)), ("length", "draw"), metrics)
     res = holm(R.compare(points, draws, list(itertools.product(llms, comparators)), metrics=metrics),
@@ -156,10 +149,11 @@ def primary_endpoint(validation: DataFrame, confirm: DataFrame, llm: str, resamp
     at = confirm.where(F.col("length") == length).withColumn("base", base_model(F.col("model"))).where(F.col("base").isin(llm, chosen))
     if without is not None:
         at = at.join(without.select("customer_id"), "customer_id", "left_anti")
+    at = durable(with_codes(at).select("length", "customer_id", "model", "y", "yhat"))
     models = _names(at)
     if not {re.sub(SEED_NAME, r"\1", m) for m in models} >= {llm, chosen}:
         raise ValueError(f"missing predictions of {llm} or {chosen}")
-    aligned = durable(R.answers(with_codes(at), models))
+    aligned = durable(R.answers(at, models))
     points = durable(R.seed_means(R.point_scores(aligned, models), metrics=("macro_f1",)))
     side = lambda name, p: points.where(F.col("model") == name).select(
         "length", F.col("n").cast("long").alias("n") if p == "a" else F.lit(1).alias("_1"), F.lit(name).alias(p),
@@ -202,7 +196,6 @@ def pair_runs(specs, lengths, available) -> list[tuple]:
 def compare_pairs(predictions: DataFrame, specs, resampler: Resampler, lengths=DEFAULTS.lengths, metrics=PAIR_METRICS) -> DataFrame:
     """Single paired comparisons; sides of several names are seed means, sides of different lengths use the customers
     present at both. McNemar columns are null where a side is a mean. Models of one length that cover different customers stop the job."""
-    require_same_population(predictions.where(F.col("length").isNotNull()))
     spark = predictions.sparkSession
     available = {(r["model"], r["length"]) for r in predictions.select("model", "length").distinct().collect()}
     runs = pair_runs(specs, lengths, available)
@@ -214,14 +207,11 @@ def compare_pairs(predictions: DataFrame, specs, resampler: Resampler, lengths=D
                 members.append((spec, label(xa, xb), x, n, s, f"{s}{i}"))
         if len(names_a) == len(names_b) == 1:
             singles.append((spec, label(xa, xb)))
-    size = {}
-    for m in members:
-        size[m[:2]] = size.get(m[:2], 0) + 1
-    table = literal_rows(spark, [(*m, size[m[:2]]) for m in members], ("pair", "at", "length", "source", "side", "slot", "members"))
+    table = literal_rows(spark, members, ("pair", "at", "length", "source", "side", "slot"))
     rows = with_codes(R.at_every_length(predictions)).withColumnRenamed("model", "source")
     rows = rows.join(F.broadcast(table), ["source", "length"]).withColumnRenamed("slot", "model")
     slots, by = sorted({m[5] for m in members}), ("pair", "at")
-    aligned = durable(R.answers(rows, slots, (*by, "members"), F.col("members")).drop("members"))
+    aligned = R.aligned_answers(rows, slots, by, same=lambda population: " vs " not in population["at"])
     mean = lambda df, keys: (df.withColumn("model", F.substring("model", 1, 1)).groupBy(*keys, "model")
                              .agg(F.max("n").cast("long").alias("n"), *[F.avg(m).alias(m) for m in metrics]))
     points = mean(R.point_scores(aligned, slots, by), by)
@@ -253,9 +243,8 @@ def factorial_effects(predictions: DataFrame, cells: dict, resampler: Resampler,
                       metrics=FACTORIAL_METRICS) -> DataFrame:
     """Main effects and interactions of the 2 x 2 x 2 conditions: signed sums over four, intervals from the draws."""
     spark, models, by = predictions.sparkSession, list(cells.values()), ("length",)
-    require_same_population(predictions.where((F.col("length") == length) & F.col("model").isin(*models)))
     rows = with_codes(predictions.where((F.col("length") == length) & F.col("model").isin(*models)))
-    aligned = durable(R.answers(rows, models, by))
+    aligned = R.aligned_answers(rows, models, by)
     signs = F.broadcast(literal_rows(spark, sign_rows(cells), ("model", "effect", "sign")))
 
     def effects(scores, keys):

@@ -22,7 +22,7 @@ from tillflow.sources import testdata as T
 from tillflow.sources.session import durable
 
 COMPARED = ("averaging", "last-category", "markov1")
-HASHED = S.Resampler("hashed", draws=20)
+HASHED = S.Resampler("hashed")
 NINE = DEFAULTS.train_length
 EXACT = ("mcnemar_p", "mcnemar_p_holm", "p_holm")           # exact binomial p values
 
@@ -341,22 +341,36 @@ def _aligned(spark, d, bank, models, lengths=DEFAULTS.lengths):
     return durable(R.answers(IO.with_codes(rows), models))
 
 
+BANKS = ("split", "length")
+
+
+def _cells_of_banks(spark, d):
+    """Joint cells of both banks at every length, and the aligned answers."""
+    rows = P.both_predictions(spark, d, free=False).where(F.col("model").isin(*SCORED))
+    aligned = durable(R.answers(IO.with_codes(rows), SCORED, BANKS))
+    return aligned, R.joint_cells(aligned, BANKS)
+
+
 @query
 def bootstrap_intervals(spark, d):
-    """10,000 multinomial resamples at every length: point scores with their intervals."""
-    aligned = _aligned(spark, d, "bank_a", SCORED)
-    metrics = ("acc", "macro_f1", "f1_w", "f1_clothing")
-    draws = R.draw_scores(R.multinomial_draws(R.joint_cells(aligned), SCORED))
-    limits = R.metric_intervals(draws, metrics=metrics)
-    points = M.long_metrics(R.point_scores(aligned, SCORED), ("length", "model"), metrics)
-    return printed(points.join(limits, ["length", "model", "metric"]))
+    """10,000 multinomial resamples of both banks at every length: point scores with their intervals."""
+    aligned, cells = _cells_of_banks(spark, d)
+    limits = R.metric_intervals(R.draw_scores(R.multinomial_draws(cells, SCORED, BANKS)), (*BANKS, "model"))
+    points = M.long_metrics(R.point_scores(aligned, SCORED, BANKS), (*BANKS, "model"))
+    return printed(points.join(limits, [*BANKS, "model", "metric"]))
+
+
+@query
+def bootstrap_law(spark, d):
+    """Whether the same resamples' cell counts have the mean and the variance of their law."""
+    _, cells = _cells_of_banks(spark, d)
+    return printed(R.cell_law(cells, R.multinomial_draws(cells, SCORED, BANKS), SCORED, BANKS))
 
 
 @query
 def poisson_bootstrap(spark, d):
-    """Metrics of every hashed resample."""
-    draws = R.draw_scores(R.poisson_draws(_aligned(spark, d, "bank_a", SCORED), SCORED))
-    return printed(draws.select("length", "model", "draw", "n", *M.OVERALL, *M.CLASS_F1))
+    """The confusion cells of every hashed resample."""
+    return printed(R.poisson_draws(R.joint_cells(_aligned(spark, d, "bank_a", SCORED)), SCORED))
 
 
 @query
@@ -420,7 +434,7 @@ def primary_endpoint(spark, d):
 
 @query
 def primary_endpoint_without_ties(spark, d):
-    return printed(_primary(spark, d, None, C.tied_customers(T.bank_b(spark, d))))
+    return printed(_primary(spark, d, HASHED, C.tied_customers(T.bank_b(spark, d))))
 
 
 @query

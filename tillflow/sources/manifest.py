@@ -4,23 +4,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillflow.sources.stores import listed, opened
+
 BLOCK = 1 << 20
 
 
 def file_digests(spark: SparkSession, *folders: str) -> DataFrame:
-    """(path, sha256) of every file below the folders.
+    """(path, sha256) of the stored bytes of every file below the folders.
 
-    Only the listing goes through a DataFrame; each file is read in blocks of BLOCK bytes by the task that hashes it, so its size does
-    not matter.
+    Folders are listed where the tasks run (see stores.listed); each file is read in blocks of BLOCK bytes by the task that hashes it, so
+    its size does not matter. Compressed files are hashed as they are.
     """
-    names = []
-    for folder in folders:                                                       # the listing; Spark's readers make the same one
-        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True)
-        while found.hasNext():
-            names.append((found.next().getPath().toString(),))
-    files = spark.createDataFrame(names, "path string").repartition("path")
-
     def hashed(batches):
         import hashlib
 
@@ -30,25 +24,16 @@ def file_digests(spark: SparkSession, *folders: str) -> DataFrame:
             out = []
             for path in batch["path"]:
                 digest = hashlib.sha256()
-                with opened(path) as stream:
+                with opened(path, compression=None) as stream:
                     while block := stream.read(BLOCK):
                         digest.update(block)
                 out.append(digest.hexdigest())
             yield pd.DataFrame({"path": batch["path"], "sha256": out})
 
+    files = listed(spark, *folders).select("path").repartition("path")
     return files.mapInPandas(hashed, "path string, sha256 string").withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
 
 
-def opened(path: str):
-    """A stream of bytes from a path as Spark and Hadoop write it (file:/x, hdfs://host/x, s3a://bucket/x)."""
-    from pyarrow import fs
-
-    if path.startswith("file:") or "://" not in path:
-        return fs.LocalFileSystem().open_input_stream("/" + path.removeprefix("file:").lstrip("/"))
-    store, inside = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
-    return store.open_input_stream(inside)
-
-
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Lines `sha256  path`."""
     line = F.col("value")

@@ -5,11 +5,15 @@ Long form: split, model, length (null for models that read no history), customer
 """
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillflow.functions.expressions import class_code
 from tillflow.settings import CLASSES
+from tillflow.sources.raw import files_of, heads, own_names
 
 COLUMNS = ("split", "model", "length", "customer_id", "ground_truth", "prediction", "p")
 FILE_NAME = r"([^/]+?)(?:_last(\d+))?\.csv$"
@@ -46,16 +50,21 @@ def read_predictions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_prediction_files(spark: SparkSession, folder: str, split: str) -> DataFrame:
-    """Prediction CSV files of other tools, named <model>[_last<X>].csv. The answer text is kept as written."""
+    """Prediction CSV files of other tools, named <model>[_last<X>].csv. The answer text is kept as written.
+
+    Files of one header are one scan; model and length come from the name of the file that a row stands in.
+    """
     probs = [f"p_{c}" for c in CLASSES]
+    groups: dict = {}
+    for row in heads(files_of(spark, folder, "*.csv").where("length > 0")).collect():       # a name and a header per file
+        groups.setdefault(row["header"], []).append(row["path"])
     out = None
-    for file in sorted(spark.read.option("pathGlobFilter", "*.csv").format("binaryFile").load(folder).inputFiles()):
-        reader = (spark.read.option("header", True).option("nullValue", "\u0001").option("emptyValue", ""))
-        raw = reader.csv(file)                                                   # columns are text, no inference
-        has = all(c in raw.columns for c in probs)
-        p = (F.array(*[F.col(f"`{c}`").try_cast("double") for c in probs]) if has
-             else F.lit(None).cast("array<double>"))
-        model, length = split_name(F.col("_metadata.file_path"))
+    for header, paths in sorted(groups.items()):
+        names = own_names(next(csv.reader([header])))
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+        raw = spark.read.option("header", True).option("nullValue", "\u0001").option("emptyValue", "").schema(schema).csv(sorted(paths))
+        p = F.array(*[F.col(f"`{c}`").try_cast("double") for c in probs]) if all(c in names for c in probs) else F.lit(None).cast("array<double>")
+        model, length = split_name(F.url_decode(F.col("_metadata.file_name")))
         part = raw.select(F.lit(split).alias("split"), model.alias("model"), length.alias("length"),
                           F.col("customer_id").cast("long"), "ground_truth",
                           F.coalesce("prediction", F.lit("")).alias("prediction"), p.alias("p"))

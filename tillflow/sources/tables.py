@@ -1,6 +1,7 @@
 """Reading and writing transaction, profile, split and lookup tables."""
 from __future__ import annotations
 
+import csv
 import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +11,8 @@ from pyspark.sql import types as T
 from tillflow.functions.expressions import category_of, class_code, code_of, complete, normal_text
 from tillflow.functions.quantiles import exact_quantiles
 from tillflow.settings import (CLASSES, DEMOGRAPHIC_COLUMNS, DEMOGRAPHIC_TEXT, TIE_BREAKERS, TRANSACTION_COLUMNS)
+from tillflow.sources.raw import files_of, heads, own_names, parsed
+from tillflow.sources.session import durable
 
 
 def require_columns(df: DataFrame, columns, source="table") -> DataFrame:
@@ -26,31 +29,34 @@ KNOWN_TYPES = {"customer_id": "bigint", "amount": "double", "mcc": "int", "age":
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """One CSV file, a folder of CSV files, or Parquet. Rows get `seq`, the order in which the files hold them.
 
-    A CSV table is read once: its schema comes from the header and, for the kind of its dates, from the first line. Rows that lack a
-    customer are left for the loaders to drop.
+    CSV files are taken in once: every file's columns by name (a column that a file lacks is null there, a type in `schema` or
+    KNOWN_TYPES counts, a value that does not fit it is null), each row numbered in its file, and kept as Parquet in the shared scratch
+    folder, so that later filters and column selections reach the scan. Dates are cast row by row; if any holds a time of day the column
+    is a timestamp, else a day. Quoted line breaks belong to their field. Rows that lack a customer are left for the loaders to drop.
     """
     if path.rstrip("/").endswith(".parquet"):
         df = spark.read.parquet(path)
         return df if "seq" in df.columns else df.withColumn(
             "seq", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
-    if not _exists(spark, path):
+    files = heads(files_of(spark, path, "*.csv").where("length > 0")).collect() if _exists(spark, path) else []      # a name and a header per file
+    if not files:
         raise FileNotFoundError(f"no CSV files in {path}")
-    reader = spark.read.option("header", True).option("pathGlobFilter", "*.csv")
-    if schema is None:
-        lines = spark.read.option("pathGlobFilter", "*.csv").text(path)
-        if not lines.inputFiles():
-            raise FileNotFoundError(f"no CSV files in {path}")
-        first = reader.csv(path)                                             # the header only
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in first.columns])
-        row = reader.schema(schema).csv(path).first() if "date" in first.columns else None
-        timed = row is not None and len((row["date"] or "").strip()) > 10
-        kinds = {**KNOWN_TYPES, "date": "timestamp_ntz" if timed else "date"}
-        schema = ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in first.columns)
-    df = reader.schema(schema).csv(path)
-    if not df.inputFiles():
-        raise FileNotFoundError(f"no CSV files in {path}")
-    return df.withColumn("seq", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-                                         F.monotonically_increasing_id().alias("row")))
+    groups: dict = {}
+    for row in files:
+        groups.setdefault((row["header"], row["first"]), []).append((row["path"], row["length"]))
+    out = None
+    for (header, first), members in sorted(groups.items()):
+        names = own_names(next(csv.reader([header])))
+        part = parsed(spark, spark.createDataFrame(members, "path string, length long"), names, {}, True, first)
+        part = part.withColumn("seq", F.struct("file", "row")).drop("file", "row")
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    kinds = {f.name: f.dataType.simpleString() for f in schema.fields} if schema is not None else KNOWN_TYPES
+    wanted = [f.name for f in schema.fields if f.name in out.columns] if schema is not None else [c for c in out.columns if c != "seq"]
+    kept = durable(out.select(*[F.trim(F.col(f"`{c}`")).try_cast(kinds[c]).alias(c) if kinds.get(c, "string") != "string" else F.col(f"`{c}`") for c in wanted], "seq"))
+    if "date" in wanted and "date" not in (kinds if schema is not None else {}):
+        timed = kept.where(F.length(F.trim("date")) > 10).limit(1).count() > 0
+        kept = kept.withColumn("date", F.trim("date").try_cast("timestamp_ntz" if timed else "date"))
+    return kept
 
 
 def code_table(spark: SparkSession, classes: dict) -> DataFrame:
