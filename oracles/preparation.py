@@ -58,6 +58,10 @@ ORACLES = {
           WHERE age IS NOT NULL AND gender IS NOT NULL AND marital_status IS NOT NULL AND education IS NOT NULL AND occupation IS NOT NULL AND income IS NOT NULL) GROUP BY ALL""", **RAW),
     "unlisted_labels": sql("""SELECT DISTINCT 'marital_status' AS field, trim(marital) AS label FROM raw_customers WHERE regexp_full_match(cust, '\\d+') AND trim(marital) <> 'Married'
         UNION SELECT DISTINCT 'occupation', trim(job) FROM raw_customers WHERE regexp_full_match(cust, '\\d+') AND trim(job) <> 'MACHINERY'""", **RAW),
+    "raw_files": sql("""SELECT cust AS "CUST", rday AS "RDAY", clock AS "CLOCK", amt AS "AMT", mcode AS "CODE", nullif(rtext, '') AS "RTEXT", seq::VARCHAR AS "KEY",
+        'order ' || seq || CASE seq % 3 WHEN 0 THEN chr(10) || 'said ' || chr(39) || 'yes; no' || chr(39) || chr(10) WHEN 1 THEN '; plain' ELSE '' END AS "NOTE" FROM raw_text""", **RAW),
+    "csv_folder": sql(f"SELECT customer_id, strftime(dt, '%Y-%m-%d') || CASE WHEN customer_id % 2 = 0 THEN ' 00:00:00' ELSE ' 18:30:00' END AS date, {r('amount')} AS amount, mcc::BIGINT AS mcc, {class_name('code')} AS category FROM tx_a"),
+    "file_manifest": "SELECT o_orderstatus AS status, sha256(string_agg(o_orderkey || chr(10), '' ORDER BY o_orderkey)) AS sha256 FROM orders GROUP BY 1",
     "map_categories": sql(f"""SELECT 'default' AS map, mcc::BIGINT AS mcc, {class_name('code')} AS category, count(*) AS n FROM tx_a GROUP BY ALL
         UNION ALL SELECT 'override', mcc, CASE WHEN mcc IN (5651, 5411) THEN 'Clothing' WHEN mcc = 4812 THEN 'Gas stations' ELSE 'Other' END AS c, count(*) FROM tx_a GROUP BY ALL"""),
     "season_filter": sql(f"SELECT {class_name('code')} AS category, count(*) AS n, min(dt)::VARCHAR AS first, max(dt)::VARCHAR AS last FROM tx_a WHERE dt BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' GROUP BY ALL"),

@@ -1,6 +1,8 @@
 """Registered queries: reading, cleaning, cohorts, windows, splits."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tillflow.functions.expressions import age_band, class_code, span_band
@@ -9,7 +11,8 @@ from tillflow.plans.registry import joined, printed, query
 from tillflow.plans.tables import SEASON, both_banks, transactions
 from tillflow.settings import DEFAULTS
 from tillflow.sources import manifest, tables, testdata as T
-from tillflow.sources.raw import ExportSection
+from tillflow.sources.raw import ExportSection, read_raw
+from tillflow.sources.session import scratch_folder
 
 TX_SECTION = ExportSection(files=(), columns={"customer_id": "CUST", "date": "RDAY", "time": "CLOCK", "amount": "AMT", "mcc": "CODE"},
                            date_format="%m/%d/%Y", time_format="%H.%M.%S", decimal=",", require=("RTEXT",))
@@ -107,6 +110,42 @@ def unlisted_labels(spark, d):
     return cleaning.unlisted_labels(T.raw_customers(spark, d), section)
 
 
+def _folder(spark, name):
+    return f"{scratch_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def raw_files(spark, d):
+    """Bank A written as raw text files with quoted line breaks and read back as an institution's files."""
+    note = F.concat(F.lit("order "), F.col("seq").cast("string"), F.when(F.col("seq") % 3 == 0, "\nsaid 'yes; no'\n").when(F.col("seq") % 3 == 1, "; plain").otherwise(""))
+    rows, folder = T.raw_text(spark, d).withColumns({"KEY": F.col("seq").cast("string"), "NOTE": note}).drop("seq"), _folder(spark, "raw-files")
+    (rows.write.option("header", True).option("sep", ";").option("quote", "'").option("escape", "'").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(folder))
+    section = ExportSection(files=(f"{folder}/part-*",), columns=TX_SECTION.columns, require=("RTEXT", "KEY", "NOTE"), read_csv={"sep": ";", "quotechar": "'", "multi_line": True})
+    return read_raw(spark, section).drop("seq")
+
+
+@query
+def csv_folder(spark, d):
+    """Bank A as a folder of CSV files, half of them with other columns in another order and dates with a time of day, read by name."""
+    raw, folder = T.raw_bank_a(spark, d).drop("seq"), _folder(spark, "csv")
+    even = F.col("customer_id") % 2 == 0
+    raw.where(even).select("customer_id", "date", "amount", "mcc").write.option("header", True).csv(folder)
+    timed = F.date_format(F.to_timestamp("date"), "yyyy-MM-dd 18:30:00")
+    raw.where(~even).select("mcc", F.lit("shop, left").alias("note"), "amount", timed.alias("date"), "customer_id").write.mode("append").option("header", True).csv(folder)
+    return printed(tables.load_transactions(tables.read_table(spark, folder)).select("customer_id", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), "amount", "mcc", "category"))
+
+
+@query
+def file_manifest(spark, d):
+    """Digests of stored files: one of order keys per status."""
+    folder = _folder(spark, "keys")
+    keys = T.table(spark, d, "orders").select("o_orderkey", "o_orderstatus").repartition("o_orderstatus").sortWithinPartitions("o_orderstatus", "o_orderkey")
+    keys.select(F.col("o_orderkey").cast("string"), "o_orderstatus").write.partitionBy("o_orderstatus").text(folder)
+    digests = manifest.file_digests(spark, folder).withColumn("status", F.regexp_extract("path", "o_orderstatus=([^/]+)/part-", 1))
+    return digests.where("status <> '' and path not like '%.crc'").select("status", "sha256")
+
+
 @query
 def map_categories(spark, d):
     """Default map and a map that replaces it, counted per code."""

@@ -111,7 +111,7 @@ def parsed(spark: SparkSession, files: DataFrame, names, options: dict, multi_li
         out = rows.select(*[F.col("r").getField(c).alias(c) for c in wanted], "file", "row")
     if whole:
         # Spark drops a header by itself; lines before it stand in no column of their own and are dropped by their number
-        reader = spark.read.options(**plain).option("encoding", JAVA_NAMES.get(codecs.lookup(encoding).name, encoding)).option("multiLine", multi_line)
+        reader = spark.read.options(**plain).option("encoding", JAVA_NAMES.get(codecs.lookup(encoding).name, encoding)).option("multiLine", True)
         reader = reader.option("comment", comment) if comment else reader
         if first > 1 and not comment:
             raise ValueError(f"lines before the header need files that can be cut into records, not {whole[0]}")

@@ -27,12 +27,12 @@ def can_be_cut(path: str, encoding: str) -> bool:
     return not path.lower().endswith(PACKED) and (name in ("utf-8", "ascii") or name.startswith(("iso8859", "cp125", "koi8", "mac", "cp437", "cp850")))
 
 
-def _blocks(files: DataFrame) -> DataFrame:
+def _blocks(files: DataFrame, block: int) -> DataFrame:
     """(path, length) -> a row per block (path, length, start), dealt out evenly."""
     # fixed: the number of tasks must not be lowered at run time, the rows are few and the work behind each is large
-    n = max(1, int(files.agg(F.sum(F.ceil(F.col("length") / BLOCK))).first()[0] or 1))
+    n = max(1, int(files.agg(F.sum(F.ceil(F.col("length") / block))).first()[0] or 1))
     tasks = min(n, 64 * files.sparkSession.sparkContext.defaultParallelism)
-    cut = files.where("length > 0").withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(BLOCK).cast("long"))))
+    cut = files.where("length > 0").withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(block).cast("long"))))
     return cut.repartition(tasks, "path", "start")
 
 
@@ -50,7 +50,7 @@ def _inside(data, quote: int):
     return np.logical_xor.accumulate(data == quote) if len(data) else np.zeros(0, bool)
 
 
-def _counter(quote: str, sep: str):
+def _counter(quote: str, sep: str, block: int):
     mark, sep_byte = ord(quote), ord(sep) if len(sep) == 1 and ord(sep) < 128 else -1
 
     def run(batches):
@@ -61,7 +61,7 @@ def _counter(quote: str, sep: str):
             out = []
             for path, start in zip(batch["path"], batch["start"]):
                 with seekable(path) as stream:
-                    own = _read(stream, start, BLOCK)
+                    own = _read(stream, start, block)
                     before = _read(stream, start - 1, 1) if start else np.array([10], np.uint8)
                 inside, ends = _inside(own, mark), own == 10
                 last = np.concatenate((before, own[:-1]))
@@ -73,15 +73,17 @@ def _counter(quote: str, sep: str):
     return run
 
 
-def _line_counter(batches):
-    import pandas as pd
+def _line_counter(block: int):
+    def run(batches):
+        import pandas as pd
 
-    for batch in batches:
-        out = []
-        for path, start in zip(batch["path"], batch["start"]):
-            with seekable(path) as stream:
-                out.append((path, start, int((_read(stream, start, BLOCK) == 10).sum())))
-        yield pd.DataFrame(out, columns=["path", "start", "ends"])
+        for batch in batches:
+            out = []
+            for path, start in zip(batch["path"], batch["start"]):
+                with seekable(path) as stream:
+                    out.append((path, start, int((_read(stream, start, block) == 10).sum())))
+            yield pd.DataFrame(out, columns=["path", "start", "ends"])
+    return run
 
 
 def _first_end(stream, place: int, mark: int | None, quoted: bool, length: int) -> int:
@@ -97,7 +99,7 @@ def _first_end(stream, place: int, mark: int | None, quoted: bool, length: int)
     return length
 
 
-def _cutter(quote: str | None, encoding: str):
+def _cutter(quote: str | None, encoding: str, block: int):
     mark, utf8 = ord(quote) if quote else None, codecs.lookup(encoding).name in ("utf-8", "ascii")
 
     def run(batches):
@@ -107,7 +109,7 @@ def _cutter(quote: str | None, encoding: str):
         for batch in batches:
             for path, length, start, quoted, row in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "start", "quoted", "row"))):
                 with seekable(path) as stream:
-                    own = _read(stream, start, BLOCK)
+                    own = _read(stream, start, block)
                     inside = (_inside(own, mark) ^ quoted) if mark is not None else np.zeros(len(own), bool)
                     ends = np.flatnonzero((own == 10) & ~inside) + 1
                     if start and len(ends) == 0:
@@ -133,7 +135,7 @@ def _cutter(quote: str | None, encoding: str):
     return run
 
 
-def records(files: DataFrame, quote: str | None = None, encoding: str = "utf-8", sep: str = ",") -> tuple[DataFrame, DataFrame | None]:
+def records(files: DataFrame, quote: str | None = None, encoding: str = "utf-8", sep: str = ",", block: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(path, row, record) of all records of `files` (path, length), row counted from 0 in each file, line ends taken off.
 
     quote: a character between two of which line breaks belong to the record; without one every line is a record. The second result
@@ -141,21 +143,22 @@ def records(files: DataFrame, quote: str | None = None, encoding: str = "utf-8",
     not among the records and have to be read from their start. It is None where no file can be like that.
     Empty lines are records too. One block's bytes, and the longest record, are what a task holds.
     """
-    blocks, by_file, strays = _blocks(files), Window.partitionBy("path").orderBy("start"), None
+    block = block or BLOCK
+    blocks, by_file, strays = _blocks(files, block), Window.partitionBy("path").orderBy("start"), None
     before = by_file.rowsBetween(Window.unboundedPreceding, -1)
     if quote:
-        seen = durable(blocks.mapInPandas(_counter(quote, sep), "path string, start long, parity boolean, ends_out long, ends_in long, stray_out boolean, stray_in boolean"))
+        seen = durable(blocks.mapInPandas(_counter(quote, sep, block), "path string, start long, parity boolean, ends_out long, ends_in long, stray_out boolean, stray_in boolean"))
         state = seen.withColumn("quoted", F.coalesce(F.bit_xor(F.col("parity").cast("int")).over(before), F.lit(0)) == 1)
         state = state.withColumn("ends", F.when(F.col("quoted"), F.col("ends_in")).otherwise(F.col("ends_out")))
         wrong = state.where(F.when(F.col("quoted"), F.col("stray_in")).otherwise(F.col("stray_out"))).select("path").distinct()
         strays = durable(wrong)
         state = state.join(strays, "path", "left_anti")
     else:
-        state = blocks.mapInPandas(_line_counter, "path string, start long, ends long").withColumn("quoted", F.lit(False))
+        state = blocks.mapInPandas(_line_counter(block), "path string, start long, ends long").withColumn("quoted", F.lit(False))
         state = durable(state)
     # the record that a block's first line end closes started before it, so the block's own first record is one further
     placed = state.withColumn("row", F.coalesce(F.sum("ends").over(before), F.lit(0)) + F.when(F.col("start") > 0, 1).otherwise(0))
     placed = durable(placed.join(files, "path").select("path", "length", "start", "quoted", "row"))
     tasks = max(1, min(placed.count(), 64 * files.sparkSession.sparkContext.defaultParallelism))
-    cut = placed.repartition(tasks, "path", "start").mapInArrow(_cutter(quote, encoding), "path string, row long, record string")
+    cut = placed.repartition(tasks, "path", "start").mapInArrow(_cutter(quote, encoding, block), "path string, row long, record string")
     return cut.withColumn("record", F.regexp_replace("record", r"\r?\n\z", "")), strays
