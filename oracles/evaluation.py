@@ -265,8 +265,13 @@ ORACLES = {
         f"n{k} AS count_{s}, {r(f'sh{k}')} AS share_{s}, (CASE WHEN n{k} > 0 THEN r{k} - 2 ELSE 9 END)::BIGINT AS since_{s}, (lastc = {k})::BIGINT AS last_is_{s}, (second = {k})::BIGINT AS second_last_is_{s}" for k, s in enumerate(SHORT))
         + ", switches FROM nine JOIN second9 USING (customer_id)", nine=FIXED9, second9=SECOND),
     "full_features": q(f"SELECT customer_id, {cols(('amount_mean', 'amount_median', 'amount_max', 'amount_last', 'amount_total', 'gap_mean'))}, gap_last::BIGINT AS gap_last, span_days::BIGINT AS span_days, weekday_last::BIGINT AS weekday_last, age::BIGINT AS age, gender, marital_status, education, occupation, income_group FROM full9 JOIN demo USING (customer_id)", inputs9=INPUTS, full9=FULL),
-    "one_hot": sql("SELECT customer_id, age::BIGINT AS age, " + ", ".join(f"(gender = '{g}')::INT::DOUBLE AS gender_{g}" for g in ("male",)) + ", " + ", ".join(
-        f"(occupation = '{o}')::INT::DOUBLE AS \"occupation_{o}\"" for o in ("private sector employee", "public sector employee", "self-employed", "not employed")) + " FROM demo"),
+    "one_hot": q("SELECT d.customer_id, max(age)::BIGINT AS age, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i) FILTER (i IS NOT NULL), '') AS hot FROM (SELECT customer_id, age, unnest(['gender', 'marital_status', 'education', 'occupation', 'income_group']) AS variable, "
+        "unnest([gender, marital_status, education, occupation, income_group]) AS level FROM demo) d LEFT JOIN levels_ l ON l.variable = d.variable AND l.level = d.level GROUP BY d.customer_id",
+        levels_="SELECT *, row_number() OVER (ORDER BY md5(variable || ':' || level)) - 1 AS i FROM (SELECT DISTINCT unnest(['gender', 'marital_status', 'education', 'occupation', 'income_group']) AS variable, unnest([gender, marital_status, education, occupation, income_group]) AS level "
+                "FROM demo WHERE customer_id % 2 = 0 AND occupation <> 'retired')"),
+    "logistic_model": q("SELECT kind, c, weights, (SELECT count(*) FROM assignment WHERE split = 'train') AS n_train, TRUE AS at_minimum, TRUE AS better_than_nothing FROM (VALUES ('seq'), ('full')) k(kind), "
+        "(VALUES (0.01::DOUBLE), (0.1::DOUBLE), (1::DOUBLE), (10::DOUBLE)) c(c), (VALUES ('none'), ('balanced')) w(weights)"),
+    "grid_select": q("SELECT kind, 8::BIGINT AS settings, (SELECT count(*) FROM assignment WHERE split = 'val') AS n_val, TRUE AS first_of_the_best, TRUE AS score_is_a_share FROM (VALUES ('seq'), ('full')) k(kind)"),
     "class_weights": q(" UNION ALL ".join(f"SELECT '{kind}' AS kind, k AS target, n, {r(f)} AS weight FROM tcount" for kind, f in
         (("none", "1"), ("inverse", "1 / greatest(n, 1) / sum(1 / greatest(n, 1)) OVER () * 4"), ("balanced", "sum(n) OVER () / (4 * greatest(n, 1))"))),
         tcount="SELECT k, (SELECT count(*) FROM w WHERE bank = 'bank_a' AND length = 9 AND truth = k) AS n FROM range(4) t(k)"),

@@ -1,11 +1,12 @@
 """Feature tables of the input window (the target is never read)."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillflow.functions.expressions import N_CLASSES, array_median, array_sum, changes, count_code, last_seen
 from tillflow.settings import SHORT_NAMES
+from tillflow.sources.session import durable
 
 PROFILE_LEVELS = ("gender", "marital_status", "education", "occupation", "income_group")
 
@@ -58,21 +59,33 @@ def join_profiles(df: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def level_table(train: DataFrame, columns=PROFILE_LEVELS) -> DataFrame:
-    """(variable, level) pairs seen in training."""
-    return (train.select(F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("level")) for c in columns])))
-            .where(F.col("level").isNotNull()).distinct())
+    """(variable, level, index) of the pairs seen in training, numbered from 0 in the order of their md5; written once.
+
+    The first digits of the md5 deal the levels to 4,096 buckets: their sizes give every bucket's first number, and levels are ranked
+    inside their bucket, so no task sorts all levels.
+    """
+    pairs = (train.select(F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level")) for c in columns])))
+             .where(F.col("level").isNotNull()).distinct().withColumn("_h", F.md5(F.concat_ws(":", "variable", "level"))).withColumn("_b", F.substring("_h", 1, 3)))
+    sizes = pairs.groupBy("_b").agg(F.count("*").alias("_m"))
+    before = sizes.select("_b", F.coalesce(F.sum("_m").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    ranked = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", "variable", "level")))
+    return durable(ranked.join(F.broadcast(before), "_b").select("variable", "level", (F.col("_before") + F.col("_r") - 1).alias("index")))
 
 
-MAX_LEVELS = 1000
+BROADCAST_LEVELS = 1_000_000
 
 
-def one_hot(df: DataFrame, levels: DataFrame) -> DataFrame:
-    """0/1 columns `<variable>_<level>` for the training levels; a level not seen in training gives zeros only."""
-    pairs = levels.orderBy("variable", "level").limit(MAX_LEVELS + 1).collect()          # level names, not rows
-    if len(pairs) > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} levels: not categorical columns")
-    hot = {f"{r.variable}_{r.level}": F.coalesce((F.col(r.variable) == r.level).cast("double"), F.lit(0.0)) for r in pairs}
-    return df.withColumns(hot).drop(*{r.variable for r in pairs})
+def one_hot(df: DataFrame, levels: DataFrame, columns=PROFILE_LEVELS) -> DataFrame:
+    """The categorical columns as one sparse row `hot`: the sorted indices of the levels that hold; the others are 0.
+
+    Levels are looked up by a join per column, however many there are. A null, or a level not seen in training, has no index.
+    """
+    few = levels.count() <= BROADCAST_LEVELS
+    for i, c in enumerate(columns):
+        own = levels.where(F.col("variable") == c).select(F.col("level").alias(f"_level{i}"), F.col("index").alias(f"_hot{i}"))
+        df = df.join(F.broadcast(own) if few else own, F.col(c).cast("string") == F.col(f"_level{i}"), "left").drop(f"_level{i}")
+    names = [f"_hot{i}" for i in range(len(columns))]
+    return df.withColumn("hot", F.array_sort(F.array_compact(F.array(*names)))).drop(*names, *columns)
 
 
 def class_weights(targets: DataFrame, kind: str = "inverse") -> DataFrame:

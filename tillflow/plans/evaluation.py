@@ -1,13 +1,17 @@
 """Registered queries: predictors, features, metrics, resampling, tests."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tillflow.functions.expressions import N_CLASSES, age_band, span_band
+from tillflow.functions.literals import literal_rows
 from tillflow.operators import baselines as B
 from tillflow.operators import calibration as K
 from tillflow.operators import cohort as C
 from tillflow.operators import features as X
+from tillflow.operators import linear as N
 from tillflow.operators import metrics as M
 from tillflow.operators import models as L
 from tillflow.operators import resampling as R
@@ -15,6 +19,7 @@ from tillflow.operators import scoring as G
 from tillflow.operators import significance as S
 from tillflow.operators import windows as W
 from tillflow.plans import tables as P
+from tillflow.plans.preparation import _assignment as split_assignment
 from tillflow.plans.registry import joined, printed, query
 from tillflow.settings import DEFAULTS
 from tillflow.sources import predictions as IO
@@ -93,10 +98,10 @@ def full_features(spark, d):
 
 @query
 def one_hot(spark, d):
-    """Levels learned on the customers of even id; a level not seen there gives zeros."""
-    p = T.profiles(spark, d).select("customer_id", "age", "gender", "occupation")
-    levels = X.level_table(p.where((F.col("customer_id") % 2 == 0) & (F.col("occupation") != "retired")), ("gender", "occupation"))
-    return printed(X.one_hot(p, levels))
+    """Levels learned on the customers of even id; a level not seen there has no index."""
+    p = T.profiles(spark, d)
+    levels = X.level_table(p.where((F.col("customer_id") % 2 == 0) & (F.col("occupation") != "retired")))
+    return printed(X.one_hot(p, levels).select("customer_id", "age", joined(F.col("hot")).alias("hot")))
 
 
 @query
@@ -118,16 +123,66 @@ def padded_sequence(spark, d):
                             joined(F.col("next_codes")).alias("next_codes")))
 
 
+KINDS = ("seq", "full")
+
+
 def _features(spark, d, bank="bank_a"):
     return X.sequence_features(_windows(spark, d, bank)).withColumn("fold", F.pmod(F.col("customer_id"), F.lit(5)))
 
 
+def _split_features(spark, d):
+    """Feature rows of every split at the training length, with their split; customers of the splits have profiles."""
+    p, assignment = T.profiles(spark, d), durable(split_assignment(spark, d))
+    parts = []
+    for bank in ("bank_a", "bank_b"):
+        own = assignment.where(F.col("bank") == bank).select("customer_id", "split")
+        parts.append(X.full_features(_windows(spark, d, bank).join(own, "customer_id"), p))
+    return parts[0].unionByName(parts[1])
+
+
+def _fitted(spark, d):
+    """Per feature set: the models of the whole grid, their validation scores, and the rows of all splits."""
+    features = durable(_split_features(spark, d))
+    levels = X.level_table(features.where("split = 'train'"))
+    out = {}
+    for kind in KINDS:
+        full = kind == "full"
+        numeric = X.sequence_feature_names() + ([*X.AMOUNT_DATE_NAMES, "age"] if full else [])
+        rows = N.rows_of(X.one_hot(features, levels) if full else features, numeric, full)
+        models = N.fit_grid(rows.where("split = 'train'"), L.LOGISTIC_GRID, len(numeric), levels.count() if full else 0)
+        out[kind] = rows, models, N.grid_scores(models, rows.where("split = 'val'"))
+    return out
+
+
 @query
 def logistic_model(spark, d):
-    """Multinomial logistic regression on sequence features, four folds train, one is scored."""
-    f, names = _features(spark, d), X.sequence_feature_names()
-    model = L.fit_logistic(f.where("fold > 0"), names, C=0.1)
-    return printed(M.classification_metrics(L.score_windows(model, f.where("fold = 0"), "logit-seq")))
+    """All settings of the grid on both feature sets of the train split: whether each penalised loss is at its minimum, and below that of the class shares."""
+    out, sizes = [], {}
+    for kind, (rows, models, _) in _fitted(spark, d).items():
+        sizes = sizes or {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count("*").alias("n")).collect()}
+        for m in models:
+            out.append((kind, m.settings["C"], m.settings["weights"], sizes["train"], m.gradient < N.TOLERANCE, m.loss < math.log(N_CLASSES)))
+    return printed(literal_rows(spark, out, ("kind", "c", "weights", "n_train", "at_minimum", "better_than_nothing")))
+
+
+@query
+def grid_select(spark, d):
+    """The setting selected on validation for each feature set: its score is the largest of the grid's."""
+    out = []
+    for kind, (rows, models, scores) in _fitted(spark, d).items():
+        i = N.best_of(models, scores)
+        out.append((kind, len(scores), rows.where("split = 'val'").count(), scores[i] == max(scores) and scores.index(max(scores)) == i, 0 < scores[i] < 1))
+    return printed(literal_rows(spark, out, ("kind", "settings", "n_val", "first_of_the_best", "score_is_a_share")))
+
+
+@query
+def logistic_scores(spark, d):
+    """Metrics of the selected models, logit-seq and logit-full, on every split that was not trained on."""
+    out = None
+    for kind, (rows, models, scores) in _fitted(spark, d).items():
+        scored = L.score_windows(models[N.best_of(models, scores)], rows.where("split <> 'train'"), f"logit-{kind}")
+        out = scored if out is None else out.unionByName(scored)
+    return printed(M.classification_metrics(out, ("split", "model")))
 
 
 @query
@@ -138,19 +193,6 @@ def gbdt_model(spark, d):
     return printed(M.classification_metrics(L.score_windows(model, f.where("fold = 0"), "gbdt-seq")))
 
 
-@query
-def grid_select(spark, d):
-    """Logistic settings tried on validation; the selected one and every score."""
-    f, names = _features(spark, d).persist(), X.sequence_feature_names()
-    train, val = f.where("fold > 0"), f.where("fold = 0")
-    best, log = L.grid_select(lambda **s: L.fit_logistic(train, names, **s, max_iter=20), L.grid(C=(0.01, 1.0), weights=("none", "balanced")), val)
-    f.unpersist()
-    from tillflow.functions.literals import literal_rows
-
-    rows = [(s["C"], s["weights"], score, s == best.settings) for s, score in log]
-    return printed(literal_rows(spark, rows, ("c", "weights", "score", "selected")))
-
-
 @query
 def score_in_batches(spark, d):
     """A caller's numpy model (smoothed frequencies) applied batch by batch."""
