@@ -182,9 +182,9 @@ CAL_NAMES = [f"ece_{s}" for s in SHORT] + ["ece_class_mean", "brier", "reliabili
 CAL = ("SELECT bank, model, length, " + ", ".join(f"max(ece) FILTER (k = {k}) AS ece_{s}" for k, s in enumerate(SHORT)) + ", avg(ece) AS ece_class_mean, sum(brier) AS brier, sum(reliability) AS reliability, sum(resolution) AS resolution, "
        "sum(uncertainty) AS uncertainty, " + ", ".join(f"max({c}) FILTER (k = {k}) AS {c}_{s}" for c in ("mean_p", "share") for k, s in enumerate(SHORT)) + f" FROM ({CLASS_CAL}) GROUP BY bank, model, length")
 # brute force: every candidate threshold against every row
-THRESHOLDS = ("SELECT model, length, t, count(*) FILTER (q >= t AND o = 1) AS tp, count(*) FILTER (q >= t) AS flagged, sum(o) AS positives FROM "
-              "(SELECT DISTINCT model, length, round_even(q * 10000, 0) / 10000::DOUBLE AS t FROM ovr WHERE bank = 'bank_a' AND k = 0) JOIN (SELECT * FROM ovr WHERE bank = 'bank_a' AND k = 0) USING (model, length) GROUP BY model, length, t")
-CHOSEN = f"SELECT * FROM (SELECT *, 5 * (positives - tp) + (flagged - tp) AS cost, row_number() OVER (PARTITION BY model, length ORDER BY 5 * (positives - tp) + (flagged - tp), t) AS k_ FROM ({THRESHOLDS})) WHERE k_ = 1"
+THRESHOLDS = ("SELECT bank, model, length, t, count(*) FILTER (q >= t AND o = 1) AS tp, count(*) FILTER (q >= t) AS flagged, sum(o) AS positives FROM "
+              "(SELECT DISTINCT bank, model, length, round_even(q * 10000, 0) / 10000::DOUBLE AS t FROM ovr WHERE k = 0) JOIN (SELECT * FROM ovr WHERE k = 0) USING (bank, model, length) GROUP BY bank, model, length, t")
+CHOSEN = f"SELECT * FROM (SELECT *, 5 * (positives - tp) + (flagged - tp) AS cost, row_number() OVER (PARTITION BY bank, model, length ORDER BY 5 * (positives - tp) + (flagged - tp), t) AS k_ FROM ({THRESHOLDS})) WHERE k_ = 1"
 
 SLICE_ROWS = ("SELECT bank AS split, model, customer_id, truth, yhat, unnest(['span', 'distinct']) AS variable, unnest([slice, classes::VARCHAR]) AS level FROM lpred JOIN "
               f"(SELECT bank, customer_id, {SPAN_BAND} AS slice, classes FROM w WHERE length = 9) USING (bank, customer_id) WHERE length = 9 AND (model = 'averaging' OR model LIKE 'coin%')")
@@ -241,14 +241,14 @@ def primary(where: str) -> str:
 
 
 CMP = f"metric, {r('diff')} AS diff, {r('low')} AS low, {r('high')} AS high, {r('p')} AS p, {r('mde')} AS mde"
-FIXED9 = "SELECT w.*, " + ", ".join(f"n{k} / length AS sh{k}" for k in range(4)) + " FROM w WHERE bank = 'bank_a' AND length = 9"
-SECOND = "SELECT customer_id, max(code) FILTER (rn = 3) AS second, count(*) FILTER (code <> nxt AND rn > 2) AS switches FROM (SELECT *, lead(code) OVER (PARTITION BY customer_id ORDER BY pos) AS nxt FROM win WHERE bank = 'bank_a' AND length = 9) GROUP BY customer_id"
-INPUTS = "SELECT customer_id, pos, rn, dt, greatest(amount, 0) AS am, ln(1 + greatest(amount, 0)) AS la FROM win WHERE bank = 'bank_a' AND length = 9 AND rn > 1"
-FULL = """SELECT customer_id, avg(la) AS amount_mean, quantile_cont(la, 0.5) AS amount_median, max(la) AS amount_max, max(la) FILTER (rn = 2) AS amount_last, ln(1 + sum(am)) AS amount_total,
+FIXED9 = "SELECT w.*, " + ", ".join(f"n{k} / length AS sh{k}" for k in range(4)) + " FROM w WHERE length = 9"
+SECOND = "SELECT bank, customer_id, max(code) FILTER (rn = 3) AS second, count(*) FILTER (code <> nxt AND rn > 2) AS switches FROM (SELECT *, lead(code) OVER (PARTITION BY bank, customer_id ORDER BY pos) AS nxt FROM win WHERE length = 9) GROUP BY bank, customer_id"
+INPUTS = "SELECT bank, customer_id, pos, rn, dt, greatest(amount, 0) AS am, ln(1 + greatest(amount, 0)) AS la FROM win WHERE length = 9 AND rn > 1"
+FULL = """SELECT bank, customer_id, avg(la) AS amount_mean, quantile_cont(la, 0.5) AS amount_median, max(la) AS amount_max, max(la) FILTER (rn = 2) AS amount_last, ln(1 + sum(am)) AS amount_total,
  date_diff('day', max(dt) FILTER (rn = 10), max(dt) FILTER (rn = 2)) / 8 AS gap_mean, date_diff('day', max(dt) FILTER (rn = 3), max(dt) FILTER (rn = 2)) AS gap_last,
- date_diff('day', max(dt) FILTER (rn = 10), max(dt) FILTER (rn = 2)) AS span_days, isodow(max(dt) FILTER (rn = 2)) - 1 AS weekday_last FROM inputs9 GROUP BY customer_id"""
-PAD = ("SELECT customer_id, length, {0} FROM (SELECT x.length, i AS slot, c.customer_id, v.code, v.nxt FROM {1} x(length), range(1, 10) t(i), (SELECT DISTINCT customer_id, length FROM win WHERE bank = 'bank_a') c "
-       "LEFT JOIN (SELECT customer_id, length, pos, code, lead(code) OVER (PARTITION BY customer_id, length ORDER BY pos) AS nxt FROM win WHERE bank = 'bank_a') v ON v.customer_id = c.customer_id AND v.length = c.length AND v.pos = i + c.length - 9 WHERE c.length = x.length) GROUP BY customer_id, length")
+ date_diff('day', max(dt) FILTER (rn = 10), max(dt) FILTER (rn = 2)) AS span_days, isodow(max(dt) FILTER (rn = 2)) - 1 AS weekday_last FROM inputs9 GROUP BY bank, customer_id"""
+PAD = ("SELECT bank, customer_id, length, {0} FROM (SELECT c.bank, x.length, i AS slot, c.customer_id, v.code, v.nxt FROM {1} x(length), range(1, 10) t(i), (SELECT DISTINCT bank, customer_id, length FROM win) c "
+       "LEFT JOIN (SELECT bank, customer_id, length, pos, code, lead(code) OVER (PARTITION BY bank, customer_id, length ORDER BY pos) AS nxt FROM win) v ON v.bank = c.bank AND v.customer_id = c.customer_id AND v.length = c.length AND v.pos = i + c.length - 9 WHERE c.length = x.length) GROUP BY bank, customer_id, length")
 
 ORACLES = {
     "flagship_baselines": q(f"""SELECT model, n::BIGINT AS n, {cols(('acc', 'macro_f1', *F1S))} FROM ({metrics('SELECT m.* FROM cpred m', 'model')})""",
@@ -257,14 +257,14 @@ ORACLES = {
         cbest="SELECT prev, nxt FROM (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY n DESC, nxt) AS k FROM cmk) WHERE k = 1",
         cpred="SELECT 'averaging' AS model, truth, modal AS yhat FROM cohort WHERE bank = 'bank_a' UNION ALL SELECT 'last-category', truth, lastc FROM cohort WHERE bank = 'bank_a' UNION ALL SELECT 'markov1', truth, nxt FROM cohort JOIN cbest ON prev = lastc WHERE bank = 'bank_a'"),
     "score_baselines": q(f"SELECT bank AS split, model, length::BIGINT AS length, customer_id, truth::BIGINT AS y, yhat::BIGINT AS yhat, coalesce({PTEXT}, '') AS p FROM lpred WHERE model IN ('averaging', 'last-category', 'markov1')"),
-    "random_and_proportional": q("SELECT bank AS split, model, 0::BIGINT AS length, customer_id, truth::BIGINT AS y, yhat::BIGINT AS yhat, '' AS p FROM fpred WHERE bank = 'bank_a'"),
-    "averaging_ties_lowest": q(f"SELECT customer_id, length::BIGINT AS length, ({argmax('n0', 'n1', 'n2', 'n3')})::BIGINT AS code FROM w WHERE bank = 'bank_a'"),
-    "last_category": q("SELECT customer_id, lastc::BIGINT AS code, truth::BIGINT AS target FROM w WHERE bank = 'bank_a' AND length = 9"),
+    "random_and_proportional": q("SELECT bank AS split, model, 0::BIGINT AS length, customer_id, truth::BIGINT AS y, yhat::BIGINT AS yhat, '' AS p FROM fpred"),
+    "averaging_ties_lowest": q(f"SELECT bank, customer_id, length::BIGINT AS length, ({argmax('n0', 'n1', 'n2', 'n3')})::BIGINT AS code FROM w"),
+    "last_category": q("SELECT bank, customer_id, lastc::BIGINT AS code, truth::BIGINT AS target FROM w WHERE length = 9"),
     "markov_fit": q(f"SELECT prev::BIGINT AS prev, nxt::BIGINT AS next, n, {r('p')} AS p FROM mk"),
-    "sequence_features": q("SELECT customer_id, " + ", ".join(
+    "sequence_features": q("SELECT bank, customer_id, " + ", ".join(
         f"n{k} AS count_{s}, {r(f'sh{k}')} AS share_{s}, (CASE WHEN n{k} > 0 THEN r{k} - 2 ELSE 9 END)::BIGINT AS since_{s}, (lastc = {k})::BIGINT AS last_is_{s}, (second = {k})::BIGINT AS second_last_is_{s}" for k, s in enumerate(SHORT))
-        + ", switches FROM nine JOIN second9 USING (customer_id)", nine=FIXED9, second9=SECOND),
-    "full_features": q(f"SELECT customer_id, {cols(('amount_mean', 'amount_median', 'amount_max', 'amount_last', 'amount_total', 'gap_mean'))}, gap_last::BIGINT AS gap_last, span_days::BIGINT AS span_days, weekday_last::BIGINT AS weekday_last, age::BIGINT AS age, gender, marital_status, education, occupation, income_group FROM full9 JOIN demo USING (customer_id)", inputs9=INPUTS, full9=FULL),
+        + ", switches FROM nine JOIN second9 USING (bank, customer_id)", nine=FIXED9, second9=SECOND),
+    "full_features": q(f"SELECT bank, customer_id, {cols(('amount_mean', 'amount_median', 'amount_max', 'amount_last', 'amount_total', 'gap_mean'))}, gap_last::BIGINT AS gap_last, span_days::BIGINT AS span_days, weekday_last::BIGINT AS weekday_last, age::BIGINT AS age, gender, marital_status, education, occupation, income_group FROM full9 JOIN demo USING (customer_id)", inputs9=INPUTS, full9=FULL),
     "one_hot": q("SELECT d.customer_id, max(age)::BIGINT AS age, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i) FILTER (i IS NOT NULL), '') AS hot FROM (SELECT customer_id, age, unnest(['gender', 'marital_status', 'education', 'occupation', 'income_group']) AS variable, "
         "unnest([gender, marital_status, education, occupation, income_group]) AS level FROM demo) d LEFT JOIN levels_ l ON l.variable = d.variable AND l.level = d.level GROUP BY d.customer_id",
         levels_="SELECT *, row_number() OVER (ORDER BY md5(variable || ':' || level)) - 1 AS i FROM (SELECT DISTINCT unnest(['gender', 'marital_status', 'education', 'occupation', 'income_group']) AS variable, unnest([gender, marital_status, education, occupation, income_group]) AS level "
@@ -272,10 +272,10 @@ ORACLES = {
     "logistic_model": q("SELECT kind, c, weights, (SELECT count(*) FROM assignment WHERE split = 'train') AS n_train, TRUE AS at_minimum, TRUE AS better_than_nothing FROM (VALUES ('seq'), ('full')) k(kind), "
         "(VALUES (0.01::DOUBLE), (0.1::DOUBLE), (1::DOUBLE), (10::DOUBLE)) c(c), (VALUES ('none'), ('balanced')) w(weights)"),
     "grid_select": q("SELECT kind, 8::BIGINT AS settings, (SELECT count(*) FROM assignment WHERE split = 'val') AS n_val, TRUE AS first_of_the_best, TRUE AS score_is_a_share FROM (VALUES ('seq'), ('full')) k(kind)"),
-    "class_weights": q(" UNION ALL ".join(f"SELECT '{kind}' AS kind, k AS target, n, {r(f)} AS weight FROM tcount" for kind, f in
-        (("none", "1"), ("inverse", "1 / greatest(n, 1) / sum(1 / greatest(n, 1)) OVER () * 4"), ("balanced", "sum(n) OVER () / (4 * greatest(n, 1))"))),
-        tcount="SELECT k, (SELECT count(*) FROM w WHERE bank = 'bank_a' AND length = 9 AND truth = k) AS n FROM range(4) t(k)"),
-    "padded_sequence": q("SELECT customer_id, length::BIGINT AS length, shifted, tokens, next_codes FROM padded", padded=PAD.format(
+    "class_weights": q(" UNION ALL ".join(f"SELECT bank, '{kind}' AS kind, k AS target, n, {r(f)} AS weight FROM tcount" for kind, f in
+        (("none", "1"), ("inverse", "1 / greatest(n, 1) / sum(1 / greatest(n, 1)) OVER (PARTITION BY bank) * 4"), ("balanced", "sum(n) OVER (PARTITION BY bank) / (4 * greatest(n, 1))"))),
+        tcount="SELECT b.bank, k, (SELECT count(*) FROM w WHERE w.bank = b.bank AND length = 9 AND truth = k) AS n FROM (VALUES ('bank_a'), ('bank_b')) b(bank), range(4) t(k)"),
+    "padded_sequence": q("SELECT bank, customer_id, length::BIGINT AS length, shifted, tokens, next_codes FROM padded", padded=PAD.format(
         "string_agg(coalesce(code + 1, 0)::VARCHAR, ',' ORDER BY slot) AS shifted, string_agg(coalesce(code, 4)::VARCHAR, ',' ORDER BY slot) AS tokens, string_agg((CASE WHEN code IS NULL THEN -100 ELSE nxt END)::VARCHAR, ',' ORDER BY slot) AS next_codes", "(VALUES (4), (14))")),
     "score_in_batches": q(f"SELECT customer_id, {class_name(argmax('p0', 'p1', 'p2', 'p3'))} AS prediction, {PTEXT} AS p FROM freqw WHERE bank = 'bank_a' AND length = 9"),
     "prediction_inventory": q("SELECT model, coalesce(length, 0)::BIGINT AS length, count(*) AS customers, CASE WHEN length IS NULL THEN model || '.csv' ELSE model || '_last' || length || '.csv' END AS file FROM pred WHERE bank = 'bank_a' GROUP BY model, length"),
@@ -287,11 +287,12 @@ ORACLES = {
     "scorer_agreement": q(f"SELECT count(*) AS n, {r('avg((a.yhat = b.yhat)::INT)')} AS argmax_agreement, {r('max(greatest(abs(a.p0 - b.p0), abs(a.p1 - b.p1), abs(a.p2 - b.p2), abs(a.p3 - b.p3)))')} AS max_abs_prob_diff FROM lpred a JOIN lpred b USING (bank, customer_id, length) WHERE bank = 'bank_a' AND length = 9 AND a.model = 'noisy' AND b.model = 'freq'"),
     "align_models": q("SELECT a.customer_id, a.truth::BIGINT AS y, a.yhat::BIGINT AS yhat_0, b.yhat::BIGINT AS yhat_1, c.yhat::BIGINT AS yhat_2 FROM lpred a JOIN lpred b USING (bank, length, customer_id) JOIN fpred c USING (bank, customer_id) WHERE bank = 'bank_a' AND a.length = 9 AND a.model = 'averaging' AND b.model = 'markov1' AND c.model = 'random'"),
     "common_population": q("SELECT customer_id FROM w WHERE bank = 'bank_a' AND length = 14"),
+    "fixed_population": q(f"SELECT model, length::BIGINT AS length, n::BIGINT AS n, {cols(OVERALL + F1S)} FROM ({metrics('SELECT * FROM lpred WHERE bank = ' + chr(39) + 'bank_a' + chr(39) + ' AND customer_id IN (SELECT customer_id FROM w WHERE bank = ' + chr(39) + 'bank_a' + chr(39) + ' AND length = 14)', 'model, length')})"),
     "population_check": q("SELECT length::BIGINT AS length, count(DISTINCT model) AS models, count(DISTINCT customer_id) AS customers, length <> 4 AS same FROM lpred WHERE bank = 'bank_a' GROUP BY length"),
     "confusion_matrix": q(f"""SELECT split, model, length, {class_name('t')} AS truth, coalesce({class_name('p')}, 'not a category') AS answer, count(*) FILTER (truth = t AND yhat = p) AS n FROM
         (SELECT bank AS split, model, coalesce(length, 0)::BIGINT AS length, truth, yhat FROM pred UNION ALL SELECT bank, 'random-gen', 0, truth, yhat FROM gen WHERE bank = 'bank_a'), range(4) a(t), range(5) b(p) GROUP BY split, model, length, t, p"""),
     "classification_metrics": q(f"SELECT split, model, length, n::BIGINT AS n, {cols(ALL)} FROM ({metrics('SELECT bank AS split, model, coalesce(length, 0)::BIGINT AS length, truth, yhat FROM pred', 'split, model, length')})"),
-    "selection_score": q(" UNION ALL ".join(f"SELECT model, length::BIGINT AS length, '{m}' AS metric, {r(m)} AS score FROM ({metrics(A, 'model, length')})" for m in ("macro_f1", "f1_w"))),
+    "selection_score": q(" UNION ALL ".join(f"SELECT bank AS split, model, length::BIGINT AS length, '{m}' AS metric, {r(m)} AS score FROM ({metrics('SELECT * FROM lpred', 'bank, model, length')})" for m in ("macro_f1", "f1_w"))),
     "select_best": q(f"SELECT length, model, {r('macro_f1')} AS score FROM (SELECT length::BIGINT AS length, model, macro_f1, row_number() OVER (PARTITION BY length ORDER BY macro_f1 DESC, CASE model WHEN 'averaging' THEN 0 WHEN 'last-category' THEN 1 WHEN 'markov1' THEN 2 ELSE 3 END) AS k FROM ({metrics('SELECT * FROM lpred WHERE bank = ' + chr(39) + 'bank_b' + chr(39), 'model, length')})) WHERE k = 1"),
     "probability_metrics": q(f"SELECT CASE bank WHEN 'bank_a' THEN model ELSE model || '-b' END AS model, length::BIGINT AS length, {cols(PNAMES)} FROM ({probability_metrics('TRUE')})"),
     "model_summary": q(f"SELECT m.model, m.length, m.n::BIGINT AS n, {cols(ALL)}, {cols(PNAMES)} FROM ({metrics('SELECT model, coalesce(length, 0)::BIGINT AS length, truth, yhat FROM pred WHERE bank = ' + chr(39) + 'bank_a' + chr(39), 'model, length')}) m LEFT JOIN (SELECT * FROM ({probability_metrics('TRUE')}) WHERE bank = 'bank_a') b ON m.model = b.model AND m.length = b.length"),
@@ -300,18 +301,18 @@ ORACLES = {
     "shift_table": q(f"SELECT {BASE} AS base, count(*) FILTER (bank = 'bank_a') AS seeds_in_bank, count(*) FILTER (bank = 'bank_b') AS seeds_cross_bank, " + ", ".join(
         f"{r(f'avg({m}) FILTER (bank = {chr(39)}bank_a{chr(39)})')} AS {m}_in_bank, {r(f'avg({m}) FILTER (bank = {chr(39)}bank_b{chr(39)})')} AS {m}_cross_bank, {r(f'avg({m}) FILTER (bank = {chr(39)}bank_a{chr(39)}) - avg({m}) FILTER (bank = {chr(39)}bank_b{chr(39)})')} AS {m}_drop" for m in ("acc", "f1_w", "macro_f1", *F1S))
         + f" FROM ({metrics('SELECT bank, model, truth, yhat FROM lpred WHERE length = 9', 'bank, model')}) GROUP BY {BASE}"),
-    "subgroup_metrics": q(f"SELECT model, variable, level, n::BIGINT AS n, {cols(('acc', 'macro_f1', 'r_clothing', 'f1_clothing'))} FROM ({metrics('SELECT model, truth, yhat, unnest([' + chr(39) + 'gender' + chr(39) + ', ' + chr(39) + 'age_band' + chr(39) + ']) AS variable, unnest([gender, ' + AGE_BAND + ']) AS level FROM lpred JOIN demo USING (customer_id) WHERE bank = ' + chr(39) + 'bank_a' + chr(39) + ' AND length = 9 AND model IN (' + chr(39) + 'coin' + chr(39) + ', ' + chr(39) + 'averaging' + chr(39) + ')', 'model, variable, level')})"),
+    "subgroup_metrics": q(f"SELECT model, variable, level, n::BIGINT AS n, {cols(('acc', 'macro_f1', 'r_clothing', 'f1_clothing'))} FROM ({metrics('SELECT model, truth, yhat, unnest([' + chr(39) + 'gender' + chr(39) + ', ' + chr(39) + 'age_band' + chr(39) + ']) AS variable, unnest([gender, ' + AGE_BAND + ']) AS level FROM lpred JOIN demo USING (customer_id) WHERE bank = ' + chr(39) + 'bank_a' + chr(39) + ' AND length = 9', 'model, variable, level')})"),
     "slice_metrics": q(f"SELECT split, variable, level, {BASE} AS base, count(*) AS seeds, min(n)::BIGINT AS n, " + ", ".join(f"{r(f'avg({m})')} AS {m}_mean" for m in ("acc", "f1_w", "macro_f1", "f1_clothing"))
         + f" FROM ({metrics(SLICE_ROWS, 'split, variable, level, model')}) GROUP BY split, variable, level, {BASE}"),
     "slice_shares": q(f"SELECT split, variable, level, count(*) AS n, {r('100 * count(*) / sum(count(*)) OVER (PARTITION BY split, variable)')} AS share FROM (SELECT bank AS split, unnest(['span', 'distinct']) AS variable, unnest([{SPAN_BAND}, classes::VARCHAR]) AS level FROM w WHERE length = 9) GROUP BY split, variable, level"),
-    "reliability_table": q(f"SELECT model, length::BIGINT AS length, bin::BIGINT AS bin, {r('avg(conf)')} AS confidence, {r('avg((yhat = truth)::INT)')} AS accuracy, count(*) AS n FROM (SELECT *, {PBIN('conf')} AS bin FROM (SELECT *, greatest(p0, p1, p2, p3) AS conf FROM lpred WHERE bank = 'bank_a' AND p0 IS NOT NULL)) GROUP BY model, length, bin"),
-    "class_reliability": q(f"SELECT model, length::BIGINT AS length, bin::BIGINT AS bin, {r('sq / n')} AS mean_probability, {r('so / n')} AS observed_share, n FROM ({CLASS_BINS}) WHERE bank = 'bank_a' AND k = 0"),
-    "class_calibration": q(f"SELECT model, length::BIGINT AS length, {cols(CAL_NAMES)}, {r('brier - (reliability - resolution + uncertainty)')} AS remainder FROM ({CAL}) WHERE bank = 'bank_a'"),
-    "cost_threshold": q(f"SELECT model, length::BIGINT AS length, {r('t')} AS threshold, {r('cost')} AS cost, {r('tp / greatest(positives, 1)')} AS recall, {r('tp / greatest(flagged, 1)')} AS precision FROM ({CHOSEN})"),
+    "reliability_table": q(f"SELECT bank AS split, model, length::BIGINT AS length, bin::BIGINT AS bin, {r('avg(conf)')} AS confidence, {r('avg((yhat = truth)::INT)')} AS accuracy, count(*) AS n FROM (SELECT *, {PBIN('conf')} AS bin FROM (SELECT *, greatest(p0, p1, p2, p3) AS conf FROM lpred WHERE p0 IS NOT NULL)) GROUP BY bank, model, length, bin"),
+    "class_reliability": q(f"SELECT bank AS split, model, length::BIGINT AS length, bin::BIGINT AS bin, {r('sq / n')} AS mean_probability, {r('so / n')} AS observed_share, n FROM ({CLASS_BINS}) WHERE length IS NOT NULL AND k = 0"),
+    "class_calibration": q(f"SELECT bank AS split, model, length::BIGINT AS length, {cols(CAL_NAMES)}, {r('brier - (reliability - resolution + uncertainty)')} AS remainder FROM ({CAL}) WHERE length IS NOT NULL"),
+    "cost_threshold": q(f"SELECT bank AS split, model, length::BIGINT AS length, {r('t')} AS threshold, {r('cost')} AS cost, {r('tp / greatest(positives, 1)')} AS recall, {r('tp / greatest(flagged, 1)')} AS precision FROM ({CHOSEN})"),
     "operating_point": q(f"""SELECT model, length::BIGINT AS length, {r('max(t)')} AS threshold, {r('count(*) FILTER (p0 >= t AND truth = 0) / count(*) FILTER (truth = 0)')} AS recall, {r('count(*) FILTER (p0 >= t AND truth = 0) / nullif(count(*) FILTER (p0 >= t), 0)')} AS precision,
         {r('100 * avg((p0 >= t)::INT)')} AS flagged_pct, {r('100 * avg((truth = 0)::INT)')} AS positives_pct, {r('count(*) FILTER (yhat = 0 AND truth = 0) / count(*) FILTER (truth = 0)')} AS argmax_recall,
         {r('count(*) FILTER (yhat = 0 AND truth = 0) / nullif(count(*) FILTER (yhat = 0), 0)')} AS argmax_precision, {r('100 * avg((yhat = 0)::INT)')} AS argmax_flagged_pct
-        FROM lpred JOIN (SELECT model, length, t FROM ({CHOSEN})) USING (model, length) WHERE bank = 'bank_b' GROUP BY model, length"""),
+        FROM lpred JOIN (SELECT model, length, t FROM ({CHOSEN}) WHERE bank = 'bank_a') USING (model, length) WHERE bank = 'bank_b' GROUP BY model, length"""),
     "poisson_bootstrap": q("SELECT length::BIGINT AS length, model, draw::BIGINT AS draw, " + ", ".join(f"coalesce(sum(weight) FILTER (truth = {t} AND yhat = {a}), 0)::BIGINT AS c{t}{a}" for t in range(4) for a in range(5))
         + f" FROM ({drawn_rows(SIX, 'length, model', SIX_NAMES)}) GROUP BY length, model, draw"),
     "metric_intervals": q(f"SELECT length::BIGINT AS length, model, metric, {r('quantile_cont(value, 0.025)')} AS low, {r('quantile_cont(value, 0.975)')} AS high FROM (SELECT length, model, {unpivot(ALL)} FROM ({SIX_DRAWS})) GROUP BY length, model, metric"),

@@ -99,6 +99,11 @@ ORACLES = {
         FROM (SELECT customer_id FROM activity WHERE bank = 'bank_a' AND n >= 10 AND window_classes >= 2 AND customer_id IN (SELECT customer_id FROM demo) ORDER BY md5('42:' || customer_id), customer_id LIMIT 400)
         UNION ALL SELECT * FROM (SELECT customer_id, 'bank_b', 'test' FROM activity WHERE bank = 'bank_b' AND n >= 10 AND window_classes >= 2 AND customer_id IN (SELECT customer_id FROM demo) ORDER BY md5('42:' || customer_id), customer_id LIMIT 50)"""),
     "split_summary": sql("SELECT bank, split, count(*) AS customers FROM assignment GROUP BY ALL"),
+    "split_report": sql("""SELECT item, value FROM (VALUES ('seed', '42'), ('diversity on inputs', 'true'), ('min transactions', '10'), ('min distinct categories', '2'),
+        ('categories', 'Clothing, Gas stations, Food and grocery, Other'), ('amounts', 'nominal')) v(item, value)
+        UNION ALL SELECT 'eligible: ' || replace(bank, '_', ' '), count(*)::VARCHAR FROM elig WHERE strict GROUP BY bank
+        UNION ALL SELECT 'excluded from confirmation: earlier list', count(*)::VARCHAR FROM used
+        UNION ALL SELECT 'customers: ' || split, count(*)::VARCHAR FROM assignment GROUP BY split"""),
     "split_leakage_check": sql("""SELECT 'train and val' AS "check", (SELECT count(*) FROM assignment a JOIN assignment b USING (customer_id) WHERE a.split = 'train' AND b.split = 'val') AS overlap
         UNION ALL SELECT 'bank_a_test and pool', (SELECT count(*) FROM assignment a JOIN assignment b USING (customer_id) WHERE a.split = 'bank_a_test' AND b.split IN ('train', 'val'))
         UNION ALL SELECT 'bank_b_confirm and excluded', (SELECT count(*) FROM assignment WHERE split = 'bank_b_confirm' AND customer_id IN (SELECT customer_id FROM used))"""),

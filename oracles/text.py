@@ -27,12 +27,14 @@ def sample(text: str, neutral=False, where="TRUE", extra="") -> str:
 ONE = "bank = 'bank_a'"
 COND = {"seq": "cats", "seq+amounts": "cats || amounts", "seq+dates": "cats || dates", "seq+demographics": "who || money || ' ' || cats", "seq+amounts+dates": "cats || dates || amounts",
         "seq+amounts+demographics": "who || money || ' ' || cats || amounts", "seq+dates+demographics": "who || money || ' ' || cats || dates", "neutral": "letters"}
+WHOLE = " || money || ' ' || cats || dates || amounts"
 MINUS = {
-    "gender": "'I am ' || age || ' years old, ' || marital_status || ', ' || education || ' graduate, and ' || occupation || '.' || money || ' ' || cats",
-    "age": "'I am ' || marital_status || ' ' || gender || ', ' || education || ' graduate, and ' || occupation || '.' || money || ' ' || cats",
-    "education": "'I am ' || age || ' years old, ' || marital_status || ' ' || gender || ', and ' || occupation || '.' || money || ' ' || cats",
-    "occupation": "'I am ' || age || ' years old, ' || marital_status || ' ' || gender || ', and ' || education || ' graduate.' || money || ' ' || cats",
-    "income_group": "who || ' ' || cats",
+    "gender": "'I am ' || age || ' years old, ' || marital_status || ', ' || education || ' graduate, and ' || occupation || '.'" + WHOLE,
+    "age": "'I am ' || marital_status || ' ' || gender || ', ' || education || ' graduate, and ' || occupation || '.'" + WHOLE,
+    "marital_status": "'I am ' || age || ' years old, ' || gender || ', ' || education || ' graduate, and ' || occupation || '.'" + WHOLE,
+    "education": "'I am ' || age || ' years old, ' || marital_status || ' ' || gender || ', and ' || occupation || '.'" + WHOLE,
+    "occupation": "'I am ' || age || ' years old, ' || marital_status || ' ' || gender || ', and ' || education || ' graduate.'" + WHOLE,
+    "income_group": "who || ' ' || cats || dates || amounts",
 }
 
 
@@ -67,6 +69,6 @@ ORACLES = {
     "chat_messages": t(f"SELECT customer_id, 0::BIGINT AS turn, 'user' AS role, '{INSTRUCTION}{FULL_LABELS}' || chr(10) || chr(10) || cats AS content FROM ptext WHERE {ONE} UNION ALL SELECT customer_id, 1, 'assistant', {RESPONSE} FROM ptext WHERE {ONE}"),
     "sample_length_guard": t(f"SELECT count(*) AS samples, max(len(string_split(instruction || ' ' || input || ' ' || response, ' ')))::BIGINT AS longest FROM ({sample('who || money || chr(32) || cats || dates || amounts', where=ONE)})"),
     "run_names": """SELECT lower(o_orderstatus) || '-full' || CASE o_orderkey % 3 WHEN 0 THEN '-minus-income-group' WHEN 1 THEN '-minus-age' ELSE '' END || CASE o_orderkey % 2 WHEN 0 THEN '' ELSE '-seed2' END AS name, count(*) AS n FROM orders GROUP BY ALL""",
-    "trace_numbers": t(traced("customer_id", "cats || amounts", f"(SELECT * FROM ptext WHERE {ONE})", rounded("SELECT o_totalprice AS x FROM orders WHERE o_orderkey % 2 = 0"))),
+    "trace_numbers": t(traced("customer_id", "cats || amounts", f"(SELECT * FROM ptext WHERE {ONE})", rounded("SELECT unnest([min(o_totalprice), max(o_totalprice), count(*)::DOUBLE, o_custkey::DOUBLE]) AS x FROM orders GROUP BY o_custkey"))),
     "trace_metric_numbers": t(traced("customer_id", "cats || amounts", "(SELECT * FROM ptext WHERE bank = 'bank_b')", rounded("SELECT unnest([length, n, " + ", ".join(ALL) + f"]) AS x FROM ({metrics('SELECT * FROM lpred WHERE bank = ' + chr(39) + 'bank_a' + chr(39), 'model, length')})"))),
 }

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tillflow.operators import audit, features as X, models as L, prompts as Q, scoring as G
+from tillflow.operators import audit, features as X, linear as N, models as L, prompts as Q, scoring as G
 from tillflow.operators.windows import with_window_columns
 from tillflow.settings import CLASSES
 from tillflow.sources import logs, manifest, predictions as IO
@@ -98,9 +98,42 @@ def test_sequence_features(spark):
 
 
 def test_one_hot_uses_training_levels(spark):
-    train = spark.createDataFrame([(1.0, "a"), (2.0, "b")], "x double, job string")
-    got = X.one_hot(spark.createDataFrame([(3.0, "student")], "x double, job string"), X.level_table(train, ("job",))).collect()[0]
-    assert got.asDict() == {"x": 3.0, "job_a": 0.0, "job_b": 0.0}
+    train = spark.createDataFrame([("a", "x"), ("b", None), ("b", "x")], "job string, town string")
+    levels = X.level_table(train, ("job", "town"))
+    at = {(r["variable"], r["level"]): r["index"] for r in levels.collect()}
+    assert set(at) == {("job", "a"), ("job", "b"), ("town", "x")} and sorted(at.values()) == [0, 1, 2]
+    rows = spark.createDataFrame([(1, "student", None), (2, "b", "x"), (3, None, "x")], "i int, job string, town string")
+    got = {r["i"]: r["hot"] for r in X.one_hot(rows, levels, ("job", "town")).collect()}
+    assert got == {1: [], 2: sorted((at["job", "b"], at["town", "x"])), 3: [at["town", "x"]]}
+
+
+def test_one_hot_takes_a_hundred_thousand_levels(spark, monkeypatch):
+    rows = spark.range(100_000).select("id", F.concat(F.lit("level "), F.col("id").cast("string")).alias("code"))
+    levels = X.level_table(rows, ("code",))
+    for few in (X.BROADCAST_LEVELS, 10):
+        monkeypatch.setattr(X, "BROADCAST_LEVELS", few)
+        got = X.one_hot(rows, levels, ("code",)).agg(F.count_if(F.size("hot") == 1).alias("n"), F.countDistinct(F.col("hot")[0]).alias("d"), F.max(F.col("hot")[0]).alias("top")).first()
+        assert (got["n"], got["d"], got["top"]) == (100_000, 100_000, 99_999)
+
+
+def test_the_logistic_grid_reaches_the_minimum(spark):
+    rng = np.random.default_rng(11)
+    x, hot = rng.normal(size=(300, 3)) * [1, 10, 0.1] + [0, 5, 0], [sorted(rng.choice(6, rng.integers(0, 3), replace=False).tolist()) for _ in range(300)]
+    y = [int(np.argmax([a, b / 10, 2 * (1 in h), rng.normal()])) for (a, b, _), h in zip(x, hot)]
+    rows = spark.createDataFrame([(r.tolist(), h, t) for r, h, t in zip(x, hot, y)], "x array<double>, hot array<int>, target int").repartition(5)
+    settings = [{"C": c, "weights": w} for c in (0.1, 10.0) for w in ("none", "balanced")]
+    models = N.fit_grid(rows, settings, 3, 6)
+    whole = np.hstack([x, [[float(i in h) for i in range(6)] for h in hot]])
+    z, t = (whole - whole.mean(0)) / np.where(whole.std(0) > 0, whole.std(0), 1), np.eye(4)[y]
+    for s, m in zip(settings, models):
+        weight = np.ones(300) if s["weights"] == "none" else 300 / (4 * t.sum(0))[y]
+        logits = z @ m.theta[:-1] + m.theta[-1]
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        g = z.T @ ((p - t) * weight[:, None]) + m.theta[:-1] / s["C"]
+        assert np.abs(g).max() / weight.sum() < 2e-6 and np.abs(((p - t) * weight[:, None]).sum(0)).max() / weight.sum() < 2e-6
+        assert np.allclose([r["p"] for r in m.predict(rows.select("*")).orderBy("x").collect()], p[np.lexsort(x.T[::-1])])
+    assert len(N.grid_scores(models, rows)) == 4 and N.best_of(models, [0.1, 0.3, 0.3, 0.2]) == 1
 
 
 def test_padding(spark):

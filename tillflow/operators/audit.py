@@ -10,7 +10,8 @@ from tillflow.sources.session import durable
 # ---- fixed value: a decimal that is not part of a word or of a longer number (sign and minus sign U+2212 allowed) ----
 NUMBER = "(?U)(?<![\\w.])([-+−]?\\d*\\.\\d+)(?![\\w.])"
 DECIMALS = (1, 2, 3, 4)
-SALTS = 32
+HEAVY_SHARE = 10_000               # a number is heavy from this part of all occurrences on, so there are no more heavy numbers than this
+HEAVY_LEAST = 10_000
 
 
 def known_values(results: DataFrame) -> DataFrame:
@@ -34,11 +35,15 @@ def numbers_in(texts: DataFrame, text: str, keys, ignore=DEFAULTS.trace_ignore)
 def trace_numbers(texts: DataFrame, text: str, keys, results: DataFrame, ignore=DEFAULTS.trace_ignore) -> DataFrame:
     """Occurrences of numbers that the result table does not hold.
 
-    The texts are searched once. Distinct numbers meet the known values first; only those that match are then repeated
-    per salt to take their occurrences out, so no task gets all occurrences of one number.
+    The texts are searched once. Distinct numbers, with their counts, meet the known values. A number with a large part of all
+    occurrences is settled where its occurrences lie, against the list of such numbers, which is short whatever the texts hold; only the
+    other occurrences travel by number.
     """
-    found = durable(numbers_in(texts, text, keys, ignore))
-    matched = found.select("decimals", "value").distinct().join(known_values(results), ["decimals", "value"], "left_semi")
-    salt = F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")
-    salted = matched.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return (found.withColumn("_salt", salt).join(salted, ["_salt", "decimals", "value"], "left_anti").select(*keys, "number", "decimals"))
+    found, number = durable(numbers_in(texts, text, keys, ignore)), ["decimals", "value"]
+    counts = durable(found.groupBy(*number).agg(F.count("*").alias("_n")).join(known_values(results).withColumn("_known", F.lit(True)), number, "left"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    limit = max(HEAVY_LEAST, total // HEAVY_SHARE)
+    heavy = F.broadcast(counts.where(F.col("_n") > limit).select(*number, F.coalesce("_known", F.lit(False)).alias("_known")))
+    light = counts.where((F.col("_n") <= limit) & F.col("_known")).select(*number)
+    apart = found.join(heavy, number, "left_anti").join(light, number, "left_anti")
+    return apart.unionByName(found.join(heavy.where(~F.col("_known")), number, "left_semi")).select(*keys, "number", "decimals")

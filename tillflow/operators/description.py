@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillflow.functions.expressions import age_band, changes
-from tillflow.functions.literals import literal_rows
+from tillflow.functions.literals import literal_doubles, literal_rows
 from tillflow.functions.quantiles import exact_quantiles
 from tillflow.operators.baselines import last_code, most_frequent_code
 from tillflow.operators.cohort import cohort_class_shares
@@ -234,7 +234,7 @@ def ecdf_points(df: DataFrame, value: str, points: int = 2001, cut=(0.002, 0.998
     probs = [i / (points - 1) for i in range(points)]
     ok = df.where((F.col(value) > 0) & (F.col(value) < F.lit(float("inf"))))
     q = exact_quantiles(ok, value, [*probs, 0.5, *cut], by, weight)
-    grid = F.arrays_zip(F.array(*map(F.lit, probs)).alias("probability"), F.slice("q", 1, points).alias("quantile"))
+    grid = F.arrays_zip(literal_doubles(probs).alias("probability"), F.slice("q", 1, points).alias("quantile"))
     at = lambda i: F.get("q", F.lit(points + i))
     return q.select(*by, F.inline(grid), at(0).alias("median"), at(1).alias("low"), at(2).alias("high"))
 

@@ -106,10 +106,10 @@ def _added(rows):
     return pa.table({"part": rows.column("part")[:1], "sums": pa.array([np.asarray(total).tobytes()], pa.binary())})
 
 
-def one_pass(rows: DataFrame, coefficients, weights, n_columns: int) -> np.ndarray:
+def one_pass(rows: DataFrame, coefficients, weights, n_columns: int, many_parts: bool) -> np.ndarray:
     """Sums over all rows, a line per setting."""
     parts = rows.select("x", "hot", "target").mapInArrow(_sums(coefficients, weights, n_columns), "part long, sums binary")
-    if rows.rdd.getNumPartitions() > LOTS:
+    if many_parts:
         parts = parts.groupBy(F.pmod("part", F.lit(LOTS)).alias("lot")).applyInArrow(_added, "part long, sums binary")
     lots = parts.sort("part").toArrow().column("sums")                                      # LOTS at most
     return sum(np.frombuffer(x.as_py(), np.float64) for x in lots).reshape(len(coefficients), -1)
@@ -199,11 +199,11 @@ def fit_grid(rows: DataFrame, settings, n_numeric: int, n_hot: int = 0, toleranc
     totals = [(w * sizes).sum() for w in weights]
     start = np.zeros((n_columns + 1, N_CLASSES))
     paths = [Descent(np.vstack([start[:-1], np.log(np.maximum(w * sizes, 0.5) / np.maximum(w * sizes, 0.5).sum())])) for w in weights]
-    active, passes = list(range(len(settings))), 0
+    active, passes, many_parts = list(range(len(settings))), 0, rows.rdd.getNumPartitions() > LOTS
     used = [0] * len(settings)
     while active and passes < most:
         plain = [_plain(paths[i].trial, scale) for i in active]
-        sums = one_pass(rows, plain, [weights[i] for i in active], n_columns)
+        sums = one_pass(rows, plain, [weights[i] for i in active], n_columns, many_parts)
         passes += 1
         still = []
         for i, line in zip(active, sums):

@@ -154,13 +154,19 @@ def invalid_answers(predictions: DataFrame, by=("model", "length")) -> DataFrame
                                         (100.0 * F.avg(bad.cast("double"))).alias("share_pct"))
 
 
-def common_population(predictions: DataFrame) -> DataFrame:
-    """Customers every (model, length) of the table covers."""
-    per = predictions.groupBy("customer_id").agg(F.count("*").alias("covered"))
-    models = predictions.groupBy("model", "length").agg(F.lit(1).alias("one")).agg(F.count("*").alias("m"))
+def common_population(predictions: DataFrame, length: int | None = None) -> DataFrame:
+    """Customers every (model, length) of the table covers; with `length` those that every model of that length covers."""
+    rows = predictions if length is None else predictions.where(F.col("length") == length)
+    per = rows.groupBy("customer_id").agg(F.count("*").alias("covered"))
+    models = rows.groupBy("model", "length").agg(F.lit(1).alias("one")).agg(F.count("*").alias("m"))
     return per.where(F.col("covered") == models.scalar()).select("customer_id")
 
 
+def at_fixed_population(predictions: DataFrame, longest: int = max(DEFAULTS.lengths)) -> DataFrame:
+    """Predictions of every length for the customers of the longest one, so that scores of several lengths are of the same customers."""
+    return predictions.join(common_population(predictions, longest), "customer_id", "left_semi")
+
+
 def align_models(predictions: DataFrame, models) -> DataFrame:
     """One row per customer with the answers of all `models` as `yhat_<i>`, customers missing in one left out."""
     coded = with_codes(predictions.where(F.col("model").isin(*models)))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillflow.functions.expressions import draw_hash
+from tillflow.functions.literals import literal_rows
 from tillflow.operators.cohort import eligible_customers
 from tillflow.settings import DEFAULTS
 from tillflow.sources.session import durable
@@ -116,6 +117,23 @@ def split_summary(assignment: DataFrame) -> DataFrame:
     return assignment.groupBy("bank", "split").agg(F.count("*").alias("customers"))
 
 
+def split_report(assignment: DataFrame, eligible: dict, excluded: dict, amounts: str = "nominal", seed=DEFAULTS.seed, on_inputs: bool = True) -> DataFrame:
+    """(item, value) rows that say how the splits were made: seed, rules, classes, and numbers of eligible, drawn and excluded customers.
+
+    `eligible` and `excluded` map a name to a list of ids.
+    """
+    from tillflow.settings import CLASSES
+
+    rules = {"seed": seed, "diversity on inputs": str(on_inputs).lower(), "min transactions": DEFAULTS.min_transactions, "min distinct categories": DEFAULTS.min_distinct,
+             "categories": ", ".join(CLASSES), "amounts": amounts}
+    out = literal_rows(assignment.sparkSession, [(k, str(v)) for k, v in rules.items()], ("item", "value"))
+    sizes = [(f"eligible: {k}", v) for k, v in eligible.items()] + [(f"excluded from confirmation: {k}", v) for k, v in excluded.items()]
+    for name, ids in sizes:
+        out = out.unionByName(ids.select("customer_id").distinct().agg(F.count("*").cast("string").alias("value")).select(F.lit(name).alias("item"), "value"))
+    per = split_summary(assignment).select(F.concat(F.lit("customers: "), "split").alias("item"), F.col("customers").cast("string").alias("value"))
+    return out.unionByName(per)
+
+
 def splits_table(tx: DataFrame, assignment: DataFrame) -> DataFrame:
     """Per split: customers, and those long enough for lengths 9 and 14. Counts are made before the join."""
     n = tx.groupBy("bank", "customer_id").agg(F.count("*").alias("n"))

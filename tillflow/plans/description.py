@@ -46,7 +46,7 @@ def demographic_shares(spark, d):
 @query
 def demographic_counts(spark, d):
     """Fixed levels with their counts, zeros present."""
-    return printed(D.demographic_counts(cohort_of(spark, d, "bank_b")))
+    return printed(_tagged(D.demographic_counts(cohort_of(spark, d, "bank_a")), D.demographic_counts(cohort_of(spark, d, "bank_b"))))
 
 
 @query
@@ -89,7 +89,14 @@ def psi_table(spark, d):
 
 @query
 def ecdf_points(spark, d):
-    return printed(D.ecdf_points(T.bank_a(spark, d), "amount", points=41, by=("category",)))
+    """All 2,001 points of both cohorts' amounts, purchases per customer, and spans."""
+    out = None
+    for bank, tx in (("bank_a", T.bank_a(spark, d)), ("bank_b", T.bank_b(spark, d))):
+        cohort = durable(cohort_of(spark, d, bank))
+        for what, rows, value, weight in (("amount", D.cohort_amounts(tx, cohort), "amount", "n"), ("purchases", cohort, "n_txn", None), ("span", cohort, "span_days", None)):
+            part = D.ecdf_points(rows, value, weight=weight).withColumns({"bank": F.lit(bank), "what": F.lit(what)})
+            out = part if out is None else out.unionByName(part)
+    return printed(out)
 
 
 @query

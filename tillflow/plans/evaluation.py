@@ -29,6 +29,7 @@ from tillflow.sources.session import durable
 COMPARED = ("averaging", "last-category", "markov1")
 HASHED = S.Resampler("hashed")
 NINE = DEFAULTS.train_length
+BY_BANK = ("split", "model", "length")
 EXACT = ("mcnemar_p", "mcnemar_p_holm", "p_holm")           # exact binomial p values
 
 
@@ -36,6 +37,10 @@ def _windows(spark, d, bank, length=NINE):
     return W.last_windows(P.transactions(spark, d, bank), length)
 
 
+def _both_windows(spark, d, length=NINE):
+    return P.both_banks(spark, d, lambda tx: W.last_windows(tx, length))
+
+
 def flagship(spark, d):
     """Three simple predictors of bank A's cohort at length 9, scored."""
     tx = T.bank_a(spark, d)
@@ -64,18 +69,19 @@ def score_baselines(spark, d):
 
 @query
 def random_and_proportional(spark, d):
-    return _coded(P.free_predictions(spark, d, "bank_a").withColumn("split", F.lit("bank_a")))
+    a, b = (P.free_predictions(spark, d, bank).withColumn("split", F.lit(bank)) for bank in ("bank_a", "bank_b"))
+    return _coded(a.unionByName(b))
 
 
 @query
 def averaging_ties_lowest(spark, d):
-    w = W.windows_at(T.bank_a(spark, d))
-    return printed(w.select("customer_id", "length", B.most_frequent_code(F.col("codes"), "lowest").alias("code")))
+    w = P.both_banks(spark, d, W.windows_at)
+    return printed(w.select("bank", "customer_id", "length", B.most_frequent_code(F.col("codes"), "lowest").alias("code")))
 
 
 @query
 def last_category(spark, d):
-    return printed(_windows(spark, d, "bank_a").select("customer_id", B.last_code(F.col("codes")).alias("code"), "target"))
+    return printed(_both_windows(spark, d).select("bank", "customer_id", B.last_code(F.col("codes")).alias("code"), "target"))
 
 
 @query
@@ -85,15 +91,15 @@ def markov_fit(spark, d):
 
 @query
 def sequence_features(spark, d):
-    return printed(X.sequence_features(_windows(spark, d, "bank_a")).select("customer_id", *X.sequence_feature_names()))
+    return printed(X.sequence_features(_both_windows(spark, d)).select("bank", "customer_id", *X.sequence_feature_names()))
 
 
 @query
 def full_features(spark, d):
     """Amounts, dates and profile of profiled customers (the sequence part is a query of its own)."""
     p = T.profiles(spark, d)
-    w = _windows(spark, d, "bank_a").join(p.select("customer_id"), "customer_id", "left_semi")
-    return printed(X.full_features(w, p).select("customer_id", *X.AMOUNT_DATE_NAMES, "age", *X.PROFILE_LEVELS))
+    w = _both_windows(spark, d).join(p.select("customer_id"), "customer_id", "left_semi")
+    return printed(X.full_features(w, p).select("bank", "customer_id", *X.AMOUNT_DATE_NAMES, "age", *X.PROFILE_LEVELS))
 
 
 @query
@@ -106,9 +112,9 @@ def one_hot(spark, d):
 
 @query
 def class_weights(spark, d):
-    w, out = _windows(spark, d, "bank_a"), None
+    out = None
     for kind in ("none", "inverse", "balanced"):
-        part = X.class_weights(w, kind).withColumn("kind", F.lit(kind))
+        part = P.both_banks(spark, d, lambda tx: X.class_weights(W.last_windows(tx, NINE), kind)).withColumn("kind", F.lit(kind))
         out = part if out is None else out.unionByName(part)
     return printed(out)
 
@@ -116,10 +122,10 @@ def class_weights(spark, d):
 @query
 def padded_sequence(spark, d):
     """Both paddings: tokens 1..4 padded with 0, and codes padded with 4; and the shifted targets."""
-    w = W.windows_at(T.bank_a(spark, d), (4, 14))
+    w = P.both_banks(spark, d, lambda tx: W.windows_at(tx, (4, 14)))
     w = X.next_step_targets(X.padded_sequence(w, 9, 0, 1).withColumnRenamed("tokens", "shifted"), 9)
     w = X.padded_sequence(w, 9, N_CLASSES)
-    return printed(w.select("customer_id", "length", joined(F.col("shifted")).alias("shifted"), joined(F.col("tokens")).alias("tokens"),
+    return printed(w.select("bank", "customer_id", "length", joined(F.col("shifted")).alias("shifted"), joined(F.col("tokens")).alias("tokens"),
                             joined(F.col("next_codes")).alias("next_codes")))
 
 
@@ -257,6 +263,13 @@ def common_population(spark, d):
     return M.common_population(P.length_predictions(spark, d, "bank_a"))
 
 
+@query
+def fixed_population(spark, d):
+    """Scores of every length on the customers of the longest one."""
+    rows = M.at_fixed_population(P.length_predictions(spark, d, "bank_a"))
+    return printed(M.classification_metrics(rows).select("model", "length", "n", *M.OVERALL, *M.CLASS_F1))
+
+
 @query
 def population_check(spark, d):
     rows = P.length_predictions(spark, d, "bank_a")
@@ -280,9 +293,9 @@ def classification_metrics(spark, d):
 
 @query
 def selection_score(spark, d):
-    rows = P.length_predictions(spark, d, "bank_a")
-    return printed(M.selection_score(rows).withColumn("metric", F.lit("macro_f1")).unionByName(
-        M.selection_score(rows, metric="f1_w").withColumn("metric", F.lit("f1_w"))))
+    rows = P.both_predictions(spark, d, free=False)
+    return printed(M.selection_score(rows, BY_BANK).withColumn("metric", F.lit("macro_f1")).unionByName(
+        M.selection_score(rows, BY_BANK, metric="f1_w").withColumn("metric", F.lit("f1_w"))))
 
 
 @query
@@ -320,7 +333,7 @@ def shift_table(spark, d):
 def subgroup_metrics(spark, d):
     """Scores by gender and age band of profiled customers."""
     p = T.profiles(spark, d).select("customer_id", "gender", age_band(F.col("age")).alias("age_band"))
-    rows = P.length_predictions(spark, d, "bank_a", (NINE,)).where(F.col("model").isin("coin", "averaging"))
+    rows = P.length_predictions(spark, d, "bank_a", (NINE,))
     return printed(M.group_metrics(rows, p).select("model", "variable", "level", "n", "acc", "macro_f1", "r_clothing", "f1_clothing"))
 
 
@@ -350,22 +363,22 @@ def slice_shares(spark, d):
 # ---- calibration -------------------------------------------------------------------------------------------------
 @query
 def reliability_table(spark, d):
-    return printed(K.reliability_table(P.length_predictions(spark, d, "bank_a")))
+    return printed(K.reliability_table(P.both_predictions(spark, d, free=False), BY_BANK))
 
 
 @query
 def class_reliability(spark, d):
-    return printed(K.class_reliability(P.length_predictions(spark, d, "bank_a"), "Clothing"))
+    return printed(K.class_reliability(P.both_predictions(spark, d, free=False), "Clothing", BY_BANK))
 
 
 @query
 def class_calibration(spark, d):
-    return printed(K.class_calibration(P.length_predictions(spark, d, "bank_a")))
+    return printed(K.class_calibration(P.both_predictions(spark, d, free=False), BY_BANK))
 
 
 @query
 def cost_threshold(spark, d):
-    return printed(K.cost_threshold(P.length_predictions(spark, d, "bank_a"), "Clothing"))
+    return printed(K.cost_threshold(P.both_predictions(spark, d, free=False), "Clothing", BY_BANK))
 
 
 @query

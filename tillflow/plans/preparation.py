@@ -293,6 +293,14 @@ def split_summary(spark, d):
     return S.split_summary(_assignment(spark, d))
 
 
+@query
+def split_report(spark, d):
+    """Seed, rules and numbers of the splits."""
+    p = T.profiles(spark, d)
+    eligible = {bank.replace("_", " "): C.eligible_customers(transactions(spark, d, bank), p) for bank in ("bank_a", "bank_b")}
+    return S.split_report(_assignment(spark, d), eligible, {"earlier list": _dev_ids(spark, d)})
+
+
 @query
 def split_leakage_check(spark, d):
     return S.leakage_check(_assignment(spark, d), _dev_ids(spark, d))

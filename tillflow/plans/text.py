@@ -8,7 +8,7 @@ from tillflow.operators import windows as W
 from tillflow.operators.metrics import classification_metrics
 from tillflow.plans import tables as P
 from tillflow.plans.registry import printed, query
-from tillflow.settings import DEFAULTS
+from tillflow.settings import DEFAULTS, DEMOGRAPHIC_FIELDS
 from tillflow.sources import testdata as T
 
 
@@ -41,8 +41,8 @@ def build_samples_conditions(spark, d):
 @query
 def build_samples_minus_field(spark, d):
     out = None
-    for field in ("gender", "age", "education", "occupation", "income_group"):
-        part = _samples(spark, d, "seq+demographics", field).withColumn("dropped", F.lit(field))
+    for field in DEMOGRAPHIC_FIELDS:
+        part = _samples(spark, d, "full", field).withColumn("dropped", F.lit(field))
         out = part if out is None else out.unionByName(part)
     return printed(out)
 
@@ -80,9 +80,9 @@ def run_names(spark, d):
 
 @query
 def trace_numbers(spark, d):
-    """Decimals of the instruction texts that the orders' price column does not hold."""
+    """Decimals of the instruction texts that the table of every customer's lowest and highest price does not hold."""
     texts = _samples(spark, d, "seq+amounts").select("customer_id", "input")
-    results = T.table(spark, d, "orders").where(F.col("o_orderkey") % 2 == 0).select("o_totalprice")
+    results = T.table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_totalprice").alias("lowest"), F.max("o_totalprice").alias("highest"), F.count("*").alias("n"))
     return printed(audit.trace_numbers(texts, "input", ("customer_id",), results))
 
 
