@@ -5,7 +5,9 @@
    prefixes (the first n - ceil(t n) + 1 shingles) meet. A tile is (size band, prefix shingle): a class goes to the tiles of its own
    band, and to those of the band below if a set of that band can be large enough to link with it. No link is lost. The order puts
    frequent shingles last, so that a passage that many documents share makes no tile unless it is nearly all of a document; how
-   frequent a shingle is, is estimated, and bears on the work only, not on the result.
+   frequent a shingle is, is estimated, and bears on the work only, not on the result. Most tiles hold one class only and are of no use:
+   a first pass over the texts finds the tiles with several classes and keeps them as a filter of a bounded size, so that a second pass
+   makes rows for these only. What the filter lets through by mistake costs work, not results.
 3. In each tile the hub (the class that shares most tiles) is compared with the members: bitmaps of hashed shingles first, whose bits
    set on one side only bound the overlap from above, then exact intersection of the sorted arrays. Links are contracted to components.
 4. Tiles that still hold several components are cut into blocks of BLOCK classes; every pair of blocks is one small task that runs over
@@ -30,6 +32,9 @@ WIDE = 1.5                         # largest by smallest size of a band
 BLOCK = 512                        # classes of a tile that meet in one comparison of blocks
 ORDER_SHARE = 16                   # one text in so many tells which shingles are frequent
 FREQUENT = 1 << 20                 # shingles whose frequency the order knows, at most
+FILTER_BITS = 16                   # bits of the filter for each tile with several classes
+MOST_BITS = 1 << 29                # bits of the filter at most (64 MB)
+PAGE = 1 << 15                     # bits of one row of a bitmap aggregate
 
 _ODD = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
@@ -128,14 +133,67 @@ def _some_shingles(k: int):
 def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The FREQUENT most frequent shingles of a part of the texts, sorted, with counts. They only shape the order of the prefixes."""
     some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(ORDER_SHARE)) == 0)
-    top = (some.mapInArrow(_some_shingles(k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1")
-           .orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow())
+    counts = written(some.mapInArrow(_some_shingles(k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1"), "counts")
+    # the least count that no more than FREQUENT shingles reach, from how often each count occurs
+    least, held = 1, 0
+    for count, times in sorted(map(tuple, counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1))).collect()), reverse=True):
+        held += times
+        if held > FREQUENT:
+            least = count + 1
+            break
+    top = counts.filter(F.col("n") >= least).toArrow()
+    forget(counts)
     shingle = np.asarray(top.column("shingle"), np.int64).view(np.uint64)
     order = np.argsort(shingle)
     return shingle[order], np.asarray(top.column("n"), np.int64)[order]
 
 
-def _sketches(k: int, percent: int, frequent):
+def _tile_rows(k: int, percent: int, frequent):
+    """Tiles and classes of the texts, each pair once a batch."""
+    def run(batches):
+        bands = Bands(percent)
+        for b in batches:
+            seen, tiles, nodes = set(), [], []
+            for h in shingle_sets(b.column("text"), k):
+                node = _node(h) if len(h) else None
+                if node is not None and node not in seen:
+                    seen.add(node)
+                    tiles.append(_tiles(h, bands, frequent.value))
+                    nodes.append(np.full(len(tiles[-1]), node, np.int64))
+            if tiles:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tiles)), pa.array(np.concatenate(nodes))], ["tile", "node"])
+    return run
+
+
+def _places(tile: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of a tile among `bits` (a power of two)."""
+    x = tile.view(np.uint64)
+    return tuple(((x >> np.uint64(shift)) & np.uint64(bits - 1)).astype(np.int64) for shift in (0, 33))
+
+
+def shared_tiles(docs: DataFrame, k: int, percent: int, frequent) -> np.ndarray:
+    """A filter that holds every tile of several classes: bytes of a bitmap with two places per tile."""
+    rows = docs.select("text").mapInArrow(_tile_rows(k, percent, frequent), "tile long, node long")
+    shared = written(rows.groupBy("tile").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("tile"), "shared")
+    bits = min(max(1 << (shared.count() * FILTER_BITS).bit_length(), PAGE), MOST_BITS)
+    place = F.explode(F.array(*[F.expr(f"(shiftrightunsigned(tile, {shift}) & {bits - 1}L) + 1") for shift in (0, 33)]))
+    pages = shared.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("page")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in pages:                                                        # MOST_BITS / PAGE rows at most
+        start = (r["page"] - 1) * PAGE // 8
+        out[start:start + PAGE // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    forget(shared)
+    return out
+
+
+def _let_through(tiles: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    keep = np.ones(len(tiles), bool)
+    for at in _places(tiles, len(bitmap) * 8):
+        keep &= (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return tiles[keep]
+
+
+def _sketches(k: int, percent: int, frequent, shared):
     def run(batches):
         bands = Bands(percent)
         for b in batches:
@@ -144,7 +202,7 @@ def _sketches(k: int, percent: int, frequent):
                 n.append(len(h))
                 node.append(_node(h) if len(h) else None)
                 bits.append(_bitmap(h).tobytes())
-                keys.append(_tiles(h, bands, frequent.value))
+                keys.append(_let_through(_tiles(h, bands, frequent.value), shared.value))
             offs = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
             tiles = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), tiles],
@@ -247,7 +305,12 @@ class Verifier:
     """Finds which pairs of classes link. Sorted shingles are made from the texts for those classes only that come past the bitmaps."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, k: int, percent: int):
-        self.docs, self.classes, self.k, self.percent, self.made = docs, classes, k, percent, None
+        self.docs, self.classes, self.k, self.percent, self.made, self.tables = docs, classes, k, percent, None, []
+
+    def forget(self) -> None:
+        """Deletes the shingles."""
+        for table in self.tables:
+            forget(table)
 
     def _need(self, nodes: DataFrame) -> None:
         wanted = self.classes.join(nodes if self.made is None else nodes.join(self.made, "node", "left_anti"), "node", "left_semi").select("text_hash")
@@ -257,7 +320,9 @@ class Verifier:
             few = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted
             new = written(self.docs.join(few, "text_hash", "left_semi").select("text").mapInArrow(_shingles(self.k), "node long, shingles binary")
                           .groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+            self.tables.append(new)
             self.made = new if self.made is None else self.made.unionByName(new)
+        forget(wanted)
 
     def links(self, pairs: DataFrame) -> DataFrame:
         return self.exact(_beside(pairs, self.classes, ["n", "bits"]).mapInArrow(_bounded(self.percent), "a long, b long"))
@@ -267,7 +332,9 @@ class Verifier:
         self._need(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         if self.made is None:
             return near
-        return written(_beside(near, self.made, ["shingles"]).mapInArrow(_linked(self.percent), "a long, b long"), "links")
+        links = written(_beside(near, self.made, ["shingles"]).mapInArrow(_linked(self.percent), "a long, b long"), "links")
+        forget(near)
+        return links
 
 
 def tile_members(classes: DataFrame) -> DataFrame:
@@ -280,7 +347,9 @@ def tile_members(classes: DataFrame) -> DataFrame:
               .groupBy("k", "who", "low").agg(F.min("tile").alias("tile")))
     members = written(flat.join(shared.select("tile"), "tile"), "members")
     degree = members.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    return written(members.join(degree, "node"), "tiles")
+    tiles = written(members.join(degree, "node"), "tiles")
+    forget(members)
+    return tiles
 
 
 def similarity_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -291,10 +360,14 @@ def similarity_components(docs: DataFrame, k: int = 3, percent: int = 90) -> Dat
     class_id: 64-bit digest of the set. Columns named bits, tile or node in `docs` do not matter.
     """
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
-    sketches = written(docs.mapInArrow(_sketches(k, percent, frequent), "doc_id long, text_hash long, n_shingles long, node long, bits binary, tiles array<long>"), "sketches")
-    classes = written(sketches.filter("node is not null").groupBy("node").agg(
+    send = docs.sparkSession.sparkContext.broadcast
+    frequent = send(frequent_shingles(docs, k))
+    shared = send(shared_tiles(docs, k, percent, frequent))
+    whole = written(docs.mapInArrow(_sketches(k, percent, frequent, shared), "doc_id long, text_hash long, n_shingles long, node long, bits binary, tiles array<long>"), "sketches")
+    sketches = written(whole.select("doc_id", "n_shingles", "node"), "documents")
+    classes = written(whole.filter("node is not null").groupBy("node").agg(
         F.first("text_hash").alias("text_hash"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("tiles").alias("tiles")), "classes")
+    forget(whole)
     members = tile_members(classes)
     verifier = Verifier(docs, classes.drop("tiles"), k, percent)
     hubs = members.groupBy("tile").agg(F.max(F.struct("degree", "node")).alias("h")).select("tile", F.col("h.node").alias("hub"))
@@ -304,9 +377,14 @@ def similarity_components(docs: DataFrame, k: int = 3, percent: int = 90) -> Dat
     placed = (members.join(hubs, "tile").filter("node <> hub").join(joined, "node", "left")                # the hubs' pairs are settled
               .select("tile", "node", F.coalesce("root", "node").alias("root")))
     mixed = placed.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("tile")
-    more = verifier.exact(block_pairs(written(placed.join(mixed, "tile"), "open"), classes, percent))
+    still = written(placed.join(mixed, "tile"), "open")
+    forget(members)
+    more = verifier.exact(block_pairs(still, classes, percent))
+    forget(still)
     if not more.isEmpty():
         joined = written(components(links.unionByName(more)), "components")
+    verifier.forget()
+    forget(classes)
 
     roots = sketches.select("doc_id", "n_shingles", "node").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = roots.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
@@ -325,7 +403,7 @@ def one_per_component(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
 
 
 def op1_ngram_join(spark, sf_dir):
-    return similarity_components(documents(spark, sf_dir))
+    return similarity_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE = """
