@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tillflow.llm import mixing, ngram_join, sharding
@@ -158,11 +159,12 @@ def test_mixture_comes_near_its_targets(spark, monkeypatch):
     for leaf, fan in ((4000, 1000), (40, 3)):
         monkeypatch.setattr(mixing, "LEAF", leaf)
         monkeypatch.setattr(mixing, "FAN", fan)
-        got = mixing.mix_sources(df).toPandas()
+        copies = lambda rows: rows.withColumn("copies", rows["copies"] + rows["n_more"]).toPandas()          # every row is a unit here
+        got = copies(mixing.mix_sources(df))
         per = got.groupby("source").apply(lambda g: (g["size"] * g["copies"]).sum() - g["target"].iloc[0], include_groups=False)
         assert len(got) == 3000 and per.abs().max() <= 90 and got["copies"].max() <= 3
         assert ((got["copies"] - got["target"] / got["source_size"]).abs() < 1 + 1e-9).all()
-        assert mixing.mix_sources(df.repartition(5)).toPandas().sort_values("doc_id")["copies"].tolist() == got.sort_values("doc_id")["copies"].tolist()
+        assert copies(mixing.mix_sources(df.repartition(5))).sort_values("doc_id")["copies"].tolist() == got.sort_values("doc_id")["copies"].tolist()
 
 
 def test_mixture_of_odd_rows(odd, nothing):
@@ -171,5 +173,64 @@ def test_mixture_of_odd_rows(odd, nothing):
     sized = odd.select("doc_id", "source", mixing.word_count().alias("size"))
     plan = mixing.mix_sources(sized).collect()
     assert sum(r["n_rows"] for r in plan) == len(ROWS)
-    assert out.count() == sum(r["n_rows"] * r["copies"] for r in plan)
+    assert out.count() == sum(r["n_rows"] * r["copies"] + r["n_more"] for r in plan)
     assert mixing.mixed_documents(nothing).count() == 0
+
+
+def test_repeated_rows_are_split_and_every_draw_comes_near(spark):
+    """A source of ten-word rows, half of them one repeated row, beside a source that takes from it."""
+    hot = [(i if i < 1500 else 7777, "a", 10) for i in range(3000)]
+    df = spark.createDataFrame(hot + [(10_000 + i, "b", 10) for i in range(3000)], "doc_id long, source string, size long")
+    for seed in range(4):
+        plan = mixing.mix_sources(df, seed).toPandas()
+        taken = (plan["size"] * (plan["n_rows"] * plan["copies"] + plan["n_more"])).groupby(plan["source"]).sum()
+        target = plan.groupby("source")["target"].first()
+        assert (taken - target).abs().max() <= 10
+        one = plan[plan["doc_id"] == 7777].iloc[0]
+        assert one["n_rows"] == 1500 and 0 < one["n_more"] < 1500 and abs(one["n_rows"] * one["copies"] + one["n_more"] - 1500 * one["target"] / one["source_size"]) < 1
+    docs = df.select("doc_id", spark_repeat("size"), "source").withColumns({"lang": lit(None).cast("string"), "n_chars": lit(0).cast("long"), "copies": lit("x")})
+    out = mixing.mixed_documents(docs.repartition(6))
+    plan = mixing.mix_sources(docs.select("doc_id", "source", mixing.word_count().alias("size"))).toPandas()
+    assert out.columns == docs.columns
+    count = out.groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
+    want = (plan["n_rows"] * plan["copies"] + plan["n_more"]).groupby(plan["doc_id"]).sum()
+    assert count.to_dict() == want[want > 0].to_dict()
+
+
+def spark_repeat(size):
+    from pyspark.sql import functions as F
+
+    return F.repeat(F.lit("word "), F.col(size).cast("int")).alias("text")
+
+
+def lit(value):
+    from pyspark.sql import functions as F
+
+    return F.lit(value)
+
+
+def test_filter_holds_every_shared_tile():
+    rng = np.random.default_rng(3)
+    tiles = rng.integers(-2**63, 2**63, 5000, dtype=np.int64)
+    bits = 1 << 17
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for at in ngram_join._places(tiles[:2500], bits):
+        np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    kept = ngram_join._let_through(tiles, bitmap)
+    assert set(tiles[:2500]) <= set(kept) and len(kept) < 2800
+
+
+def test_shared_tiles_are_those_of_several_classes(spark):
+    texts = [f"alpha beta gamma delta epsilon w{i // 2} zeta eta theta iota" for i in range(40)] + ["one text like no other at all here"] * 3
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    send = spark.sparkContext.broadcast
+    frequent = send(ngram_join.frequent_shingles(docs, 3))
+    bitmap = ngram_join.shared_tiles(docs, 3, 50, frequent)
+    seen, bands = {}, ngram_join.Bands(50)
+    for h in ngram_join.shingle_sets(pa.array(texts), 3):
+        for t in ngram_join._tiles(h, bands, frequent.value):
+            seen.setdefault(int(t), set()).add(ngram_join._node(h))
+    shared = np.array([t for t, nodes in seen.items() if len(nodes) > 1], np.int64)
+    single = np.array([t for t, nodes in seen.items() if len(nodes) == 1], np.int64)
+    assert len(shared) and len(single) and len(ngram_join._let_through(shared, bitmap)) == len(shared)
+    assert len(ngram_join._let_through(single, bitmap)) < max(2, 0.2 * len(single))

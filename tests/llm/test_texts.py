@@ -380,6 +380,26 @@ def test_calls_are_linked_ordered_and_checked(spark):
     assert by[1, "result", "p", 4]["linked"] and not by[1, "result", "nobody", 9]["linked"] and not by[2, "result", "p", 2]["linked"]
 
 
+def test_arguments_that_cannot_be_read_or_written_are_errors():
+    schema = {"type": "object", "properties": {"a": {"type": ["string", "null"]}, "b": {"type": "date"}}}
+    assert chat.checked_arguments('{"a":"\\ud800"}', schema) == (None, "arguments hold half a character")
+    assert chat.checked_arguments("[" * 200_000 + "]" * 200_000, schema) == (None, "arguments are nested too deeply")
+    assert chat.checked_arguments('{"a":NaN}', schema) == (None, "arguments are not JSON") and chat.checked_arguments(None, schema)[1] == "arguments are not JSON"
+    assert chat.checked_arguments('{"a":null}', schema) == ('{"a":null}', "") and chat.checked_arguments('{"a":1}', schema) == ('{"a":1}', "$.a: not string or null")
+    assert chat.checked_arguments('{"b":"x"}', schema)[1] == "$.b: not date"
+
+
+def test_turns_of_every_role_are_kept_and_calls_move(spark, tmp_path):
+    long = "word " * 200_000
+    turns = [(1, 0, "system", "s"), (1, 1, "user", "one two three"), (1, 2, "assistant", "a"), (1, 3, "user", long), (1, 4, "tool", "t"), (1, 5, "User", "u"), (1, 6, None, None)]
+    spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, level string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(chat.op10_chat(spark, str(tmp_path)).collect(), key=lambda r: r["position"])
+    assert len(got) == len(turns) and [r["position"] for r in got] == list(range(len(turns)))
+    assert sorted(json.loads(r["json"])["role"] or "" for r in got if r["kind"] == "message") == ["", "User", "system", "tool"]
+    assert [r["turn"] for r in got if r["kind"] == "call"] == [3, 1] and "out of range" in next(r["error"] for r in got if r["turn"] == 3)
+    assert next(r["position"] for r in got if r["kind"] == "result") > next(r["position"] for r in got if r["turn"] == 1)
+
+
 def test_chat_of_empty_tables(spark):
     m = spark.createDataFrame([], "conv_id long, turn long, role string, text string, linked string")
     calls, results = chat.turns_as_calls(m)

@@ -31,12 +31,14 @@ def canonical(value) -> str:
 
 
 def violations(value, schema: dict, at: str = "$") -> list[str]:
-    """What in a value breaks a schema: type, enum, minimum, maximum, minLength, maxLength, items, properties, required, additionalProperties."""
+    """What in a value breaks a schema: type (one or a list; an unknown one fits nothing), enum, minimum, maximum, minLength, maxLength, items, properties, required, additionalProperties."""
     kind = schema.get("type")
-    if kind == "integer" and isinstance(value, float) and value.is_integer():
+    kinds = [kind] if isinstance(kind, str) else list(kind or [])
+    if "integer" in kinds and isinstance(value, float) and value.is_integer():
         value = int(value)
-    if kind and (not isinstance(value, TYPES[kind]) or (isinstance(value, bool) and kind in ("integer", "number"))):
-        return [f"{at}: not {kind}"]
+    fits = lambda k: k in TYPES and isinstance(value, TYPES[k]) and not (isinstance(value, bool) and k in ("integer", "number"))
+    if kinds and not any(map(fits, kinds)):
+        return [f"{at}: not {' or '.join(kinds)}"]
     out = []
     if "enum" in schema and value not in schema["enum"]:
         out.append(f"{at}: not one of the values")
@@ -58,16 +60,25 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
+def _no_number(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
 def checked_arguments(text, schema: dict | None) -> tuple[str | None, str]:
-    """(canonical arguments or null, what is wrong)."""
+    """(canonical arguments or null, what is wrong). Arguments that cannot be written again are null, with the reason."""
     if schema is None:
         return None, "unknown tool"
     try:
-        value = json.loads(text)
+        value = json.loads(text, parse_constant=_no_number)
+        wrong, written_again = violations(value, schema), canonical(value)
+        written_again.encode("utf-8")
+    except RecursionError:
+        return None, "arguments are nested too deeply"
+    except UnicodeEncodeError:
+        return None, "arguments hold half a character"
     except (TypeError, ValueError):
         return None, "arguments are not JSON"
-    wrong = violations(value, schema)
-    return canonical(value), "; ".join(wrong)
+    return written_again, "; ".join(wrong)
 
 
 def ordered_calls(calls: DataFrame) -> DataFrame:
@@ -157,12 +168,15 @@ def conversations(spark, sf_dir: str) -> DataFrame:
 
 
 def turns_as_calls(chat: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results from the turns of a conversation. Every call depends on the user's call two turns before."""
+    """Calls and results from the turns of a conversation.
+
+    Half of the calls depend on the user's next call, so they must move behind it; the others on the one four turns before.
+    """
     ident = lambda t: F.concat_ws(":", F.lit("call"), F.col("conv_id"), t)
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
     calls = chat.filter("role = 'user'").select("conv_id", "turn", ident(F.col("turn")).alias("call_id"), F.lit("answer").alias("name"),
                                                 F.to_json(F.struct(words.alias("words"), F.col("text").alias("question"))).alias("arguments"),
-                                                F.array(ident(F.col("turn") - 2)).alias("depends"))
+                                                F.array(ident(F.when(F.pmod("turn", F.lit(4)) < 2, F.col("turn") + 2).otherwise(F.col("turn") - 4))).alias("depends"))
     results = chat.filter("role = 'assistant'").select("conv_id", "turn", ident(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
@@ -170,4 +184,4 @@ def turns_as_calls(chat: DataFrame) -> tuple[DataFrame, DataFrame]:
 def op10_chat(spark, sf_dir):
     chat = conversations(spark, sf_dir)
     calls, results = turns_as_calls(chat)
-    return chat_rows(chat.filter("role = 'system' or role is null"), calls, results, ASK)
+    return chat_rows(chat.filter("role is null or role not in ('user', 'assistant')"), calls, results, ASK)

@@ -4,8 +4,7 @@ A source's target divided by its size is the number of copies each of its docume
 the fractions are rounded in pairs: mass (words) moves at random from one document to the other until one of the two has none
 or a whole copy. The expected number of copies of every document and the taken words of the source are kept by each move. One
 unfinished document is left per leaf (some thousands of documents of one source); the leaves' leftovers are rounded together
-in the same way, level by level, until one is left per source. It is rounded by its own odds. In a source of one leaf, where one
-document can be a good part of the target, documents drawn in random order give or take the words that this step added.
+in the same way, level by level, until one is left per source. It is rounded by its own odds.
 """
 from __future__ import annotations
 
@@ -68,46 +67,34 @@ def pivot(size: np.ndarray, p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, i
     return p, held
 
 
-def settle(size: np.ndarray, p: np.ndarray, held: int, u: np.ndarray) -> np.ndarray:
-    """Rounds the last fraction by its odds and passes the words on to other documents, in the order of u, that fit."""
-    p = p.copy()
-    up = u[held] < p[held]
-    rest = size[held] * (1 - p[held] if up else p[held])
-    p[held] = float(up)
-    for j in np.argsort(u, kind="stable"):
-        if j != held and p[j] == float(up) and size[j] <= rest:
-            p[j], rest = float(not up), rest - size[j]
-    return p
-
-
 def _rounder(seed: int, group: str):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["mass", "key"], ascending=[False, True], kind="stable")     # the large first: what stays open is small
         rng = np.random.default_rng([seed, int(rows["source_no"].iloc[0]), int(rows[group].iloc[0])])
         mass = rows["mass"].to_numpy(float)
         p, held = pivot(mass, rows["p"].to_numpy(float), rng.random(len(rows)))
-        if held >= 0 and group == "leaf" and rows["n_units"].iloc[0] <= LEAF:
-            p, held = settle(mass, p, held, rng.random(len(rows))), -1
         return rows.assign(p=p, open=np.arange(len(p)) == held)
     return run
 
 
 def mix_sources(sized: DataFrame, seed: int = 20) -> DataFrame:
-    """(doc_id, source, size) rows -> doc_id, source, size, n_rows, source_size, target, copies; one row per distinct input row.
+    """(doc_id, source, size) rows -> doc_id, source, size, n_rows, source_size, target, copies, n_more; one row per distinct input row.
 
-    Equal rows are one unit: all get the same number of copies (at most MOST). Size 0 (null or empty text) takes no part and gets
-    the whole copies of its source. A null source is a source of its own, the last in order. Empty in, empty out. The draws hang
-    on seed, source and document, not on partitions.
+    Of n_rows equal rows all get `copies` copies and n_more of them one more (at most MOST in all): whatever can be given in whole rows
+    is, only what is left over is rounded, as one row's words. Size 0 (null or empty text) takes no part and gets the whole copies of
+    its source. A null source is a source of its own, the last in order. Empty in, empty out. The draws hang on seed, source and
+    document, not on partitions. A source's last fraction is rounded by its own odds, in every source alike.
     """
     units = written(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n_rows")), "units")
     targets = source_targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("source_size"), F.count(F.lit(1)).alias("n_units")))
     leaves = F.ceil(F.col("n_units") / LEAF)
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = (units.join(targets, units["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-            .withColumn("whole", F.floor(share)).withColumn("p", share - F.floor(share)).withColumn("mass", F.col("size") * F.col("n_rows"))
+            .withColumn("whole", F.floor(share)).withColumn("_extra", F.when(F.col("size") > 0, (share - F.floor(share)) * F.col("n_rows")).otherwise(0.0))
+            .withColumn("more", F.floor("_extra")).withColumn("p", F.col("_extra") - F.floor("_extra")).withColumn("mass", F.col("size"))
             .withColumn("key", F.xxhash64("doc_id", "source", "size")).withColumn("leaf", F.pmod("key", leaves)))
     moving = (F.col("p") > 0) & (F.col("mass") > 0)
-    schema = "doc_id long, source string, size long, n_rows long, source_no int, source_size long, target double, whole long, p double, mass long, key long, leaf long, n_units long"
+    schema = "doc_id long, source string, size long, n_rows long, source_no int, source_size long, target double, whole long, more long, p double, mass long, key long, leaf long, n_units long"
     names = [c.split()[0] for c in schema.split(", ")]
     rows = rows.select(*names)
     first = rows.filter(moving).groupBy("source_no", "leaf").applyInPandas(_rounder(seed, "leaf"), schema + ", open boolean")
@@ -132,20 +119,38 @@ def mix_sources(sized: DataFrame, seed: int = 20) -> DataFrame:
     last = last.select("source_no", "leaf", F.col("p").alias("p_last"), F.lit(True).alias("open"))
     out = done.join(last, ["source_no", "leaf", "open"], "left")
     extra = F.coalesce("p_last", "p").cast("long")
-    return out.select("doc_id", "source", "size", "n_rows", "source_size", "target", F.least(F.col("whole") + extra, F.lit(MOST)).cast("int").alias("copies"))
+    return out.select("doc_id", "source", "size", "n_rows", "source_size", "target", F.least("whole", F.lit(MOST)).cast("int").alias("copies"),
+                      F.when(F.col("whole") < MOST, F.least(F.col("more") + extra, F.col("n_rows"))).otherwise(0).alias("n_more"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 20) -> DataFrame:
-    """The documents of the mix, each as often as it was drawn, with the columns they came with."""
+    """The documents of the mix, each as often as it was drawn, with the columns they came with.
+
+    Of rows with one id, source and size some may be drawn once more than others. They are numbered where they lie: each part of the
+    table numbers its own behind those of the parts before, so that a row that is there a million times is not gathered.
+    """
     sized = docs.withColumn("_size", word_count())
-    plan = mix_sources(sized.select("doc_id", "source", F.col("_size").alias("size")), seed).filter("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), F.col("copies").alias("_copies"))
+    plan = written(mix_sources(sized.select("doc_id", "source", F.col("_size").alias("size")), seed).filter("copies > 0 or n_more > 0").select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), F.col("copies").alias("_copies"), F.col("n_rows").alias("_rows"), F.col("n_more").alias("_more")), "plan")
     same = sized["doc_id"].eqNullSafe(plan["_id"]) & sized["source"].eqNullSafe(plan["_source"]) & (sized["_size"] == plan["_words"])
-    out = sized.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*docs.columns)
+    drawn = sized.join(plan, same)
+    single = drawn.filter("_rows = 1 or _more in (0, _rows)").withColumn("_times", F.col("_copies") + F.when(F.col("_more") > 0, 1).otherwise(0))
+    several = written(drawn.filter("_rows > 1 and _more not in (0, _rows)").withColumn("_part", F.spark_partition_id()), "several")
+    unit = ["_id", "_source", "_words"]
+    sizes = several.groupBy(*unit, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*unit).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = before.select(*[F.col(c).alias(f"{c}_") for c in (*unit, "_part")], "_before")
+    matched = several["_part"] == before["_part_"]
+    for c in unit:
+        matched = matched & several[c].eqNullSafe(before[f"{c}_"])
+    numbered = several.join(before, matched).withColumn("_nth", F.col("_before") + F.row_number().over(Window.partitionBy(*unit, "_part").orderBy(F.xxhash64("text"))))
+    numbered = numbered.withColumn("_times", F.col("_copies") + F.when(F.col("_nth") <= F.col("_more"), 1).otherwise(0))
+    out = single.select(*docs.columns, "_times").unionByName(numbered.select(*docs.columns, "_times")).filter("_times > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
 
 
 def op8_mixture(spark, sf_dir):
     sized = documents(spark, sf_dir).select("doc_id", "source", word_count().alias("size"))
     out = mix_sources(sized).withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
+    out = out.withColumn("copies", F.col("copies") + F.when(F.col("_row") <= F.col("n_more"), 1).otherwise(0))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
