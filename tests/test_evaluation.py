@@ -74,9 +74,9 @@ def test_averaging_ties_and_markov(spark):
 
 
 def test_holm_golden(spark):
-    df = spark.createDataFrame([(i, p) for i, p in enumerate([0.01, 0.04, 0.03, 0.005])], "i int, p double").withColumn("f", F.lit(1))
+    df = spark.createDataFrame([(i, p) for i, p in enumerate([0.2, 0.012, 0.05, 0.001, 0.3])], "i int, p double").withColumn("f", F.lit(1))
     got = [r["p_holm"] for r in S.holm(df, "p", ("f",)).orderBy("i").collect()]
-    assert np.allclose(got, [0.03, 0.06, 0.06, 0.02])
+    assert np.allclose(got, [0.4, 0.048, 0.15, 0.005, 0.4])            # 2 x 0.2 is above 1 x 0.3
 
 
 def exact_p(b, c):
@@ -201,9 +201,9 @@ def test_shift_and_seed_summary(spark):
 
 
 def test_holm_leaves_null_out(spark):
-    df = spark.createDataFrame([("f", 0, None), ("f", 1, 0.01), ("f", 2, 0.03), ("f", 3, 0.04)], "f string, i int, p double")
+    df = spark.createDataFrame([("f", 0, 0.02), ("f", 1, None), ("f", 2, 0.3), ("f", 3, 0.015)], "f string, i int, p double")
     got = [r["p_holm"] for r in S.holm(df, "p", ("f",)).orderBy("i").collect()]
-    assert got[0] is None and np.allclose(got[1:], [0.03, 0.06, 0.06])
+    assert got[1] is None and np.allclose([got[0], got[2], got[3]], [0.045, 0.3, 0.045])
 
 
 def test_models_must_cover_the_same_customers(spark):

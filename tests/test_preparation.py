@@ -25,24 +25,23 @@ def test_override_map_replaces_the_default(spark):
 
 
 def test_cohort_rules(ladder):
-    assert ids(C.eligible_customers(ladder)) == [1]
-    assert ids(C.eligible_customers(ladder, on_inputs=False)) == [1]
-    assert ids(C.eligible_customers(ladder, min_distinct=1)) == [1, 2]
+    assert ids(C.eligible_customers(ladder)) == [20]
+    assert ids(C.eligible_customers(ladder, min_distinct=3)) == [20] and ids(C.eligible_customers(ladder, min_distinct=4)) == []
+    assert ids(C.eligible_customers(ladder, min_distinct=1)) == [20, 31]
 
 
-def test_filter_does_not_look_at_the_target(spark):
-    rows = [(4, f"2014-07-{d:02d}", 5.0, 5411 if d < 10 else 5541, d) for d in range(1, 11)]
-    tx = tables.load_transactions(spark.createDataFrame(rows, TX))
-    assert ids(C.eligible_customers(tx)) == []
-    assert ids(C.eligible_customers(tx, on_inputs=False)) == [4]
-    assert ids(C.eligible_customers(tx, min_distinct=1)) == [4]
+def test_filter_does_not_look_at_the_target_or_behind_the_window(spark):
+    codes = [5411, 5651, *[5541] * 9, 5651]                                # rn 12 and 11 lie behind the window, rn 1 is the target
+    tx = tables.load_transactions(spark.createDataFrame([(57, f"2020-0{1 + i // 4}-{10 + i % 4}", 1.0, c, i) for i, c in enumerate(codes)], TX))
+    assert ids(C.eligible_customers(tx)) == [] and ids(C.eligible_customers(tx, min_distinct=1)) == [57]
+    assert ids(C.eligible_customers(tx, on_inputs=False)) == [57] and ids(C.eligible_customers(tx, on_inputs=False, min_distinct=3)) == []
 
 
 def test_windows_hold_length_plus_one(ladder):
     w = {r["customer_id"]: r for r in W.last_windows(ladder, 9).collect()}
-    assert sorted(w) == [1, 2]
-    assert w[1]["codes"] == [2] * 4 + [1] * 5 and w[1]["target"] == 1
-    assert W.last_windows(ladder, 10).count() == 2 and W.last_windows(ladder, 11).count() == 1
+    assert sorted(w) == [20, 31] and w[31]["codes"] == [1] * 9
+    assert w[20]["codes"] == [3, 0, 0, 3, 2, 2, 0, 3, 3] and w[20]["target"] == 2
+    assert [W.last_windows(ladder, x).count() for x in (8, 10, 12, 13)] == [3, 1, 1, 0]
 
 
 def test_many_lengths_equal_single_lengths(ladder):
@@ -105,11 +104,12 @@ def test_split_recipe_is_disjoint_and_guarded(spark):
 
 
 def test_price_index_month_must_exist(spark, ladder):
-    table = spark.createDataFrame([("2014-07", 110.0), ("2014-01", 100.0)], "month string, index double")
-    got = tables.deflate(ladder, table, "2014-01").where("customer_id = 1").first()["amount"]
-    assert abs(got - 10.0 * 100 / 110) < 1e-12
-    with pytest.raises(Exception, match="price index missing"):
-        tables.deflate(ladder, table.where("month = '2014-01'"), "2014-01").collect()
+    table = spark.createDataFrame([(f"2019-{m:02d}", 100.0 + 10 * m) for m in range(1, 13)], "month string, index double")
+    got = {str(r["date"]): r["amount"] for r in tables.deflate(ladder, table, "2019-05").where("customer_id = 44").collect()}
+    assert abs(got["2019-03-01"] - 5.0 * 150 / 130) < 1e-12 and abs(got["2019-05-20"] - 10.0) < 1e-12
+    for month in ("2019-05", "2019-09"):
+        with pytest.raises(Exception, match="price index missing"):
+            tables.deflate(ladder, table.where(f"month <> '{month}'"), "2019-05").collect()
 
 
 def test_numbers_and_patterns(spark):
@@ -236,17 +236,17 @@ def test_read_table_and_terciles(spark, tmp_path):
 
 
 def test_saved_splits_read_back(spark, tmp_path, ladder):
-    assignment = spark.createDataFrame([(1, "train"), (2, "val"), (2, "train")], "customer_id long, split string")
+    assignment = spark.createDataFrame([(20, "train"), (31, "val"), (31, "train")], "customer_id long, split string")
     tables.save_splits(ladder, None, assignment, str(tmp_path))
     tx, people = tables.load_split(spark, str(tmp_path), "val")
-    assert people is None and ids(tx.select("customer_id").distinct()) == [2] and tx.count() == 12
-    assert ids(tables.load_split(spark, str(tmp_path), "train")[0].select("customer_id").distinct()) == [1, 2]
+    assert people is None and ids(tx.select("customer_id").distinct()) == [31] and tx.count() == 10
+    assert ids(tables.load_split(spark, str(tmp_path), "train")[0].select("customer_id").distinct()) == [20, 31]
 
 
 def test_filter_counts_and_overlap(spark, ladder):
-    assignment = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "customer_id long, split string")
+    assignment = spark.createDataFrame([(20, "x"), (31, "x"), (44, "y")], "customer_id long, split string")
     got = {r["split"]: r for r in C.filter_counts(ladder, assignment).collect()}
-    assert (got["x"]["single_at_4"], got["x"]["single_at_9"], got["x"]["customers"], got["x"]["tied"]) == (2, 1, 2, 0)
+    assert (got["x"]["single_at_4"], got["x"]["single_at_9"], got["x"]["customers"], got["x"]["tied"]) == (1, 1, 2, 0)
     assert got["y"]["single_at_9_pct"] is None
     row = S.overlap_of(spark.range(10).withColumnRenamed("id", "customer_id"), spark.range(5, 20).withColumnRenamed("id", "customer_id"), 100).collect()[0]
     assert (row["list_a"], row["list_b"], row["in_both"], row["expected"]) == (10, 15, 5, 1.5)
