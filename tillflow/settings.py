@@ -26,6 +26,7 @@ DEMOGRAPHIC_LEVELS = {
     "Income group": ("low", "middle", "high"),
 }
 
+# ---- fixed values: column names of the input tables, and of what orders the purchases of one day ----
 TRANSACTION_COLUMNS = ("customer_id", "date", "amount", "mcc")
 DEMOGRAPHIC_COLUMNS = ("customer_id", "age", "gender", "marital_status", "education", "occupation", "income")
 DEMOGRAPHIC_TEXT = ("gender", "marital_status", "education", "occupation")
@@ -37,6 +38,7 @@ COMPARATORS = ("averaging", "last-category", "markov1", "lstm", "cnn", "sasrec",
                "gbdt-seq", "gbdt-full", "logit-seq", "logit-full")
 
 
+# ---- fixed values: the study's defaults, and decimals that texts may hold without a table ----
 @dataclass(frozen=True)
 class Settings:
     min_transactions: int = 10
