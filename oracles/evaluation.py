@@ -333,4 +333,12 @@ ORACLES = {
     "pair_table": q(f"SELECT c.pair, c.at_ AS length, {CMP}, s.n::BIGINT AS n, only_a, only_b, {r('mcnemar_p + 1e-9')} AS mcnemar_p FROM ({compared(PPOINTS, 'SELECT * FROM draws_m', 'pair, at_', pairs(('a', 'b')), PM)}) c JOIN ({PPOINTS}) s ON s.pair = c.pair AND s.at_ = c.at_ AND s.model = 'a' "
         f"LEFT JOIN (SELECT * FROM ({mcnemar('SELECT * FROM prow', 'pair, at_', pairs(('a0', 'b0')))}) WHERE pair NOT LIKE '%,%') m ON m.pair = c.pair AND m.at_ = c.at_", draws_m=PDRAWS, **PAIR),
     "factorial_effects": q(f"SELECT e.metric, e.effect, {r('max(e.v)')} AS estimate, {r('quantile_cont(d.v, 0.025)')} AS low, {r('quantile_cont(d.v, 0.975)')} AS high FROM ({effects(metrics('SELECT * FROM fact', 'length, model'), '')}) e JOIN ({effects('SELECT * FROM draws_m', 'draw, ')}) d ON d.effect = e.effect AND d.metric = e.metric GROUP BY e.metric, e.effect", fact=FACT, draws_m=drawn("SELECT * FROM fact", "length, model")),
+    "run_cost": f"""SELECT coalesce(t.model, s.model) AS model, runs, {r('hours_mean')} AS hours_mean, {r('hours_min')} AS hours_min, {r('hours_max')} AS hours_max, {r('peak_gb')} AS peak_gb, steps,
+        scored_runs, n, {r('seconds_mean')} AS seconds_mean, {r('ms')} AS ms_per_customer, scorer, passes_per_prompt FROM
+        (SELECT 'm' || c_nationkey AS model, count(*) AS runs, avg(abs(c_acctbal) / 100) AS hours_mean, min(abs(c_acctbal) / 100) AS hours_min, max(abs(c_acctbal) / 100) AS hours_max,
+            max(c_custkey % 32)::DOUBLE AS peak_gb, arg_min(c_custkey * 10, 'm' || c_nationkey || '-seed' || c_custkey)::BIGINT AS steps FROM customer GROUP BY 1) t FULL JOIN
+        (SELECT model, count(*) AS scored_runs, arg_min(n, run)::BIGINT AS n, avg(seconds) AS seconds_mean, avg(1000 * seconds / n) AS ms, arg_min(scorer, run) AS scorer,
+            arg_min(CASE scorer WHEN 'first' THEN 1 WHEN 'sequence' THEN 4 ELSE -1 END, run) AS p, nullif(p, -1)::BIGINT AS passes_per_prompt FROM
+          (SELECT 'm' || (o_custkey % 30) AS model, 'm' || (o_custkey % 30) || '-seed' || o_orderkey AS run, CASE o_orderkey % 3 WHEN 0 THEN 'first' WHEN 1 THEN 'sequence' ELSE 'other' END AS scorer,
+            o_orderkey % 100 + 1 AS n, o_totalprice / 1000 AS seconds FROM orders) GROUP BY 1) s ON t.model = s.model""",
 }

@@ -22,6 +22,7 @@ from tillflow.plans import tables as P
 from tillflow.plans.preparation import _assignment as split_assignment
 from tillflow.plans.registry import joined, printed, query
 from tillflow.settings import DEFAULTS
+from tillflow.sources import logs
 from tillflow.sources import predictions as IO
 from tillflow.sources import testdata as T
 from tillflow.sources.session import durable
@@ -509,3 +510,17 @@ def pair_table(spark, d):
 @query
 def factorial_effects(spark, d):
     return printed(S.factorial_effects(P.factorial_predictions(spark, d, "bank_a"), P.FACTORIAL_CELLS, HASHED))
+
+
+# ---- logs --------------------------------------------------------------------------------------------------------
+@query
+def run_cost(spark, d):
+    """Training and scoring records, here of customers and orders, rolled up per model; a model may have only one of the two."""
+    training = T.table(spark, d, "customer").selectExpr(
+        "concat('m', c_nationkey, '-seed', c_custkey) AS run", "abs(c_acctbal) / 100 AS hours", "CAST(c_custkey % 32 AS DOUBLE) AS peak_gb", "c_custkey * 10 AS steps")
+    passes = F.when(F.col("scorer") == "first", 1).when(F.col("scorer") == "sequence", 4)
+    scoring = T.table(spark, d, "orders").selectExpr(
+        "concat('m', o_custkey % 30, '-seed', o_orderkey) AS run", "CASE o_orderkey % 3 WHEN 0 THEN 'first' WHEN 1 THEN 'sequence' ELSE 'other' END AS scorer",
+        "o_orderkey % 100 + 1 AS n", "o_totalprice / 1000 AS seconds").withColumns({"passes_per_prompt": passes, "ms_per_customer": 1000 * F.col("seconds") / F.col("n")})
+    named = lambda df: df.withColumn("model", IO.base_model(F.col("run")))
+    return printed(logs.run_cost(named(training), named(scoring)))
