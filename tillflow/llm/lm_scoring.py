@@ -1,7 +1,7 @@
 """Language-model scoring: a gated recurrent network over words, with a class-factored output.
 
 The corpus gives the words: counts of all training tokens, over all training documents. The most frequent NET words and the end of a
-text are the network's own; they are dealt by rank into CLASSES, and the rest, all other words, is one more class, inside which
+text are the network's own; they are dealt by rank into CLASSES of equal sums of root counts, and the rest, all other words, is one more class, inside which
 the corpus counts decide: (c + 0.1) by their sum, with 0.1 for a word never seen. So
     P(word | state) = P(class | state) * P(word | class, state)   or   P(rest | state) * P(word | rest).
 The network (one GRU layer) is trained in numpy by truncated backpropagation: streams of documents run in windows, the state goes on
@@ -29,12 +29,13 @@ from tillflow.llm.language import held_out
 
 END = np.uint64(0x5EED0F7E870FE4D5)     # the hash that stands for the end of a text
 NET = 4095                              # words of the network, the end among them
-CLASSES = 64
+CLASSES = 48
 DICTIONARY = 1 << 20
 HIDDEN = 24
-WINDOW = 64                             # tokens of a window
+WINDOW = 32                             # tokens of a window
 STREAMS = 256                           # documents side by side
-ROUNDS = 2                              # times that every training token is learned from
+LEARNERS = 96                           # documents side by side while learning, at most
+ROUNDS = 1                              # times that every training token is learned from
 PART_TOKENS = 1 << 18                   # tokens of a part at least, where the table has so many
 TAKEN = 1 << 21                         # tokens dealt to streams at a time
 FAN_IN = 8                              # sets of weights averaged by one task
@@ -80,6 +81,9 @@ class Vocabulary:
         own = np.array(own[:net], np.int64)
         order = np.argsort(word.view(np.uint64))
         self.word, self.n = word.view(np.uint64)[order], n[order]
+        bits = len(word).bit_length() + 1
+        self.shift = np.uint64(64 - bits)                                  # hashes are buckets by their first bits: first[b] .. first[b + 1] - 1
+        self.first = np.concatenate(([0], np.cumsum(np.bincount((self.word >> self.shift).astype(np.int64), minlength=1 << bits)))).astype(np.int32)
         self.number = np.full(len(word), -1, np.int32)
         at = np.searchsorted(self.word, own.view(np.uint64))
         there = (at < len(self.word)) & (self.word[np.minimum(at, max(len(self.word) - 1, 0))] == own.view(np.uint64)) if len(self.word) else np.zeros(len(own), bool)
@@ -95,13 +99,17 @@ class Vocabulary:
         """Place of each token in the table, -1 if it is not there."""
         if not len(self.word):
             return np.full(len(tokens), -1)
-        each, back = np.unique(tokens, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.word, each), len(self.word) - 1)
-        return np.where(self.word[at] == each, at, -1)[back]
-
-
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+        bucket = tokens >> self.shift
+        at, end = self.first[bucket], self.first[bucket + np.uint64(1)]
+        out = np.full(len(tokens), -1)
+        open_ = np.flatnonzero(at < end)                                   # few words share a bucket: one or two looks settle most tokens
+        while len(open_):
+            found = self.word[at[open_]] == tokens[open_]
+            out[open_[found]] = at[open_[found]]
+            open_ = open_[~found]
+            at[open_] += 1
+            open_ = open_[at[open_] < end[open_]]
+        return out
 
 
 class GatedModel:
@@ -111,101 +119,131 @@ class GatedModel:
         rng = np.random.default_rng(seed)
         f = np.float32
         self.size, self.hidden = len(counts), hidden
-        self.width = -(-self.size // classes)
-        self.classes = -(-self.size // self.width) + 1                     # the last one is the rest
+        share = np.cumsum(np.sqrt(np.maximum(counts, EXTRA)))
+        edges = np.searchsorted(share, share[-1] * np.arange(1, classes) / classes) if self.size else []
+        self.edges = np.unique([0, *edges, self.size])                     # a class's words are edges[k] .. edges[k + 1] - 1
+        self.classes = len(self.edges)                                     # the last one is the rest
         self.inputs = rng.normal(0, 0.1, (self.size + 1, 3 * hidden)).astype(f)
         self.recur = rng.normal(0, 1 / np.sqrt(hidden), (hidden, 3 * hidden)).astype(f)
         self.class_out = np.zeros((hidden, self.classes), f)
         self.word_out = np.zeros((self.size, hidden), f)
         logs = np.log(np.maximum(counts, EXTRA))
-        mass = np.array([np.maximum(counts[c * self.width:(c + 1) * self.width], EXTRA).sum() for c in range(self.classes - 1)] + [max(rest, EXTRA)])
+        mass = np.array([np.maximum(counts[a:b], EXTRA).sum() for a, b in zip(self.edges[:-1], self.edges[1:])] + [max(rest, EXTRA)])
         self.class_bias = np.log(mass / mass.sum()).astype(f)
         self.word_bias = logs.astype(f)
 
     NAMES = ("inputs", "recur", "class_out", "class_bias", "word_out", "word_bias")
 
     def class_of(self, y: np.ndarray) -> np.ndarray:
-        return np.where(y == self.size, self.classes - 1, y // self.width)
+        return np.searchsorted(self.edges, y, side="right") - 1
 
     def step(self, x: np.ndarray, h: np.ndarray):
+        """One step of all rows; x: 3 hidden x rows, h: hidden x rows. Returns the next h, both gates, the candidate and its recurrent part."""
         d = self.hidden
-        g = h @ self.recur
-        zr = _sigmoid(x[:, :2 * d] + g[:, :2 * d])
-        z, r, gn = zr[:, :d], zr[:, d:], g[:, 2 * d:]
-        n = np.tanh(x[:, 2 * d:] + r * gn)
-        return n + z * (h - n), z, r, n, gn
+        g = self.recur.T @ h
+        gates = x[:2 * d] + g[:2 * d]
+        np.exp(np.negative(gates, out=gates), out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        gn = g[2 * d:]
+        n = gates[d:] * gn
+        n += x[2 * d:]
+        np.tanh(n, out=n)
+        after = h - n
+        after *= gates[:d]
+        after += n
+        return after, gates, n, gn
 
     def states(self, previous: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None):
-        """previous, fresh: rows x steps (the word before; whether a text starts). Returns states rows x steps x hidden, and the last."""
-        out = np.empty((*previous.shape, self.hidden), np.float32)
-        for t in range(previous.shape[1]):
-            h = h * ~fresh[:, t, None]
-            after, *parts = self.step(self.inputs[previous[:, t]], h)
+        """previous, fresh: rows x steps (the word before; whether a text starts). Returns states rows x steps x hidden, and the last.
+
+        Inside, rows are the last axis, so that every operation runs over whole stretches of memory.
+        """
+        x = np.ascontiguousarray(self.inputs[previous.T].transpose(0, 2, 1))
+        goes_on = ~fresh.T
+        out = np.empty((len(x), self.hidden, len(previous)), x.dtype)
+        h = h.T
+        for t in range(len(x)):
+            h = h * goes_on[t]
+            after, *parts = self.step(x[t], h)
             if keep is not None:
                 keep.append((h, *parts))
-            out[:, t] = h = after
-        return out, h
+            out[t] = h = after
+        return out.transpose(2, 0, 1), h.T
 
     def log_probabilities(self, h: np.ndarray, y: np.ndarray, back: bool = False):
         """Natural log of P(y | h) for rows of states; with back also the gradients of the negative sum."""
-        z = h @ self.class_out + self.class_bias
-        z -= z.max(1, keepdims=True)
-        e = np.exp(z)
-        s = e.sum(1)
         c = self.class_of(y)
+        order = np.argsort(c, kind="stable")                               # rows of one class stand together from here on
+        h, y, c = h[order], y[order], c[order]
         rows = np.arange(len(y))
-        out = z[rows, c] - np.log(s)
+
+        def softmax(z, own):
+            """Logits, one column per row, become probabilities in place; returns the logs of the rows' own ones."""
+            z -= z.max(0)
+            logs = z[own, rows[:z.shape[1]]]
+            np.exp(z, out=z)
+            s = z.sum(0)
+            logs -= np.log(s)
+            if back:
+                z /= s
+                z[own, rows[:z.shape[1]]] -= 1
+            return logs
+
+        z = self.class_out.T @ h.T
+        z += self.class_bias[:, None]
+        logs = softmax(z, c)
         if back:
-            dz = e / s[:, None]
-            dz[rows, c] -= 1
-            dh = dz @ self.class_out.T
-            grads = {"class_out": h.T @ dz, "class_bias": dz.sum(0), "word_out": {}, "word_bias": {}}
-        order = np.argsort(c, kind="stable")
-        edges = np.searchsorted(c[order], np.arange(self.classes + 1))
-        for k in range(self.classes - 1):
-            idx = order[edges[k]:edges[k + 1]]
-            if not len(idx):
-                continue
-            span = slice(k * self.width, min((k + 1) * self.width, self.size))
-            hk = h[idx]
-            w = hk @ self.word_out[span].T + self.word_bias[span]
-            w -= w.max(1, keepdims=True)
-            e = np.exp(w)
-            s = e.sum(1)
-            own = y[idx] - span.start
-            out[idx] += w[np.arange(len(idx)), own] - np.log(s)
+            dh = z.T @ self.class_out.T
+            grads = {"class_out": (z @ h).T, "class_bias": z.sum(1), "word_out": {}, "word_bias": {}}
+        edges = np.searchsorted(c, np.arange(self.classes))
+        for k in np.flatnonzero(edges[1:] > edges[:-1]):
+            part, span = slice(edges[k], edges[k + 1]), slice(int(self.edges[k]), int(self.edges[k + 1]))
+            w = self.word_out[span] @ h[part].T
+            w += self.word_bias[span, None]
+            logs[part] += softmax(w, y[part] - span.start)
             if back:
-                dw = e / s[:, None]
-                dw[np.arange(len(idx)), own] -= 1
-                dh[idx] += dw @ self.word_out[span]
-                grads["word_out"][k], grads["word_bias"][k] = (span, dw.T @ hk), (span, dw.sum(0))
-        return (out, dh, grads) if back else out
+                dh[part] += w.T @ self.word_out[span]
+                grads["word_out"][k], grads["word_bias"][k] = (span, w @ h[part]), (span, w.sum(1))
+        out = np.empty_like(logs)
+        out[order] = logs
+        if not back:
+            return out
+        unsorted = np.empty_like(dh)
+        unsorted[order] = dh
+        return out, unsorted, grads
 
     def window_gradients(self, previous, fresh, target, live, h):
         """Loss, gradients and last state of one window (rows x steps); backpropagation stops at the window's start."""
         keep: list = []
         states, last = self.states(previous, fresh, h, keep)
-        d, flat = self.hidden, live.ravel()
+        d, flat, (rows, steps) = self.hidden, live.ravel(), previous.shape
         logs, dflat, grads = self.log_probabilities(states.reshape(-1, d)[flat], target.ravel()[flat], back=True)
-        dh_all = np.zeros((flat.size, d), np.float32)
+        dh_all = np.zeros((flat.size, d), dflat.dtype)
         dh_all[flat] = dflat
-        dh_all = dh_all.reshape(states.shape)
-        dx = np.empty((*previous.shape, 3 * d), np.float32)
-        recur, carry = np.zeros_like(self.recur), np.zeros((len(previous), d), np.float32)
-        for t in reversed(range(previous.shape[1])):
-            before, z, r, n, gn = keep[t]
-            dh = dh_all[:, t] + carry
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            dg = np.concatenate((dz, dr, dn * r), 1)
-            dx[:, t] = np.concatenate((dz, dr, dn), 1)
-            recur += before.T @ dg
-            carry = (dh * z + dg @ self.recur.T) * ~fresh[:, t, None]
-        order = np.argsort(previous.ravel(), kind="stable")
-        ids = previous.ravel()[order]
+        dh_all = np.ascontiguousarray(dh_all.reshape(rows, steps, d).transpose(1, 2, 0))
+        before, gates, n, gn = (np.stack(x) for x in zip(*keep))
+        z, r = gates[:, :d], gates[:, d:]
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), gn * r * (1 - r)
+        dx, dg = np.empty((steps, 3 * d, rows), dflat.dtype), np.empty((steps, 3 * d, rows), dflat.dtype)
+        goes_on, carry = ~fresh.T, 0
+        for t in reversed(range(steps)):
+            dh = dh_all[t]
+            dh += carry
+            dn = np.multiply(dh, to_n[t], out=dx[t, 2 * d:])
+            np.multiply(dh, to_z[t], out=dg[t, :d])
+            np.multiply(dn, to_r[t], out=dg[t, d:2 * d])
+            np.multiply(dn, r[t], out=dg[t, 2 * d:])
+            carry = self.recur @ dg[t]
+            dh *= z[t]
+            carry += dh
+            carry *= goes_on[t]
+        dx[:, :2 * d] = dg[:, :2 * d]
+        grads["recur"] = np.matmul(before, dg.transpose(0, 2, 1)).sum(0)
+        order = np.argsort(previous.T, axis=None, kind="stable")
+        ids = previous.T.ravel()[order]
         at = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        grads |= {"recur": recur, "inputs": (ids[at], np.add.reduceat(dx.reshape(-1, 3 * d)[order], at))}
+        grads["inputs"] = (ids[at], np.add.reduceat(dx.transpose(0, 2, 1).reshape(-1, 3 * d)[order], at))
         return -logs.sum(), grads, last
 
     def fresh_sums(self) -> dict:
@@ -301,7 +339,7 @@ def _learn(shared):
         sums, texts, held, total = model.unpack(state), [], 0, 0
 
         def take():
-            model.fit(texts, epochs=1, rows=min(max(held >> 14, 32), STREAMS), sums=sums)
+            model.fit(texts, epochs=1, rows=min(max(held >> 14, 32), LEARNERS), sums=sums)
 
         for b in batches:
             for _, _, t, begin in token_table(b.column("text")):
