@@ -148,6 +148,25 @@ def test_gradients():
         assert slope(m.word_out, (span.start, 2)) == pytest.approx(d[0, 2], abs=2e-2)
 
 
+def test_classes_cover_all_words():
+    for size in (1, 2, 47, 300):
+        m = lm_scoring.GatedModel(np.sort(np.random.default_rng(size).zipf(1.3, size))[::-1].astype(float), 5.0, hidden=3, classes=16)
+        spans = list(zip(m.edges[:-1], m.edges[1:]))
+        plain = [next((k for k, (a, b) in enumerate(spans) if a <= y < b), len(spans)) for y in range(size + 1)]
+        assert m.class_of(np.arange(size + 1)).tolist() == plain and m.classes == len(spans) + 1
+        assert all(a < b for a, b in spans) and spans[0][0] == 0 and spans[-1][1] == size
+
+
+def test_words_are_found_whatever_shares_their_bucket():
+    rng = np.random.default_rng(3)
+    for words in (rng.integers(0, 2 ** 64, 500, np.uint64), np.arange(700, dtype=np.uint64), np.array([0, 2 ** 64 - 1], np.uint64), np.zeros(0, np.uint64)):
+        words = np.unique(words)
+        v = lm_scoring.Vocabulary(words.view(np.int64), np.ones(len(words), np.int64), len(words), len(words))
+        asked = np.concatenate((words, rng.integers(0, 2 ** 64, 300, np.uint64), np.arange(690, 720, dtype=np.uint64)))
+        plain = {int(w): i for i, w in enumerate(v.word)}
+        assert v.look_up(asked).tolist() == [plain.get(int(w), -1) for w in asked]
+
+
 def test_probabilities_sum_to_one_and_windows_do_not_matter():
     m, texts = small_model()
     h = np.random.default_rng(1).normal(size=(3, 5))
