@@ -178,6 +178,14 @@ def test_probabilities_sum_to_one_and_windows_do_not_matter():
     assert np.abs(a - one).max() < 1e-5
 
 
+def test_frequent_words_by_levels(spark):
+    n = [1000, 1000, 700, 40, 40, 39, 7, *[2] * 30, *[1] * 50]
+    counts = spark.createDataFrame([(i, x) for i, x in enumerate(n)], "word long, n long")
+    for most, least in ((1000, 1), (len(n), 1), (86, 2), (37, 2), (36, 7), (5, 40), (2, 1000)):
+        assert sorted(r["word"] for r in lm_scoring.frequent(counts, most).collect()) == [i for i, x in enumerate(n) if x >= least]
+    assert lm_scoring.frequent(counts, 1).count() == 0 and lm_scoring.frequent(counts.limit(0), 9).count() == 0
+
+
 def test_scores_of_odd_rows(spark, odd, nothing, monkeypatch):
     monkeypatch.setattr(lm_scoring, "DICTIONARY", 40)                  # most words by the join
     docs = odd.withColumn("held_out", language.held_out(10, 0))

@@ -11,7 +11,7 @@ that all share, and a tree averages what the parts come to, weighted by their to
 Parts are those that the table is read in, so the last digits of scores hang on how its files are cut. Scoring reads whole texts in
 the same way, many documents side by side, the state carried across windows, so a text's score does not depend on window borders.
 
-Counts of the DICTIONARY most frequent words go to the executors (a fixed bound); the other words of a text are looked up by a join.
+Counts of the most frequent words, DICTIONARY at most, go to the executors (a fixed bound); the other words of a text are looked up by a join.
 """
 from __future__ import annotations
 
@@ -383,10 +383,26 @@ def learned_round(docs: DataFrame, vocabulary: Vocabulary, model: GatedModel, st
     return tokens, np.frombuffer(bytes(packed), np.float32)
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words above a count, as low as leaves `most` words at most; no sort, only a histogram of 64 levels per doubling.
+
+    A level is in or out as a whole. Its words may be many (those seen once, say); left out, their counts come by the join instead.
+    """
+    level = F.floor(F.log2(F.col("n")) * 64)
+    sizes = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).sort(F.desc("level")).collect()     # 64 x 63 rows at most
+    lowest, words = None, 0
+    for size in sizes:
+        words += size["words"]
+        if words > most:
+            break
+        lowest = size["level"]
+    return counts.filter(level >= lowest) if lowest is not None else counts.limit(0)
+
+
 def train(docs: DataFrame, counts: DataFrame) -> tuple[Vocabulary, GatedModel]:
     """docs: training documents (text); counts: their corpus counts. The driver gets DICTIONARY counts and one set of weights a round."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(DICTIONARY).toArrow()
+    top = frequent(counts, DICTIONARY).toArrow()
     v = Vocabulary(np.asarray(top.column("word"), np.int64), np.asarray(top.column("n"), np.int64), total, distinct)
     model = GatedModel(v.counts, v.rest)
     state = model.pack(model.fresh_sums())
