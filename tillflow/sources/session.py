@@ -44,4 +44,13 @@ def durable(df: DataFrame) -> DataFrame:
     """`df` written as Parquet below the scratch folder and read back, so lost executors do not recompute it and readers prune columns."""
     path = f"{scratch_folder(df.sparkSession).rstrip('/')}/tillflow-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a table made by `durable` that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._durable_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
