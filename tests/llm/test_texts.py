@@ -329,11 +329,30 @@ def test_blocks_find_every_pair_within_the_radius(spark):
     rows += [(60 + i, rows[i][1] ^ sum(1 << b for b in rnd.sample(range(63), i % 20))) for i in range(60)]
     df = spark.createDataFrame(rows, "i long, fingerprint long")
     found = {(r["a"], r["b"]) for r in decontamination.blocks(df.withColumnRenamed("i", "a")).select("a", "block", "bits").join(
-        decontamination.blocks(df.withColumnRenamed("i", "b")).select("b", "block", "bits"), ["block", "bits"]).select("a", "b").distinct().collect()}
+        decontamination.neighbours(df.withColumnRenamed("i", "b")).select("b", "block", "bits"), ["block", "bits"]).select("a", "b").distinct().collect()}
     near = {(i, j) for i, x in rows for j, y in rows if ((x ^ y) & (1 << 64) - 1).bit_count() <= decontamination.RADIUS}
     assert near <= found
 
 
+def test_blocks_leave_unrelated_pairs_apart(spark):
+    rnd = random.Random(16)
+    prints = lambda n: spark.createDataFrame([(i, rnd.getrandbits(64) - (1 << 63)) for i in range(n)], "i long, fingerprint long")
+    left, right = (d.select("i", "block", "bits") for d in (decontamination.blocks(prints(2000)), decontamination.neighbours(prints(200))))
+    assert left.count() == 4 * 2000 and left.join(right.withColumnRenamed("i", "j"), ["block", "bits"]).count() < 0.06 * 2000 * 200
+
+
+def test_recall_at_the_least_similarity(spark):
+    rnd = random.Random(17)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    items = [[word() for _ in range(50)] for _ in range(400)]
+    docs = [(i, " ".join([word() for _ in range(9)] + it[:25] + [word()] + it[26:] + [word() for _ in range(9)])) for i, it in enumerate(items)]
+    bench = spark.createDataFrame([(i, " ".join(it)) for i, it in enumerate(items)], "item_id long, text string")
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert all(r["doc_id"] == r["item_id"] and r["similarity"] == pytest.approx(41 / 51) for r in got)        # 0.804
+    print(f"recall at 0.804: {len(got) / 400}")
+    assert len(got) >= 0.9 * 400
+
+
 def test_decontamination_of_odd_rows(spark, odd, nothing):
     bench = spark.createDataFrame([(1, "the cat SAT on the mat"), (1, "the cat SAT on the mat"), (None, "w0x0 w1x1 w2x2 w3x3 w4x4 w5x5"), (3, "word")], "item_id long, text string")
     got = sorted((r["doc_id"], r["item_id"]) for r in decontamination.contaminated(odd, bench).collect() if r["item_id"])
