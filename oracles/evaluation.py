@@ -272,6 +272,8 @@ ORACLES = {
     "logistic_model": q("SELECT kind, c, weights, (SELECT count(*) FROM assignment WHERE split = 'train') AS n_train, TRUE AS at_minimum, TRUE AS better_than_nothing FROM (VALUES ('seq'), ('full')) k(kind), "
         "(VALUES (0.01::DOUBLE), (0.1::DOUBLE), (1::DOUBLE), (10::DOUBLE)) c(c), (VALUES ('none'), ('balanced')) w(weights)"),
     "grid_select": q("SELECT kind, 8::BIGINT AS settings, (SELECT count(*) FROM assignment WHERE split = 'val') AS n_val, TRUE AS first_of_the_best, TRUE AS score_is_a_share FROM (VALUES ('seq'), ('full')) k(kind)"),
+    "gbdt_model": q("SELECT split, 'gbdt-' || kind AS model, count(*) AS n, count(*) AS n_probabilities, count(*) AS n_argmax, 24::BIGINT AS settings, TRUE AS first_of_the_best, TRUE AS not_above_the_class_shares "
+        "FROM assignment, (VALUES ('seq'), ('full')) k(kind) WHERE split <> 'train' GROUP BY split, kind"),
     "class_weights": q(" UNION ALL ".join(f"SELECT bank, '{kind}' AS kind, k AS target, n, {r(f)} AS weight FROM tcount" for kind, f in
         (("none", "1"), ("inverse", "1 / greatest(n, 1) / sum(1 / greatest(n, 1)) OVER (PARTITION BY bank) * 4"), ("balanced", "sum(n) OVER (PARTITION BY bank) / (4 * greatest(n, 1))"))),
         tcount="SELECT b.bank, k, (SELECT count(*) FROM w WHERE w.bank = b.bank AND length = 9 AND truth = k) AS n FROM (VALUES ('bank_a'), ('bank_b')) b(bank), range(4) t(k)"),

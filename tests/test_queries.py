@@ -15,7 +15,7 @@ SOME = ("load_transactions load_demographics complete_profiles export_transactio
         "class_calibration operating_point subgroup_metrics poisson_bootstrap significance_table pair_table build_samples_full few_shot_examples "
         "chat_messages trace_numbers manifest_diff").split()
 QUERIES, SQL = dict(catalog.QUERIES), dict(sql_catalog.ORACLES)
-ROWS_ONLY = {"logistic_scores", "gbdt_model", "bootstrap_intervals", "primary_endpoint_exact"}
+ROWS_ONLY = {"logistic_scores", "bootstrap_intervals", "primary_endpoint_exact"}
 
 
 @pytest.fixture(scope="module")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillflow.functions.expressions import N_CLASSES, argmax_code, class_name
-from tillflow.operators.linear import LOTS, _added, _blocks
+from tillflow.operators.linear import LOTS, _added, _blocks, scores_of
 from tillflow.sources.session import durable, forget
 
 BINS = 64                        # at most, of a number
@@ -292,6 +292,11 @@ def _scored(rows: DataFrame, models) -> DataFrame:
     return rows.withColumn("p", probabilities("x", "hot"))
 
 
+def grid_scores(models, rows: DataFrame, metric: str = "macro_f1") -> list[float]:
+    """Every model's score on the same rows, from one pass."""
+    return scores_of(_scored(rows, models), metric)
+
+
 def _grown(stored, state, roots, settings, weights, n_numeric) -> dict:
     """The trees of one round. roots: {(setting, class): sums of gradient, curvature and rows}."""
     trees = {(s, k): Tree.of_depth(settings[s]["depth"]) for s, k in roots}

@@ -220,7 +220,12 @@ def fit_grid(rows: DataFrame, settings, n_numeric: int, n_hot: int = 0, toleranc
 
 def grid_scores(models, rows: DataFrame, metric: str = "macro_f1") -> list[float]:
     """Every model's score on the same rows, from one pass."""
-    codes = _scored(rows, models).select(F.col("target").alias("y"), F.posexplode("p").alias("setting", "p")).withColumn("yhat", argmax_code(F.col("p")))
+    return scores_of(_scored(rows, models), metric)
+
+
+def scores_of(scored: DataFrame, metric: str) -> list[float]:
+    """Per model, of rows with `target` and every model's probabilities `p`."""
+    codes = scored.select(F.col("target").alias("y"), F.posexplode("p").alias("setting", "p")).withColumn("yhat", argmax_code(F.col("p")))
     scores = add_metrics(confusion_cells(codes, ("setting",))).drop(*CELLS).select("setting", metric).collect()                 # a number per setting
     return [r[metric] for r in sorted(scores, key=lambda r: r["setting"])]
 

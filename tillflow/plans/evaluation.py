@@ -5,9 +5,10 @@ import math
 
 from pyspark.sql import functions as F
 
-from tillflow.functions.expressions import N_CLASSES, age_band, span_band
+from tillflow.functions.expressions import N_CLASSES, age_band, argmax_code, class_name, span_band
 from tillflow.functions.literals import literal_rows
 from tillflow.operators import baselines as B
+from tillflow.operators import boosting as Z
 from tillflow.operators import calibration as K
 from tillflow.operators import cohort as C
 from tillflow.operators import features as X
@@ -30,6 +31,7 @@ from tillflow.sources.session import durable
 COMPARED = ("averaging", "last-category", "markov1")
 HASHED = S.Resampler("hashed")
 NINE = DEFAULTS.train_length
+PATIENCE = 10                                              # rounds of the registered trees without a better validation loss; the operator's default is 50
 BY_BANK = ("split", "model", "length")
 EXACT = ("mcnemar_p", "mcnemar_p_holm", "p_holm")           # exact binomial p values
 
@@ -147,16 +149,21 @@ def _split_features(spark, d):
     return parts[0].unionByName(parts[1])
 
 
-def _fitted(spark, d):
-    """Per feature set: the models of the whole grid, their validation scores, and the rows of all splits."""
+def _feature_rows(spark, d):
+    """Per feature set: the rows of all splits, and how many numbers and zero-one columns they hold."""
     features = durable(_split_features(spark, d))
     levels = X.level_table(features.where("split = 'train'"))
-    out = {}
     for kind in KINDS:
         full = kind == "full"
         numeric = X.sequence_feature_names() + ([*X.AMOUNT_DATE_NAMES, "age"] if full else [])
-        rows = N.rows_of(X.one_hot(features, levels) if full else features, numeric, full)
-        models = N.fit_grid(rows.where("split = 'train'"), L.LOGISTIC_GRID, len(numeric), levels.count() if full else 0)
+        yield kind, N.rows_of(X.one_hot(features, levels) if full else features, numeric, full), len(numeric), levels.count() if full else 0
+
+
+def _fitted(spark, d):
+    """Per feature set: the models of the whole grid, their validation scores, and the rows of all splits."""
+    out = {}
+    for kind, rows, n_numeric, n_hot in _feature_rows(spark, d):
+        models = N.fit_grid(rows.where("split = 'train'"), L.LOGISTIC_GRID, n_numeric, n_hot)
         out[kind] = rows, models, N.grid_scores(models, rows.where("split = 'val'"))
     return out
 
@@ -194,10 +201,21 @@ def logistic_scores(spark, d):
 
 @query
 def gbdt_model(spark, d):
-    """Boosted trees, one class against the rest, early stopping on one fold, another one is scored."""
-    f, names = _features(spark, d), X.sequence_feature_names()
-    model = L.fit_trees(f.where("fold > 1"), f.where("fold = 1"), names, depth=3, rounds=5)
-    return printed(M.classification_metrics(L.score_windows(model, f.where("fold = 0"), "gbdt-seq")))
+    """Boosted trees on both feature sets: the whole grid, stopped early on validation, the selected model scored on every other split."""
+    out = None
+    for kind, rows, n_numeric, n_hot in _feature_rows(spark, d):
+        learnt = rows.where("split in ('train', 'val')").withColumn("is_val", F.col("split") == "val")
+        models = Z.fit_grid(learnt, L.TREE_GRID, n_numeric, n_hot, patience=PATIENCE)
+        scores = Z.grid_scores(models, rows.where("split = 'val'"))
+        i = N.best_of(models, scores)
+        scored = L.score_windows(models[i], rows.where("split <> 'train'"), f"gbdt-{kind}")
+        part = scored.groupBy("split", "model").agg(
+            F.count("*").alias("n"), F.count_if(F.abs(F.aggregate("p", F.lit(0.0), lambda a, q: a + q) - 1) < 1e-9).alias("n_probabilities"),
+            F.count_if(F.col("prediction") == class_name(argmax_code(F.col("p")))).alias("n_argmax"))
+        part = part.withColumns({"settings": F.lit(len(models)).cast("long"), "first_of_the_best": F.lit(scores.index(max(scores)) == i),
+                                 "not_above_the_class_shares": F.lit(all(m.loss <= m.start_loss for m in models))})
+        out = part if out is None else out.unionByName(part)
+    return printed(out)
 
 
 @query
