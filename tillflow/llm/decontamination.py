@@ -161,8 +161,8 @@ iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, ''
 ds AS (SELECT doc_id, len(w) AS n, unnest(list_transform(range(1, len(w) - 3), lambda i: {'at': i - 1, 'g': array_to_string(w[i:i + 4], ' ')})) AS x FROM dw),
 iz AS (SELECT item_id, len(w) AS n, unnest(list_transform(range(1, len(w) - 3), lambda i: {'at': i - 1, 'g': array_to_string(w[i:i + 4], ' ')})) AS x FROM iw),
 d AS (SELECT doc_id, n, x.at AS at, x.g AS g FROM ds), i AS (SELECT item_id, n, x.at AS at, x.g AS g FROM iz),
-met AS (SELECT DISTINCT d.doc_id, i.item_id, d.at, d.n AS text_words, i.n AS item_words, least(d.n, i.n) AS n FROM d JOIN i ON d.g = i.g),
-win AS (SELECT DISTINCT doc_id, item_id, item_words, n, unnest(range(greatest(0, at - n + 5), least(at, greatest(text_words - item_words, 0)) + 1)) AS s FROM met),
+met AS (SELECT DISTINCT d.doc_id, i.item_id, d.at AS place, d.n AS text_words, i.n AS item_words, least(d.n, i.n) AS n FROM d JOIN i ON d.g = i.g),
+win AS (SELECT DISTINCT doc_id, item_id, item_words, n, unnest(range(greatest(0, place - n + 5), least(place, greatest(text_words - item_words, 0)) + 1)) AS s FROM met),
 b AS (SELECT item_id, g, count(*) AS c FROM i GROUP BY ALL),
 a AS (SELECT win.doc_id, win.item_id, item_words, s, win.n, d.g, b.c AS item_c, count(*) AS c FROM win JOIN d ON d.doc_id = win.doc_id AND d.at BETWEEN s AND s + win.n - 5
       JOIN b ON b.item_id = win.item_id AND b.g = d.g GROUP BY ALL),
