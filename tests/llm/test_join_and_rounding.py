@@ -71,6 +71,65 @@ def test_order_of_prefixes_bears_on_work_only(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(plain_components(rows, 3, 90))
 
 
+def passage_groups(groups=6, copies=20):
+    """Groups of copies that share most words with the other groups, below the threshold: every pair across them is close."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    passage, rows = [word() for _ in range(200)], []
+    for _ in range(groups):
+        base = passage + [word() for _ in range(19)]
+        for _ in range(copies):
+            edited = list(base)
+            edited[rnd.randrange(200, 219)] = word()
+            rows.append((len(rows), " ".join(edited)))
+    return rows
+
+
+@pytest.mark.parametrize("block, known", [(512, 64), (7, 1)])
+def test_groups_that_nearly_link_make_rows_in_proportion_to_their_classes(spark, monkeypatch, block, known):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "KNOWN", known)
+    rows, made, links = passage_groups(), [], []
+    across, candidates = ngram_join.Verifier.across, ngram_join.block_candidates
+
+    def seen(members, classes, percent):
+        made.append((members.count(), members.groupBy("tile").count().toPandas()["count"].tolist(), candidates(members, classes, percent).count()))
+        return candidates(members, classes, percent)
+
+    def kept(self, rows):
+        links.append(across(self, rows))
+        return links[-1]
+    monkeypatch.setattr(ngram_join, "block_candidates", seen)
+    monkeypatch.setattr(ngram_join.Verifier, "across", kept)
+    got = ngram_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 86).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(plain_components(rows, 3, 86))
+    members, tiles, n = made[0]
+    assert 0 < n <= sum(t * -(-t // block) for t in tiles)
+    if block == 512:
+        assert n <= members                                        # not once per pair
+    assert links[0].count() <= len(rows) * (1 if block == 512 else 20)
+
+
+def test_a_pair_counts_in_its_first_common_tile():
+    h = np.unique(ngram_join.mix(np.arange(1, 101, dtype=np.uint64)))
+    bits = [ngram_join._bitmap(np.delete(h, k)).tobytes() for k in range(4)]
+    tiles = [[1, 5, 9], [5, 9], [5, 9, 11], [9]]
+    rows = [(t, 0, 0, 0, k, 99, k, bits[k], tiles[k]) for t in (1, 5, 9, 11) for k in range(4) if t in tiles[k]]
+    names = ["tile", "i", "j", "block", "node", "n", "root", "bits", "known"]
+    got = pa.Table.from_batches(ngram_join._blocks(90)([pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))))])).to_pylist()
+    assert sorted((r["tile"], r["node"]) for r in got) == [(5, 0), (5, 1), (5, 2), (9, 0), (9, 1), (9, 2), (9, 3)]
+
+
+def test_links_of_a_block_are_a_forest():
+    """All pairs of a group link: as many links come out as join them."""
+    h = np.unique(ngram_join.mix(np.arange(1, 101, dtype=np.uint64)))
+    sets = [np.delete(h, k) for k in range(30)]
+    batch = pa.RecordBatch.from_pydict({"tile": [1] * 30, "i": [0] * 30, "j": [0] * 30, "block": [0] * 30, "node": list(range(30)), "root": [k // 3 for k in range(30)],
+                                        "shingles": [s.tobytes() for s in sets]})
+    got = pa.Table.from_batches(ngram_join._spanning(90)([batch]))
+    assert got.num_rows == 9
+
+
 def test_join_of_odd_rows(odd, nothing):
     key = lambda x: tuple((v is None, v or 0) for v in x)
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.similarity_components(odd).collect()]
@@ -197,6 +256,16 @@ def test_repeated_rows_are_split_and_every_draw_comes_near(spark):
     assert count.to_dict() == want[want > 0].to_dict()
 
 
+def test_texts_meet_the_plan_once(spark):
+    """One shuffle of the texts, whatever Spark takes the plan's size for, and none for rows that are not repeated."""
+    docs = spark.range(200).selectExpr("id AS doc_id", "repeat('word ', 9 + cast(id % 5 AS int)) AS text", "if(id % 2 = 0, 'a', 'b') AS source", "0L AS n_chars")
+    out = mixing.mixed_documents(docs)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and "BroadcastHashJoin" not in plan
+    given = mixing.mix_sources(docs.select("doc_id", "source", mixing.word_count().alias("size"))).collect()
+    assert out.count() == sum(r["n_rows"] * r["copies"] + r["n_more"] for r in given) > 0
+
+
 def spark_repeat(size):
     from pyspark.sql import functions as F
 

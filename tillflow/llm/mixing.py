@@ -20,6 +20,7 @@ WEIGHTS = (5, 2, 1)                # by source in code point order, repeating
 MOST = 3                           # copies of a document, times a source's size
 LEAF = 4_000                       # documents rounded in one group
 FAN = 1_000                        # leftovers rounded in one group
+BROADCAST_ROWS = 200_000           # lines of the plan sent to all executors at most
 
 
 def word_count(text="text"):
@@ -132,10 +133,24 @@ def mixed_documents(docs: DataFrame, seed: int = 20) -> DataFrame:
     sized = docs.withColumn("_size", word_count())
     plan = written(mix_sources(sized.select("doc_id", "source", F.col("_size").alias("size")), seed).filter("copies > 0 or n_more > 0").select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), F.col("copies").alias("_copies"), F.col("n_rows").alias("_rows"), F.col("n_more").alias("_more")), "plan")
-    same = sized["doc_id"].eqNullSafe(plan["_id"]) & sized["source"].eqNullSafe(plan["_source"]) & (sized["_size"] == plan["_words"])
-    drawn = sized.join(plan, same)
-    single = drawn.filter("_rows = 1 or _more in (0, _rows)").withColumn("_times", F.col("_copies") + F.when(F.col("_more") > 0, 1).otherwise(0))
-    several = written(drawn.filter("_rows > 1 and _more not in (0, _rows)").withColumn("_part", F.spark_partition_id()), "several")
+    # a row per document, so never sent to all executors; it meets the texts once, in one shuffle of them
+    single = _drawn(sized, plan.filter("_rows = 1 or _more in (0, _rows)").hint("merge")).withColumn("_times", F.col("_copies") + F.when(F.col("_more") > 0, 1).otherwise(0))
+    out = single.select(*docs.columns, "_times")
+    shared = plan.filter("_rows > 1 and _more not in (0, _rows)")
+    n = shared.count()
+    if n:
+        out = out.unionByName(_numbered(sized, F.broadcast(shared) if n <= BROADCAST_ROWS else shared).select(*docs.columns, "_times"))
+    return out.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+
+
+def _drawn(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with their line of the plan."""
+    return sized.join(plan, sized["doc_id"].eqNullSafe(plan["_id"]) & sized["source"].eqNullSafe(plan["_source"]) & (sized["_size"] == plan["_words"]))
+
+
+def _numbered(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows of which some are drawn once more than others, with `_times`."""
+    several = written(_drawn(sized, plan).withColumn("_part", F.spark_partition_id()), "several")
     unit = ["_id", "_source", "_words"]
     sizes = several.groupBy(*unit, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*unit).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -144,9 +159,7 @@ def mixed_documents(docs: DataFrame, seed: int = 20) -> DataFrame:
     for c in unit:
         matched = matched & several[c].eqNullSafe(before[f"{c}_"])
     numbered = several.join(before, matched).withColumn("_nth", F.col("_before") + F.row_number().over(Window.partitionBy(*unit, "_part").orderBy(F.xxhash64("text"))))
-    numbered = numbered.withColumn("_times", F.col("_copies") + F.when(F.col("_nth") <= F.col("_more"), 1).otherwise(0))
-    out = single.select(*docs.columns, "_times").unionByName(numbered.select(*docs.columns, "_times")).filter("_times > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    return numbered.withColumn("_times", F.col("_copies") + F.when(F.col("_nth") <= F.col("_more"), 1).otherwise(0))
 
 
 def op8_mixture(spark, sf_dir):

@@ -11,8 +11,10 @@
 3. In each tile the hub (the class that shares most tiles) is compared with the members: bitmaps of hashed shingles first, whose bits
    set on one side only bound the overlap from above, then exact intersection of the sorted arrays. Links are contracted to components.
 4. Tiles that still hold several components are cut into blocks of BLOCK classes; every pair of blocks is one small task that runs over
-   the bitmaps and lets through only pairs of different components that could link. These are verified exactly and contracted again.
-   No pairs of a group are listed for their own sake: copies in thousands cost one comparison each.
+   the bitmaps and lets through only classes that could link with one of another component, each pair in the first tile it shares.
+   These meet once more by blocks, with their shingles: a pair is intersected exactly unless it is joined by then, and what comes out is
+   as many links as join the components, which are contracted again. No pairs of a group are listed: copies in thousands cost one
+   comparison each, and groups that nearly link cost rows in proportion to their classes.
 """
 from __future__ import annotations
 
@@ -30,6 +32,8 @@ BITS = 1024                        # of a signature at least; larger sets have a
 BROADCAST_ROWS = 1_000_000         # hashes sent to all executors at most; more are joined by shuffle
 WIDE = 1.5                         # largest by smallest size of a band
 BLOCK = 512                        # classes of a tile that meet in one comparison of blocks
+BLOCK_SHINGLES = 1 << 20           # shingles of a block's classes, about (a class may have more)
+KNOWN = 64                         # tiles of a class that tell where a pair meets first
 ORDER_SHARE = 16                   # one text in so many tells which shingles are frequent
 FREQUENT = 1 << 20                 # shingles whose frequency the order knows, at most
 FILTER_BITS = 16                   # bits of the filter for each tile with several classes
@@ -241,42 +245,92 @@ def _bounded(percent: int):
     return run
 
 
+def _groups(batches, names: tuple):
+    """Key and rows of each comparison of blocks. Rows come sorted by tile and blocks, the first three names."""
+    rows = (r for b in batches for r in zip(*[b.column(c).to_pylist() for c in names]))
+    for key, group in itertools.groupby(rows, key=lambda r: r[:3]):
+        yield key, list(group)
+
+
+def _stacked(bitmaps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps folded to the narrowest, a row each, in 64-bit words."""
+    size = min(map(len, bitmaps))
+    return np.stack([_fold(b, size) for b in bitmaps]).view(np.uint64)
+
+
+def _could_link(x: int, among: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """Places `among` the rows whose sizes and bitmaps leave room for a link with row x."""
+    y = np.flatnonzero(among & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
+    if not len(y):
+        return y
+    bound = np.minimum(n[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(1, dtype=np.int64), n[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(1, dtype=np.int64))
+    return y[(100 + percent) * bound >= percent * (n[x] + n[y])]
+
+
+def _met_here(tile: int, own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether this tile is the first common one of a class and each of the others (rows of sorted tiles); also if none is known."""
+    hit = np.isin(others, own)
+    return ~hit.any(1) | (others[np.arange(len(others)), hit.argmax(1)] == tile)
+
+
 def _blocks(percent: int):
-    """Pairs of different components in two blocks of a tile that the bitmaps let through. Rows come sorted by tile and blocks."""
-    def rows(batches):
-        for b in batches:
-            yield from zip(*[b.column(c).to_pylist() for c in ("tile", "i", "j", "block", "node", "n", "root", "bits")])
+    """Classes of two blocks of a tile that could link with a class of another component, as far as bitmaps tell."""
+    names = ("tile", "i", "j", "block", "node", "n", "root", "bits", "known")
 
     def run(batches):
-        for (_, i, j), group in itertools.groupby(rows(batches), key=lambda r: r[:3]):
-            group = list(group)
-            size = min(len(r[7]) for r in group)
-            bits = np.stack([_fold(np.frombuffer(r[7], np.uint8), size) for r in group]).view(np.uint64)
-            block, node, n, root = (np.array([r[c] for r in group], np.int64) for c in (3, 4, 5, 6))
-            place = np.arange(len(group))
-            a, b = [], []
+        for (tile, i, j), group in _groups(batches, names):
+            bits = _stacked([np.frombuffer(r[7], np.uint8) for r in group])
+            block, n, root = (np.array([r[c] for r in group], np.int64) for c in (3, 5, 6))
+            widest = max(len(r[8]) for r in group)
+            known = np.array([r[8] + r[8][-1:] * (widest - len(r[8])) for r in group], np.int64)
+            place, near = np.arange(len(group)), np.zeros(len(group), bool)
             for x in np.flatnonzero(block == i):
-                other = (root != root[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])) & ((place > x) if i == j else (block == j))
-                y = np.flatnonzero(other)
-                if len(y):
-                    bound = np.minimum(n[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(1, dtype=np.int64), n[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(1, dtype=np.int64))
-                    y = y[(100 + percent) * bound >= percent * (n[x] + n[y])]
-                    a.append(np.full(len(y), node[x]))
-                    b.append(node[y])
-            if a:
-                a, b = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                y = _could_link(x, (root != root[x]) & ((place > x) if i == j else (block == j)), n, bits, percent)
+                y = y[_met_here(tile, known[x], known[y])] if len(y) else y
+                near[x] |= len(y) > 0
+                near[y] = True
+            if near.any():
+                rows = list(zip(*[group[at][:7] for at in np.flatnonzero(near)]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if name in ("i", "j", "block") else pa.int64()) for name, c in zip(names, rows)], list(names[:7]))
     return run
 
 
-def block_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(tile, node, root) -> distinct (a, b) that could link across components, from comparisons of blocks."""
-    sizes = members.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+def block_candidates(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(tile, node, n, root) -> (tile, i, j, block, node, n, root): the classes that could link across components, by comparisons of blocks.
+
+    A pair of classes counts in its first common tile only, as far as the KNOWN first tiles of both tell; rows never outnumber the
+    members of the blocks. Blocks are the smaller the longer the texts, so that the shingles of two blocks fit into a task.
+    """
+    sizes = members.groupBy("tile").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     cut = members.join(sizes, "tile").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cut = cut.select("tile", "node", "root", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    full = cut.join(classes.select("node", "n", "bits"), "node").select("tile", "i", "j", "block", "node", "n", "root", "bits")
-    return full.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j").mapInArrow(_blocks(percent), "a long, b long").distinct()
+    cut = cut.select("tile", "node", "n", "root", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    known = members.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("tile")), 1, KNOWN).alias("known"))
+    full = cut.join(classes.select("node", "bits").join(known, "node"), "node").select("tile", "i", "j", "block", "node", "n", "root", "bits", "known")
+    return full.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j").mapInArrow(
+        _blocks(percent), "tile long, i int, j int, block int, node long, n long, root long")
+
+
+def _spanning(percent: int):
+    """Links between components of two blocks, by exact intersection; no more than it takes to join what is linked."""
+    def run(batches):
+        for (_, i, j), group in _groups(batches, ("tile", "i", "j", "block", "node", "root", "shingles")):
+            block, node, root = (np.array([r[c] for r in group], np.int64) for c in (3, 4, 5))
+            sets = [np.frombuffer(r[6], np.uint64) for r in group]
+            n, bits, place, links = np.array([len(h) for h in sets]), _stacked([_bitmap(h) for h in sets]), np.arange(len(group)), []
+            for x in np.flatnonzero(block == i):
+                for y in _could_link(x, (root != root[x]) & ((place > x) if i == j else (block == j)), n, bits, percent):
+                    if root[x] != root[y] and _links(sets[x], sets[y], percent):
+                        root[root == root[y]] = root[x]
+                        links.append(sorted((node[x], node[y])))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+    return run
+
+
+def _links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
 def _linked(percent: int):
@@ -286,9 +340,7 @@ def _linked(percent: int):
             keep = []
             a, b = batch.column("shingles_a"), batch.column("shingles_b")
             for i in range(batch.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (a, b))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= percent * (len(x) + len(y) - common):
+                if _links(*(np.frombuffer(c[i].as_buffer(), np.uint64) for c in (a, b)), percent):
                     keep.append(i)
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(x).take(keep) for x in "ab"], ["a", "b"])
@@ -327,6 +379,17 @@ class Verifier:
     def links(self, pairs: DataFrame) -> DataFrame:
         return self.exact(_beside(pairs, self.classes, ["n", "bits"]).mapInArrow(_bounded(self.percent), "a long, b long"))
 
+    def across(self, candidates: DataFrame) -> DataFrame:
+        """Links that join components, from `block_candidates`."""
+        candidates = written(candidates, "candidates")
+        self._need(candidates.select("node").distinct())
+        if self.made is None:
+            return candidates.select(F.col("node").alias("a"), F.col("node").alias("b"))                # there are none
+        full = candidates.join(self.made, "node").select("tile", "i", "j", "block", "node", "root", "shingles")
+        links = written(full.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j").mapInArrow(_spanning(self.percent), "a long, b long"), "links")
+        forget(candidates)
+        return links
+
     def exact(self, near: DataFrame) -> DataFrame:
         near = written(near, "near")
         self._need(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
@@ -375,11 +438,11 @@ def similarity_components(docs: DataFrame, k: int = 3, percent: int = 90) -> Dat
     links = verifier.links(star)
     joined = written(components(links), "components")
     placed = (members.join(hubs, "tile").filter("node <> hub").join(joined, "node", "left")                # the hubs' pairs are settled
-              .select("tile", "node", F.coalesce("root", "node").alias("root")))
+              .select("tile", "node", "n", F.coalesce("root", "node").alias("root")))
     mixed = placed.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("tile")
     still = written(placed.join(mixed, "tile"), "open")
     forget(members)
-    more = verifier.exact(block_pairs(still, classes, percent))
+    more = verifier.across(block_candidates(still, classes, percent))
     forget(still)
     if not more.isEmpty():
         joined = written(components(links.unionByName(more)), "components")
