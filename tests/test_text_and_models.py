@@ -81,6 +81,18 @@ def test_few_shot_and_length_guard(spark):
         Q.require_length(samples, 4)
 
 
+@pytest.mark.parametrize("name, variants", [("build_samples_minus_field", 6), ("build_samples_conditions", 8)])
+def test_variants_of_samples_share_one_table_of_windows(spark, name, variants):
+    from tillflow.plans.catalog import QUERIES
+
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("collect_list") < variants      # a task holds the windows once, not once per variant
+    label = df.columns[-1]
+    per = df.groupBy(label).count().collect()
+    assert len(per) == variants and len({r["count"] for r in per}) == 1
+
+
 def test_answers_and_names(spark):
     df = spark.createDataFrame([(1, " Clothing.\n"), (2, "Other"), (3, "n/a"), (4, "Food and grocery..")], "customer_id long, answer string")
     got = [(r["prediction"], r["is_category"]) for r in G.clean_answers(df).orderBy("customer_id").collect()]

@@ -103,6 +103,25 @@ def build_samples(windows: DataFrame, profiles: DataFrame | None, ctx: PromptCon
                      F.col("target").alias("target_class"))
 
 
+def build_variants(windows: DataFrame, profiles: DataFrame | None, contexts: dict, label: str) -> DataFrame:
+    """The samples of several contexts with `label` naming them: a row per window and context, written from one join of windows and profiles.
+
+    contexts: name -> PromptContext. Windows are built once, whatever their number.
+    """
+    df = windows
+    if any(ctx.demographics for ctx in contexts.values()):
+        if profiles is None:
+            raise ValueError("a condition needs demographics, but none were given")
+        df = join_profiles(windows, profiles)
+    each = []
+    for name, ctx in contexts.items():
+        words = F.array(*map(F.lit, ctx.words))
+        each.append(F.struct(F.lit(ctx.instruction).alias("instruction"), task_input(ctx).alias("input"),
+                             F.concat(F.element_at(words, F.col("target") + 1), F.lit(".")).alias("response"),
+                             F.col("target").alias("target_class"), F.lit(name).alias(label)))
+    return df.select("customer_id", F.inline(F.array(*each)))
+
+
 def few_shot_examples(samples: DataFrame, per_class: int = DEFAULTS.few_shot_per_class, seed: int = DEFAULTS.seed) -> DataFrame:
     """(position, customer_id, input, response, target_class): `per_class` random samples per class, interleaved.
 

@@ -30,21 +30,13 @@ def build_samples_full(spark, d):
 
 @query
 def build_samples_conditions(spark, d):
-    """Every condition that is not full; the windows are built once per condition."""
-    out = None
-    for condition in Q.CONDITIONS[1:]:
-        part = _samples(spark, d, condition).withColumn("condition", F.lit(condition))
-        out = part if out is None else out.unionByName(part)
-    return printed(out)
+    """Every condition that is not full, from one table of windows."""
+    return printed(Q.build_variants(*_profiled(spark, d), {c: Q.prompt_context(c) for c in Q.CONDITIONS[1:]}, "condition"))
 
 
 @query
 def build_samples_minus_field(spark, d):
-    out = None
-    for field in DEMOGRAPHIC_FIELDS:
-        part = _samples(spark, d, "full", field).withColumn("dropped", F.lit(field))
-        out = part if out is None else out.unionByName(part)
-    return printed(out)
+    return printed(Q.build_variants(*_profiled(spark, d), {f: Q.prompt_context("full", f) for f in DEMOGRAPHIC_FIELDS}, "dropped"))
 
 
 @query
