@@ -232,3 +232,30 @@ def test_a_tree_of_parts_keeps_the_law(spark, monkeypatch):
         spread[parts] = R.draw_scores(spark.createDataFrame(draws)).toPandas().groupby("model")["acc"].agg(["mean", "std"])
     a, b = spread[4096], spread[2]
     assert (a["mean"] - b["mean"]).abs().max() < 0.005 and ((a["std"] / b["std"]) - 1).abs().max() < 0.15
+
+
+@pytest.mark.parametrize("table", ["pairs", "significance"])
+def test_comparisons_evaluate_the_predictions_once(spark, table, monkeypatch):
+    rows = [(c, x, m, "clothing", "clothing" if (c + i) % 3 else "groceries") for c in range(30) for i, m in enumerate(("coin", "random")) for x in ((4, 9) if m == "coin" else (None,))]
+    evaluated = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            evaluated.add(b.num_rows)
+            yield b
+    kinds = "customer_id long, length int, model string, ground_truth string, prediction string"
+    predictions = spark.createDataFrame(rows, kinds).mapInArrow(count, kinds)
+
+    class Aligned(Exception):
+        pass
+
+    def stop(rows, *rest, **more):
+        rows.count()
+        raise Aligned
+    monkeypatch.setattr(R, "aligned_answers", stop)
+    with pytest.raises(Aligned):
+        if table == "pairs":
+            S.compare_pairs(predictions, ("coin:random",), S.Resampler("hashed", 10))
+        else:
+            S.significance_table(predictions, ["coin"], ["random"], S.Resampler("hashed", 10))
+    assert evaluated.value == len(rows)

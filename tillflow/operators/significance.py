@@ -86,6 +86,11 @@ class Resampler:
         return R.draw_scores(draw(R.joint_cells(aligned, by), models, by, self.draws, self.seed))
 
 
+def _coded(predictions: DataFrame) -> DataFrame:
+    """The codes of predictions as a written table: models, lengths and customers are read from it, the predictions are evaluated once."""
+    return durable(with_codes(predictions).select("length", "customer_id", "model", "y", "yhat"))
+
+
 def significance_table(predictions: DataFrame, llms, baselines, resampler: Resampler, metrics=TESTED) -> DataFrame:
     """Every learned model against every baseline per length: differences, exact McNemar p, Holm over the baselines.
 
@@ -93,7 +98,7 @@ def significance_table(predictions: DataFrame, llms, baselines, resampler: Resam
     Models of one length that cover different customers stop the job.
     """
     models, pairs = [*llms, *baselines], list(itertools.product(llms, baselines))
-    aligned = R.aligned_answers(with_codes(R.at_every_length(predictions.where(F.col("model").isin(*models)))), models)
+    aligned = R.aligned_answers(R.at_every_length(_coded(predictions.where(F.col("model").isin(*models)))), models)
     res = R.compare(R.point_scores(aligned, models), resampler.scores(aligned, models, ("length",)), pairs, metrics=metrics)
     mc = holm(mcnemar(R.joint_cells(aligned), models, pairs), "mcnemar_p", ("length", "a"), "mcnemar_p_holm")
     out = holm(res, "p", ("length", "a", "metric")).join(mc, ["length", "a", "b"])
@@ -196,7 +201,7 @@ def pair_runs(specs, lengths, available) -> list[tuple]:
 def compare_pairs(predictions: DataFrame, specs, resampler: Resampler, lengths=DEFAULTS.lengths, metrics=PAIR_METRICS) -> DataFrame:
     """Single paired comparisons; sides of several names are seed means, sides of different lengths use the customers
     present at both. McNemar columns are null where a side is a mean. Models of one length that cover different customers stop the job."""
-    spark = predictions.sparkSession
+    spark, predictions = predictions.sparkSession, _coded(predictions)
     available = {(r["model"], r["length"]) for r in predictions.select("model", "length").distinct().collect()}
     runs = pair_runs(specs, lengths, available)
     label = lambda xa, xb: str(xa) if xa == xb else f"{xa} vs {xb}"
@@ -208,7 +213,7 @@ def compare_pairs(predictions: DataFrame, specs, resampler: Resampler, lengths=D
         if len(names_a) == len(names_b) == 1:
             singles.append((spec, label(xa, xb)))
     table = literal_rows(spark, members, ("pair", "at", "length", "source", "side", "slot"))
-    rows = with_codes(R.at_every_length(predictions)).withColumnRenamed("model", "source")
+    rows = R.at_every_length(predictions).withColumnRenamed("model", "source")
     rows = rows.join(F.broadcast(table), ["source", "length"]).withColumnRenamed("slot", "model")
     slots, by = sorted({m[5] for m in members}), ("pair", "at")
     aligned = R.aligned_answers(rows, slots, by, same=lambda population: " vs " not in population["at"])
