@@ -1,5 +1,6 @@
 """Fingerprints, language, language model, token counts, decontamination, personal data, chat and pipeline against plain versions."""
 import collections
+import cProfile
 import hashlib
 import json
 import math
@@ -148,6 +149,71 @@ def test_gradients():
         assert slope(m.word_out, (span.start, 2)) == pytest.approx(d[0, 2], abs=2e-2)
 
 
+def test_a_window_of_learning_is_a_few_calls_on_whole_tables():
+    rng = np.random.default_rng(4)
+    m = lm_scoring.GatedModel(1e6 / np.arange(1, 4096), 100.0)
+    texts = [rng.integers(0, m.size + 1, 320).astype(np.int32) for _ in range(96)]
+    calls = cProfile.Profile()
+    calls.runcall(m.fit, texts, epochs=1, rows=96)                       # ten windows
+    assert sum(x.callcount for x in calls.getstats()) < 9000             # 11,312 where every class's weights moved by themselves
+
+
+def test_learning_is_adagrad_on_the_mean_gradient(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK", 3)                          # tables and rows in several blocks
+    (m, texts), (plain, _) = small_model(), small_model()
+    sums, rate = {k: np.full_like(getattr(plain, k), 1e-4) for k in m.NAMES}, 0.08
+    m.fit(texts, epochs=1, rows=2)
+    for p, f, t, live, h in lm_scoring.windows_of(texts, 2, lm_scoring.WINDOW, plain):
+        _, grads, h["h"] = plain.window_gradients(p, f, t, live, h["h"])
+        whole = np.zeros_like(plain.inputs)
+        np.add.at(whole, grads["inputs"][0], grads["inputs"][1])
+        for k in m.NAMES:
+            g = (whole if k == "inputs" else grads[k]) / live.sum()
+            sums[k] += g * g
+            setattr(plain, k, getattr(plain, k) - rate * g / np.sqrt(sums[k]))
+    for k in m.NAMES:
+        assert np.abs(getattr(m, k) - getattr(plain, k)).max() < 1e-6
+
+
+def test_sums_by_word():
+    rng = np.random.default_rng(6)
+    for ids in (np.zeros(1, np.uint16), np.minimum(rng.zipf(1.2, 500), 90).astype(np.uint16), rng.integers(0, 9, 300)):
+        rows = rng.normal(size=(len(ids), 3))
+        found, sums = lm_scoring.sums_by_word(ids, rows)
+        assert found.tolist() == sorted(set(ids.tolist()))
+        for i, got in zip(found, sums):
+            assert got == pytest.approx(rows[ids == i].sum(0))
+
+
+@pytest.mark.parametrize("times", [1, 300, -300])
+def test_probabilities_of_any_size_in_any_blocks(times, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK", 4)
+    m, _ = small_model()
+    for k in m.NAMES:
+        setattr(m, k, (getattr(m, k) * (times if k in ("kinds", "words") else 1)).astype(np.float32))     # exponentials of such logits leave float32
+    h, y = np.random.default_rng(2).normal(size=(42, 5)).astype(np.float32), np.arange(42) % (m.size + 1)
+    got, dh, grads = m.log_probabilities(h, y, back=True)
+    one = np.column_stack((h, np.ones(len(h)))).astype(float)
+
+    def soft(table, own):
+        z = table.astype(float) @ one.T
+        z -= z.max(0)
+        p = np.exp(z) / np.exp(z).sum(0)
+        d = p - (np.arange(len(table))[:, None] == own)
+        return z[own, range(z.shape[1])] - np.log(np.exp(z).sum(0)), d
+    logs, d = soft(m.kinds, m.class_of(y).astype(int))
+    want, slope, words = logs, d.T @ m.kinds[:, :-1], np.zeros(m.words.shape)
+    for k in range(m.classes - 1):
+        a, b = m.edges[k], m.edges[k + 1]
+        logs, d = soft(m.words[a:b], np.clip(y - a, 0, b - a - 1))
+        here = (y >= a) & (y < b)
+        want, slope = want + np.where(here, logs, 0), slope + (d * here).T @ m.words[a:b, :-1]
+        words[a:b] = (d * here) @ one
+    assert got == pytest.approx(want, rel=1e-4, abs=1e-4)
+    assert dh == pytest.approx(slope, rel=1e-3, abs=1e-3 * abs(times)) and grads["words"] == pytest.approx(words, rel=1e-3, abs=1e-3)
+    assert grads["kinds"] == pytest.approx(soft(m.kinds, m.class_of(y).astype(int))[1] @ one, rel=1e-3, abs=1e-3)
+
+
 def test_classes_cover_all_words():
     for size in (1, 2, 47, 300):
         m = lm_scoring.GatedModel(np.sort(np.random.default_rng(size).zipf(1.3, size))[::-1].astype(float), 5.0, hidden=3, classes=16)

@@ -40,6 +40,7 @@ PART_TOKENS = 1 << 18                   # tokens of a part at least, where the t
 TAKEN = 1 << 21                         # tokens dealt to streams at a time
 FAN_IN = 8                              # sets of weights averaged by one task
 EXTRA = 0.1                             # added to each count
+BLOCK = 1024                            # rows whose class logits are held at once
 
 
 def token_table(texts: pa.Array):
@@ -112,6 +113,20 @@ class Vocabulary:
         return out
 
 
+def sums_by_word(ids: np.ndarray, rows: np.ndarray, at_once: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids (sorted) and the sums of their rows: the first, second ... row of all ids in turn, what then is left id by id."""
+    order = np.argsort(ids, kind="stable")
+    ids, rows = ids[order], rows.take(order, axis=0)
+    at = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    n, out = np.diff(at, append=len(ids)), rows.take(at, axis=0)
+    for k in range(1, at_once):
+        more = np.flatnonzero(n > k)
+        out[more] += rows.take(at[more] + k, axis=0)
+    for i in np.flatnonzero(n > at_once).tolist():
+        out[i] += rows[at[i] + at_once:at[i] + n[i]].sum(0)
+    return ids[at], out
+
+
 class GatedModel:
     """One GRU layer over word numbers 0 .. size-1 and `size` for the rest; number 0, the end, also starts a text."""
 
@@ -125,125 +140,150 @@ class GatedModel:
         self.classes = len(self.edges)                                     # the last one is the rest
         self.inputs = rng.normal(0, 0.1, (self.size + 1, 3 * hidden)).astype(f)
         self.recur = rng.normal(0, 1 / np.sqrt(hidden), (hidden, 3 * hidden)).astype(f)
-        self.class_out = np.zeros((hidden, self.classes), f)
-        self.word_out = np.zeros((self.size, hidden), f)
+        self.kind_of = (np.searchsorted(self.edges, np.arange(self.size + 1), side="right") - 1).astype(np.int16)
         logs = np.log(np.maximum(counts, EXTRA))
         mass = np.array([np.maximum(counts[a:b], EXTRA).sum() for a, b in zip(self.edges[:-1], self.edges[1:])] + [max(rest, EXTRA)])
-        self.class_bias = np.log(mass / mass.sum()).astype(f)
-        self.word_bias = logs.astype(f)
+        self.kinds, self.words = np.zeros((self.classes, hidden + 1), f), np.zeros((self.size, hidden + 1), f)     # the last column is the bias
+        self.kinds[:, hidden], self.words[:, hidden] = np.log(mass / mass.sum()), logs
 
-    NAMES = ("inputs", "recur", "class_out", "class_bias", "word_out", "word_bias")
+    NAMES = ("inputs", "recur", "kinds", "words")
+    class_out = property(lambda self: self.kinds[:, :-1].T)
+    word_out = property(lambda self: self.words[:, :-1])
 
     def class_of(self, y: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.edges, y, side="right") - 1
+        return self.kind_of[y]
 
-    def step(self, x: np.ndarray, h: np.ndarray):
-        """One step of all rows; x: 3 hidden x rows, h: hidden x rows. Returns the next h, both gates, the candidate and its recurrent part."""
+    def step(self, recur: np.ndarray, x: np.ndarray, h: np.ndarray, g: np.ndarray, gates: np.ndarray, n: np.ndarray, out: np.ndarray):
+        """One step of all rows; x: 3 hidden x rows, h: hidden x rows. Fills the recurrent part (of the gates its negative), both gates, the candidate and the next h."""
         d = self.hidden
-        g = self.recur.T @ h
-        gates = x[:2 * d] + g[:2 * d]
-        np.exp(np.negative(gates, out=gates), out=gates)
+        np.matmul(recur, h, out=g)
+        np.subtract(g[:2 * d], x[:2 * d], out=gates)
+        np.exp(gates, out=gates)
         gates += 1
         np.reciprocal(gates, out=gates)
-        gn = g[2 * d:]
-        n = gates[d:] * gn
+        np.multiply(gates[d:], g[2 * d:], out=n)
         n += x[2 * d:]
         np.tanh(n, out=n)
-        after = h - n
-        after *= gates[:d]
-        after += n
-        return after, gates, n, gn
+        np.subtract(h, n, out=out)
+        out *= gates[:d]
+        out += n
 
-    def states(self, previous: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None):
+    def states(self, previous: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: dict | None = None):
         """previous, fresh: rows x steps (the word before; whether a text starts). Returns states rows x steps x hidden, and the last.
 
-        Inside, rows are the last axis, so that every operation runs over whole stretches of memory.
+        Inside, rows are the last axis, so that every operation runs over whole stretches of memory. What the steps filled is kept in `keep`, if given.
         """
-        x = np.ascontiguousarray(self.inputs[previous.T].transpose(0, 2, 1))
-        goes_on = ~fresh.T
-        out = np.empty((len(x), self.hidden, len(previous)), x.dtype)
-        h = h.T
-        for t in range(len(x)):
-            h = h * goes_on[t]
-            after, *parts = self.step(x[t], h)
-            if keep is not None:
-                keep.append((h, *parts))
-            out[t] = h = after
+        d, (rows, steps), kind = self.hidden, previous.shape, self.inputs.dtype
+        x = self.inputs.take(previous.T, axis=0)
+        starts, some = fresh.T, fresh.any(0)
+        held = steps if keep is not None else 1
+        g, gates, n, out = (np.empty((k, m, rows), kind) for k, m in ((held, 3 * d), (held, 2 * d), (held, d), (steps, d)))
+        h, recur = np.ascontiguousarray(h.T, kind), np.concatenate((-self.recur[:, :2 * d].T, self.recur[:, 2 * d:].T))
+        if keep is not None:
+            keep |= {"g": g, "gates": gates, "n": n, "before": h}
+        for t in range(steps):
+            if some[t]:
+                h = np.where(starts[t], kind.type(0), h)
+            k = t % held
+            self.step(recur, x[t].T, h, g[k], gates[k], n[k], out[t])
+            h = out[t]
+        if keep is not None:
+            keep["before"] = np.concatenate((keep["before"][None], out[:-1]))
+            keep["before"].transpose(0, 2, 1)[starts] = 0
         return out.transpose(2, 0, 1), h.T
 
-    def log_probabilities(self, h: np.ndarray, y: np.ndarray, back: bool = False):
-        """Natural log of P(y | h) for rows of states; with back also the gradients of the negative sum."""
+    def log_probabilities(self, h: np.ndarray, y: np.ndarray, back: bool = False, shift: bool = False):
+        """Natural log of P(y | h) for rows of states; with back also the gradients of the negative sum.
+
+        Logits go to the exponential as they are; should a sum leave the range of numbers, all is done again with shift (less the largest).
+        """
+        d, f, n, asked = self.hidden, np.result_type(h, self.words), len(y), y
         c = self.class_of(y)
         order = np.argsort(c, kind="stable")                               # rows of one class stand together from here on
-        h, y, c = h[order], y[order], c[order]
-        rows = np.arange(len(y))
-
-        def softmax(z, own):
-            """Logits, one column per row, become probabilities in place; returns the logs of the rows' own ones."""
-            z -= z.max(0)
-            logs = z[own, rows[:z.shape[1]]]
-            np.exp(z, out=z)
-            s = z.sum(0)
-            logs -= np.log(s)
-            if back:
-                z /= s
-                z[own, rows[:z.shape[1]]] -= 1
-            return logs
-
-        z = self.class_out.T @ h.T
-        z += self.class_bias[:, None]
-        logs = softmax(z, c)
+        y, c, rows = y[order].astype(np.intp), c[order].astype(np.intp), np.arange(n)
+        one = np.ones((n, d + 1), f)                                       # the states, and 1 for the bias
+        one[:, :d] = h.take(order, axis=0)
+        first = np.append(np.searchsorted(c, np.arange(self.classes)), n)
+        at = (y - self.edges[c]) * np.diff(first)[c] + rows - first[c]     # the own word among the logits of its class's rows
+        ones, own, sums = np.ones(max(self.size, self.classes), f), np.zeros((2, n), f), np.ones((2, n), f)
         if back:
-            dh = z.T @ self.class_out.T
-            grads = {"class_out": (z @ h).T, "class_bias": z.sum(1), "word_out": {}, "word_bias": {}}
-        edges = np.searchsorted(c, np.arange(self.classes))
-        for k in np.flatnonzero(edges[1:] > edges[:-1]):
-            part, span = slice(edges[k], edges[k + 1]), slice(int(self.edges[k]), int(self.edges[k + 1]))
-            w = self.word_out[span] @ h[part].T
-            w += self.word_bias[span, None]
-            logs[part] += softmax(w, y[part] - span.start)
+            up, kinds, words = np.zeros((2, n, d), f), np.zeros((-(-n // BLOCK), *self.kinds.shape), f), np.zeros_like(self.words, f)
+
+        def softmax(k, part, table, at, grads):
+            """Logits, one column per row, give their own ones, sums of exponentials and, with back, gradients (those of states times the sum)."""
+            x = one[part]
+            z = table @ x.T
+            if shift:
+                z -= z.max(0)
+            flat = z.reshape(-1)
+            own[k, part] = flat[at]
+            np.exp(z, out=z)
+            s = np.matmul(ones[:len(table)], z, out=sums[k, part])
             if back:
-                dh[part] += w.T @ self.word_out[span]
-                grads["word_out"][k], grads["word_bias"][k] = (span, w @ h[part]), (span, w.sum(1))
-        out = np.empty_like(logs)
-        out[order] = logs
+                flat[at] -= s
+                np.matmul(z.T, table[:, :d], out=up[k, part])
+                np.matmul(z, x / s[:, None], out=grads)
+
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+            for k, s in enumerate(range(0, n, BLOCK)):
+                e = min(s + BLOCK, n)
+                softmax(0, slice(s, e), self.kinds, c[s:e] * (e - s) + rows[:e - s], kinds[k] if back else None)
+            edges, spans = first.tolist(), self.edges.tolist()
+            for k in np.flatnonzero(np.diff(first)[:-1]).tolist():
+                part, span = slice(edges[k], edges[k + 1]), slice(spans[k], spans[k + 1])
+                softmax(1, part, self.words[span], at[part], words[span] if back else None)
+        if not shift and not ((sums > 1e-30) & (sums < 1e30)).all():
+            return self.log_probabilities(h, asked, back, True)
+        asked_order = np.empty(n, np.intp)
+        asked_order[order] = rows
+        out = (own - np.log(sums)).sum(0)[asked_order]
         if not back:
             return out
-        unsorted = np.empty_like(dh)
-        unsorted[order] = dh
-        return out, unsorted, grads
+        up /= sums[:, :, None]
+        up[0] += up[1]
+        return out, up[0].take(asked_order, axis=0), {"kinds": kinds.sum(0), "words": words}
 
     def window_gradients(self, previous, fresh, target, live, h):
         """Loss, gradients and last state of one window (rows x steps); backpropagation stops at the window's start."""
-        keep: list = []
+        keep: dict = {}
         states, last = self.states(previous, fresh, h, keep)
-        d, flat, (rows, steps) = self.hidden, live.ravel(), previous.shape
-        logs, dflat, grads = self.log_probabilities(states.reshape(-1, d)[flat], target.ravel()[flat], back=True)
-        dh_all = np.zeros((flat.size, d), dflat.dtype)
-        dh_all[flat] = dflat
-        dh_all = np.ascontiguousarray(dh_all.reshape(rows, steps, d).transpose(1, 2, 0))
-        before, gates, n, gn = (np.stack(x) for x in zip(*keep))
-        z, r = gates[:, :d], gates[:, d:]
-        to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), gn * r * (1 - r)
-        dx, dg = np.empty((steps, 3 * d, rows), dflat.dtype), np.empty((steps, 3 * d, rows), dflat.dtype)
-        goes_on, carry = ~fresh.T, 0
+        d, (rows, steps), on = self.hidden, previous.shape, np.flatnonzero(live.T)
+        flat = np.ascontiguousarray(states.transpose(1, 0, 2)).reshape(-1, d)
+        logs, dflat, grads = self.log_probabilities(*((flat, target.T.ravel()) if live.all() else (flat[on], target.T.ravel()[on])), back=True)
+        if len(on) < live.size:
+            dflat, part = np.zeros_like(flat, dflat.dtype), dflat
+            dflat[on] = part
+        dh_all = np.ascontiguousarray(dflat.reshape(steps, rows, d).transpose(0, 2, 1))
+        before, back = keep["before"], np.concatenate((self.recur[:, 2 * d:], self.recur[:, :2 * d]), axis=1)
+        steep = np.empty((steps, 4, d, rows), dflat.dtype)                 # gradients of the candidate's recurrent part, of both gates, of the candidate
+        stays, starts, some, carry = np.empty((d, rows), dflat.dtype), fresh.T, fresh.any(0), 0
         for t in reversed(range(steps)):
-            dh = dh_all[t]
+            dh, n, z, r, (dg, dz, dr, dn) = dh_all[t], keep["n"][t], keep["gates"][t, :d], keep["gates"][t, d:], steep[t]
             dh += carry
-            dn = np.multiply(dh, to_n[t], out=dx[t, 2 * d:])
-            np.multiply(dh, to_z[t], out=dg[t, :d])
-            np.multiply(dn, to_r[t], out=dg[t, d:2 * d])
-            np.multiply(dn, r[t], out=dg[t, 2 * d:])
-            carry = self.recur @ dg[t]
-            dh *= z[t]
+            np.subtract(1, z, out=stays)
+            np.multiply(n, n, out=dn)
+            np.subtract(1, dn, out=dn)
+            dn *= stays
+            dn *= dh
+            np.multiply(dn, r, out=dg)
+            np.subtract(1, r, out=dr)
+            dr *= keep["g"][t, 2 * d:]
+            dr *= dg
+            np.subtract(before[t], n, out=dz)
+            dz *= stays
+            dh *= z
+            dz *= dh
+            carry = back @ steep[t, :3].reshape(3 * d, rows)
             carry += dh
-            carry *= goes_on[t]
-        dx[:, :2 * d] = dg[:, :2 * d]
-        grads["recur"] = np.matmul(before, dg.transpose(0, 2, 1)).sum(0)
-        order = np.argsort(previous.T, axis=None, kind="stable")
-        ids = previous.T.ravel()[order]
-        at = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        grads["inputs"] = (ids[at], np.add.reduceat(dx.transpose(0, 2, 1).reshape(-1, 3 * d)[order], at))
+            if some[t]:
+                carry[:, starts[t]] = 0
+        recur = np.matmul(before, steep[:, :3].reshape(steps, 3 * d, rows).transpose(0, 2, 1)).sum(0)
+        grads["recur"] = np.concatenate((recur[:, d:], recur[:, :d]), axis=1)
+        words = previous.T.ravel().astype(np.uint16 if self.size < 1 << 16 else np.int64)             # short numbers sort faster
+        grads["inputs"] = sums_by_word(words, np.ascontiguousarray(steep[:, 1:].reshape(steps, 3 * d, rows).transpose(0, 2, 1)).reshape(-1, 3 * d))
+        grads["class_out"] = grads["kinds"][:, :d].T
+        spans = [slice(int(a), int(b)) for a, b in zip(self.edges[:-1], self.edges[1:])]
+        grads["word_out"] = {k: (span, grads["words"][span, :d]) for k, span in enumerate(spans)}
         return -logs.sum(), grads, last
 
     def fresh_sums(self) -> dict:
@@ -267,22 +307,25 @@ class GatedModel:
         """texts: word numbers with the end. Adagrad on the mean loss per token; `sums` are carried on where given."""
         sums = self.fresh_sums() if sums is None else sums
 
-        def move(name, where, g):
-            s, p = sums[name], getattr(self, name)
-            s[where] += g * g
-            p[where] -= rate * g / np.sqrt(s[where])
+        def move(s, p, g, n):
+            """Weights p and sums s move, in place, by the mean gradient g / n; returns both."""
+            g /= n
+            s += g * g
+            g *= -rate
+            g /= np.sqrt(s)
+            p += g
+            return s, p
 
         for _ in range(epochs):
             for previous, fresh, target, live, h in windows_of(texts, rows, WINDOW, self):
                 _, grads, last = self.window_gradients(previous, fresh, target, live, h["h"])
                 h["h"] = last
                 n = max(1, int(live.sum()))
-                for name in ("recur", "class_out", "class_bias"):
-                    move(name, slice(None), grads[name] / n)
-                for name in ("word_out", "word_bias"):
-                    for span, g in grads[name].values():
-                        move(name, span, g / n)
-                move("inputs", grads["inputs"][0], grads["inputs"][1] / n)
+                for name in ("recur", "kinds", "words"):
+                    for k in range(0, len(grads[name]), BLOCK):            # words without a gradient move by nothing
+                        move(*(x[k:k + BLOCK] for x in (sums[name], getattr(self, name), grads[name])), n)
+                ids, g = grads["inputs"]
+                sums["inputs"][ids], self.inputs[ids] = move(sums["inputs"].take(ids, axis=0), self.inputs.take(ids, axis=0), g, n)
         return self
 
 
@@ -290,7 +333,7 @@ def windows_of(texts: list[np.ndarray], rows: int, steps: int, model: GatedModel
     """Deals texts to streams of nearly equal length and yields their windows: word before, start of a text, word, whether there is one.
 
     The caller puts the last state into the dict that comes along; rows that have run out fall away. With `place` also the places
-    (index into the concatenated texts) of the live tokens, row by row.
+    (index into the concatenated texts) of the live tokens, step by step.
     """
     if not texts:
         return
@@ -319,7 +362,7 @@ def windows_of(texts: list[np.ndarray], rows: int, steps: int, model: GatedModel
         live = (s + np.arange(steps)) < size[:active, None]
         at = np.where(live, at, 0)
         out = np.where(live, before[at], 0), start[at] & live, flat[at], live, state
-        yield (*out, where[at[live]]) if place else out
+        yield (*out, where[at.T[live.T]]) if place else out
 
 
 def score_texts(model: GatedModel, texts: list[np.ndarray], streams: int = STREAMS, steps: int = WINDOW) -> np.ndarray:
@@ -327,7 +370,8 @@ def score_texts(model: GatedModel, texts: list[np.ndarray], streams: int = STREA
     out = np.zeros(sum(map(len, texts)))
     for previous, fresh, target, live, h, place in windows_of(texts, streams, steps, model, place=True):
         states, h["h"] = model.states(previous, fresh, h["h"])
-        out[place] = model.log_probabilities(states.reshape(-1, model.hidden)[live.ravel()], target[live])
+        states = np.ascontiguousarray(states.transpose(1, 0, 2)).reshape(-1, model.hidden)
+        out[place] = model.log_probabilities(states if live.all() else states[live.T.ravel()], target.T[live.T])
     return out / np.log(10)
 
 
